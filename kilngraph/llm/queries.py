@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilngraph.llm import decontam, media_ogg, mixing, suffix_dedup, warc
+from kilngraph.llm import decontam, media_ogg, mixing, simhash, suffix_dedup, warc
 from kilngraph.llm._util import table
 
 
@@ -15,6 +15,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,7 +36,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_decontaminate, op6_media_ogg, op7_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op4_decontaminate, op6_media_ogg, op7_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
