@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kilngraph.llm import decontam, media_ogg, mixing, simhash, suffix_dedup, warc
+from kilngraph.llm import decontam, html_extract, license_scan, media_ogg, mixing, quality, simhash, suffix_dedup, url_filter, warc
 from kilngraph.llm._util import table
 
 
@@ -15,6 +14,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +26,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
 def op6_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.ogg_features(table(spark, sf_dir, "documents"))
 
@@ -31,12 +39,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(url_filter.dated_captures(pages), url_filter.sample_lists(pages))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op4_decontaminate, op6_media_ogg, op7_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_simhash, op4_decontaminate, op5_quality_classifier, op6_media_ogg, op7_mixing, op8_html_extract, op9_url_filter, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

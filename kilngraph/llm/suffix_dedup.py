@@ -195,8 +195,10 @@ def common_prefixes(symbols: np.ndarray, array: np.ndarray, depth: int) -> np.nd
     return out
 
 
-def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each context a mask of its window starts whose window also starts in another place."""
+def repeated_starts(contexts: list[bytes], counts: list[int], length: int, owners: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
+    """For each context a mask of its window starts whose window also starts in another place.
+
+    owners: the least and largest text each context is of; then only windows of at least two texts count."""
     symbols = np.zeros(sum(map(len, contexts)) + len(contexts), np.uint8)
     wanted = np.zeros(len(symbols), np.bool_)
     at, begins = 0, []
@@ -208,8 +210,15 @@ def repeated_starts(contexts: list[bytes], counts: list[int], length: int) -> li
     array = suffix_array(symbols, wanted, length)
     same = common_prefixes(symbols, array, length)
     marked = np.zeros(len(symbols), np.bool_)
-    marked[array[1:][same]] = True
-    marked[array[:-1][same]] = True
+    if owners is None:
+        marked[array[1:][same]] = True
+        marked[array[:-1][same]] = True
+    elif len(array):
+        of = np.searchsorted(np.array(begins), array, "right") - 1
+        first, last = (np.array([o[k] for o in owners], np.int64)[of] for k in (0, 1))
+        group = np.flatnonzero(np.append(True, ~same))
+        several = np.minimum.reduceat(first, group) != np.maximum.reduceat(last, group)
+        marked[array[np.repeat(several, np.diff(np.append(group, len(array))))]] = True
     return [marked[b : b + n] for b, n in zip(begins, counts, strict=True)]
 
 
@@ -218,43 +227,45 @@ def mask_ranges(mask: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, scope: str | None = None, across: bool = False) -> DataFrame:
     """(id, key, starts): the starts of repeated windows of each text that has any, as half-open ranges.
 
-    id and key are util.text_key's; rows that share both have equal texts and share the row here.
+    id and key are util.text_key's; rows that share both have equal texts and share the row here.  scope: a column;
+    only texts of one scope are compared.  across: only windows that occur under two ids at least count as repeats.
     """
-    id_, key_ = text_key(docs)
-    texts = docs.select(id_.alias("id"), key_.alias("key"), "text").where(F.octet_length("text") >= length)
+    id_, key_ = scoped_key(docs, scope)
+    within = F.lit(0).cast("long") if scope is None else F.xxhash64(scope)
+    texts = docs.select(id_.alias("id"), key_.alias("key"), within.alias("within"), "text").where(F.octet_length("text") >= length)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = as_bytes(batch.column("text"))
-            ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
+            ids, keys, within = (batch.column(c).to_numpy() for c in ("id", "key", "within"))
             for group in pieces(raw, length):
                 text, anchor, context, start, n = runs_of(raw, group, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor, context, start, n)], schema=RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n)], schema=RUNS)
 
     runs = texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int")
     twice = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     runs = materialize(runs.join(twice, "anchor", "left_semi"))
 
-    contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start")).alias("copy"), F.max("n").alias("n"))
+    contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start")).alias("copy"), F.max("n").alias("n"), F.max("id").alias("last"))
     contexts = materialize(contexts)
     several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     asked = contexts.join(several, "anchor").groupBy("copy.id", "copy.key")
-    asked = asked.agg(F.collect_list(F.struct("anchor", "context", "times", "n", "kinds", "copy.start")).alias("asked"))  # a text's own runs
+    asked = asked.agg(F.collect_list(F.struct("anchor", "context", "n", "kinds", F.col("copy.id").alias("first"), "last", "copy.start")).alias("asked"))  # a text's own runs
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("times", pa.int64()), ("n", pa.int32()), ("kinds", pa.int64()), ("bytes", pa.binary())])
+        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int32()), ("kinds", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.binary())])
         for batch in batches:
             for raw, wants in zip(as_bytes(batch.column("text")), batch.column("asked"), strict=True):
                 wants = wants.as_py()
-                columns = [[w[f] for w in wants] for f in ("anchor", "context", "times", "n", "kinds")]
+                columns = [[w[f] for w in wants] for f in ("anchor", "context", "n", "kinds", "first", "last")]
                 columns.append([raw[w["start"] : w["start"] + w["n"] + length - 1] for w in wants])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     held = texts.join(asked, ["id", "key"]).select("text", "asked")
-    held = held.mapInArrow(cut, "anchor long, context long, times long, n int, kinds long, bytes binary")
+    held = held.mapInArrow(cut, "anchor long, context long, n int, kinds long, first long, last long, bytes binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("ranges", RANGES_ARROW)])
@@ -262,12 +273,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
         size = 0
 
         def flush() -> pa.RecordBatch:
-            masks = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length)
+            owners = [(r[4], r[5]) for r in rows] if across else None
+            masks = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length, owners)
             found = [(r[0], r[1], mask_ranges(m)) for r, m in zip(rows, masks, strict=True) if m.any()]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 3, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes", "first", "last")), strict=True):
                 if size > SORT_BYTES and row[0] != rows[-1][0]:  # anchors are in order: all of an anchor's contexts are held
                     yield flush()
                     rows, size = [], 0
@@ -279,17 +291,18 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, context, n, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes")), strict=True):
+            for anchor, context, n, raw, first, last in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes", "first", "last")), strict=True):
                 prints = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(prints, pa.binary())], ["anchor", "context", "at", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(prints, pa.binary()), pa.array([first] * n, pa.int64()), pa.array([last] * n, pa.int64())], ["anchor", "context", "at", "print", "first", "last"])
 
     held = materialize(held)
     shards = held.where(F.col("kinds") <= hot_contexts).repartition("anchor").sortWithinPartitions("anchor", "context")
     sorted_ = shards.mapInArrow(sort, f"anchor long, context long, ranges {RANGES}")
-    hot = held.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary")
-    again = hot.groupBy("print").agg(F.count("*").alias("times")).where("times > 1").select("print")
-    hot = hot.join(again, "print", "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
-    whole = contexts.where("times > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
+    hot = held.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary, first long, last long")
+    again = hot.groupBy("anchor", "print").agg(F.count("*").alias("times"), F.min("first").alias("first"), F.max("last").alias("last"))
+    again = again.where("first < last" if across else "times > 1").select("anchor", "print")
+    hot = hot.join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
+    whole = contexts.where("copy.id < last" if across else "times > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
     marks = whole.unionByName(sorted_).unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
     spans = runs.join(marks, ["anchor", "context"]).groupBy("id", "key")
     return spans.agg(F.collect_list(F.struct("start", "ranges")).alias("starts"))  # a text's own runs
@@ -311,8 +324,13 @@ def kept(raw: bytes, starts: list[dict] | None, length: int) -> tuple[list[tuple
     return covered, [*parts, raw[at:]]
 
 
-def with_starts(docs: DataFrame, repeats: DataFrame, carry: list[str]) -> DataFrame:
+def scoped_key(docs: DataFrame, scope: str | None) -> tuple[F.Column, F.Column]:
     id_, key_ = text_key(docs)
+    return id_, key_ if scope is None else F.xxhash64(key_, docs[scope])
+
+
+def with_starts(docs: DataFrame, repeats: DataFrame, carry: list[str], scope: str | None = None) -> DataFrame:
+    id_, key_ = scoped_key(docs, scope)
     row = F.struct(*[F.col(f"`{n}`") for n in carry])
     keyed = docs.select(id_.alias("id"), key_.alias("key"), "text", row.alias("row"))
     return keyed.join(repeats, ["id", "key"], "left").select("row", "text", "starts")
