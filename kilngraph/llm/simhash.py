@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import NONSPACE, as_bytes, chunked, join_texts, materialize, words_of
+from kilngraph.llm._util import NONSPACE, as_bytes, chunked, join_texts, materialize, mix, words_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -63,8 +63,8 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) ->
     return out
 
 
-def fingerprint_docs(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
-    """doc_id (long), fingerprint (long) per row; with carry, the columns of that name as a struct row too."""
+def fingerprint_docs(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id (long), fingerprint (long) per row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,3 +183,150 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = rooted.join(ids, "root").select("fingerprint", "component_id")
     return marked.join(groups, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near copies by similarity: wide fingerprints, banded, with an exact check --------------------------------------
+
+#: 64-bit words of a wide fingerprint; each of its bands is 16 bits.
+WORDS = 12
+BANDS = WORDS * 4
+SIMILARITY = 0.8
+
+
+def expected_share(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of that Jaccard similarity differ on average."""
+    cosine = 2 * similarity / (1 + similarity)
+    return float(np.arccos(cosine) / np.pi)
+
+
+def within(bits: int, similarity: float, sigmas: float = 3.0) -> int:
+    """Bits of a fingerprint in which sets of at least that similarity differ at most, but for a few in a thousand."""
+    p = expected_share(similarity)
+    return int(np.ceil(bits * p + sigmas * np.sqrt(bits * p * (1 - p))))
+
+
+def distinct_shingles(texts: list[bytes], width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, and where each text's begin (and the end)."""
+    hashes, at = shingle_hashes(texts, width, seed)
+    text = np.repeat(np.arange(len(texts)), np.diff(at))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), np.bool_)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.searchsorted(text[new], np.arange(len(texts) + 1))
+
+
+def wide_fingerprints(texts: list[bytes], width: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word) fingerprints of the texts' shingle sets, and the sets' sizes."""
+    hashes, at = distinct_shingles(texts, width)
+    out = np.zeros((len(texts), words), np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    for j in range(words if len(full) else 0):
+        bits = np.unpackbits(mix(hashes + np.uint64(j)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, at[full], axis=0, dtype=np.int32)
+        out[full, j] = np.packbits(2 * ones > np.diff(at)[full, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out, np.diff(at)
+
+
+def pairs_within(nodes: np.ndarray, groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(larger, smaller) nodes of different groups whose fingerprints are within radius, tile by tile."""
+    order = np.argsort(np.bitwise_count(prints), kind="stable")
+    nodes, groups, prints = nodes[order], groups[order], prints[order]
+    pop = np.bitwise_count(prints).astype(np.int64)
+    found = []
+    for i in range(0, len(prints), TILE):
+        for j in range(i, len(prints), TILE):
+            if pop[j] - pop[min(i + TILE, len(prints)) - 1] > radius:
+                break
+            near = np.bitwise_count(prints[i : i + TILE, None] ^ prints[None, j : j + TILE]) <= radius
+            near &= groups[i : i + TILE, None] != groups[None, j : j + TILE]
+            x, y = np.nonzero(near)
+            found.append((nodes[i + x], nodes[j + y]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def candidate_pairs(texts: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (u, v) of nodes in different groups that share a band and whose first words are within radius.
+    texts: (node, grp, print array<long>).  A bucket beyond the bound is cut into tiles, and pairs of tiles are compared."""
+    band = lambda i: F.shiftright(F.get("print", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(0xFFFF) + (i << 16)
+    rows = texts.select("node", "grp", F.get("print", F.lit(0)).alias("word"), F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b")  # else no pair
+    rows = rows.join(sizes.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("tiles")), "key")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
+    rows = rows.select("key", "node", "grp", "word", tile.alias("tile"))
+    held = rows.groupBy("key", "tile").agg(F.collect_list(F.struct("node", "grp", "word")).alias("held"))  # two tiles at most
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column(0):
+                if len(v := x.values) > 1:
+                    found.append(pairs_within(*(v.field(k).to_numpy() for k in (0, 1)), v.field(2).to_numpy().view(np.uint64), radius))
+            u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return held.select("held").mapInArrow(compare, "u long, v long").distinct()
+
+
+def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(node, root) for every distinct text: node = xxhash64 of the text, root = the group's smallest node.
+
+    Texts are linked if they are equal, if their 64-bit fingerprints differ in RADIUS bits or fewer, or if a band of
+    their wide fingerprints agrees, the fingerprints' distance allows for the similarity, and the Jaccard similarity of
+    their sets of width-word shingles is at least `similarity` when computed from the whole texts.  Recall at exactly 0.8
+    is about 0.97, at 0.9 above 0.999.  Blank texts are copies of each other.
+    """
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            parts = [wide_fingerprints(texts[a:b], width) for a, b in chunked(texts)]
+            prints = np.concatenate([p for p, _ in parts]) if parts else np.empty((0, WORDS), np.uint64)
+            sizes = np.concatenate([n for _, n in parts]) if parts else np.empty(0, np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.view(np.int64).ravel()), WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), lists], ["node", "n", "print"])
+
+    marked = keyed.mapInArrow(scan, "node long, n long, print array<long>")
+    texts = materialize(marked.groupBy("node").agg(F.max("n").alias("n"), F.max("print").alias("print")))
+    first = texts.select(F.get("print", F.lit(0)).alias("fingerprint")).distinct()
+    sure = components(links(first, RADIUS, bucket))
+    grouped = texts.withColumn("fingerprint", F.get("print", F.lit(0))).join(sure.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
+    grouped = materialize(grouped.select("node", "n", "print", F.coalesce("root", "fingerprint").alias("grp")))
+    pairs = candidate_pairs(grouped.select("node", "grp", "print"), within(64, similarity), bucket)
+    sides = [grouped.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("print").alias(f"p_{k}")) for k in "uv"]
+    apart = F.aggregate(F.zip_with("p_u", "p_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.join(sides[0], "u").join(sides[1], "v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")).where(apart <= within(64 * WORDS, similarity))
+    pairs = materialize(pairs.select("u", "v"))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    whole = materialize(keyed.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (a, b) in enumerate(zip(as_bytes(batch.column("a")), as_bytes(batch.column("b")), strict=True)):
+                x, y = (distinct_shingles([t], width)[0] for t in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= similarity * (len(x) + len(y) - common):
+                    keep.append(k)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    checked = both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    heads = grouped.groupBy("grp").agg(F.min("node").alias("v"))
+    stars = grouped.join(heads, "grp").where("node > v").select(F.col("node").alias("u"), "v")
+    found = components(checked.unionByName(stars))
+    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """docs with one document of each group of near copies: that of the smallest doc_id (a null one only if there is no
+    other, then that of the smallest text hash).  Columns stay; rows that repeat are copies."""
+    node, id_ = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    groups = materialize(near_copy_groups(docs, width, similarity, bucket))
+    ids = docs.select(node.alias("_node"), id_.alias("_id")).groupBy("_node").agg(F.min("_id").alias("_id"))
+    best = ids.join(groups, ids["_node"] == groups["node"]).groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("best")).select("best.*")
+    rows = docs.withColumns({"_node": node, "_id": id_}).join(best, ["_id", "_node"])
+    return rows.dropDuplicates(["_id", "_node"]).select(*docs.columns)
