@@ -328,5 +328,5 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, bu
     groups = materialize(near_copy_groups(docs, width, similarity, bucket))
     ids = docs.select(node.alias("_node"), id_.alias("_id")).groupBy("_node").agg(F.min("_id").alias("_id"))
     best = ids.join(groups, ids["_node"] == groups["node"]).groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("best")).select("best.*")
-    rows = docs.withColumns({"_node": node, "_id": id_}).join(best, ["_id", "_node"])
-    return rows.dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    rows = docs.select(node.alias("_node"), id_.alias("_id"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")).join(best, ["_id", "_node"])
+    return rows.dropDuplicates(["_id", "_node"]).select(*[F.col(f"row.`{n}`").alias(n) for n in docs.columns])
