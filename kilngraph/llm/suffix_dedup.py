@@ -245,13 +245,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
                 text, anchor, context, start, n = runs_of(raw, group, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n)], schema=RUNS)
 
-    runs = texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    runs = materialize(texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int"))
+    # tables of their own on both sides of the join, so that Spark can split the partition of an anchor that is everywhere
+    twice = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     runs = materialize(runs.join(twice, "anchor", "left_semi"))
 
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start")).alias("copy"), F.max("n").alias("n"), F.max("id").alias("last"))
     contexts = materialize(contexts)
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     asked = contexts.join(several, "anchor").groupBy("copy.id", "copy.key")
     asked = asked.agg(F.collect_list(F.struct("anchor", "context", "n", "kinds", F.col("copy.id").alias("first"), "last", "copy.start")).alias("asked"))  # a text's own runs
 
