@@ -96,25 +96,26 @@ class Model:
         return np.clip(self.bias + np.bincount(rows[hit], self.weight[at[hit]], n), -CLIP, CLIP)
 
 
-def fit(rows: np.ndarray, feature: np.ndarray, label: np.ndarray, keep: int = FEATURES, steps: int = 120) -> Model:
-    """Logistic regression on the features whose smoothed log-odds are LEAST_Z standard errors from 0, at most keep of
-    them, by gradient steps.  One class only: no feature, and the bias says which."""
+def strongest(counts: DataFrame, total: int, positive: int, which: str, keep: int) -> np.ndarray:
+    """Sorted hashes of the features whose smoothed log-odds are LEAST_Z standard errors from 0, the keep strongest.
+
+    counts: (feature, n, and how many of the n are positive in the column that which names)."""
+    a, b = F.col(which) + 0.5, F.col("n") - F.col(which) + 0.5
+    no_a, no_b = F.lit(positive) - F.col(which) + 0.5, F.lit(total - positive) - (F.col("n") - F.col(which)) + 0.5
+    z = F.abs(F.log(a / no_a) - F.log(b / no_b)) / F.sqrt(1 / a + 1 / no_a + 1 / b + 1 / no_b)
+    found = counts.where("n >= 5").select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(keep)
+    return np.unique(np.array([r["feature"] for r in found.collect()], np.int64).view(np.uint64))  # keep rows at most
+
+
+def fit(rows: np.ndarray, feature: np.ndarray, label: np.ndarray, chosen: np.ndarray, steps: int = 120) -> Model:
+    """Logistic regression on the chosen features, by gradient steps.  One class only: no feature, and the bias says which."""
     n, positive = len(label), int(label.sum())
     base = float(np.log((positive + 0.5) / (n - positive + 0.5)))
-    if not positive or positive == n:
+    if not positive or positive == n or not len(chosen):
         return Model(np.empty(0, np.uint64), np.empty(0), base)
-    names, column = np.unique(feature, return_inverse=True)
-    a = np.bincount(column, label[rows], len(names))
-    b = np.bincount(column, 1.0 - label[rows], len(names))
-    odds = np.log((a + 0.5) / (positive - a + 0.5)) - np.log((b + 0.5) / (n - positive - b + 0.5))
-    error = np.sqrt(1 / (a + 0.5) + 1 / (positive - a + 0.5) + 1 / (b + 0.5) + 1 / (n - positive - b + 0.5))
-    z = np.abs(odds / error)
-    z[a + b < 5] = 0
-    chosen = np.argsort(-z, kind="stable")[:keep]
-    chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    rows, column = rows[place[column] >= 0], place[column][place[column] >= 0]
+    column = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
+    hit = chosen[column] == feature
+    rows, column = rows[hit], column[hit]
     # full gradients with Adam's step sizes, which suit rare and frequent features alike
     weight, mean, square = (np.zeros(len(chosen) + 1) for _ in range(3))
     weight[-1] = base
@@ -125,35 +126,50 @@ def fit(rows: np.ndarray, feature: np.ndarray, label: np.ndarray, keep: int = FE
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
         weight -= RATE * (1 - k / (steps + 1)) * mean / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.99**k)) + 1e-9)
-    return Model(names[chosen], weight[:-1], float(weight[-1]))
+    return Model(chosen, weight[:-1], float(weight[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 42) -> tuple[Model, Model]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = FEATURES, seed: int = 42) -> tuple[Model, Model]:
     """(low quality, toxic) models from the sample labelled documents of least hash.  Labels with a null are left out;
-    a document that is labelled twice counts twice."""
+    a document that is labelled twice counts twice.
+
+    Features are counted in an aggregation; the driver gets the keep strongest of either model, and which of them each
+    sampled document has."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int"), F.col("toxic").cast("int")).na.drop()
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality", "toxic").limit(sample)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # sample rows at most
+    held = held.select("doc_id", (F.col("quality") <= 0).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            found: list[bytes] = []
+            texts, at = as_bytes(batch.column("text")), 0
             for a, b in chunked(texts):
                 rows, feature = features_of(texts[a:b])
-                found += [x.tobytes() for x in np.split(feature, np.searchsorted(rows, np.arange(1, b - a)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "quality", "toxic", "features"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(b - a + 1)), pa.int32()), pa.array(feature.view(np.int64)))
+                part = batch.slice(at, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("low"), part.column("toxic"), lists], ["doc_id", "low", "toxic", "features"])
+                at += b - a
+
+    seen = materialize(held.mapInArrow(scan, "doc_id long, low int, toxic int, features array<long>"))
+    total = seen.agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
+    counts = seen.select("low", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic"))
+    counts = materialize(counts)
+    picked = [strongest(counts, total["n"], total[which] or 0, which, keep) for which in ("low", "toxic")]
+    wanted = np.union1d(*picked)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [x.values.to_numpy().view(np.uint64) for x in batch.column("features")]
+            raw = [np.intersect1d(x, wanted, assume_unique=True).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array(raw, pa.binary())], ["doc_id", "low", "toxic", "features"])
 
-    got = held.mapInArrow(scan, "doc_id long, quality int, toxic int, features binary").toArrow()
-    if not got.num_rows:
-        return fit(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0)), fit(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0))
+    got = seen.mapInArrow(pick, "doc_id long, low int, toxic int, features binary").toArrow()  # sample rows at most
     parts = [np.frombuffer(x, np.uint64) for x in got.column("features").to_pylist()]
     order = np.lexsort(([len(p) for p in parts], got.column("doc_id").to_numpy()))  # the same whatever order rows come in
     parts = [parts[i] for i in order]
-    rows, feature = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
-    low = (got.column("quality").to_numpy()[order] <= 0).astype(np.float64)
-    toxic = (got.column("toxic").to_numpy()[order] > 0).astype(np.float64)
-    return fit(rows, feature, low), fit(rows, feature, toxic)
+    rows, feature = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate([np.empty(0, np.uint64), *parts])
+    low, toxic = (got.column(c).to_numpy()[order].astype(np.float64) for c in ("low", "toxic"))
+    return fit(rows, feature, low, picked[0]), fit(rows, feature, toxic, picked[1])
 
 
 def with_evidence(docs: DataFrame, models: tuple[Model, Model], carry: list[str]) -> DataFrame:
