@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import CHUNK_BYTES, as_bytes, materialize, prefix_hash, span_hash, text_key
+from kilngraph.llm._util import CHUNK_BYTES, as_bytes, materialize, mix, prefix_hash, span_hash, text_key
 
 LENGTH = 200
 GRAM = 48
@@ -34,8 +34,10 @@ HOT_CONTEXTS = 50_000
 #: Bytes of contexts that are sorted at once.
 SORT_BYTES = 2 << 20
 POSITION_BITS = np.uint64(24)
+#: Runs of a block of runs, on average.
+BLOCK = 16
 
-RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("offset", pa.int32())])
 RANGES = "array<struct<start:int,end:int>>"
 RANGES_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -72,7 +74,10 @@ def pieces(texts: list[bytes], length: int, limit: int = CHUNK_BYTES) -> Iterato
 
 
 def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, context, start, n) of every run in a group of pieces."""
+    """(text, anchor, context, start, n, block, offset) of every run in a group of pieces.
+
+    Consecutive runs of a piece are cut into blocks where a context's hash says so; block is the hash of the contexts in
+    it and offset the run's start within it, so equal passages have equal blocks."""
     joined = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in group), np.uint8)
     sizes = np.array([b - a for _, a, b in group])
     ends = np.cumsum(sizes)
@@ -94,7 +99,13 @@ def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int,
     context = span_hash(prefix, begin, begin + n + length - 1)
     text = np.array([i for i, _, _ in group])[of]
     offset = np.array([a for _, a, _ in group])[of] - (ends - sizes)[of]
-    return text, grams[anchor[first]].view(np.int64), context.view(np.int64), begin + offset, n.astype(np.int32)
+    cut = np.ones(len(first), np.bool_)
+    cut[1:] = (of[1:] != of[:-1]) | (context[:-1] % np.uint64(BLOCK) == 0)
+    heads = np.flatnonzero(cut)
+    block = np.cumsum(cut) - 1
+    place = np.arange(len(first)) - heads[block]
+    total = np.add.reduceat(mix(context + place.astype(np.uint64)), heads) if len(heads) else context
+    return text, grams[anchor[first]].view(np.int64), context.view(np.int64), begin + offset, n.astype(np.int32), mix(total)[block].view(np.int64), (begin - begin[heads][block]).astype(np.int32)
 
 
 def suffix_array(symbols: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -242,10 +253,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
             raw = as_bytes(batch.column("text"))
             ids, keys, within = (batch.column(c).to_numpy() for c in ("id", "key", "within"))
             for group in pieces(raw, length):
-                text, anchor, context, start, n = runs_of(raw, group, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n)], schema=RUNS)
+                text, anchor, context, start, n, block, offset = runs_of(raw, group, length, gram)
+                # blocks of different scopes are told apart, as their marks may differ
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n, block ^ within[text], offset)], schema=RUNS)
 
-    runs = materialize(texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int"))
+    runs = materialize(texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int, block long, offset int"))
     # tables of their own on both sides of the join, so that Spark can split the partition of an anchor that is everywhere
     twice = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     runs = materialize(runs.join(twice, "anchor", "left_semi"))
@@ -305,8 +317,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
     hot = hot.join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
     whole = contexts.where("copy.id < last" if across else "times > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
     marks = whole.unionByName(sorted_).unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
-    spans = runs.join(marks, ["anchor", "context"]).groupBy("id", "key")
-    return spans.agg(F.collect_list(F.struct("start", "ranges")).alias("starts"))  # a text's own runs
+    # marks go to the different blocks first and from there to the texts: a passage that is everywhere is joined once
+    members = runs.select("block", "offset", "anchor", "context").distinct().join(marks, ["anchor", "context"])
+    moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("offset")).alias("start"), (r["end"] + F.col("offset")).alias("end")))
+    marked = materialize(members.groupBy("block").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a block's own runs
+    places = runs.select("id", "key", "block", (F.col("start") - F.col("offset")).alias("start")).distinct()
+    spans = places.join(marked, "block").groupBy("id", "key")
+    return spans.agg(F.collect_list(F.struct("start", "ranges")).alias("starts"))  # a text's own blocks
 
 
 def kept(raw: bytes, starts: list[dict] | None, length: int) -> tuple[list[tuple[int, int]], list[bytes]]:
