@@ -190,6 +190,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 #: 64-bit words of a wide fingerprint; each of its bands is 16 bits.
 WORDS = 12
 BANDS = WORDS * 4
+#: Words of a fingerprint by which a bucket's closest links are chosen.
+FOREST_WORDS = 2
+#: Buckets of so many texts at most are compared together.
+SMALL = 16
 SIMILARITY = 0.8
 
 
@@ -228,46 +232,157 @@ def wide_fingerprints(texts: list[bytes], width: int, words: int = WORDS) -> tup
     return out, np.diff(at)
 
 
-def pairs_within(nodes: np.ndarray, groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(larger, smaller) nodes of different groups whose fingerprints are within radius, tile by tile."""
-    order = np.argsort(np.bitwise_count(prints), kind="stable")
-    nodes, groups, prints = nodes[order], groups[order], prints[order]
-    pop = np.bitwise_count(prints).astype(np.int64)
-    found = []
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each fingerprint of a (row, word) and each of b."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
+
+
+def tiles_within(prints: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, j, distances of the tile at i and the tile at j), radius + 1 within a group.  prints: in order of their population
+    counts; pairs of tiles whose counts differ beyond the radius are skipped."""
+    pop = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
     for i in range(0, len(prints), TILE):
         for j in range(i, len(prints), TILE):
             if pop[j] - pop[min(i + TILE, len(prints)) - 1] > radius:
                 break
-            near = np.bitwise_count(prints[i : i + TILE, None] ^ prints[None, j : j + TILE]) <= radius
-            near &= groups[i : i + TILE, None] != groups[None, j : j + TILE]
-            x, y = np.nonzero(near)
-            found.append((nodes[i + x], nodes[j + y]))
+            apart = distances(prints[i : i + TILE], prints[j : j + TILE])
+            apart[groups[i : i + TILE, None] == groups[None, j : j + TILE]] = radius + 1
+            yield i, j, apart
+
+
+def by_count(prints: np.ndarray) -> np.ndarray:
+    return np.argsort(np.bitwise_count(prints).sum(axis=1, dtype=np.int64), kind="stable")
+
+
+def forest_within(nodes: np.ndarray, groups: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """(tree, u, v), u > v: the closest links that join all groups that are within radius of each other, never more links than
+    groups.  Every group takes its closest link to another one, again and again until none is left."""
+    order = by_count(prints)
+    nodes, prints, group = nodes[order], prints[order], np.unique(groups[order], return_inverse=True)[1]
+    found: list[tuple[int, int]] = []
+    while True:
+        best, at = np.full(len(nodes), radius + 1, np.int16), np.zeros(len(nodes), np.int64)
+        for i, j, apart in tiles_within(prints, group, radius):
+            for own, other, d in ((i, j, apart), (j, i, apart.T)):
+                k = d.argmin(axis=1)
+                least = d[np.arange(len(k)), k]
+                closer = np.flatnonzero(least < best[own : own + TILE])
+                best[own + closer], at[own + closer] = least[closer], other + k[closer]
+        near = np.flatnonzero(best <= radius)
+        if not len(near):
+            break
+        near = near[np.lexsort((best[near], group[near]))]
+        root = list(range(int(group.max()) + 1))
+
+        def find(x: int, root: list[int] = root) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x in near[np.flatnonzero(np.diff(group[near], prepend=-1))].tolist():
+            p, q = find(int(group[x])), find(int(group[at[x]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((x, int(at[x])))
+        group = np.array([find(x) for x in range(len(root))])[group]
+    least = {g: int(nodes[group == g].min()) for g in {int(group[x]) for x, _ in found}}
+    return [(least[int(group[x])], *sorted((int(nodes[x]), int(nodes[y])), reverse=True)) for x, y in found]
+
+
+def pairs_within(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(larger, smaller) nodes of different groups whose fingerprints are within radius and whose sets' sizes allow for the similarity."""
+    order = by_count(prints)
+    nodes, groups, sizes, prints = nodes[order], groups[order], sizes[order], prints[order]
+    found = []
+    for i, j, apart in tiles_within(prints, groups, radius):
+        a, b = sizes[i : i + TILE, None], sizes[None, j : j + TILE]
+        x, y = np.nonzero((apart <= radius) & (np.minimum(a, b) >= similarity * np.maximum(a, b)))
+        found.append((nodes[i + x], nodes[j + y]))
     a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
     return np.maximum(a, b), np.minimum(a, b)
 
 
-def candidate_pairs(texts: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """Distinct pairs (u, v) of nodes in different groups that share a band and whose first words are within radius.
-    texts: (node, grp, print array<long>).  A bucket beyond the bound is cut into tiles, and pairs of tiles are compared."""
+def band_buckets(texts: DataFrame, words: int, bucket: int) -> DataFrame:
+    """(key, held): the texts that share a band, with the first `words` words of their fingerprints, where they are of different
+    groups.  texts: (node, grp, n, print array<long>).  A bucket beyond the bound is cut into tiles, and each pair of tiles is a row."""
     band = lambda i: F.shiftright(F.get("print", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(0xFFFF) + (i << 16)
-    rows = texts.select("node", "grp", F.get("print", F.lit(0)).alias("word"), F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b")  # else no pair
+    item = F.struct("node", "grp", "n", *[F.get("print", F.lit(w)).alias(f"w{w}") for w in range(words)])
+    rows = texts.select(item.alias("item"), F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("item.grp").alias("a"), F.max("item.grp").alias("b")).where("a <> b")  # else no pair
     rows = rows.join(sizes.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("tiles")), "key")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("item.node"), F.col("tiles")).cast("int")
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
-    rows = rows.select("key", "node", "grp", "word", tile.alias("tile"))
-    held = rows.groupBy("key", "tile").agg(F.collect_list(F.struct("node", "grp", "word")).alias("held"))  # two tiles at most
+    held = rows.select("key", "item", tile.alias("tile")).groupBy("key", "tile").agg(F.collect_list("item").alias("held"))  # two tiles at most
+    return held.select(F.xxhash64("key", "tile").alias("key"), "held")
+
+
+def fields_of(held: pa.ListArray, words: int) -> tuple[np.ndarray, ...]:
+    """(bounds, node, grp, n, print) of a batch's buckets."""
+    flat = held.flatten()
+    bounds = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+    prints = np.stack([flat.field(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1) if len(flat) else np.empty((0, words), np.uint64)
+    return bounds, *(flat.field(k).to_numpy() for k in range(3)), prints
+
+
+def closest_links(texts: DataFrame, words: int, radius: int, bucket: int) -> DataFrame:
+    """(tree, u, v): per bucket the closest links that join what is within radius; a tree is a joined part of a bucket."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x in batch.column(0):
-                if len(v := x.values) > 1:
-                    found.append(pairs_within(*(v.field(k).to_numpy() for k in (0, 1)), v.field(2).to_numpy().view(np.uint64), radius))
+            bounds, node, grp, _, prints = fields_of(batch.column("held"), words)
+            length = np.diff(bounds)
+            own = np.repeat(np.arange(len(length)), length)
+            alive = length > SMALL  # small buckets are looked at together first: most have no link
+            for shift in range(1, min(SMALL, len(own))):
+                near = np.flatnonzero((own[shift:] == own[:-shift]) & (grp[shift:] != grp[:-shift]))
+                near = near[np.bitwise_count(prints[near] ^ prints[near + shift]).sum(axis=1, dtype=np.int64) <= radius]
+                alive[own[near]] = True
+            found: list[tuple[int, int, int]] = []
+            keys = batch.column("key").to_numpy()
+            for k in np.flatnonzero(alive).tolist():
+                a, b = bounds[k], bounds[k + 1]
+                links_ = forest_within(node[a:b], grp[a:b], prints[a:b], radius)
+                if links_:
+                    trees = mix(np.array([t for t, _, _ in links_], np.int64).view(np.uint64) ^ mix(keys[k : k + 1].view(np.uint64))).view(np.int64).tolist()
+                    found += [(t, u, v) for t, (_, u, v) in zip(trees, links_, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["tree", "u", "v"])
+
+    return band_buckets(texts, words, bucket).mapInArrow(compare, "tree long, u long, v long")
+
+
+def candidate_pairs(texts: DataFrame, radius: int, similarity: float, bucket: int) -> DataFrame:
+    """Distinct pairs (u, v) of texts in different groups that share a band and whose whole fingerprints and sizes allow for the similarity."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, node, grp, n, prints = fields_of(batch.column("held"), WORDS)
+            found = [pairs_within(node[a:b], grp[a:b], n[a:b], prints[a:b], radius, similarity) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
             u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return held.select("held").mapInArrow(compare, "u long, v long").distinct()
+    return band_buckets(texts, WORDS, bucket).select("held").mapInArrow(compare, "u long, v long").distinct()
+
+
+def verified(keyed: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose whole texts' shingle sets have that Jaccard similarity.  keyed: (node, text)."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    whole = materialize(keyed.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (a, b) in enumerate(zip(as_bytes(batch.column("a")), as_bytes(batch.column("b")), strict=True)):
+                x, y = (distinct_shingles([t], width)[0] for t in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= similarity * (len(x) + len(y) - common):
+                    keep.append(k)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
 
 
 def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
@@ -277,6 +392,9 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILA
     their wide fingerprints agrees, the fingerprints' distance allows for the similarity, and the Jaccard similarity of
     their sets of width-word shingles is at least `similarity` when computed from the whole texts.  Recall at exactly 0.8
     is about 0.97, at 0.9 above 0.999.  Blank texts are copies of each other.
+
+    A large group's links are not listed as pairs: each bucket first gives the closest links that join its texts.  Only where
+    one of a tree's links fails are the tree's texts compared again, those of different groups with each other.
     """
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -295,29 +413,24 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILA
     sure = components(links(first, RADIUS, bucket))
     grouped = texts.withColumn("fingerprint", F.get("print", F.lit(0))).join(sure.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
     grouped = materialize(grouped.select("node", "n", "print", F.coalesce("root", "fingerprint").alias("grp")))
-    pairs = candidate_pairs(grouped.select("node", "grp", "print"), within(64, similarity), bucket)
+
+    closest = materialize(closest_links(grouped, FOREST_WORDS, within(64 * FOREST_WORDS, similarity), bucket))
+    pairs = closest.select("u", "v").distinct()
     sides = [grouped.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("print").alias(f"p_{k}")) for k in "uv"]
     apart = F.aggregate(F.zip_with("p_u", "p_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(sides[0], "u").join(sides[1], "v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")).where(apart <= within(64 * WORDS, similarity))
-    pairs = materialize(pairs.select("u", "v"))
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    whole = materialize(keyed.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (a, b) in enumerate(zip(as_bytes(batch.column("a")), as_bytes(batch.column("b")), strict=True)):
-                x, y = (distinct_shingles([t], width)[0] for t in (a, b))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= similarity * (len(x) + len(y) - common):
-                    keep.append(k)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-
-    checked = both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    radius = within(64 * WORDS, similarity)
+    pairs = pairs.join(sides[0], "u").join(sides[1], "v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")).where(apart <= radius)
+    good = verified(keyed, materialize(pairs.select("u", "v")), width, similarity)
     heads = grouped.groupBy("grp").agg(F.min("node").alias("v"))
     stars = grouped.join(heads, "grp").where("node > v").select(F.col("node").alias("u"), "v")
-    found = components(checked.unionByName(stars))
+    found = materialize(components(good.unionByName(stars)))
+
+    broken = closest.join(good, ["u", "v"], "left_anti").select("tree").distinct()
+    again = closest.join(broken, "tree", "left_semi").select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    again = texts.join(again, "node", "left_semi").join(found, "node", "left").select("node", "n", "print", F.coalesce("root", "node").alias("grp"))
+    pairs = candidate_pairs(materialize(again), radius, similarity, bucket).join(closest.select("u", "v"), ["u", "v"], "left_anti")
+    more = verified(keyed, materialize(pairs), width, similarity)
+    found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     return texts.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
