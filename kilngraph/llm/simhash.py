@@ -292,21 +292,23 @@ def forest_within(nodes: np.ndarray, groups: np.ndarray, prints: np.ndarray, rad
     return [(least[int(group[x])], *sorted((int(nodes[x]), int(nodes[y])), reverse=True)) for x, y in found]
 
 
-def pairs_within(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(larger, smaller) nodes of different groups whose fingerprints are within radius and whose sets' sizes allow for the similarity."""
+def pairs_within(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, radius: int, similarity: float, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(larger, smaller) nodes of different groups whose fingerprints are within radius, whose sets' sizes allow for the similarity
+    and whose first common band is this one, tile by tile."""
     order = by_count(prints)
     nodes, groups, sizes, prints = nodes[order], groups[order], sizes[order], prints[order]
-    found = []
+    bands = np.ascontiguousarray(prints).astype("<u8").view("<u2")
     for i, j, apart in tiles_within(prints, groups, radius):
         a, b = sizes[i : i + TILE, None], sizes[None, j : j + TILE]
         x, y = np.nonzero((apart <= radius) & (np.minimum(a, b) >= similarity * np.maximum(a, b)))
-        found.append((nodes[i + x], nodes[j + y]))
-    a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-    return np.maximum(a, b), np.minimum(a, b)
+        first = ~(bands[i + x, :band] == bands[j + y, :band]).any(axis=1)
+        u, v = nodes[i + x[first]], nodes[j + y[first]]
+        if len(u):
+            yield np.maximum(u, v), np.minimum(u, v)
 
 
 def band_buckets(texts: DataFrame, words: int, bucket: int) -> DataFrame:
-    """(key, held): the texts that share a band, with the first `words` words of their fingerprints, where they are of different
+    """(key, band, held): the texts that share a band, with the first `words` words of their fingerprints, where they are of different
     groups.  texts: (node, grp, n, print array<long>).  A bucket beyond the bound is cut into tiles, and each pair of tiles is a row."""
     band = lambda i: F.shiftright(F.get("print", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(0xFFFF) + (i << 16)
     item = F.struct("node", "grp", "n", *[F.get("print", F.lit(w)).alias(f"w{w}") for w in range(words)])
@@ -316,7 +318,7 @@ def band_buckets(texts: DataFrame, words: int, bucket: int) -> DataFrame:
     own = F.pmod(F.xxhash64("item.node"), F.col("tiles")).cast("int")
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
     held = rows.select("key", "item", tile.alias("tile")).groupBy("key", "tile").agg(F.collect_list("item").alias("held"))  # two tiles at most
-    return held.select(F.xxhash64("key", "tile").alias("key"), "held")
+    return held.select(F.xxhash64("key", "tile").alias("key"), F.shiftright("key", 16).cast("int").alias("band"), "held")
 
 
 def fields_of(held: pa.ListArray, words: int) -> tuple[np.ndarray, ...]:
@@ -350,7 +352,7 @@ def closest_links(texts: DataFrame, words: int, radius: int, bucket: int) -> Dat
                     found += [(t, u, v) for t, (_, u, v) in zip(trees, links_, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["tree", "u", "v"])
 
-    return band_buckets(texts, words, bucket).mapInArrow(compare, "tree long, u long, v long")
+    return band_buckets(texts, words, bucket).select("key", "held").mapInArrow(compare, "tree long, u long, v long")
 
 
 def candidate_pairs(texts: DataFrame, radius: int, similarity: float, bucket: int) -> DataFrame:
@@ -359,11 +361,11 @@ def candidate_pairs(texts: DataFrame, radius: int, similarity: float, bucket: in
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bounds, node, grp, n, prints = fields_of(batch.column("held"), WORDS)
-            found = [pairs_within(node[a:b], grp[a:b], n[a:b], prints[a:b], radius, similarity) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
-            u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            for band, a, b in zip(batch.column("band").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                for u, v in pairs_within(node[a:b], grp[a:b], n[a:b], prints[a:b], radius, similarity, band) if b - a > 1 else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return band_buckets(texts, WORDS, bucket).select("held").mapInArrow(compare, "u long, v long").distinct()
+    return band_buckets(texts, WORDS, bucket).select("band", "held").mapInArrow(compare, "u long, v long").distinct()
 
 
 def verified(keyed: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -394,7 +396,8 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILA
     is about 0.97, at 0.9 above 0.999.  Blank texts are copies of each other.
 
     A large group's links are not listed as pairs: each bucket first gives the closest links that join its texts.  Only where
-    one of a tree's links fails are the tree's texts compared again, those of different groups with each other.
+    a tree is not joined by the links that hold are all texts of the tree's groups compared again, those of different groups
+    with each other.
     """
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -425,9 +428,11 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILA
     stars = grouped.join(heads, "grp").where("node > v").select(F.col("node").alias("u"), "v")
     found = materialize(components(good.unionByName(stars)))
 
-    broken = closest.join(good, ["u", "v"], "left_anti").select("tree").distinct()
-    again = closest.join(broken, "tree", "left_semi").select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    again = texts.join(again, "node", "left_semi").join(found, "node", "left").select("node", "n", "print", F.coalesce("root", "node").alias("grp"))
+    # Each group of a tree has an end of one of its links: the ends' groups are all of the tree's groups.
+    rooted = materialize(grouped.join(found, "node", "left").select("node", "n", "print", F.col("grp").alias("sure"), F.coalesce("root", "node").alias("grp")))
+    ends = closest.select("tree", F.explode(F.array("u", "v")).alias("node")).distinct().join(rooted.select("node", "sure", "grp"), "node")
+    broken = ends.groupBy("tree").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("tree")
+    again = rooted.join(ends.join(broken, "tree", "left_semi").select("sure").distinct(), "sure", "left_semi").select("node", "n", "print", "grp")
     pairs = candidate_pairs(materialize(again), radius, similarity, bucket).join(closest.select("u", "v"), ["u", "v"], "left_anti")
     more = verified(keyed, materialize(pairs), width, similarity)
     found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))

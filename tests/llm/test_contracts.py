@@ -162,6 +162,38 @@ def test_near_copies_by_similarity(spark):
     assert kept == sorted(min(k for k, r in enumerate(roots) if r == g) for g in set(roots))
 
 
+def test_near_copies_between_large_groups(spark):
+    """Groups of a hundred and twenty variants each, in pairs of groups that only one pair of texts links."""
+    import random
+
+    random.seed(11)
+    texts = []
+    for _ in range(6):
+        first = [f"w{random.randrange(50000)}" for _ in range(900)]
+        second, places = list(first), [20 + 40 * k for k in range(21)]
+        for k in places:
+            second[k] = f"o{random.randrange(10**6)}"
+        for base, other in ((first, second), (second, first)):
+            for v in range(120):
+                c = list(base)
+                k = places[v % 20 + (base is second)]
+                c[k] = other[k] if v == 60 else f"v{random.randrange(10**6)}"
+                texts.append(" ".join(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["node"]: r["root"] for r in simhash.near_copy_groups(df).collect()}
+    nodes = [r["node"] for r in df.selectExpr("xxhash64(text) node").collect()]
+    sets = [set(zip(*[w[k:] for k in range(5)])) for w in (t.split() for t in texts)]
+    prints = [int(x) for x in simhash.wide_fingerprints([t.encode() for t in texts], 5)[0][:, 0]]
+    links = []
+    for i in range(len(texts)):
+        for j in range(i // 240 * 240, i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (c := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - c):
+                links.append((i, j))
+    roots = brute.components(len(texts), links)
+    parts = lambda labels: {tuple(i for i, x in enumerate(labels) if x == g) for g in set(labels)}
+    assert parts([got[n] for n in nodes]) == parts(roots)
+
+
 OPERATORS = {
     "op1": lambda d, s: suffix_dedup.dedup_report(d), "op1 texts": lambda d, s: suffix_dedup.remove_repeats(d), "op2": lambda d, s: license_scan.license_scan(d),
     "op3": lambda d, s: simhash.near_duplicates(d), "near copies": lambda d, s: simhash.keep_one(d),
