@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilngraph.functions import expressions as X
 
-#: Queries that are sent to every task together, at most.
+#: Queries that are sent to every task together, about.
 QUERIES = 4096
 
 
@@ -23,15 +23,19 @@ def ranked(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFram
 def top_links(queries: DataFrame, items: DataFrame, matrix: Sequence[Sequence[float]] | None = None, known: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(query, item, score, probability, rank): the k items of highest bilinear score for each query.
 
-    queries (query, z): a stated set of at most QUERIES rows, compared with all items (item, z); more raise ValueError,
-    to be given in blocks.  known (query, item): pairs to leave out.  Each task keeps its k best before the shuffle."""
+    queries (query, z) are compared with all items (item, z), in blocks of about QUERIES rows by the hash of the query.
+    known (query, item): pairs to leave out."""
     asked = queries.select("query", (F.col("z") if matrix is None else X.times_matrix(F.col("z"), matrix)).alias("q"))
-    if len(asked.limit(QUERIES + 1).collect()) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries at once")
-    scored = items.crossJoin(F.broadcast(asked)).select("query", "item", F.round(X.dot(F.col("q"), F.col("z")), 6).alias("score"))
-    if known is not None:
-        scored = scored.join(known.select("query", "item"), ["query", "item"], "left_anti")
-    return ranked(scored, "query", "score", "item", k).select("query", "item", "score", F.round(X.sigmoid(F.col("score")), 6).alias("probability"), "rank")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    best = None
+    for b in range(blocks):
+        mine = F.pmod(F.xxhash64("query"), F.lit(blocks)) == b
+        scored = items.crossJoin(F.broadcast(asked.where(mine))).select("query", "item", F.round(X.dot(F.col("q"), F.col("z")), 6).alias("score"))
+        if known is not None:
+            scored = scored.join(known.select("query", "item").where(mine), ["query", "item"], "left_anti")
+        block = ranked(scored, "query", "score", "item", k)
+        best = block if best is None else best.unionByName(block)
+    return best.select("query", "item", "score", F.round(X.sigmoid(F.col("score")), 6).alias("probability"), "rank")
 
 
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, known: DataFrame, matrix: Sequence[Sequence[float]] | None = None, threshold: float = 0.5) -> DataFrame:

@@ -114,6 +114,19 @@ def test_ranking_excludes_known_and_reports_errors(spark):
     assert out[0, 0]["known"] and out[0, 0]["probability"] > 0.7 and out[9, 0]["score"] is None and out[9, 0]["error"] == "unknown a"
 
 
+def test_top_links_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "QUERIES", 7)
+    v = [(i, [math.sin(i), math.cos(3 * i), math.sin(i * i)]) for i in range(50)]
+    z = spark.createDataFrame(v, "id long, z array<double>")
+    known = [(q, q) for q in range(50)]
+    out = ranking.top_links(z.withColumnRenamed("id", "query"), z.withColumnRenamed("id", "item"), None, spark.createDataFrame(known, "query long, item long"), 4).collect()
+    wanted = set()
+    for q, x in v:
+        scores = sorted((-round(sum(a * b for a, b in zip(x, y)), 6), i) for i, y in v if i != q)
+        wanted |= {(q, i, r + 1) for r, (_, i) in enumerate(scores[:4])}
+    assert {(r["query"], r["item"], r["rank"]) for r in out} == wanted and len(out) == 200
+
+
 def test_metrics_on_ties_and_one_class(spark):
     df = lambda rows: spark.createDataFrame(rows, "y int, score double")
     assert metrics.auroc(df([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)])).first()[0] == 0.875
