@@ -203,9 +203,11 @@ class Presence(Encoder):
 
 @dataclass
 class UrlStats(Encoder):
-    """present, https, has query, has fragment, slashes of the path, different query keys with a value, length of 512."""
+    """present, https, has query, has fragment, slashes of the path, different query keys with a value, length of 512, and the
+    domain's hash one-hot in `buckets` places (no domain: all zero)."""
 
     column: str
+    buckets: int = 16
 
     def vector(self) -> Column:
         url = F.trim(F.coalesce(F.col(self.column).cast("string"), F.lit("")))
@@ -213,13 +215,17 @@ class UrlStats(Encoder):
         query, fragment = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.regexp_extract(url, "#(.*)$", 1)
         keys = F.array_distinct(F.transform(F.filter(F.split(query, "&"), lambda p: F.regexp_like(p, F.lit("^[^=]+=.+"))), lambda p: F.substring_index(p, "=", 1)))
         flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-        return F.array(
+        stats = F.array(
             flag(url != ""), flag(F.lower(url).startswith("https://")), flag(query != ""), flag(fragment != ""), F.regexp_count(rest, F.lit("/")).cast("double"), F.size(keys).cast("double"),
             F.least(F.char_length(url) / 512.0, F.lit(1.0)),
         )
+        if not self.buckets:
+            return stats
+        domain = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+        return F.concat(stats, hashed_counts(F.filter(F.array(domain), lambda x: x != ""), self.buckets, True, False))
 
     def names(self) -> list[str]:
-        return [f"{self.column}.{n}" for n in ("present", "https", "query", "fragment", "slashes", "keys", "length")]
+        return [f"{self.column}.{n}" for n in ("present", "https", "query", "fragment", "slashes", "keys", "length", *(f"domain#{i}" for i in range(self.buckets)))]
 
 
 @dataclass

@@ -448,7 +448,7 @@ def encode_multi_hot(spark, d):
 CAST(length(p) - length(replace(p, '/', '')) AS DOUBLE) AS v4, CAST(len(list_distinct(list_transform(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.+')), lambda x: string_split(x, '=')[1]))) AS DOUBLE) AS v5, round(least(length(url) / 512.0, 1), 6) AS v6
 FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages)""")
 def encode_url(spark, d):
-    return places(A.load(spark, d, "pages"), "page_id", E.UrlStats("url"))
+    return places(A.load(spark, d, "pages"), "page_id", E.UrlStats("url", buckets=0))  # the hashed domain is beyond SQL
 
 
 @query()

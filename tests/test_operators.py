@@ -1,5 +1,6 @@
 """Behaviours on small literal tables: nulls, ties, missing ends, errors."""
 
+import hashlib
 import math
 
 import pytest
@@ -149,6 +150,11 @@ def test_encoders(spark):
     assert [round(sum(x * x for x in v), 9) for v in text] == [1, 1, 0]
     assert [sum(v) for v in run(E.ListHash("c"), ["MESH:D011041|MESH:D014883", ""])] == [2, 0]
     assert run(E.UrlStats("c"), ["https://x.org/detail.go?type=chem&acc=C1&empty=", None])[0][:6] == [1, 1, 1, 0, 1, 2]
+    urls = ["https://X.org/a?b=1#c", "http://user@y.example:80", "//z.example/p", "x.org/a", "", None]
+    for got, domain in zip(run(E.UrlStats("c"), urls), ["x.org", "user@y.example:80", "z.example", None, None, None], strict=True):
+        place = domain and int.from_bytes(hashlib.blake2b(domain.encode(), digest_size=8).digest(), "little") % 16
+        assert list(got[7:]) == [float(i == place) for i in range(16)]
+    assert len(E.UrlStats("c").names()) == 23
     assert run(E.MultiHot("c", counts=True), ["a|b|a", None]) == [[2, 1, 0], [0, 0, 0]]
 
 
