@@ -76,18 +76,33 @@ def negatives(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k:
     return fresh.groupBy("src", "dst", "k").agg(F.min_by(F.struct("neg_src", "neg_dst"), "_try").alias("pair")).select("src", "dst", "k", "pair.*")
 
 
-def repaired(positives: DataFrame, found: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int = 5) -> DataFrame:
-    """found with the missing pairs: of the free targets of a source the smallest; RuntimeError where there is none.
-
-    Only sources that lack pairs are searched, each against the ids it is not linked to."""
+def free_partner(lacking: DataFrame, known: DataFrame, end: str, other: str, n: int, seed: int) -> DataFrame:
+    """lacking (src, dst, k) with free: of the ids 0 to n - 1 that end's node is not linked to at the other end, the one that a
+    draw picks; null where there is none.  Only the nodes' own links are held, never all ids."""
+    own = known.join(lacking.select(end).distinct(), end, "left_semi").where((F.col(other) >= 0) & (F.col(other) < n))
+    used = own.groupBy(end).agg(F.array_sort(F.collect_set(F.col(other).cast("long"))).alias("_used"))
+    asked = lacking.join(used, end, "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<bigint>")))
+    left = F.lit(n).cast("long") - F.size("_used")
+    at = X.draw(seed, F.lit("repair"), F.lit(end), F.col("src"), F.col("dst"), F.col("k"), below=F.greatest(left, F.lit(1).cast("long")))
+    asked = asked.withColumn("_at", F.when(left > 0, at))
+    return asked.withColumn("free", F.col("_at") + F.size(F.filter("_used", lambda x, i: x - i <= F.col("_at")))).drop("_used", "_at")
+
+
+def repaired(positives: DataFrame, found: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """found with the missing pairs: the end that negatives() replaces is drawn from all ids that are free there, where there is
+    none the other end is; RuntimeError where neither has one.
+
+    Only nodes that lack pairs are searched, each against the ids it is not linked to."""
     each = positives.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
     lacking = each.join(found, ["src", "dst", "k"], "left_anti")
-    used = known.join(lacking.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("used"))  # a source's own links
-    free = F.filter(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), lambda x: ~F.array_contains("used", x) & (x < n_dst))
-    got = lacking.join(used, "src", "left").withColumn("used", F.coalesce("used", F.array().cast("array<bigint>"))).select("src", "dst", "k", F.get(free, F.lit(0)).alias("neg_dst"))
-    if got.where("neg_dst is null").take(1):
-        raise RuntimeError("a source is linked to every target: no negative pair is left")
-    return found.unionByName(got.select("src", "dst", "k", F.col("src").alias("neg_src"), "neg_dst"))
+    lacking = free_partner(lacking, known, "src", "dst", n_dst, seed).withColumnRenamed("free", "_dst")
+    lacking = free_partner(lacking, known, "dst", "src", n_src, seed).withColumnRenamed("free", "_src")
+    turn = X.draw(seed, F.lit("side"), F.col("src"), F.col("dst"), F.col("k"), below=2) == 0
+    keeps_src = F.col("_dst").isNotNull() & (turn | F.col("_src").isNull())
+    got = lacking.select("src", "dst", "k", F.when(keeps_src, F.col("src")).otherwise(F.col("_src")).alias("neg_src"), F.when(keeps_src, F.col("_dst")).otherwise(F.col("dst")).alias("neg_dst"))
+    if lacking.where("_dst is null and _src is null").take(1):
+        raise RuntimeError("both ends of a positive are linked to every node: no negative pair is left")
+    return found.unionByName(got)
 
 
 def weighted_draws(weights: DataFrame, id_col: str, weight: str, draws: DataFrame) -> DataFrame:

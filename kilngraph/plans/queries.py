@@ -328,6 +328,18 @@ def negatives_uniform(spark, d):
     return splits.negatives(A.bought(spark, d), A.bought(spark, d), *n, k=3)
 
 
+@query(ORACLES["negatives_uniform"].split(A.SQL.strip(), 1)[1].replace("SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *,", ", f AS (SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *,", 1).lstrip() + f"""),
+u AS (SELECT x.*, list_filter(range(np.n), lambda i: NOT list_contains(coalesce(s.l, []), i)) AS free_src, list_filter(range(nc.n), lambda i: NOT list_contains(coalesce(t.l, []), i)) AS free_dst FROM (SELECT DISTINCT src, dst, k, turn FROM e) x CROSS JOIN np CROSS JOIN nc
+LEFT JOIN (SELECT dst, list(src) AS l FROM bought GROUP BY 1) s ON s.dst = x.dst LEFT JOIN (SELECT src, list(dst) AS l FROM bought GROUP BY 1) t ON t.src = x.src WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.src AND f.dst = x.dst AND f.k = x.k)),
+r AS (SELECT src, dst, k, len(free_dst) > 0 AND (turn OR len(free_src) = 0) AS keeps, free_src[{draw_sql(42, "'repair'", "'dst'", 'src', 'dst', 'k', below='greatest(len(free_src), 1)')} + 1] AS a, free_dst[{draw_sql(42, "'repair'", "'src'", 'src', 'dst', 'k', below='greatest(len(free_dst), 1)')} + 1] AS b FROM u)
+SELECT * FROM f UNION ALL SELECT src, dst, k, CASE WHEN keeps THEN src ELSE a END, CASE WHEN keeps THEN b ELSE dst END FROM r""")
+def negatives_repaired(spark, d):
+    """k pairs for every positive: negatives_uniform, and an exhaustive search for what its tries leave."""
+    n = [A.load(spark, d, t).count() for t in ("part", "customer")]
+    bought = A.bought(spark, d)
+    return splits.repaired(bought, splits.negatives(bought, bought, *n, k=3), bought, *n, k=3)
+
+
 @query(f""", w AS (SELECT src AS id, CAST((count(*) + 1) AS DOUBLE) AS w FROM bought GROUP BY 1), c AS (SELECT id, coalesce(sum(w) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, w FROM w), t AS (SELECT sum(w) AS total FROM w),
 u AS (SELECT o_orderkey AS k, {draw_sql(7, 'o_orderkey', below=2**40)} / 1099511627776.0 AS u FROM orders)
 SELECT k, id FROM u CROSS JOIN t JOIN c ON u.u >= c.low / total AND u.u < (c.low + c.w) / total""")

@@ -91,6 +91,38 @@ def test_negatives_are_new_and_repaired(spark):
         splits.repaired(full, splits.negatives(full, full, 1, 1, k=1), full, 1, 1, k=1)
 
 
+def test_every_positive_of_a_dense_graph_has_its_negatives(spark):
+    """Source 0 has every target, target 0 every source, and most other pairs are known."""
+    links = {(s, t) for s in range(12) for t in range(12) if s == 0 or t == 0 or (s * 7 + t * 5) % 11}
+    links -= {(0, 11), (11, 0)}
+    links.add((0, 11))
+    known = spark.createDataFrame(sorted(links), "src long, dst long")
+    asked = known.where("not (src = 0 and dst = 0)")
+    found = splits.negatives(asked, known, 12, 12, k=5)
+    assert found.count() < asked.count() * 5
+    out = splits.repaired(asked, found, known, 12, 12, k=5).collect()
+    assert sorted((r["src"], r["dst"], r["k"]) for r in out) == sorted((s, t, k) for s, t in links - {(0, 0)} for k in range(5))
+    assert all((r["neg_src"] == r["src"]) != (r["neg_dst"] == r["dst"]) for r in out)
+    assert all(0 <= r["neg_src"] < 12 and 0 <= r["neg_dst"] < 12 and (r["neg_src"], r["neg_dst"]) not in links for r in out)
+
+
+def test_repairs_are_spread_over_the_free_ids(spark):
+    known = spark.createDataFrame([(0, t) for t in range(40)], "src long, dst long")
+    nothing = spark.createDataFrame([], "src long, dst long, k int, neg_src long, neg_dst long")
+    out = splits.repaired(known, nothing, known, 1, 50, k=3).collect()
+    assert len(out) == 120 and {r["neg_dst"] for r in out} == set(range(40, 50))
+
+
+def test_negatives_query_fills_what_the_tries_leave(spark, monkeypatch):
+    from kilngraph.plans import queries as Q
+
+    links = [(s, t) for s in range(10) for t in range(10) if (s + t) % 10]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    monkeypatch.setattr(Q.A, "load", lambda spark, d, t: spark.range(10))
+    monkeypatch.setattr(Q.A, "bought", lambda spark, d: edges)
+    assert Q.negatives_repaired(spark, "").count() == 3 * len(links)
+
+
 def test_metapaths_and_scores(spark):
     e = lambda rows: spark.createDataFrame(rows, "src long, dst long")
     rel = {"affects": e([(0, 1), (1, 3)]), "targets": e([(0, 1), (0, 2)]), "interacts": e([(1, 2)])}
