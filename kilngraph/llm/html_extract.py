@@ -3,8 +3,9 @@
 Pages are cut into blocks.  Blocks of the page's article (article, main, role=main) are its text; navigation, headers,
 footers, asides, forms, notices, adverts, comments and the like are not.  Where a page marks no article, its other
 blocks are open: a host's token streams (its blocks outside articles) are searched for long substrings that
-repeat across distinct pages by suffix_dedup's sharded suffix arrays, and open blocks that such substrings cover go.
-Repetition decides nothing within an article, where copied passages must stay.
+repeat across distinct streams by suffix_dedup's sharded suffix arrays, and open blocks that such substrings cover go.
+Pages of a host with equal streams are copies of one page and count once, else a page that is stored twice would be
+all boilerplate.  Repetition decides nothing within an article, where copied passages must stay.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def extract_text(pages: DataFrame, length: int = LENGTH, gram: int = GRAM, cover
                 texts.append("\n".join(stream))
                 ranges.append(opened)
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(ranges, suffix_dedup.RANGES_ARROW)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "url", "text", "opened"])
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "opened"])
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The open blocks that repeats cover less."""
@@ -173,9 +174,11 @@ def extract_text(pages: DataFrame, length: int = LENGTH, gram: int = GRAM, cover
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     marked = rows.mapInArrow(articles, "page_id long, url string, text string")
-    stream = rows.mapInArrow(streams, f"doc_id long, url string, text string, opened {suffix_dedup.RANGES}").withColumn("host", host_of(F.col("url")))
-    repeats = suffix_dedup.find_repeats(stream, length, gram, scope="host", across=True)
+    stream = rows.mapInArrow(streams, f"page_id long, url string, text string, opened {suffix_dedup.RANGES}")
+    stream = stream.withColumns({"host": host_of(F.col("url")), "doc_id": F.xxhash64("text")})  # equal streams of a host share an id, and are one
+    once = stream.dropDuplicates(["host", "doc_id"])
+    repeats = suffix_dedup.find_repeats(once, length, gram, scope="host", across=True)
     open_pages = stream.where(F.size("opened") > 0)
-    found = suffix_dedup.with_starts(open_pages, repeats, ["doc_id", "url", "opened"], scope="host")
-    decided = found.select(F.col("row.doc_id").alias("page_id"), "row.url", "text", "starts", "row.opened").mapInArrow(unique, "page_id long, url string, text string")
+    found = suffix_dedup.with_starts(open_pages, repeats, ["page_id", "url", "opened"], scope="host")
+    decided = found.select("row.page_id", "row.url", "text", "starts", "row.opened").mapInArrow(unique, "page_id long, url string, text string")
     return marked.unionByName(decided).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -36,6 +36,14 @@ def test_op8_repeats_across_pages_of_a_host(spark):
     assert got == own
 
 
+def test_op8_pages_that_are_stored_twice(spark):
+    plate = "Welcome to our wonderful site, where every page begins with exactly this line of text and nothing else at all."
+    own = [f"This is body number {i}, whose text is told only here: {'abcdefgh'[i] * 40}." for i in range(3)]
+    pages = [f"<body><div>{plate}</div><p>{o}</p></body>" for o in own]
+    assert extracted(spark, *pages, pages[0], pages[0]) == [*own, own[0], own[0]]
+    assert extracted(spark, f"<body><p>{own[1]}</p></body>", f"<body> <p>{own[1]} </p></body>") == [own[1], own[1]]
+
+
 def test_op8_every_page_of_the_table(spark, sf):
     from html import unescape
 
