@@ -474,10 +474,10 @@ def encode_hashed_text(spark, d):
 BRIDGES = ", br AS (SELECT b.dst AS focus, s.src, s.dst AS mid, s.action FROM supplied s JOIN bought b ON b.src = s.src AND b.dst % 10 = 0 WHERE EXISTS (SELECT 1 FROM urgent u WHERE u.src = b.dst AND u.dst = s.dst))"
 
 
-def bridge_edges(spark, d):
+def bridge_edges(spark, d, asked="dst % 10 = 0"):
     left = A.supplied(spark, d).select("src", F.col("dst").alias("mid"), "action", "subject")
     right = A.urgent(spark, d).select(F.col("src").alias("focus"), F.col("dst").alias("mid"))
-    focus = A.bought(spark, d).where("dst % 10 = 0").select(F.col("dst").alias("focus"), "src")
+    focus = A.bought(spark, d).where(asked).select(F.col("dst").alias("focus"), "src")
     return subgraph.bridges(left, right, focus)
 
 
@@ -526,3 +526,67 @@ def attention_softmax(spark, d):
 def attention_layer(spark, d):
     q = A.load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array((F.col("s_suppkey") % 5) / 5.0, (F.col("s_suppkey") % 3) / 3.0).alias("z"))
     return flat(propagate.attention(part_vectors(spark, d), q, plain_edges(spark, d)))
+
+
+# ---- the same over all ids ----------------------------------------------------------------------------------------------
+
+
+def over_all(base: str, cut: str):
+    """Registers a query over all ids beside the SQL of a query over some, less the condition that picks those."""
+
+    def add(f):
+        assert cut in ORACLES[base]
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, ORACLES[base].replace(cut, "")
+        return f
+
+    return add
+
+
+def dashed(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("template", "start", "end", F.array_join(F.col("nodes").cast("array<string>"), "-").alias("nodes"), *more)
+
+
+@over_all("metapath_summary", " WHERE su.src < 20")
+def metapath_summary_all(spark, d):
+    return paths.summary(paths.all_templates(relations(spark, d), TEMPLATES))
+
+
+@over_all("metapath_capped", " WHERE su.src < 20")
+def metapath_capped_all(spark, d):
+    return dashed(paths.all_templates(relations(spark, d), TEMPLATES, cap=2))
+
+
+@query(PATHS.replace(" WHERE su.src < 20", "") + """, v AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings),
+s AS (SELECT walks.*, round(0.5 * 1.0 + 0.5 * greatest(0.0, (list_cosine_similarity(m.z, a.z) + list_cosine_similarity(m.z, b.z)) / 2), 6) AS score FROM walks LEFT JOIN v m ON m.id = nodes[2] LEFT JOIN v a ON a.id = start LEFT JOIN v b ON b.id = "end")
+SELECT template, start, "end", array_to_string(nodes, '-') AS nodes, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY start, "end" ORDER BY score DESC, template, nodes) AS rank FROM s) WHERE rank <= 3""")
+def path_scores_all(spark, d):
+    """All parts, with the middle node's similarity from the vectors (a node without one: 0); attention is 1, as no model is fitted."""
+    found = paths.all_templates(relations(spark, d), TEMPLATES).withColumn("mid", F.get("nodes", F.lit(1)))
+    for end in ("mid", "start", "end"):
+        found = found.join(vectors(spark, d).select(F.col("id").alias(end), F.col("z").alias(f"z_{end}")), end, "left")
+    similarity = F.coalesce(paths.mid_similarity(F.col("z_mid"), F.col("z_start"), F.col("z_end")), F.lit(0.0))
+    scored = found.withColumn("score", F.round(paths.combined_score(F.lit(1.0), similarity, "balanced"), 6))
+    return dashed(paths.top_paths(scored, 3), "score", "rank")
+
+
+@over_all("bilinear_top", " AND b.id % 2 = 1")
+def bilinear_top_all(spark, d):
+    v = vectors(spark, d)
+    asked, items = v.where("id % 50 = 0").withColumnRenamed("id", "query"), v.withColumnRenamed("id", "item")
+    known = asked.select("query").join(items.select("item"), (F.col("item") - F.col("query")) % 9 == 0)
+    return ranking.top_links(asked, items, None, known, 10)
+
+
+@over_all("fanout_neighbours", " WHERE src % 3 = 0")
+def fanout_neighbours_all(spark, d):
+    return splits.fanout(A.bought(spark, d), A.load(spark, d, "part").select(F.col("p_partkey").alias("src")), 5)
+
+
+@over_all("bridge_top_sources", " AND b.dst % 10 = 0")
+def bridge_top_sources_all(spark, d):
+    return subgraph.top_sources(bridge_edges(spark, d, "true"), "src", "mid", 5)
+
+
+@over_all("bridge_actions", " AND b.dst % 10 = 0")
+def bridge_actions_all(spark, d):
+    return subgraph.labelled_actions(bridge_edges(spark, d, "true"), ["focus", "src", "mid"], "action")
