@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once with numpy; a longer text is one chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of rows that Python gets in one batch; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -23,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a local one is set."""
+    """A new folder in the one all executors share, spark.checkpoint.dir.
+
+    Where that is unset, as in tests, a folder of this machine will do in local mode; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kiln-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[\w*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/kiln-scratch"
     return f"{base.rstrip('/')}/kiln-{uuid.uuid4().hex}"
 
 
@@ -39,6 +46,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks from its first use on, so that several uses compute it once.
+
+    Lineage stays: what a lost executor held is computed again.  spark.catalog.clearCache() frees it."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written by checkpoint() to the shared folder; its lineage ends there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; its session hands Python at most BATCH_BYTES of rows at once from now on, unless it has a setting of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "67108864"):  # Spark's own
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def text_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[F.Column, F.Column]:
     """Two join keys that tell rows apart even if ids are null or repeat; rows that share both have equal texts."""
     return (

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import ALNUM, as_bytes, chunked, join_texts, mix, prefix_hash, span_hash, words_of
+from kilngraph.llm._util import ALNUM, as_bytes, bounded, chunked, join_texts, mix, prefix_hash, span_hash, words_of
 
 #: Bytes of benchmark text that are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
@@ -163,7 +163,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
     blocks = max(1, -(-2 * (size[0] or 0) // block_bytes))
     block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
     row = F.struct(*[F.col(f"`{n}`") for n in carry or ["doc_id"]])
-    out = docs.select(
+    out = bounded(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row.alias("row"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast(SPANS).alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest_match"),
     )

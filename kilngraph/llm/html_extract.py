@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.llm import suffix_dedup
+from kilngraph.llm._util import bounded
 from kilngraph.llm.url_filter import host_of
 
 #: Bytes of a substring that counts as boilerplate when it repeats across pages of a host.
@@ -126,7 +127,7 @@ def extract_text(pages: DataFrame, length: int = LENGTH, gram: int = GRAM, cover
 
     A null html is an empty page; a null url belongs to host ''.  Each row gives a row.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
 
     def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pages that mark an article, or have no open block."""

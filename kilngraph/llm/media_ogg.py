@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import as_bytes
+from kilngraph.llm._util import as_bytes, bounded
 
 #: Bytes of a packet; a sample is one byte.
 PACKET = 576
@@ -162,7 +162,7 @@ def ogg_features(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(store, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(store, SCHEMA)
 
 
 def media_column(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
@@ -173,5 +173,5 @@ def media_column(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
             media = pa.array([write_ogg(pad(raw), segments=segments) for raw in as_bytes(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "media"), media], [*(n for n in batch.schema.names if n != "media"), "media"])
 
-    kept = docs.drop("media")
+    kept = bounded(docs).drop("media")
     return kept.mapInArrow(store, kept.withColumn("media", F.lit(b"").cast("binary")).schema)

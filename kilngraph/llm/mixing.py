@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import materialize
+from kilngraph.llm._util import held
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -120,7 +120,7 @@ def mix_sources(docs: DataFrame, sources: str = "source", weights: tuple[float,
         F.col("doc_id").cast("long").alias("doc_id"), pattern.alias("pattern"), word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("draw"),
     )
-    sized = materialize(sized.withColumn("bucket", F.pmod(F.col("draw"), F.lit(BUCKETS)).cast("int")))
+    sized = held(sized.withColumn("bucket", F.pmod(F.col("draw"), F.lit(BUCKETS)).cast("int")))
     buckets = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("bucket_size"))
     totals = buckets.groupBy("pattern").agg(F.sum("bucket_size").alias("pattern_size"))
     rows = totals.limit(MAX_PATTERNS + 1).collect()

@@ -5,8 +5,9 @@
 2.  Evidence: every document of the corpus gets its log-odds of being bad from either model.
 3.  Sites: the documents' evidence is summed by host and by (host, path) in grouped aggregations over the whole corpus;
     host rates are shrunk toward the global rate and path rates toward their host's, the less a site has seen the more.
-    The strength of the prior is fitted by moments from the spread of the hosts' rates.
-4.  Posterior: evidence plus the log-odds shift of the document's path; documents above `threshold` are rejected.
+    The strength of either level's prior is fitted by moments from the spread of the rates at that level.
+4.  Posterior: evidence plus the log-odds shift of the document's path, to which the document itself does not count; documents
+    above `threshold` are rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import ALNUM, as_bytes, chunked, join_texts, materialize, mix, prefix_hash, span_hash, words_of
+from kilngraph.llm._util import ALNUM, as_bytes, bounded, chunked, held, join_texts, mix, prefix_hash, span_hash, words_of
 
 #: Labelled documents the models are fitted on.
 SAMPLE = 12_000
@@ -108,11 +109,14 @@ def strongest(counts: DataFrame, total: int, positive: int, which: str, keep: in
 
 
 def fit(rows: np.ndarray, feature: np.ndarray, label: np.ndarray, chosen: np.ndarray, steps: int = 120) -> Model:
-    """Logistic regression on the chosen features, by gradient steps.  One class only: no feature, and the bias says which."""
+    """Logistic regression on the chosen features, by gradient steps.  Where a class is absent nothing can be told, and the
+    model finds nothing bad."""
     n, positive = len(label), int(label.sum())
+    if not positive or positive == n:
+        return Model(np.empty(0, np.uint64), np.empty(0), -CLIP)
     base = float(np.log((positive + 0.5) / (n - positive + 0.5)))
-    if not positive or positive == n or not len(chosen):
-        return Model(np.empty(0, np.uint64), np.empty(0), base)
+    if not len(chosen):
+        return Model(np.empty(0, np.uint64), np.empty(0), min(base, -base))  # too few labels to tell: the rarer side of the odds
     column = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
     hit = chosen[column] == feature
     rows, column = rows[hit], column[hit]
@@ -137,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
     sampled document has."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int"), F.col("toxic").cast("int")).na.drop()
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality", "toxic").limit(sample)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # sample rows at most
-    held = held.select("doc_id", (F.col("quality") <= 0).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # sample rows at most
+    texts = texts.select("doc_id", (F.col("quality") <= 0).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,44 +154,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("low"), part.column("toxic"), lists], ["doc_id", "low", "toxic", "features"])
                 at += b - a
 
-    seen = materialize(held.mapInArrow(scan, "doc_id long, low int, toxic int, features array<long>"))
+    seen = held(texts.mapInArrow(scan, "doc_id long, low int, toxic int, features array<long>"))
     total = seen.agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
     counts = seen.select("low", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic"))
-    counts = materialize(counts)
+    counts = held(counts)  # used for either model
     picked = [strongest(counts, total["n"], total[which] or 0, which, keep) for which in ("low", "toxic")]
     wanted = np.union1d(*picked)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [x.values.to_numpy().view(np.uint64) for x in batch.column("features")]
-            raw = [np.intersect1d(x, wanted, assume_unique=True).tobytes() for x in own]
+            raw = [np.flatnonzero(np.isin(wanted, x)).astype(np.uint16).tobytes() for x in own]  # places in wanted
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), batch.column("toxic"), pa.array(raw, pa.binary())], ["doc_id", "low", "toxic", "features"])
 
-    got = seen.mapInArrow(pick, "doc_id long, low int, toxic int, features binary").toArrow()  # sample rows at most
-    parts = [np.frombuffer(x, np.uint64) for x in got.column("features").to_pylist()]
+    got = seen.mapInArrow(pick, "doc_id long, low int, toxic int, features binary").toArrow()  # sample rows of 2 * keep places of 2 bytes at most
+    parts = [np.frombuffer(x, np.uint16) for x in got.column("features").to_pylist()]
     order = np.lexsort(([len(p) for p in parts], got.column("doc_id").to_numpy()))  # the same whatever order rows come in
     parts = [parts[i] for i in order]
-    rows, feature = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate([np.empty(0, np.uint64), *parts])
+    rows, feature = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), wanted[np.concatenate([np.empty(0, np.uint16), *parts])]
     low, toxic = (got.column(c).to_numpy()[order].astype(np.float64) for c in ("low", "toxic"))
     return fit(rows, feature, low, picked[0]), fit(rows, feature, toxic, picked[1])
 
 
-def with_evidence(docs: DataFrame, models: tuple[Model, Model], carry: list[str]) -> DataFrame:
-    """row (a struct of the columns in carry), text, low and toxic (log-odds) for each row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(models)  # 2 x FEATURES numbers
+def with_evidence(docs: DataFrame, models: tuple[Model, Model], carry: list[str], text: bool = True) -> DataFrame:
+    """row (a struct of the columns in carry), text (if asked for), low and toxic (log-odds) for each row of docs."""
+    fitted = docs.sparkSession.sparkContext.broadcast(models)  # 2 x FEATURES numbers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            odds = np.zeros((2, len(texts)))
+            texts, at = as_bytes(batch.column("text")), 0
             for a, b in chunked(texts):
                 rows, feature = features_of(texts[a:b])
-                for k, model in enumerate(held.value):
-                    odds[k, a:b] = model.log_odds(rows, feature, b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(odds[0]), pa.array(odds[1])], ["row", "text", "low", "toxic"])
+                odds = [pa.array(model.log_odds(rows, feature, b - a)) for model in fitted.value]
+                part = batch.slice(at, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("row"), *([part.column("text")] if text else []), *odds], ["row", *(["text"] if text else []), "low", "toxic"])
+                at += b - a
 
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in carry]).alias("row"), "text")
-    return packed.mapInArrow(scan, packed.withColumns({"low": F.lit(0.0), "toxic": F.lit(0.0)}).schema)
+    packed = bounded(docs).select(F.struct(*[F.col(f"`{n}`") for n in carry]).alias("row"), "text")
+    out = packed.withColumns({"low": F.lit(0.0), "toxic": F.lit(0.0)})
+    return packed.mapInArrow(scan, (out if text else out.drop("text")).schema)
 
 
 def chance(odds: Column) -> Column:
@@ -199,52 +204,88 @@ def odds_of(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(host, path, shift): the log-odds that a path's documents differ by from the corpus.  evidence: (host, path, bad)."""
-    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("s"))
+@dataclass
+class Prior:
+    """The corpus' rate, and the documents that the prior counts for at a host and at a path."""
+
+    rate: float
+    host: float
+    path: float
+
+
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, Prior]:
+    """(host, path, n, s, host_n, host_s): documents and sums of their evidence by path and by host; and the prior.
+    evidence: (host, path, bad).
+
+    A level's prior counts for as many documents as the variance within paths has of the variance between the level's
+    sites beyond chance, both by moments over the whole corpus."""
+    paths = held(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("s"), F.sum(F.col("bad") * F.col("bad")).alias("q")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s"), F.count("*").alias("k")).first()
-    rate = min(max((total["s"] or 0.0) / max(total["n"] or 1, 1), 1e-4), 1 - 1e-4)
-    # the prior's strength from the spread of the hosts' rates beyond that of chance
-    spread = hosts.agg(F.sum(F.col("host_n") * (F.col("host_s") / F.col("host_n") - rate) ** 2).alias("v")).first()["v"] or 0.0
-    k, n = total["k"] or 0, total["n"] or 0
-    between = max((spread - (k - 1) * rate * (1 - rate)) / n, 0.0) if n else 0.0
-    strength = min(max(rate * (1 - rate) / between - 1, 1.0), 1e6) if between > 0 else 1e6
-    hosts = hosts.withColumn("host_rate", (strength * rate + F.col("host_s")) / (strength + F.col("host_n")))
-    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host")))
-    path_rate = (strength * F.col("host_rate") + F.col("s")) / (strength + F.col("n"))
-    shift = odds_of(path_rate) - float(np.log(rate / (1 - rate)))
-    return both.select("p.host", "p.path", F.least(F.greatest(shift, F.lit(-SHIFT)), F.lit(SHIFT)).alias("shift"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """row, text, low, toxic, p_low, p_toxic, keep for each row of docs.
+    n, k = total["n"] or 0, total["k"] or 0
+    rate = min(max((total["s"] or 0.0) / max(n, 1), 1e-4), 1 - 1e-4)
+    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "n", "s", "q", "host_n", "host_s")
+    both = held(both)
+    seen = both.agg(
+        F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("inner"), F.count("*").alias("paths"),
+        F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("host_s") / F.col("host_n")) ** 2).alias("path"), F.sum(F.col("n") * (F.col("host_s") / F.col("host_n") - rate) ** 2).alias("host"),
+    ).first()
+    variance = max(seen["inner"] or 0.0, 0.0) / max(n - seen["paths"], 1)
+
+    def strength(spread: float | None, freedom: int) -> float:
+        between = max(((spread or 0.0) - freedom * variance) / max(n, 1), 0.0)
+        return min(max(variance / between, 1.0), 1e6) if between > 0 and variance > 0 else 1e6
+
+    return both.drop("q"), Prior(rate, strength(seen["host"], k - 1), strength(seen["path"], seen["paths"] - k))
+
+
+def site_shift(prior: Prior, own: Column) -> Column:
+    """The log-odds that a document's path differs by from the corpus, by all its documents but itself (own: its evidence).
+
+    Host rates are shrunk toward the corpus' rate, path rates toward their host's."""
+    host = (F.lit(prior.host * prior.rate) + F.col("host_s") - own) / (F.lit(prior.host) + F.col("host_n") - 1)
+    path = (F.lit(prior.path) * host + F.col("s") - own) / (F.lit(prior.path) + F.col("n") - 1)
+    shift = odds_of(path) - float(np.log(prior.rate / (1 - prior.rate)))
+    return F.least(F.greatest(shift, F.lit(-SHIFT)), F.lit(SHIFT))
+
+
+def posteriors(scored: DataFrame, host: Column, path: Column, sites: DataFrame, prior: Prior, threshold: float) -> DataFrame:
+    """scored (with low and toxic) with p_low, p_toxic and keep."""
+    out = scored.withColumns({"_host": host, "_path": path}).join(sites, F.col("_host").eqNullSafe(sites["host"]) & F.col("_path").eqNullSafe(sites["path"]), "left")
+    shift = F.coalesce(site_shift(prior, chance(F.greatest("low", "toxic"))), F.lit(0.0))
+    out = out.select(*scored.columns, chance(F.col("low") + shift).alias("p_low"), chance(F.col("toxic") + shift).alias("p_toxic"))
+    return out.withColumn("keep", F.greatest("p_low", "p_toxic") < threshold)
 
-    host and path: columns of docs (source and lang by default).  Null hosts and paths are sites of their own; a null or
-    empty text has no words, and goes by its style and site.  Without labels all documents stay.  Each row gives a row.
-    """
-    carry = carry or docs.columns
+
+def sited(docs: DataFrame, carry: list[str], host: Column | None, path: Column | None) -> DataFrame:
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    models = train(docs, labels, sample)
-    sited = docs.select(F.col("doc_id"), "text", host.cast("string").alias("host"), path.cast("string").alias("path"))
-    seen = with_evidence(sited, models, ["host", "path"]).select("row.host", "row.path", chance(F.greatest("low", "toxic")).alias("bad"))
-    sites = materialize(site_posteriors(materialize(seen)))
-    packed = docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*carry, "text"])], host.cast("string").alias("_host"), path.cast("string").alias("_path"))
-    out = with_evidence(packed, models, [n for n in packed.columns if n != "text"])
-    out = out.join(sites, out["row._host"].eqNullSafe(sites["host"]) & out["row._path"].eqNullSafe(sites["path"]), "left")
-    shift = F.coalesce("shift", F.lit(0.0))
-    out = out.select("row", "text", "low", "toxic", chance(F.col("low") + shift).alias("p_low"), chance(F.col("toxic") + shift).alias("p_toxic"))
-    return out.withColumn("keep", F.greatest("p_low", "p_toxic") < threshold)
+    return docs.select(*[F.col(f"`{n}`") for n in dict.fromkeys([*carry, "text"])], host.cast("string").alias("_host"), path.cast("string").alias("_path"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_low, p_toxic, keep for each row of docs."""
-    out = classify(docs, labels, sample=sample, threshold=threshold, carry=["doc_id"])
-    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.round("p_low", 6).alias("p_low"), F.round("p_toxic", 6).alias("p_toxic"), "keep")
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """doc_id, p_low, p_toxic, keep for each row of docs.
 
+    host and path: columns of docs (source and lang by default).  Null hosts and paths are sites of their own; a null or
+    empty text has no words, and goes by its style and site.  Without labels of both classes nothing is bad, and all documents
+    stay.  Each row gives a row.
+    """
+    models = train(docs, labels, sample)
+    scored = with_evidence(sited(docs, ["doc_id"], host, path), models, ["doc_id", "_host", "_path"], text=False)
+    scored = held(scored.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row._host").alias("host"), F.col("row._path").alias("path"), "low", "toxic"))
+    sites, prior = site_sums(scored.select("host", "path", chance(F.greatest("low", "toxic")).alias("bad")))
+    out = posteriors(scored.withColumnsRenamed({"host": "own_host", "path": "own_path"}), F.col("own_host"), F.col("own_path"), sites, prior, threshold)
+    return out.select("doc_id", F.round("p_low", 6).alias("p_low"), F.round("p_toxic", 6).alias("p_toxic"), "keep")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """docs without the documents that quality_scores rejects; the columns stay.
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that are rejected; the columns stay."""
-    out = classify(docs, labels, sample=sample, threshold=threshold).where("keep")
+    Texts are scored twice, so that they are neither stored nor shuffled between the sites' sums and the decision."""
+    models = train(docs, labels, sample)
+    packed = sited(docs, docs.columns, host, path)
+    seen = with_evidence(packed, models, ["_host", "_path"], text=False)
+    sites, prior = site_sums(seen.select(F.col("row._host").alias("host"), F.col("row._path").alias("path"), chance(F.greatest("low", "toxic")).alias("bad")))
+    out = with_evidence(packed, models, [n for n in packed.columns if n != "text"])
+    out = posteriors(out, F.col("row._host"), F.col("row._path"), sites, prior, threshold).where("keep")
     return out.select(*[F.col("text") if n == "text" else F.col(f"row.`{n}`").alias(n) for n in docs.columns])

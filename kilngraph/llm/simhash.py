@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import NONSPACE, as_bytes, chunked, join_texts, materialize, mix, words_of
+from kilngraph.llm._util import NONSPACE, as_bytes, bounded, checkpointed, chunked, held, join_texts, mix, prefix_hash, span_hash, words_of
 
 SHINGLE = 3
 RADIUS = 2
@@ -25,6 +25,8 @@ SEED = 42
 #: Fingerprints of a bucket that are compared together.
 BUCKET = 4096
 TILE = 512
+#: Rows of a file that a step of the components' search writes.
+EDGES = 500_000
 
 
 def shingle_hashes(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def fingerprint_docs(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) ->
             prints = np.concatenate(parts) if parts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fingerprint long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fingerprint long")
 
 
 def split_bits(bits: list[int], parts: int) -> list[list[int]]:
@@ -144,29 +146,29 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
         blocks = [b for new in refined.values() for b in new]
         rule = F.create_map(*[x for m, new in refined.items() for x in (F.lit(m), F.array(*[F.lit(n | m) for n, _ in new]))])
         dealt = dealt.join(large, ["mask", "value"], "left_semi").select("fingerprint", F.explode(rule[F.col("mask")]).alias("mask"))
-        dealt = materialize(dealt.withColumn("value", F.col("fingerprint").bitwiseAND(F.col("mask"))).distinct())
+        dealt = held(dealt.withColumn("value", F.col("fingerprint").bitwiseAND(F.col("mask"))).distinct())
     return out.distinct()
 
 
-def components(edges: DataFrame, limit: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that is larger than its root.  edges: (u, v), u > v.
 
-    Alternating large and small stars; every step is a join and an aggregation with map-side minima, its
-    result is written to the shared folder.  A chain of n nodes takes about log n steps.
+    Alternating large and small stars, until nothing changes; every step is a join and an aggregation with map-side minima, and
+    ends in a checkpoint of about EDGES rows a file.  A chain of n nodes takes about log n steps.
     """
-    edges, last = materialize(edges), None
-    for _ in range(limit):
+    first = held(edges)
+    now, last = (first.count(), None), None
+    edges = checkpointed(first.coalesce(now[0] // EDGES + 1))
+    first.unpersist()
+    while now != last:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = materialize(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = now
-    raise RuntimeError(f"components have not settled after {limit} steps")
+        edges = checkpointed(small.distinct().coalesce(now[0] // EDGES + 1))  # never more edges than before, but for the stars' own
+        last, now = now, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
@@ -176,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     A null or blank text has fingerprint 0 and is linked like any other; a null doc_id is never a component's
     smallest unless all its ids are null.  Each row gives a row.
     """
-    marked = materialize(fingerprint_docs(docs, width, seed))
+    marked = held(fingerprint_docs(docs, width, seed))
     prints = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     found = components(links(prints.select("fingerprint"), radius, bucket))
     rooted = prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least")
@@ -185,16 +187,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     return marked.join(groups, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- near copies by similarity: wide fingerprints, banded, with an exact check --------------------------------------
+# ---- near copies by similarity: wide fingerprints in tiles, with an exact check --------------------------------------
 
-#: 64-bit words of a wide fingerprint; each of its bands is 16 bits.
-WORDS = 12
-BANDS = WORDS * 4
-#: Words of a fingerprint by which a bucket's closest links are chosen.
-FOREST_WORDS = 2
-#: Buckets of so many texts at most are compared together.
-SMALL = 16
+#: 64-bit words of a wide fingerprint.
+WORDS = 8
+#: A text is in so many buckets, each by so many of its set's least hashes.
+BANDS, ROWS = 16, 4
+#: Sets below this size are not told apart by their fingerprints, only by the exact check.
+SMALL = 64
+#: Shingles of a tile; a larger bucket is cut into several.
+TILE_SHINGLES = 500_000
 SIMILARITY = 0.8
+#: A shingle's number: so many bits of its hash.
+ID_BITS = 52
 
 
 def expected_share(similarity: float) -> float:
@@ -203,247 +208,231 @@ def expected_share(similarity: float) -> float:
     return float(np.arccos(cosine) / np.pi)
 
 
-def within(bits: int, similarity: float, sigmas: float = 3.0) -> int:
-    """Bits of a fingerprint in which sets of at least that similarity differ at most, but for a few in a thousand."""
+def within(bits: int, similarity: float, sigmas: float = 4.0) -> int:
+    """Bits of a fingerprint in which sets of at least that similarity differ at most, but for a few in 30,000."""
     p = expected_share(similarity)
     return int(np.ceil(bits * p + sigmas * np.sqrt(bits * p * (1 - p))))
 
 
-def distinct_shingles(texts: list[bytes], width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, and where each text's begin (and the end)."""
-    hashes, at = shingle_hashes(texts, width, seed)
-    text = np.repeat(np.arange(len(texts)), np.diff(at))
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
-    new = np.ones(len(hashes), np.bool_)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    return hashes[new], np.searchsorted(text[new], np.arange(len(texts) + 1))
-
-
-def wide_fingerprints(texts: list[bytes], width: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word) fingerprints of the texts' shingle sets, and the sets' sizes."""
-    hashes, at = distinct_shingles(texts, width)
-    out = np.zeros((len(texts), words), np.uint64)
+def distinct_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle numbers of each text, and where each text's begin (and the end).
+
+    A text of fewer words is one shingle; one without words has none.  At most 4096 texts."""
+    joined, bounds = join_texts(texts)
+    low, start, end = words_of(joined, NONSPACE)
+    words = span_hash(prefix_hash(low), start, end)
+    first = np.searchsorted(start, bounds)
+    count = np.diff(first)
+    text = np.repeat(np.arange(len(texts)), count)
+    own = np.minimum(width, count)[text]
+    begin = np.flatnonzero(first[1:][text] - np.arange(len(words)) >= own)
+    padded = np.concatenate([words, np.zeros(width, np.uint64)])
+    total = np.zeros(len(begin), np.uint64)
+    for j in range(width):
+        total = np.where(j < own[begin], mix(total ^ padded[begin + j]), total)
+    key = np.sort((text[begin].astype(np.uint64) << np.uint64(ID_BITS)) | (total >> np.uint64(64 - ID_BITS)))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    at = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(ID_BITS)) if len(texts) < 4096 else np.append(np.searchsorted(key, np.arange(len(texts), dtype=np.uint64) << np.uint64(ID_BITS)), len(key))
+    return key & np.uint64((1 << ID_BITS) - 1), at
+
+
+def wide_fingerprints(ids: np.ndarray, at: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """(text, word) SimHash fingerprints of the texts' shingle sets."""
+    out = np.zeros((len(at) - 1, words), np.uint64)
     full = np.flatnonzero(np.diff(at))
     for j in range(words if len(full) else 0):
-        bits = np.unpackbits(mix(hashes + np.uint64(j)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(mix(ids + np.uint64(j << ID_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, at[full], axis=0, dtype=np.int32)
         out[full, j] = np.packbits(2 * ones > np.diff(at)[full, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out, np.diff(at)
+    return out
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of each fingerprint of a (row, word) and each of b."""
-    out = np.zeros((len(a), len(b)), np.int16)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+def bucket_keys(ids: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(text, band) keys of the buckets a text is in: sets of a similarity s share a band's with chance s ** rows."""
+    salts = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).reshape(bands, rows, 2)
+    out = np.zeros((len(at) - 1, bands), np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    for b in range(bands):
+        key = np.full(len(at) - 1, b, np.uint64)
+        for r in range(rows if len(full) else 0):
+            key[full] = mix(key[full] ^ np.minimum.reduceat((ids ^ salts[b, r, 0]) * (salts[b, r, 1] | np.uint64(1)), at[full]))
+        out[:, b] = mix(key + np.uint64(b))
     return out
 
 
-def tiles_within(prints: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(i, j, distances of the tile at i and the tile at j), radius + 1 within a group.  prints: in order of their population
-    counts; pairs of tiles whose counts differ beyond the radius are skipped."""
+def slices(ids: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen texts' shingles in one array, and where each text's begin (and the end)."""
+    size = (at[1:] - at[:-1])[chosen]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return ids[np.arange(ends[-1]) + np.repeat(at[:-1][chosen] - ends[:-1], size)], ends
+
+
+def similar_to(hub: int, others: np.ndarray, ids: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of the others whose sets have the Jaccard similarity to the hub's."""
+    own = ids[at[hub] : at[hub + 1]]
+    held, ends = slices(ids, at, others)
+    place = np.minimum(np.searchsorted(own, held), max(len(own) - 1, 0))
+    common = np.diff(np.concatenate([[0], np.cumsum(own[place] == held if len(own) else np.zeros(len(held), np.bool_))])[ends])
+    return others[common >= similarity * (len(own) + np.diff(ends) - common)]
+
+
+def links_within(ids: np.ndarray, at: np.ndarray, prints: np.ndarray, group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that join all texts of a bucket whose sets have the similarity, at most one fewer than texts.
+
+    group: texts of one group are joined already.  Fingerprints are compared in tiles in the order of their population counts;
+    tile pairs whose counts differ beyond the radius are skipped.  Pairs within the radius are held against each other's whole
+    sets, a text and all its partners at once, unless links found before join them."""
+    size, radius = np.diff(at), within(64 * prints.shape[1], similarity)
     pop = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
-    for i in range(0, len(prints), TILE):
-        for j in range(i, len(prints), TILE):
-            if pop[j] - pop[min(i + TILE, len(prints)) - 1] > radius:
+    small = size < SMALL
+    order = np.lexsort((pop, ~small))
+    group = np.unique(group, return_inverse=True)[1]
+    found: list[tuple[int, int]] = []
+
+    def join(hub: int, others: np.ndarray) -> None:
+        others = others[(np.minimum(size[others], size[hub]) >= similarity * np.maximum(size[others], size[hub])) & (group[others] != group[hub])]
+        good = similar_to(hub, others, ids, at, similarity) if len(others) else others
+        if len(good):
+            merged, once = np.unique(group[good], return_index=True)
+            found.extend((hub, int(x)) for x in good[once])
+            group[np.isin(group, merged)] = group[hub]
+
+    if len(order) > TILE // 8:  # of many texts the one amid them first: what is like it needs no other link
+        votes = np.unpackbits(prints.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(2 * votes > len(prints), bitorder="little").view("<u8")
+        join(int(np.bitwise_count(prints ^ middle).sum(axis=1, dtype=np.int64).argmin()), np.arange(len(order)))
+    for i in range(0, len(order), TILE):
+        a = order[i : i + TILE]
+        for j in range(i, len(order), TILE):
+            b = order[j : j + TILE]
+            if not small[a].any() and pop[b[0]] - pop[a[-1]] > radius:
                 break
-            apart = distances(prints[i : i + TILE], prints[j : j + TILE])
-            apart[groups[i : i + TILE, None] == groups[None, j : j + TILE]] = radius + 1
-            yield i, j, apart
+            if group[a].min() == group[a].max() == group[b].min() == group[b].max():
+                continue
+            near = distances(prints[a], prints[b]) <= radius
+            near |= small[a][:, None] | small[b][None, :]
+            near &= group[a][:, None] != group[b][None, :]
+            for x in np.flatnonzero(near.any(axis=1)).tolist():
+                join(int(a[x]), b[near[x]])
+    return found
 
 
-def by_count(prints: np.ndarray) -> np.ndarray:
-    return np.argsort(np.bitwise_count(prints).sum(axis=1, dtype=np.int64), kind="stable")
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each fingerprint of a (row, word) and each of b."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
 
 
-def forest_within(nodes: np.ndarray, groups: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
-    """(tree, u, v), u > v: the closest links that join all groups that are within radius of each other, never more links than
-    groups.  Every group takes its closest link to another one, again and again until none is left."""
-    order = by_count(prints)
-    nodes, prints, group = nodes[order], prints[order], np.unique(groups[order], return_inverse=True)[1]
-    found: list[tuple[int, int]] = []
-    while True:
-        best, at = np.full(len(nodes), radius + 1, np.int16), np.zeros(len(nodes), np.int64)
-        for i, j, apart in tiles_within(prints, group, radius):
-            for own, other, d in ((i, j, apart), (j, i, apart.T)):
-                k = d.argmin(axis=1)
-                least = d[np.arange(len(k)), k]
-                closer = np.flatnonzero(least < best[own : own + TILE])
-                best[own + closer], at[own + closer] = least[closer], other + k[closer]
-        near = np.flatnonzero(best <= radius)
-        if not len(near):
-            break
-        near = near[np.lexsort((best[near], group[near]))]
-        root = list(range(int(group.max()) + 1))
-
-        def find(x: int, root: list[int] = root) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x in near[np.flatnonzero(np.diff(group[near], prepend=-1))].tolist():
-            p, q = find(int(group[x])), find(int(group[at[x]]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                found.append((x, int(at[x])))
-        group = np.array([find(x) for x in range(len(root))])[group]
-    least = {g: int(nodes[group == g].min()) for g in {int(group[x]) for x, _ in found}}
-    return [(least[int(group[x])], *sorted((int(nodes[x]), int(nodes[y])), reverse=True)) for x, y in found]
-
-
-def pairs_within(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, radius: int, similarity: float, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(larger, smaller) nodes of different groups whose fingerprints are within radius, whose sets' sizes allow for the similarity
-    and whose first common band is this one, tile by tile."""
-    order = by_count(prints)
-    nodes, groups, sizes, prints = nodes[order], groups[order], sizes[order], prints[order]
-    bands = np.ascontiguousarray(prints).astype("<u8").view("<u2")
-    for i, j, apart in tiles_within(prints, groups, radius):
-        a, b = sizes[i : i + TILE, None], sizes[None, j : j + TILE]
-        x, y = np.nonzero((apart <= radius) & (np.minimum(a, b) >= similarity * np.maximum(a, b)))
-        first = ~(bands[i + x, :band] == bands[j + y, :band]).any(axis=1)
-        u, v = nodes[i + x[first]], nodes[j + y[first]]
-        if len(u):
-            yield np.maximum(u, v), np.minimum(u, v)
-
-
-def band_buckets(texts: DataFrame, words: int, bucket: int) -> DataFrame:
-    """(key, band, held): the texts that share a band, with the first `words` words of their fingerprints, where they are of different
-    groups.  texts: (node, grp, n, print array<long>).  A bucket beyond the bound is cut into tiles, and each pair of tiles is a row."""
-    band = lambda i: F.shiftright(F.get("print", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(0xFFFF) + (i << 16)
-    item = F.struct("node", "grp", "n", *[F.get("print", F.lit(w)).alias(f"w{w}") for w in range(words)])
-    rows = texts.select(item.alias("item"), F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("item.grp").alias("a"), F.max("item.grp").alias("b")).where("a <> b")  # else no pair
-    rows = rows.join(sizes.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("tiles")), "key")
-    own = F.pmod(F.xxhash64("item.node"), F.col("tiles")).cast("int")
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
-    held = rows.select("key", "item", tile.alias("tile")).groupBy("key", "tile").agg(F.collect_list("item").alias("held"))  # two tiles at most
-    return held.select(F.xxhash64("key", "tile").alias("key"), F.shiftright("key", 16).cast("int").alias("band"), "held")
-
-
-def fields_of(held: pa.ListArray, words: int) -> tuple[np.ndarray, ...]:
-    """(bounds, node, grp, n, print) of a batch's buckets."""
-    flat = held.flatten()
-    bounds = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
-    prints = np.stack([flat.field(3 + w).to_numpy().view(np.uint64) for w in range(words)], axis=1) if len(flat) else np.empty((0, words), np.uint64)
-    return bounds, *(flat.field(k).to_numpy() for k in range(3)), prints
-
-
-def closest_links(texts: DataFrame, words: int, radius: int, bucket: int) -> DataFrame:
-    """(tree, u, v): per bucket the closest links that join what is within radius; a tree is a joined part of a bucket."""
+def small_chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    for a, b in chunked(texts):
+        for c in range(a, b, 4096):
+            yield c, min(b, c + 4096)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds, node, grp, _, prints = fields_of(batch.column("held"), words)
-            length = np.diff(bounds)
-            own = np.repeat(np.arange(len(length)), length)
-            alive = length > SMALL  # small buckets are looked at together first: most have no link
-            for shift in range(1, min(SMALL, len(own))):
-                near = np.flatnonzero((own[shift:] == own[:-shift]) & (grp[shift:] != grp[:-shift]))
-                near = near[np.bitwise_count(prints[near] ^ prints[near + shift]).sum(axis=1, dtype=np.int64) <= radius]
-                alive[own[near]] = True
-            found: list[tuple[int, int, int]] = []
-            keys = batch.column("key").to_numpy()
-            for k in np.flatnonzero(alive).tolist():
-                a, b = bounds[k], bounds[k + 1]
-                links_ = forest_within(node[a:b], grp[a:b], prints[a:b], radius)
-                if links_:
-                    trees = mix(np.array([t for t, _, _ in links_], np.int64).view(np.uint64) ^ mix(keys[k : k + 1].view(np.uint64))).view(np.int64).tolist()
-                    found += [(t, u, v) for t, (_, u, v) in zip(trees, links_, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["tree", "u", "v"])
-
-    return band_buckets(texts, words, bucket).select("key", "held").mapInArrow(compare, "tree long, u long, v long")
-
-
-def candidate_pairs(texts: DataFrame, radius: int, similarity: float, bucket: int) -> DataFrame:
-    """Distinct pairs (u, v) of texts in different groups that share a band and whose whole fingerprints and sizes allow for the similarity."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprint_texts(keyed: DataFrame, width: int) -> DataFrame:
+    """(node, n, keys) of each distinct text: its set's size and its buckets.  keyed: (node, text)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, node, grp, n, prints = fields_of(batch.column("held"), WORDS)
-            for band, a, b in zip(batch.column("band").to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                for u, v in pairs_within(node[a:b], grp[a:b], n[a:b], prints[a:b], radius, similarity, band) if b - a > 1 else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            texts = as_bytes(batch.column("text"))
+            for a, b in small_chunks(texts):
+                ids, at = distinct_shingles(texts[a:b], width)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(bucket_keys(ids, at).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(np.diff(at)), keys], ["node", "n", "keys"])
 
-    return band_buckets(texts, WORDS, bucket).select("band", "held").mapInArrow(compare, "u long, v long").distinct()
+    marked = keyed.mapInArrow(scan, "node long, n long, keys array<long>")
+    return held(marked.groupBy("node").agg(F.max("n").alias("n"), F.max("keys").alias("keys")))
 
 
-def verified(keyed: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) whose whole texts' shingle sets have that Jaccard similarity.  keyed: (node, text)."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    whole = materialize(keyed.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+def shingle_sets(keyed: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(node, print, ids) of the asked nodes' texts: the wide fingerprint and the shingle numbers."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for k, (a, b) in enumerate(zip(as_bytes(batch.column("a")), as_bytes(batch.column("b")), strict=True)):
-                x, y = (distinct_shingles([t], width)[0] for t in (a, b))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= similarity * (len(x) + len(y) - common):
-                    keep.append(k)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+            texts = as_bytes(batch.column("text"))
+            for a, b in small_chunks(texts):
+                ids, at = distinct_shingles(texts[a:b], width)
+                prints = pa.FixedSizeListArray.from_arrays(pa.array(wide_fingerprints(ids, at).view(np.int64).ravel()), WORDS).cast(pa.list_(pa.int64()))
+                sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), prints, sets], ["node", "print", "ids"])
 
-    return materialize(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    whole = keyed.join(asked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return whole.select("node", "text").mapInArrow(scan, "node long, print array<long>, ids array<long>")
 
 
-def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def pairs_similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have that Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("ids").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("ids").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, tile: int = TILE_SHINGLES) -> DataFrame:
     """(node, root) for every distinct text: node = xxhash64 of the text, root = the group's smallest node.
 
-    Texts are linked if they are equal, if their 64-bit fingerprints differ in RADIUS bits or fewer, or if a band of
-    their wide fingerprints agrees, the fingerprints' distance allows for the similarity, and the Jaccard similarity of
-    their sets of width-word shingles is at least `similarity` when computed from the whole texts.  Recall at exactly 0.8
-    is about 0.97, at 0.9 above 0.999.  Blank texts are copies of each other.
+    Texts are linked if they are equal or if the Jaccard similarity of their whole texts' sets of width-word shingles is at least
+    `similarity`; a text of fewer words is one shingle, and texts without words are copies of each other.  Texts are compared
+    that share a bucket: a band of their sets' least hashes (two texts of exactly 0.8 share one of 16 with a chance of
+    0.9998), whose fingerprints in tiles are within the radius that the similarity allows, and whose sets then prove similar.
 
-    A large group's links are not listed as pairs: each bucket first gives the closest links that join its texts.  Only where
-    a tree is not joined by the links that hold are all texts of the tree's groups compared again, those of different groups
-    with each other.
+    Buckets with equal members are compared once.  A bucket gives links that join its texts, never all pairs.  A bucket of more
+    than `tile` shingles is first held against one of its texts; what is like that one is dealt over its tiles, and only the rest
+    goes to every tile.
     """
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = bounded(docs).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = fingerprint_texts(keyed, width)
+    rows = texts.select("node", (F.col("n") + 16).alias("n"), F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("total"), F.min("node").alias("hub"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sum")).where("texts > 1")
+    once = buckets.groupBy("texts", "total", "hub", "sum").agg(F.min("key").alias("key")).select("key", "hub", "total")
+    members = held(rows.join(once, "key"))
+    sets = shingle_sets(keyed, members, width)
+    stars = None
+    if members.where(F.col("total") > tile).take(1):
+        sets = held(sets)
+        stars = held(pairs_similar(sets, members.where(F.col("total") > tile).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), similarity))
+        like = stars.select(F.col("u").alias("node"), F.col("v").alias("hub"), F.lit(True).alias("_like"))
+        members = members.join(like, ["node", "hub"], "left").withColumn("settled", (F.col("total") > tile) & (F.coalesce("_like", F.lit(False)) | (F.col("node") == F.col("hub"))))
+        parts = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / tile).cast("int")
+        cuts = members.where(F.col("total") > tile).groupBy("key").agg(parts(F.col("settled")).alias("_with"), parts(~F.col("settled")).alias("_rest"))
+        members = members.join(cuts, "key", "left").withColumns({"with": F.coalesce("_with", F.lit(0)), "rest": F.coalesce("_rest", F.lit(1))})
+    else:
+        members = members.withColumns({"settled": F.lit(False), "with": F.lit(0), "rest": F.lit(1)})
+    # the rest's texts meet each other by pairs of tiles, and those that are like the hub in tiles of negative number
+    count = lambda c: F.slice(F.sequence(F.lit(0), F.col(c)), 1, F.col(c))  # noqa: E731  0 to c - 1
+    own = lambda c: F.pmod(F.xxhash64("node"), F.greatest(F.col(c), F.lit(1))).cast("int")
+    place = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(count("rest"), lambda k: place(F.least(k, own("rest")), F.greatest(k, own("rest"))))
+    across = F.transform(count("with"), lambda k: place(-1 - k, own("rest")))
+    tiles = F.when(F.col("settled"), F.transform(count("rest"), lambda k: place(-1 - own("with"), k))).otherwise(F.concat(among, across))
+    dealt = members.select("key", "node", F.when(F.col("settled"), F.col("hub")).otherwise(F.col("node")).alias("grp"), F.explode(tiles).alias("tile"))
+    tiles = dealt.join(sets, "node").groupBy("key", "tile").agg(F.collect_list(F.struct("node", "grp", "print", "ids")).alias("held")).where(F.size("held") > 1).select("held")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            parts = [wide_fingerprints(texts[a:b], width) for a, b in chunked(texts)]
-            prints = np.concatenate([p for p, _ in parts]) if parts else np.empty((0, WORDS), np.uint64)
-            sizes = np.concatenate([n for _, n in parts]) if parts else np.empty(0, np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.view(np.int64).ravel()), WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), lists], ["node", "n", "print"])
-
-    marked = keyed.mapInArrow(scan, "node long, n long, print array<long>")
-    texts = materialize(marked.groupBy("node").agg(F.max("n").alias("n"), F.max("print").alias("print")))
-    first = texts.select(F.get("print", F.lit(0)).alias("fingerprint")).distinct()
-    sure = components(links(first, RADIUS, bucket))
-    grouped = texts.withColumn("fingerprint", F.get("print", F.lit(0))).join(sure.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
-    grouped = materialize(grouped.select("node", "n", "print", F.coalesce("root", "fingerprint").alias("grp")))
-
-    closest = materialize(closest_links(grouped, FOREST_WORDS, within(64 * FOREST_WORDS, similarity), bucket))
-    pairs = closest.select("u", "v").distinct()
-    sides = [grouped.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("print").alias(f"p_{k}")) for k in "uv"]
-    apart = F.aggregate(F.zip_with("p_u", "p_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    radius = within(64 * WORDS, similarity)
-    pairs = pairs.join(sides[0], "u").join(sides[1], "v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v")).where(apart <= radius)
-    good = verified(keyed, materialize(pairs.select("u", "v")), width, similarity)
-    heads = grouped.groupBy("grp").agg(F.min("node").alias("v"))
-    stars = grouped.join(heads, "grp").where("node > v").select(F.col("node").alias("u"), "v")
-    found = materialize(components(good.unionByName(stars)))
-
-    # Each group of a tree has an end of one of its links: the ends' groups are all of the tree's groups.
-    rooted = materialize(grouped.join(found, "node", "left").select("node", "n", "print", F.col("grp").alias("sure"), F.coalesce("root", "node").alias("grp")))
-    ends = closest.select("tree", F.explode(F.array("u", "v")).alias("node")).distinct().join(rooted.select("node", "sure", "grp"), "node")
-    broken = ends.groupBy("tree").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("tree")
-    again = rooted.join(ends.join(broken, "tree", "left_semi").select("sure").distinct(), "sure", "left_semi").select("node", "n", "print", "grp")
-    pairs = candidate_pairs(materialize(again), radius, similarity, bucket).join(closest.select("u", "v"), ["u", "v"], "left_anti")
-    more = verified(keyed, materialize(pairs), width, similarity)
-    found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    return texts.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+            for bucket in batch.column(0):
+                flat = bucket.values
+                node, grp = (flat.field(k).to_numpy() for k in (0, 1))
+                prints = flat.field(2).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+                at = np.concatenate([[0], np.cumsum(flat.field(3).value_lengths().to_numpy())]).astype(np.int64)
+                order = np.argsort(node, kind="stable")  # the same links whatever order rows come in
+                ids, at = slices(flat.field(3).flatten().to_numpy().view(np.uint64), at, order)
+                pairs = [sorted((int(node[order[x]]), int(node[order[y]])), reverse=True) for x, y in links_within(ids, at, prints[order], grp[order], similarity)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    found = tiles.mapInArrow(compare, "u long, v long")
+    if stars is not None:
+        found = found.unionByName(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    joined = components(found.distinct())
+    return texts.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, tile: int = TILE_SHINGLES) -> DataFrame:
     """docs with one document of each group of near copies: that of the smallest doc_id (a null one only if there is no
     other, then that of the smallest text hash).  Columns stay; rows that repeat are copies."""
     node, id_ = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    groups = materialize(near_copy_groups(docs, width, similarity, bucket))
+    groups = near_copy_groups(docs, width, similarity, tile)
     ids = docs.select(node.alias("_node"), id_.alias("_id")).groupBy("_node").agg(F.min("_id").alias("_id"))
     best = ids.join(groups, ids["_node"] == groups["node"]).groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("best")).select("best.*")
     rows = docs.select(node.alias("_node"), id_.alias("_id"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")).join(best, ["_id", "_node"])

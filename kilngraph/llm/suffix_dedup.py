@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import CHUNK_BYTES, as_bytes, materialize, mix, prefix_hash, span_hash, text_key
+from kilngraph.llm._util import CHUNK_BYTES, as_bytes, bounded, held, mix, prefix_hash, span_hash, text_key
 
 LENGTH = 200
 GRAM = 48
@@ -37,7 +37,7 @@ POSITION_BITS = np.uint64(24)
 #: Runs of a block of runs, on average.
 BLOCK = 16
 
-RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("offset", pa.int32())])
+RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("head", pa.int64()), ("offset", pa.int32())])
 RANGES = "array<struct<start:int,end:int>>"
 RANGES_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -58,26 +58,26 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 def pieces(texts: list[bytes], length: int, limit: int = CHUNK_BYTES) -> Iterator[list[tuple[int, int, int]]]:
     """Groups of (text, first byte, end byte) with about limit bytes together; texts beyond that are cut into pieces
     that overlap by length - 1 bytes, so every window is in one piece."""
-    held, size = [], 0
+    group, size = [], 0
     for i, t in enumerate(texts):
         for a in range(0, max(1, len(t) - length + 1), limit):
             b = min(len(t), a + limit + length - 1)
             if b - a < length:
                 continue
-            if held and size + b - a > limit:
-                yield held
-                held, size = [], 0
-            held.append((i, a, b))
+            if group and size + b - a > limit:
+                yield group
+                group, size = [], 0
+            group.append((i, a, b))
             size += b - a + 1
-    if held:
-        yield held
+    if group:
+        yield group
 
 
 def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, context, start, n, block, offset) of every run in a group of pieces.
+    """(text, anchor, context, start, n, block, head, offset) of every run in a group of pieces.
 
     Consecutive runs of a piece are cut into blocks where a context's hash says so; block is the hash of the contexts in
-    it and offset the run's start within it, so equal passages have equal blocks."""
+    it, head the first of them (128 bits together) and offset the run's start within it, so equal passages have equal blocks."""
     joined = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in group), np.uint8)
     sizes = np.array([b - a for _, a, b in group])
     ends = np.cumsum(sizes)
@@ -105,7 +105,7 @@ def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int,
     block = np.cumsum(cut) - 1
     place = np.arange(len(first)) - heads[block]
     total = np.add.reduceat(mix(context + place.astype(np.uint64)), heads) if len(heads) else context
-    return text, grams[anchor[first]].view(np.int64), context.view(np.int64), begin + offset, n.astype(np.int32), mix(total)[block].view(np.int64), (begin - begin[heads][block]).astype(np.int32)
+    return text, grams[anchor[first]].view(np.int64), context.view(np.int64), begin + offset, n.astype(np.int32), mix(total)[block].view(np.int64), context[heads][block].view(np.int64), (begin - begin[heads][block]).astype(np.int32)
 
 
 def suffix_array(symbols: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -246,25 +246,25 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
     """
     id_, key_ = scoped_key(docs, scope)
     within = F.lit(0).cast("long") if scope is None else F.xxhash64(scope)
-    texts = docs.select(id_.alias("id"), key_.alias("key"), within.alias("within"), "text").where(F.octet_length("text") >= length)
+    texts = bounded(docs).select(id_.alias("id"), key_.alias("key"), within.alias("within"), "text").where(F.octet_length("text") >= length)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = as_bytes(batch.column("text"))
             ids, keys, within = (batch.column(c).to_numpy() for c in ("id", "key", "within"))
             for group in pieces(raw, length):
-                text, anchor, context, start, n, block, offset = runs_of(raw, group, length, gram)
+                text, anchor, context, start, n, block, head, offset = runs_of(raw, group, length, gram)
                 # blocks of different scopes are told apart, as their marks may differ
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n, block ^ within[text], offset)], schema=RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n, block ^ within[text], head, offset)], schema=RUNS)
 
-    runs = materialize(texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int, block long, offset int"))
+    runs = held(texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int, block long, head long, offset int"))
     # tables of their own on both sides of the join, so that Spark can split the partition of an anchor that is everywhere
-    twice = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
-    runs = materialize(runs.join(twice, "anchor", "left_semi"))
+    twice = held(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
+    runs = held(runs.join(twice, "anchor", "left_semi"))
 
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start")).alias("copy"), F.max("n").alias("n"), F.max("id").alias("last"))
-    contexts = materialize(contexts)
-    several = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    contexts = held(contexts)
+    several = held(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     asked = contexts.join(several, "anchor").groupBy("copy.id", "copy.key")
     asked = asked.agg(F.collect_list(F.struct("anchor", "context", "n", "kinds", F.col("copy.id").alias("first"), "last", "copy.start")).alias("asked"))  # a text's own runs
 
@@ -277,8 +277,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
                 columns.append([raw[w["start"] : w["start"] + w["n"] + length - 1] for w in wants])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    held = texts.join(asked, ["id", "key"]).select("text", "asked")
-    held = held.mapInArrow(cut, "anchor long, context long, n int, kinds long, first long, last long, bytes binary")
+    strings = texts.join(asked, ["id", "key"]).select("text", "asked")
+    strings = strings.mapInArrow(cut, "anchor long, context long, n int, kinds long, first long, last long, bytes binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("ranges", RANGES_ARROW)])
@@ -308,21 +308,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
                 prints = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(prints, pa.binary()), pa.array([first] * n, pa.int64()), pa.array([last] * n, pa.int64())], ["anchor", "context", "at", "print", "first", "last"])
 
-    held = materialize(held)
-    shards = held.where(F.col("kinds") <= hot_contexts).repartition("anchor").sortWithinPartitions("anchor", "context")
+    strings = held(strings)
+    shards = strings.where(F.col("kinds") <= hot_contexts).repartition("anchor").sortWithinPartitions("anchor", "context")
     sorted_ = shards.mapInArrow(sort, f"anchor long, context long, ranges {RANGES}")
-    hot = held.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary, first long, last long")
+    hot = strings.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary, first long, last long")
     again = hot.groupBy("anchor", "print").agg(F.count("*").alias("times"), F.min("first").alias("first"), F.max("last").alias("last"))
     again = again.where("first < last" if across else "times > 1").select("anchor", "print")
     hot = hot.join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
     whole = contexts.where("copy.id < last" if across else "times > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
     marks = whole.unionByName(sorted_).unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
     # marks go to the different blocks first and from there to the texts: a passage that is everywhere is joined once
-    members = runs.select("block", "offset", "anchor", "context").distinct().join(marks, ["anchor", "context"])
+    members = runs.select("block", "head", "offset", "anchor", "context").distinct().join(marks, ["anchor", "context"])
     moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("offset")).alias("start"), (r["end"] + F.col("offset")).alias("end")))
-    marked = materialize(members.groupBy("block").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a block's own runs
-    places = runs.select("id", "key", "block", (F.col("start") - F.col("offset")).alias("start")).distinct()
-    spans = places.join(marked, "block").groupBy("id", "key")
+    marked = held(members.groupBy("block", "head").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a block's own runs
+    places = runs.select("id", "key", "block", "head", (F.col("start") - F.col("offset")).alias("start")).distinct()
+    spans = places.join(marked, ["block", "head"]).groupBy("id", "key")
     return spans.agg(F.collect_list(F.struct("start", "ranges")).alias("starts"))  # a text's own blocks
 
 
@@ -350,7 +350,7 @@ def scoped_key(docs: DataFrame, scope: str | None) -> tuple[F.Column, F.Column]:
 def with_starts(docs: DataFrame, repeats: DataFrame, carry: list[str], scope: str | None = None) -> DataFrame:
     id_, key_ = scoped_key(docs, scope)
     row = F.struct(*[F.col(f"`{n}`") for n in carry])
-    keyed = docs.select(id_.alias("id"), key_.alias("key"), "text", row.alias("row"))
+    keyed = bounded(docs).select(id_.alias("id"), key_.alias("key"), "text", row.alias("row"))
     return keyed.join(repeats, ["id", "key"], "left").select("row", "text", "starts")
 
 

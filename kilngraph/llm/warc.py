@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import materialize
+from kilngraph.llm._util import bounded, materialize
 
 #: Bytes of a record's block beyond which it goes on in continuation records.
 SEGMENT = 32 << 10
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, least: int = LEAST, segment: int = SEGMENT,
     revisit it; a null page_id comes before all others.  A null html is an empty payload.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     copies = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(copies, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))

@@ -131,6 +131,39 @@ def test_op7_overlapping_sources(spark):
     assert sum(r["taken"] for r in out.values()) <= 1.5 * (150 + 60) + 1
 
 
+def test_op5_without_labels_of_both_classes_all_stay(spark, edge):
+    for labels in ([], [(1, 1, 0), (4, 1, 0)], [(1, 0, 1), (4, 0, 1)]):
+        out = quality.quality_scores(edge, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        assert len(out) == len(EDGE) and all(r["keep"] for r in out)
+        assert quality.keep_good(edge, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(EDGE)
+
+
+def test_op5_sites_against_brute_force(spark):
+    import math
+    import random
+
+    random.seed(2)
+    rows = [(h, p, random.random() * (0.9 if h == "bad" else 0.3 if p == "x" else 0.1)) for h in ("a", "b", None, "bad") for p in ("x", "y", None) for _ in range(random.randrange(1, 9))]
+    sites, prior = quality.site_sums(spark.createDataFrame(rows, "host string, path string, bad double"))
+    n, rate = len(rows), sum(r[2] for r in rows) / len(rows)
+    of = lambda *k: [r[2] for r in rows if r[: len(k)] == k]
+    hosts, paths = {r[0] for r in rows}, {r[:2] for r in rows}
+    mean = lambda x: sum(x) / len(x)
+    variance = sum(sum((v - mean(of(*p))) ** 2 for v in of(*p)) for p in paths) / (n - len(paths))
+    between = [(sum(len(of(h)) * (mean(of(h)) - rate) ** 2 for h in hosts) - (len(hosts) - 1) * variance) / n, (sum(len(of(*p)) * (mean(of(*p)) - mean(of(p[0]))) ** 2 for p in paths) - (len(paths) - len(hosts)) * variance) / n]
+    strength = [min(max(variance / b, 1.0), 1e6) if b > 0 else 1e6 for b in between]
+    assert (prior.rate, prior.host, prior.path) == pytest.approx((rate, *strength))
+    from pyspark.sql import functions as F
+
+    got = {(r["host"], r["path"]): r["shift"] for r in sites.select("host", "path", quality.site_shift(prior, F.lit(0.05)).alias("shift")).collect()}
+    assert set(got) == paths
+    for p in paths:
+        host = (strength[0] * rate + sum(of(p[0])) - 0.05) / (strength[0] + len(of(p[0])) - 1)
+        path = (strength[1] * host + sum(of(*p)) - 0.05) / (strength[1] + len(of(*p)) - 1)
+        path = min(max(path, 1e-4), 1 - 1e-4)
+        assert got[p] == pytest.approx(min(max(math.log(path / (1 - path)) - math.log(rate / (1 - rate)), -2), 2))
+
+
 def test_op5_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -162,8 +195,9 @@ def test_near_copies_by_similarity(spark):
     assert kept == sorted(min(k for k, r in enumerate(roots) if r == g) for g in set(roots))
 
 
-def test_near_copies_between_large_groups(spark):
-    """Groups of a hundred and twenty variants each, in pairs of groups that only one pair of texts links."""
+@pytest.mark.parametrize("tile", [simhash.TILE_SHINGLES, 20_000])
+def test_near_copies_between_large_groups(spark, tile):
+    """Groups of a hundred and twenty variants each, in pairs of groups that only one pair of texts links; also in many tiles."""
     import random
 
     random.seed(11)
@@ -180,14 +214,13 @@ def test_near_copies_between_large_groups(spark):
                 c[k] = other[k] if v == 60 else f"v{random.randrange(10**6)}"
                 texts.append(" ".join(c))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["node"]: r["root"] for r in simhash.near_copy_groups(df).collect()}
+    got = {r["node"]: r["root"] for r in simhash.near_copy_groups(df, tile=tile).collect()}
     nodes = [r["node"] for r in df.selectExpr("xxhash64(text) node").collect()]
     sets = [set(zip(*[w[k:] for k in range(5)])) for w in (t.split() for t in texts)]
-    prints = [int(x) for x in simhash.wide_fingerprints([t.encode() for t in texts], 5)[0][:, 0]]
     links = []
     for i in range(len(texts)):
         for j in range(i // 240 * 240, i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2 or (c := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - c):
+            if (c := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - c):
                 links.append((i, j))
     roots = brute.components(len(texts), links)
     parts = lambda labels: {tuple(i for i, x in enumerate(labels) if x == g) for g in set(labels)}
