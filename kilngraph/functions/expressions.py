@@ -22,10 +22,10 @@ def list_size(c: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(pipe_count(text) + 1).cast("long")
 
 
-def richness(c: Column) -> Column:
-    """How rich an interaction string is, as a sort key: a list before a single item, then more items, then more
+def poverty(c: Column) -> Column:
+    """A sort key that is smallest for the richest interaction string: a list before a single item, then more items, then more
     characters; null is poorest."""
-    return F.struct(c.isNotNull().alias("there"), F.contains(c, F.lit("|")).alias("many"), pipe_count(c).alias("pipes"), F.char_length(c).alias("chars"))
+    return F.struct(c.isNull().alias("none"), (~F.contains(c, F.lit("|"))).alias("single"), (-pipe_count(c)).alias("pipes"), (-F.char_length(c)).alias("chars"))
 
 
 def items(c: Column) -> Column:
@@ -170,18 +170,20 @@ def draw(seed: object, *keys: Column, below: int | Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), bound)
 
 
+def shares(n: int, parts: Sequence[float]) -> list[int]:
+    """n in whole numbers by the parts, which sum to 1: each rounded down, what is left to the largest remainders."""
+    whole = [math.floor(n * p + 1e-9) for p in parts]
+    behind = sorted(range(len(parts)), key=lambda i: whole[i] - n * parts[i])  # the largest remainder first
+    return [w + (i in behind[: n - sum(whole)]) for i, w in enumerate(whole)]
+
+
 def split_counts(n: int, val_ratio: float, test_ratio: float) -> tuple[int, int, int]:
-    """(train, val, test) sizes by largest remainders; none is empty, the largest gives."""
-    if min(val_ratio, test_ratio) <= 0 or val_ratio + test_ratio >= 1:
-        raise ValueError("ratios must be positive and leave something for train")
-    if n < 3:
-        raise ValueError("a split needs three edges")
-    exact = [n * (1 - val_ratio - test_ratio), n * val_ratio, n * test_ratio]
-    sizes = [math.floor(x + 1e-9) for x in exact]
-    for i in sorted(range(3), key=lambda i: sizes[i] - exact[i])[: n - sum(sizes)]:
-        sizes[i] += 1
-    for i in range(3):
-        while sizes[i] < 1:
-            sizes[max(range(3), key=sizes.__getitem__)] -= 1
-            sizes[i] += 1
-    return sizes[0], sizes[1], sizes[2]
+    """(train, val, test) sizes by largest remainders; an empty one gets an edge of the largest."""
+    train_ratio = 1 - val_ratio - test_ratio
+    if not (val_ratio > 0 and test_ratio > 0 and train_ratio > 0 and n >= 3):
+        raise ValueError("a split needs three edges, and ratios that leave some to each part")
+    train, val, test = shares(n, [train_ratio, val_ratio, test_ratio])
+    val, test = max(val, 1), max(test, 1)  # with three edges or more train can spare them, or the larger of the two can
+    if n - val - test < 1:
+        val, test = (val - 1, test) if val > test else (val, test - 1)
+    return n - val - test, val, test

@@ -63,14 +63,15 @@ class Numeric(Encoder):
 
 @dataclass
 class Boolean(Encoder):
-    """1 for true, numbers but 0, and 1/true/yes/y/t in any case; else 0, missing too."""
+    """1 for true, for numbers but 0, and for the strings 1, true, yes, y and t in any case; else 0, missing too."""
 
     column: str
 
     def vector(self) -> Column:
         text = F.lower(F.trim(F.col(self.column).cast("string")))
         number = text.try_cast("double")
-        return F.array(F.when(text.isin("1", "true", "yes", "y", "t") | F.coalesce((number != 0) & ~F.isnan(number), F.lit(False)), 1.0).otherwise(0.0))
+        number = F.coalesce((number != 0) & ~F.isnan(number), text == "true")
+        return F.array(F.when(F.when(F.typeof(self.column) == "string", text.isin("1", "true", "yes", "y", "t")).otherwise(number), 1.0).otherwise(0.0))
 
     def names(self) -> list[str]:
         return [self.column]

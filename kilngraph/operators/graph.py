@@ -61,9 +61,11 @@ def adjacency(edges: DataFrame, position: Column) -> DataFrame:
 
 
 def fingerprint(edges: DataFrame) -> DataFrame:
-    """(n, digest): an edge set's size and a digest that does not depend on the order of rows."""
-    each = X.draw("edge", F.col("src"), F.col("dst"), below=2**31 - 1)
-    return edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(each), F.lit(0)).cast("long").alias("digest"))
+    """(n, digest, mixed): an edge set's size, and the sum and the exclusive or of two 60-bit hashes of its rows, which do not
+    depend on the order of rows."""
+    first, second = (X.draw(f"edge {k}", F.col("src"), F.col("dst"), below=2**60) for k in (1, 2))
+    total = F.coalesce(F.sum(first.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return edges.agg(F.count("*").alias("n"), total.cast("string").alias("digest"), F.coalesce(F.bit_xor(second), F.lit(0).cast("long")).alias("mixed"))
 
 
 def same_edges(a: DataFrame, b: DataFrame) -> bool:

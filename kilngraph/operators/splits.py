@@ -32,19 +32,72 @@ def random_split(edges: DataFrame, val: float, test: float, seed: int = 42) -> D
     return ordered.select("src", "dst", *[c for c in edges.columns if c not in ("src", "dst")], part.alias("split"))
 
 
+def stratum_shares(sizes: DataFrame, total: int, val: int, test: int, stratum: str) -> DataFrame:
+    """(stratum, n, n_test, n_val): test and then val are dealt to the strata by their sizes, by largest remainders (ties: the
+    smaller stratum number).  sizes: (stratum, n), a row a stratum, bins squared at most."""
+
+    def dealt(df: DataFrame, of: str, count: int, out_of: int, name: str) -> DataFrame:
+        exact = F.col(of).cast("decimal(19,0)") * F.lit(count).cast("decimal(19,0)")
+        df = df.withColumn("_low", F.floor(exact / F.lit(max(out_of, 1))).cast("long")).withColumn("_rest", exact - F.col("_low") * F.lit(max(out_of, 1)))
+        left = F.lit(count) - F.sum("_low").over(Window.partitionBy())
+        place = F.row_number().over(Window.orderBy(F.desc("_rest"), stratum))
+        return df.withColumn(name, (F.col("_low") + (place <= left).cast("long"))).drop("_low", "_rest")
+
+    out = dealt(sizes, "n", test, total, "n_test").withColumn("_left", F.col("n") - F.col("n_test"))
+    return dealt(out, "_left", val, total - test, "n_val").drop("_left")
+
+
 def stratified_split(edges: DataFrame, val: float, test: float, stratum: str = "stratum", seed: int = 42, buckets: int = 256) -> DataFrame:
-    """edges with split: each stratum's shares are rounded down, the rest stays in train.
+    """edges with split: test and val have their exact sizes, and each stratum its share of them by largest remainders.
 
     A stratum is ordered bucket by bucket of its draw, so a large one does not land in one task."""
     marked = edges.withColumn("_draw", draw_order(seed)[0]).withColumn("_bucket", F.shiftright("_draw", 40 - (buckets.bit_length() - 1)).cast("int"))
     sizes = marked.groupBy(stratum, "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_bucket")) - F.col("_n")  # buckets rows a stratum
-    begins = sizes.withColumn("_before", before).withColumn("_total", F.sum("_n").over(Window.partitionBy(stratum))).drop("_n")
+    total = edges.count()
+    _, n_val, n_test = X.split_counts(total, val, test)
+    shares = stratum_shares(sizes.groupBy(stratum).agg(F.sum("_n").alias("n")), total, n_val, n_test, stratum).drop("n")
+    begins = sizes.withColumn("_before", before).drop("_n").join(F.broadcast(shares), stratum)  # a row a stratum
     at = F.row_number().over(Window.partitionBy(stratum, "_bucket").orderBy("_draw", "src", "dst")) - 1 + F.col("_before")
-    laid = marked.join(F.broadcast(begins), [stratum, "_bucket"]).withColumn("_at", at)
-    n_test, n_val = (F.floor(F.col("_total") * share).cast("long") for share in (test, val))
-    part = F.when(F.col("_at") < n_test, "test").when(F.col("_at") < n_test + n_val, "val").otherwise("train")
-    return laid.withColumn("split", part).drop("_draw", "_bucket", "_before", "_total", "_at")
+    laid = marked.join(F.broadcast(begins), [stratum, "_bucket"]).withColumn("_at", at)  # buckets rows a stratum at most
+    part = F.when(F.col("_at") < F.col("n_test"), "test").when(F.col("_at") < F.col("n_test") + F.col("n_val"), "val").otherwise("train")
+    return laid.withColumn("split", part).drop("_draw", "_bucket", "_before", "_at", "n_test", "n_val")
+
+
+def split_edges(edges: DataFrame, val: float, test: float, bins: int = 8, seed: int = 42, stratify: bool = True, cover: bool = True) -> tuple[DataFrame, str]:
+    """(edges with split, strategy): stratified by degrees where every stratum has two edges and either part an edge a
+    stratum, else random; then rebalanced for train's coverage."""
+    strategy = "random"
+    if stratify:
+        marked = degree_strata(edges, bins)
+        seen = marked.groupBy("stratum").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.count("*").alias("kinds"), F.sum("n").alias("n")).first()
+        _, n_val, n_test = X.split_counts(seen["n"] or 0, val, test)
+        if seen["least"] >= 2 and min(n_val, n_test) >= seen["kinds"]:
+            strategy = "stratified"
+    out = stratified_split(marked, val, test, seed=seed).drop("stratum") if strategy == "stratified" else random_split(edges, val, test, seed)
+    return (covering(out, seed) if cover else out), strategy
+
+
+def covering(split: DataFrame, seed: int = 42) -> DataFrame:
+    """split with more nodes in train, its sizes as they were: of each node that train lacks the val or test edge of least draw
+    goes to train, and for each of them a train edge that neither end needs goes back to that part.
+
+    Every node's train edge of least draw is its own; an edge that is no node's own can go, whatever else goes.  Where too
+    few can go, as many edges change places as can."""
+    drawn = split.withColumn("_draw", draw_order(seed)[0])
+    train, rest = drawn.where("split = 'train'"), drawn.where("split <> 'train'")
+
+    def firsts(df: DataFrame, end: str) -> DataFrame:
+        return df.groupBy(end).agg(F.min_by(F.struct("src", "dst"), F.struct("_draw", "src", "dst")).alias("e")).select("e.src", "e.dst")
+
+    lacking = [firsts(rest.join(train.select(end).distinct(), end, "left_anti"), end) for end in ("src", "dst")]
+    wanted = lacking[0].union(lacking[1]).distinct().join(rest.select("src", "dst", "split", "_draw"), ["src", "dst"])
+    own = firsts(train, "src").union(firsts(train, "dst")).distinct()
+    spare = train.select("src", "dst", "_draw").join(own, ["src", "dst"], "left_anti")
+    wanted, spare = surrogate_keys(wanted, ["_draw", "src", "dst"], "_at"), surrogate_keys(spare, ["_draw", "src", "dst"], "_at")
+    swaps = wanted.select("_at", F.col("src").alias("in_src"), F.col("dst").alias("in_dst"), F.col("split").alias("part")).join(spare.select("_at", "src", "dst"), "_at")
+    moves = swaps.select("src", "dst", F.col("part").alias("_to")).union(swaps.select("in_src", "in_dst", F.lit("train")))
+    return split.join(moves, ["src", "dst"], "left").withColumn("split", F.coalesce("_to", "split")).drop("_to")
 
 
 def coverage(split: DataFrame) -> DataFrame:
@@ -60,19 +113,24 @@ def known_by_phase(split: DataFrame) -> DataFrame:
 
 
 def negatives(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int = 5, tries: int = 4, seed: int = 42) -> DataFrame:
-    """(src, dst, k, neg_src, neg_dst): k pairs a positive that are not known, one end replaced; ids are 0 to n - 1.
+    """(src, dst, k, neg_src, neg_dst): k pairs for every positive that are not known, one end replaced; ids are 0 to n - 1.
+
+    Which end follows from a draw; the first of `tries` candidates that is not known counts, and where all are known all ids are
+    searched, of the other end too (see repaired).  RuntimeError where no pair is left."""
+    return repaired(positives, tried(positives, known, n_src, n_dst, k, tries, seed), known, n_src, n_dst, k, seed)
+
 
-    Which end follows from a draw; the first of `tries` candidates that is not known counts.  Positives for which all
-    are known are missing: repaired() gives them an exhaustive search."""
+def tried(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int, tries: int, seed: int) -> DataFrame:
+    """negatives() without the search: positives all of whose candidates are known are missing."""
     each = positives.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
     each = each.withColumn("_turn", X.draw(seed, F.lit("side"), F.col("src"), F.col("dst"), F.col("k"), below=2) == 0)
     each = each.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     key = [F.lit("pick"), F.col("src"), F.col("dst"), F.col("k"), F.col("_try")]
-    tried = each.withColumns({
+    drawn = each.withColumns({
         "neg_src": F.when(F.col("_turn"), F.col("src")).otherwise(X.draw(seed, *key, below=n_src)), "neg_dst": F.when(F.col("_turn"), X.draw(seed, *key, below=n_dst)).otherwise(F.col("dst")),
     })
     pairs = known.select(F.col("src").alias("neg_src"), F.col("dst").alias("neg_dst")).distinct()
-    fresh = tried.join(pairs, ["neg_src", "neg_dst"], "left_anti")
+    fresh = drawn.join(pairs, ["neg_src", "neg_dst"], "left_anti")
     return fresh.groupBy("src", "dst", "k").agg(F.min_by(F.struct("neg_src", "neg_dst"), "_try").alias("pair")).select("src", "dst", "k", "pair.*")
 
 

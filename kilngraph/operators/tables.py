@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from kilngraph.functions import expressions as X
 from kilngraph.operators.ids import surrogate_keys
 
-ACTIONS = {"affects": 0, "increases": 1, "decreases": 2}
-ONTOLOGIES = {"Biological Process": 0, "Molecular Function": 1, "Cellular Component": 2}
-EVIDENCE = {"marker/mechanism": 0, "therapeutic": 1, "marker/mechanism|therapeutic": 2}
+# Codes of the surveyed data model; anything else has the code that stands behind them.
+ACTIONS, OTHER_ACTION = {"increases": 0, "decreases": 1, "affects": 2}, 2
+ONTOLOGIES, OTHER_ONTOLOGY = {"Biological Process": 0, "Molecular Function": 1, "Cellular Component": 2}, 0
+EVIDENCE, OTHER_EVIDENCE = {"marker/mechanism": 0, "therapeutic": 1}, 2
 
 # ---- nodes ------------------------------------------------------------------------------------------------------------
 
@@ -58,30 +59,24 @@ def both_sides(left: list[DataFrame], right: list[DataFrame], key: str, describe
 
 
 def richest(df: DataFrame, keys: list[str], text: str, tie: list[str]) -> DataFrame:
-    """Of each key the row with the richest interaction string (see richness), ties by the smallest tie columns."""
+    """Of each key the row with the richest interaction string (see poverty), ties by the smallest tie columns."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(X.richness(F.col(text)), *[descending(t, df) for t in tie]))
+    best = F.min_by(F.struct(*rest), F.struct(X.poverty(F.col(text)), *tie))
     return df.groupBy(*keys).agg(best.alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
-def descending(name: str, df: DataFrame) -> Column:
-    """A sort key that is largest for the smallest value of a number or string column."""
-    if dict(df.dtypes)[name] == "string":
-        return F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c)).alias(name)
-    return (-F.col(name)).alias(name)
+def exploded_actions(df: DataFrame, text: str) -> DataFrame:
+    """A row for each item of a piped interaction list, with action_type and action_subject around its '^'.
 
-
-def exploded_actions(df: DataFrame, text: str, default: tuple[str, str] = ("affects", "unknown")) -> DataFrame:
-    """A row for each item of a piped interaction list, with action_type and action_subject around its '^'."""
-    filled = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.lit("^".join(default))).otherwise(F.col(text))
-    rows = df.withColumn("_item", F.explode(X.items(filled)))
-    return rows.withColumns({"action_type": X.pair(F.col("_item"), 0), "action_subject": X.pair(F.col("_item"), 1)}).drop("_item").dropna(subset=["action_subject"])
+    A null or empty list gives no row; an item without '^' has no subject (null)."""
+    rows = df.where(F.col(text) != "").withColumn("_item", F.explode(X.items(F.col(text))))
+    return rows.withColumns({"action_type": X.pair(F.col("_item"), 0), "action_subject": X.pair(F.col("_item"), 1)}).drop("_item")
 
 
 def evidence_edges(df: DataFrame, keys: list[str], evidence: str, papers: str, codes: dict[str, int] | None = None) -> DataFrame:
-    """Per key the smallest evidence's code and the log of the largest paper count."""
-    grouped = df.groupBy(*keys).agg(F.min(evidence).alias("_e"), F.max(X.list_size(F.col(papers))).alias("_n"))
-    return grouped.select(*keys, X.code(F.col("_e"), codes or EVIDENCE, 0).alias("evidence_type"), F.log1p(F.col("_n").cast("double")).alias("log_papers"))
+    """Per key the smallest evidence's code (null is 'unspecified') and the log of the largest paper count."""
+    grouped = df.groupBy(*keys).agg(F.min(F.coalesce(F.col(evidence), F.lit("unspecified"))).alias("_e"), F.max(X.list_size(F.col(papers))).alias("_n"))
+    return grouped.select(*keys, X.code(F.col("_e"), codes or EVIDENCE, OTHER_EVIDENCE).alias("evidence_type"), F.log1p(F.col("_n").cast("double")).alias("log_papers"))
 
 
 def undirected(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -115,7 +110,7 @@ def enrichment_edges(df: DataFrame, keys: list[str], p: str, hits: str, total: s
 
 def least_action(df: DataFrame, keys: list[str], text: str, codes: dict[str, int] | None = None) -> DataFrame:
     """Per key the smallest action code of its strings."""
-    return df.groupBy(*keys).agg(F.min(X.code(X.leading_action(F.col(text)), codes or ACTIONS, 0)).alias("action_type"))
+    return df.groupBy(*keys).agg(F.min(X.code(X.leading_action(F.col(text)), codes or ACTIONS, OTHER_ACTION)).alias("action_type"))
 
 
 def grouped_logs(df: DataFrame, keys: list[str], first: str, counts: dict[str, str]) -> DataFrame:

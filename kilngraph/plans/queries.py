@@ -84,13 +84,13 @@ def both_side_nodes(spark, d):
 
 
 INTERACTIONS = """, texts AS (SELECT l_partkey AS part, l_suppkey AS supplier, l_orderkey AS o, string_agg(DISTINCT l_returnflag || '^' || l_linestatus, '|' ORDER BY l_returnflag || '^' || l_linestatus) AS ixn FROM lineitem GROUP BY ALL),
-best AS (SELECT part, supplier, ixn FROM (SELECT *, row_number() OVER (PARTITION BY part, supplier ORDER BY contains(ixn, '|') DESC, len(ixn) - len(replace(ixn, '|', '')) DESC, len(ixn) DESC, o) AS r FROM texts) WHERE r = 1)
+best AS (SELECT part, supplier, ixn FROM (SELECT *, row_number() OVER (PARTITION BY part, supplier ORDER BY contains(ixn, '|') DESC, len(ixn) - len(replace(ixn, '|', '')) DESC, len(ixn) DESC, CAST(o AS VARCHAR)) AS r FROM texts) WHERE r = 1)
 """
 
 
 def interactions(spark, d):
     pair = F.concat_ws("^", "l_returnflag", "l_linestatus")
-    return A.load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("o")).agg(F.array_join(F.array_sort(F.collect_set(pair)), "|").alias("ixn"))
+    return A.load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").cast("string").alias("o")).agg(F.array_join(F.array_sort(F.collect_set(pair)), "|").alias("ixn"))
 
 
 @query(INTERACTIONS + "SELECT part, supplier, ixn FROM best")
@@ -98,17 +98,23 @@ def richest_interaction(spark, d):
     return T.richest(interactions(spark, d), ["part", "supplier"], "ixn", ["o"]).select("part", "supplier", "ixn")
 
 
-@query(INTERACTIONS + ", items AS (SELECT part, supplier, unnest(string_split(ixn, '|')) AS item FROM best) SELECT string_split(item, '^')[1] AS action_type, string_split(item, '^')[2] AS action_subject, count(*) AS n FROM items GROUP BY 1, 2")
+@query(INTERACTIONS + ", items AS (SELECT part, supplier, unnest(string_split(regexp_replace(ixn, 'R.F', 'R', 'g'), '|')) AS item FROM best WHERE part % 11 <> 0) SELECT string_split(item, '^')[1] AS action_type, CASE WHEN len(string_split(item, '^')) > 1 THEN string_split(item, '^')[2] END AS action_subject, count(*) AS n FROM items GROUP BY 1, 2")
 def interaction_items(spark, d):
+    """Some lists are null, some items have no subject."""
     best = T.richest(interactions(spark, d), ["part", "supplier"], "ixn", ["o"])
+    best = best.withColumn("ixn", F.when(F.col("part") % 11 != 0, F.regexp_replace("ixn", "R.F", "R")))
     return T.exploded_actions(best, "ixn").groupBy("action_type", "action_subject").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey AS customer, l_suppkey AS supplier, CAST(CASE min(o_orderpriority) WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 0 END AS INT) AS evidence_type,
-round(ln(1 + max(length(o_orderpriority) - length(replace(o_orderpriority, '|', '')) + 1)), 6) AS log_papers FROM lo WHERE l_discount >= 0.05 GROUP BY 1, 2""")
+@query("""SELECT customer, supplier, CAST(CASE e WHEN 'marker/mechanism' THEN 0 WHEN 'therapeutic' THEN 1 ELSE 2 END AS INT) AS evidence_type, round(ln(1 + n), 6) AS log_papers FROM (SELECT o_custkey AS customer, l_suppkey AS supplier,
+min(CASE o_orderpriority WHEN '1-URGENT' THEN 'marker/mechanism' WHEN '2-HIGH' THEN 'therapeutic' WHEN '3-MEDIUM' THEN 'marker/mechanism|therapeutic' ELSE 'unspecified' END) AS e, max(l_linenumber - 1) AS n FROM lo GROUP BY 1, 2)""")
 def evidence_edges(spark, d):
-    rows = A.lines_with_orders(spark, d).where("l_discount >= 0.05").select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier"), "o_orderpriority")
-    out = T.evidence_edges(rows, ["customer", "supplier"], "o_orderpriority", "o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2})
+    """The shipped codes; evidence and papers are null for some rows."""
+    p, n = F.col("o_orderpriority"), F.col("l_linenumber")
+    evidence = F.when(p == "1-URGENT", "marker/mechanism").when(p == "2-HIGH", "therapeutic").when(p == "3-MEDIUM", "marker/mechanism|therapeutic")
+    papers = F.when(n == 2, "7").when(n > 2, F.concat(F.lit("7"), F.expr("repeat('|8', l_linenumber - 2)")))
+    rows = A.lines_with_orders(spark, d).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier"), evidence.alias("evidence"), papers.alias("papers"))
+    out = T.evidence_edges(rows, ["customer", "supplier"], "evidence", "papers")
     return out.withColumn("log_papers", F.round("log_papers", 6))
 
 
@@ -134,16 +140,19 @@ def enrichment_edges(spark, d):
     return out.select("part", "pathway", *[F.round(x, 6).alias(x) for x in ("neg_log_p", "target_ratio", "fold_enrichment")])
 
 
-@query("SELECT l_suppkey AS supplier, count(DISTINCT nullif(l_linestatus, 'F')) + max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS kinds FROM lineitem WHERE l_quantity < 5 GROUP BY 1")
+@query("SELECT l_suppkey AS supplier, count(DISTINCT nullif(l_linestatus, 'F')) + max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS kinds FROM lineitem GROUP BY 1")
 def distinct_with_null(spark, d):
-    rows = A.load(spark, d, "lineitem").where("l_quantity < 5").select(F.col("l_suppkey").alias("supplier"), F.nullif("l_linestatus", F.lit("F")).alias("s"))
+    rows = A.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.nullif("l_linestatus", F.lit("F")).alias("s"))
     return rows.groupBy("supplier").agg(T.count_with_null("s").cast("long").alias("kinds"))
 
 
-@query("""SELECT l_partkey AS part, l_suppkey AS supplier, min(CAST(CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS INT)) AS action_type FROM lineitem WHERE l_quantity >= 40 GROUP BY 1, 2""")
+@query("""SELECT l_partkey AS part, l_suppkey AS supplier, min(CAST(CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS INT)) AS action_type FROM lineitem GROUP BY 1, 2""")
 def least_action(spark, d):
-    rows = A.load(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.concat("l_returnflag", F.lit("^x")).alias("text"))
-    return T.least_action(rows, ["part", "supplier"], "text", {"A": 1, "R": 2})
+    """The shipped codes; some rows have no action, an unknown one or none before '^'."""
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    text = F.when(flag == "A", "increases^x").when(flag == "R", "decreases^y").when(n == 1, "affects^x").when(n == 2, "co-treats").when(n == 3, "other^z")
+    rows = A.load(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), text.alias("text"))
+    return T.least_action(rows, ["part", "supplier"], "text")
 
 
 @query("""SELECT n_name AS code, id, CASE WHEN parent IS NULL THEN NULL ELSE coalesce(p.pid, -1) END AS parent_id FROM
@@ -179,7 +188,7 @@ def node_degrees(spark, d):
     return G.degrees(A.load(spark, d, "part"), "p_partkey", A.supplied(spark, d).withColumnRenamed("src", "s"), "s")
 
 
-@query(f"SELECT count(*) AS n, CAST(sum({draw_sql('edge', 'src', 'dst', below=2**31 - 1)}) AS BIGINT) AS digest FROM bought")
+@query(f"SELECT count(*) AS n, CAST(sum(CAST({draw_sql('edge 1', 'src', 'dst', below=2**60)} AS HUGEINT)) AS VARCHAR) AS digest, bit_xor({draw_sql('edge 2', 'src', 'dst', below=2**60)}) AS mixed FROM bought")
 def edge_fingerprint(spark, d):
     return G.fingerprint(A.bought(spark, d))
 
@@ -295,8 +304,13 @@ def random_split(spark, d):
     return splits.random_split(A.bought(spark, d), 0.1, 0.1)
 
 
-SPLIT = STRATA + f""", so AS (SELECT src, dst, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {ORDERED}, src, dst) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM st),
-sp AS (SELECT src, dst, stratum, CASE WHEN r < floor(n * 0.1) THEN 'test' WHEN r < floor(n * 0.1) * 2 THEN 'val' ELSE 'train' END AS split FROM so)
+SPLIT = STRATA + f""", kk AS (SELECT count(*) AS e, count(*) // 10 + CASE WHEN count(*) % 10 > 5 THEN 1 ELSE 0 END AS t, count(*) // 10 + CASE WHEN count(*) % 10 >= 5 THEN 1 ELSE 0 END AS v FROM st),
+s1 AS (SELECT stratum, n, n * t // e AS low, n * t % e AS rest, t, v, e FROM (SELECT stratum, count(*) AS n FROM st GROUP BY 1) CROSS JOIN kk),
+s2 AS (SELECT stratum, n, t, v, e, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= t - sum(low) OVER () THEN 1 ELSE 0 END AS n_test FROM s1),
+s3 AS (SELECT *, (n - n_test) * v // (e - t) AS low, (n - n_test) * v % (e - t) AS rest FROM s2),
+s4 AS (SELECT stratum, n_test, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= v - sum(low) OVER () THEN 1 ELSE 0 END AS n_val FROM s3),
+so AS (SELECT src, dst, stratum, {ORDERED} AS draw, row_number() OVER (PARTITION BY stratum ORDER BY {ORDERED}, src, dst) - 1 AS r FROM st),
+sp AS (SELECT src, dst, stratum, draw, CASE WHEN r < n_test THEN 'test' WHEN r < n_test + n_val THEN 'val' ELSE 'train' END AS split FROM so JOIN s4 USING (stratum))
 """
 
 
@@ -314,6 +328,17 @@ def split_coverage(spark, d):
     return splits.coverage(stratified(spark, d))
 
 
+@query(SPLIT + """, tr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY draw, src, dst) = 1 OR row_number() OVER (PARTITION BY dst ORDER BY draw, src, dst) = 1 AS own FROM sp WHERE split = 'train'),
+ls AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY draw, src, dst) AS r FROM sp WHERE split <> 'train' AND src NOT IN (SELECT src FROM tr)) WHERE r = 1),
+ld AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY draw, src, dst) AS r FROM sp WHERE split <> 'train' AND dst NOT IN (SELECT dst FROM tr)) WHERE r = 1),
+wa AS (SELECT src, dst, split, row_number() OVER (ORDER BY draw, src, dst) AS pos FROM sp WHERE (src, dst) IN (SELECT (src, dst) FROM ls UNION SELECT (src, dst) FROM ld)),
+sr AS (SELECT src, dst, row_number() OVER (ORDER BY draw, src, dst) AS pos FROM tr WHERE NOT own),
+mo AS (SELECT sr.src, sr.dst, wa.split AS part FROM wa JOIN sr USING (pos) UNION ALL SELECT wa.src, wa.dst, 'train' FROM wa JOIN sr USING (pos))
+SELECT src, dst, coalesce(part, split) AS split FROM sp LEFT JOIN mo USING (src, dst)""")
+def covering_split(spark, d):
+    return splits.covering(stratified(spark, d).drop("stratum"))
+
+
 @query(SPLIT + "SELECT phase, count(*) AS n FROM (SELECT 'train' AS phase FROM sp WHERE split = 'train' UNION ALL SELECT 'val' FROM sp WHERE split <> 'test' UNION ALL SELECT 'test' FROM sp) GROUP BY 1")
 def phase_positives(spark, d):
     return splits.known_by_phase(stratified(spark, d)).groupBy("phase").agg(F.count("*").alias("n"))
@@ -323,21 +348,24 @@ def phase_positives(spark, d):
 e AS (SELECT src, dst, CAST(k AS INT) AS k, t, {draw_sql(42, "'side'", 'src', 'dst', 'k', below=2)} = 0 AS turn FROM bought CROSS JOIN range(3) a(k) CROSS JOIN range(4) b(t)),
 c AS (SELECT src, dst, k, t, CASE WHEN turn THEN src ELSE {draw_sql(42, "'pick'", 'src', 'dst', 'k', 't', below='(SELECT n FROM np)')} END AS neg_src, CASE WHEN turn THEN {draw_sql(42, "'pick'", 'src', 'dst', 'k', 't', below='(SELECT n FROM nc)')} ELSE dst END AS neg_dst FROM e)
 SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, k ORDER BY t) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.src = neg_src AND b.dst = neg_dst)) WHERE r = 1""")
-def negatives_uniform(spark, d):
+def negatives_tried(spark, d):
+    """The tries alone, without the search for what they leave."""
     n = [A.load(spark, d, t).count() for t in ("part", "customer")]
-    return splits.negatives(A.bought(spark, d), A.bought(spark, d), *n, k=3)
+    return splits.tried(A.bought(spark, d), A.bought(spark, d), *n, k=3, tries=4, seed=42)
 
 
-@query(ORACLES["negatives_uniform"].split(A.SQL.strip(), 1)[1].replace("SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *,", ", f AS (SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *,", 1).lstrip() + f"""),
+@query(ORACLES["negatives_tried"].split(A.SQL.strip(), 1)[1].replace("SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *,", ", f AS (SELECT src, dst, k, neg_src, neg_dst FROM (SELECT *,", 1).lstrip() + f"""),
 u AS (SELECT x.*, list_filter(range(np.n), lambda i: NOT list_contains(coalesce(s.l, []), i)) AS free_src, list_filter(range(nc.n), lambda i: NOT list_contains(coalesce(t.l, []), i)) AS free_dst FROM (SELECT DISTINCT src, dst, k, turn FROM e) x CROSS JOIN np CROSS JOIN nc
 LEFT JOIN (SELECT dst, list(src) AS l FROM bought GROUP BY 1) s ON s.dst = x.dst LEFT JOIN (SELECT src, list(dst) AS l FROM bought GROUP BY 1) t ON t.src = x.src WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = x.src AND f.dst = x.dst AND f.k = x.k)),
 r AS (SELECT src, dst, k, len(free_dst) > 0 AND (turn OR len(free_src) = 0) AS keeps, free_src[{draw_sql(42, "'repair'", "'dst'", 'src', 'dst', 'k', below='greatest(len(free_src), 1)')} + 1] AS a, free_dst[{draw_sql(42, "'repair'", "'src'", 'src', 'dst', 'k', below='greatest(len(free_dst), 1)')} + 1] AS b FROM u)
 SELECT * FROM f UNION ALL SELECT src, dst, k, CASE WHEN keeps THEN src ELSE a END, CASE WHEN keeps THEN b ELSE dst END FROM r""")
-def negatives_repaired(spark, d):
-    """k pairs for every positive: negatives_uniform, and an exhaustive search for what its tries leave."""
+def negatives_uniform(spark, d):
+    """k pairs for every positive: the tries, and an exhaustive search for what they leave."""
     n = [A.load(spark, d, t).count() for t in ("part", "customer")]
-    bought = A.bought(spark, d)
-    return splits.repaired(bought, splits.negatives(bought, bought, *n, k=3), bought, *n, k=3)
+    return splits.negatives(A.bought(spark, d), A.bought(spark, d), *n, k=3)
+
+
+QUERIES["negatives_repaired"], ORACLES["negatives_repaired"] = QUERIES["negatives_uniform"], ORACLES["negatives_uniform"]
 
 
 @query(f""", w AS (SELECT src AS id, CAST((count(*) + 1) AS DOUBLE) AS w FROM bought GROUP BY 1), c AS (SELECT id, coalesce(sum(w) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, w FROM w), t AS (SELECT sum(w) AS total FROM w),

@@ -15,29 +15,39 @@ from kilngraph.sources import tables as S
 
 
 def test_parents_null_unknown_and_known(spark):
-    df = spark.createDataFrame([("root", "A", None), ("child", "B", "A"), ("orphan", "C", "Z"), ("blank", "D", "")], "name string, code string, parent string")
-    assert {r["code"]: r["parent_id"] for r in T.parents(df, "code", "parent", ["code"]).collect()} == {"A": None, "B": 0, "C": -1, "D": -1}
+    df = spark.createDataFrame([("t1", None), ("t2", "t1"), ("t3", "t2"), ("lost", "t9"), ("void", "")], "code string, up string")
+    assert {r["code"]: r["parent_id"] for r in T.parents(df, "code", "up", ["code"]).collect()} == {"t1": None, "t2": 1, "t3": 2, "lost": -1, "void": -1}
 
 
-def test_multi_source_needs_two(spark):
-    a = spark.createDataFrame([("P", "shared"), ("G", "gene")], "k string, n string")
-    b, c = (spark.createDataFrame([("P", n), (x, n)], "k string, n string") for n, x in (("other", "D"), ("third", "C")))
-    assert [tuple(r) for r in T.multi_source([(a, "k", "n"), (b, "k", "n"), (c, "k", "n")]).collect()] == [("P", "shared", 3)]
+def test_multi_source_needs_two_and_takes_names_by_priority(spark):
+    one, two, three = (spark.createDataFrame(rows, "k string, n string") for rows in ([("x", None), ("y", "y of one")], [("x", "late"), ("x", "early")], [("x", "third"), ("z", "z"), (None, "no key")]))
+    assert [tuple(r) for r in T.multi_source([(one, "k", "n"), (two, "k", "n"), (three, "k", "n")]).collect()] == [("x", "early", 3)]
 
 
 def test_richest_row_and_items(spark):
-    rows = [("C", 1, "increases^expression|decreases^activity", "1|2|3"), ("C", 1, "affects^binding", "1"), ("C", 1, None, "1|2"), ("D", 2, None, None)]
-    best = T.richest(spark.createDataFrame(rows, "c string, g long, ixn string, papers string"), ["c", "g"], "ixn", ["papers"])
-    assert {r["c"]: r["ixn"] for r in best.collect()} == {"C": "increases^expression|decreases^activity", "D": None}
+    rows = [("u", "cuts^flow|adds^heat|stops", "b"), ("u", "cuts^flow|adds^heat|stopt", "a"), ("u", "one very long single item without end", "c"), ("v", None, "b"), ("v", "", "a"), ("w", None, "q"), ("w", None, "p")]
+    best = T.richest(spark.createDataFrame(rows, "k string, ixn string, tie string"), ["k"], "ixn", ["tie"])
+    assert {r["k"]: (r["ixn"], r["tie"]) for r in best.collect()} == {"u": ("cuts^flow|adds^heat|stopt", "a"), "v": ("", "a"), "w": (None, "p")}
     items = T.exploded_actions(best, "ixn").collect()
-    assert {(r["c"], r["action_type"], r["action_subject"]) for r in items} == {("C", "increases", "expression"), ("C", "decreases", "activity"), ("D", "affects", "unknown")}
+    assert {(r["k"], r["action_type"], r["action_subject"]) for r in items} == {("u", "cuts", "flow"), ("u", "adds", "heat"), ("u", "stopt", None)}
 
 
-def test_evidence_and_undirected(spark):
-    e = T.evidence_edges(spark.createDataFrame([(1, "d", "therapeutic", "9|10")], "g long, d string, e string, p string"), ["g", "d"], "e", "p").first()
-    assert (e["evidence_type"], round(e["log_papers"], 9)) == (1, round(math.log(3), 9))
-    both = T.undirected(spark.createDataFrame([(11, 12), (12, 11), (12, 12)], "a long, b long"), "a", "b")
-    assert [tuple(r) for r in both.collect()] == [(11, 12)] and T.mirrored(both, "a", "b").count() == 2
+def test_string_ties_take_the_smallest(spark):
+    df = spark.createDataFrame([(1, "m^n", t) for t in ("pa", "p", "q")], "k long, ixn string, tie string")
+    assert T.richest(df, ["k"], "ixn", ["tie"]).first()["tie"] == "p"
+
+
+def test_shipped_codes(spark):
+    rows = [(1, "marker/mechanism", "5"), (2, "therapeutic", "5|6|7|8"), (3, None, None), (4, "seen elsewhere", ""), (5, "therapeutic", "1"), (5, "marker/mechanism", "1|2")]
+    out = {r["k"]: (r["evidence_type"], round(r["log_papers"], 9)) for r in T.evidence_edges(spark.createDataFrame(rows, "k long, e string, p string"), ["k"], "e", "p").collect()}
+    assert out == {1: (0, round(math.log(2), 9)), 2: (1, round(math.log(5), 9)), 3: (2, 0), 4: (2, 0), 5: (0, round(math.log(3), 9))}
+    acts = [(1, "affects^s"), (1, "decreases^s"), (2, "increases^s"), (2, "decreases^s"), (3, "no caret"), (4, None), (5, "binds^s")]
+    assert {r["k"]: r["action_type"] for r in T.least_action(spark.createDataFrame(acts, "k long, a string"), ["k"], "a").collect()} == {1: 1, 2: 0, 3: 2, 4: 2, 5: 2}
+
+
+def test_undirected_pairs(spark):
+    both = T.undirected(spark.createDataFrame([(7, 3), (3, 7), (5, 5), (3, 4)], "a long, b long"), "a", "b")
+    assert sorted(tuple(r) for r in both.collect()) == [(3, 4), (3, 7)] and T.mirrored(both, "a", "b").count() == 4
 
 
 def test_enrichment_traps(spark):
@@ -83,12 +93,11 @@ def test_split_sizes_and_disjointness(spark):
 
 def test_negatives_are_new_and_repaired(spark):
     known = spark.createDataFrame([(0, 0), (1, 1), (0, 1), (0, 2)], "src long, dst long")
-    found = splits.negatives(known, known, 4, 4, k=2)
-    out = splits.repaired(known, found, known, 4, 4, k=2).collect()
+    out = splits.negatives(known, known, 4, 4, k=2).collect()
     assert len(out) == 8 and not {(r["neg_src"], r["neg_dst"]) for r in out} & {tuple(r) for r in known.collect()}
     full = spark.createDataFrame([(0, 0)], "src long, dst long")
     with pytest.raises(RuntimeError):
-        splits.repaired(full, splits.negatives(full, full, 1, 1, k=1), full, 1, 1, k=1)
+        splits.negatives(full, full, 1, 1, k=1).count()
 
 
 def test_every_positive_of_a_dense_graph_has_its_negatives(spark):
@@ -98,9 +107,8 @@ def test_every_positive_of_a_dense_graph_has_its_negatives(spark):
     links.add((0, 11))
     known = spark.createDataFrame(sorted(links), "src long, dst long")
     asked = known.where("not (src = 0 and dst = 0)")
-    found = splits.negatives(asked, known, 12, 12, k=5)
-    assert found.count() < asked.count() * 5
-    out = splits.repaired(asked, found, known, 12, 12, k=5).collect()
+    assert splits.tried(asked, known, 12, 12, 5, 4, 42).count() < asked.count() * 5
+    out = splits.negatives(asked, known, 12, 12, k=5).collect()
     assert sorted((r["src"], r["dst"], r["k"]) for r in out) == sorted((s, t, k) for s, t in links - {(0, 0)} for k in range(5))
     assert all((r["neg_src"] == r["src"]) != (r["neg_dst"] == r["dst"]) for r in out)
     assert all(0 <= r["neg_src"] < 12 and 0 <= r["neg_dst"] < 12 and (r["neg_src"], r["neg_dst"]) not in links for r in out)
@@ -120,7 +128,7 @@ def test_negatives_query_fills_what_the_tries_leave(spark, monkeypatch):
     edges = spark.createDataFrame(links, "src long, dst long")
     monkeypatch.setattr(Q.A, "load", lambda spark, d, t: spark.range(10))
     monkeypatch.setattr(Q.A, "bought", lambda spark, d: edges)
-    assert Q.negatives_repaired(spark, "").count() == 3 * len(links)
+    assert Q.negatives_uniform(spark, "").count() == 3 * len(links)
 
 
 def test_metapaths_and_scores(spark):
@@ -177,11 +185,12 @@ def test_encoders(spark):
     one = E.OneHot("c").fit(spark.createDataFrame([("A",), ("B",), ("A",)], "c string"))
     df = spark.createDataFrame([("B",), ("C",), (None,)], "c string")
     assert [r["features"] for r in E.encode(df, one).collect()] == [[0, 1, 0], [0, 0, 1], [0, 0, 0]]
-    assert run(E.Boolean("c"), ["TRUE", "0", "2", None, "no"]) == [[1], [0], [1], [0], [0]]
+    assert run(E.Boolean("c"), ["TRUE", "0", "2", None, "no", " y "]) == [[1], [0], [0], [0], [0], [1]]
+    assert run(E.Boolean("c"), [0.0, 2.5, None, float("nan")], "double") == [[0], [1], [0], [0]] and run(E.Boolean("c"), [True, False, None], "boolean") == [[1], [0], [0]]
     text = run(E.TextHash("c"), ["alpha beta beta gamma", "delta", None])
     assert [round(sum(x * x for x in v), 9) for v in text] == [1, 1, 0]
-    assert [sum(v) for v in run(E.ListHash("c"), ["MESH:D011041|MESH:D014883", ""])] == [2, 0]
-    assert run(E.UrlStats("c"), ["https://x.org/detail.go?type=chem&acc=C1&empty=", None])[0][:6] == [1, 1, 1, 0, 1, 2]
+    assert [sum(v) for v in run(E.ListHash("c"), ["north|south|south", ""])] == [2, 0]
+    assert run(E.UrlStats("c"), ["https://shop.example/a/b/c?p=1&q=2&r=&q=3#top", None])[0][:6] == [1, 1, 1, 1, 3, 2]
     urls = ["https://X.org/a?b=1#c", "http://user@y.example:80", "//z.example/p", "x.org/a", "", None]
     for got, domain in zip(run(E.UrlStats("c"), urls), ["x.org", "user@y.example:80", "z.example", None, None, None], strict=True):
         place = domain and int.from_bytes(hashlib.blake2b(domain.encode(), digest_size=8).digest(), "little") % 16
@@ -190,6 +199,46 @@ def test_encoders(spark):
     assert run(E.MultiHot("c", counts=True), ["a|b|a", None]) == [[2, 1, 0], [0, 0, 0]]
 
 
+def test_hashing_encoders_against_hashlib(spark):
+    place = lambda t, n: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") % n
+    df = spark.createDataFrame([("Red fox, red FOX runs", "a b|c | A b|"), (None, None)], "t string, l string")
+    got = E.encode(df, E.Pipeline([E.TextHash("t", 16), E.ListHash("l", 8)]), "v").collect()
+    words = ["red", "fox", "red", "fox", "runs"]
+    counts = [0.0] * 16
+    for g in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]:
+        counts[place(g, 16)] += 1
+    norm = math.sqrt(sum(c * c for c in counts))
+    assert list(got[0]["v"][:16]) == pytest.approx([c / norm for c in counts])
+    assert list(got[0]["v"][16:]) == [float(i in {place("a b", 8), place("c", 8)}) for i in range(8)]
+    assert list(got[1]["v"]) == [0.0] * 24
+
+
+def test_strata_get_their_shares(spark):
+    """Strata of 1, 2, 7 and 30 edges: the parts have their exact sizes, and no stratum is more than one edge off its share."""
+    rows = [(s, i, s) for s, n in enumerate((1, 2, 7, 30)) for i in range(n)]
+    out = splits.stratified_split(spark.createDataFrame(rows, "src long, dst long, stratum int"), 0.2, 0.1).collect()
+    assert sorted(map(lambda r: r["split"], out)).count("val") == 8 and sum(r["split"] == "test" for r in out) == 4
+    for s, n in enumerate((1, 2, 7, 30)):
+        assert abs(sum(r["split"] == "val" and r["stratum"] == s for r in out) - 0.2 * n) < 1
+        assert abs(sum(r["split"] == "test" and r["stratum"] == s for r in out) - 0.1 * n) < 1
+
+
+def test_train_covers_what_it_can(spark):
+    edges = [(i, (i + k) % 9) for i in range(9) for k in range(3)] + [(9, 0), (0, 9)]
+    split = [(s, d, "val" if 9 in (s, d) or (s, d) == (1, 1) else "test" if s == 4 else "train") for s, d in edges]
+    out = splits.covering(spark.createDataFrame(split, "src long, dst long, split string")).collect()
+    size = lambda rows, p: sum(r[2] == p for r in rows)
+    assert len(out) == len(edges) and all(size(out, p) == size(split, p) for p in ("train", "val", "test"))
+    assert {r["src"] for r in out if r["split"] == "train"} == {r["dst"] for r in out if r["split"] == "train"} == set(range(10))
+
+
+def test_split_strategy(spark):
+    edges = spark.range(60).select((F.col("id") % 12).alias("src"), F.expr("id div 12").alias("dst"))
+    out, strategy = splits.split_edges(edges, 0.1, 0.1)
+    assert strategy == "stratified" and {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 48, "val": 6, "test": 6}
+    assert splits.split_edges(edges.limit(6), 0.2, 0.2)[1] in ("random", "stratified") and splits.split_edges(edges, 0.1, 0.1, stratify=False)[1] == "random"
+
+
 def test_softmax_sums_to_one_and_layers(spark):
     edges = spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "src long, dst long")
     soft = propagate.edge_softmax(edges.withColumn("l", F.col("src") * 800.0), "l")
