@@ -57,9 +57,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10}
+    return {"op9_url_filter": OP9, "op10_warc": OP10}
 
 
+def drawn(key: str, n: int) -> str:
+    return f"(CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT) % {n})"
+
+
+def listed(name: str, kind: str, share: int, value: str, where: str = "true") -> str:
+    days = [drawn(f"'{name}|{k}|' || value", n) for k, n in ((1, 200), (2, 90), (3, 60))]
+    source = f"(SELECT DISTINCT {value} AS value FROM u WHERE host <> '' AND {where})"
+    return f"SELECT '{name}' AS list, '{kind}' AS kind, value, {days[0]} AS a, {days[1]} AS b, {days[2]} AS c FROM {source} WHERE {drawn(f"'{name}|' || value", 10)} < {share}"
+
+
+OP9 = rf"""
+WITH u AS (SELECT page_id, url, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+  coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '') AS path, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS fetched FROM pages),
+e AS ({listed("spam", "domain", 5, "host")}
+  UNION ALL {listed("phishing", "domain", 2, "regexp_replace(host, '^[^.]*[.]', '')")}
+  UNION ALL {listed("adult", "prefix", 4, "host || regexp_extract(path, '^(/[^/]*/)', 1)", "regexp_extract(path, '^(/[^/]*/)', 1) <> ''")}),
+i AS (SELECT list, kind, value, DATE '2024-01-01' + CAST(a AS INT) AS since, DATE '2024-01-01' + CAST(a + 1 + b AS INT) AS until FROM e
+  UNION ALL SELECT list, kind, value, DATE '2024-01-01' + CAST(a + b + c + 2 AS INT), NULL FROM e),
+h AS (SELECT u.page_id, u.url, list, value, since, count(*) OVER (PARTITION BY u.page_id, u.url) AS n, row_number() OVER (PARTITION BY u.page_id, u.url ORDER BY length(value) DESC, list, value, since) AS r
+  FROM u JOIN i ON u.host <> '' AND CASE kind WHEN 'domain' THEN u.host = value OR ends_with(u.host, '.' || value) ELSE starts_with(u.host || u.path, value) END
+  AND fetched >= since AND (until IS NULL OR fetched < until))
+SELECT u.page_id, u.url, u.host, strftime(u.fetched, '%Y-%m-%d') AS fetched, h.n IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_entries, h.list, h.value AS entry, strftime(h.since, '%Y-%m-%d') AS since
+FROM u LEFT JOIN h ON u.page_id = h.page_id AND u.url = h.url AND h.r = 1
+"""
+
 OP10 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 f AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)

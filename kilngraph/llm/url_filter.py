@@ -1,8 +1,8 @@
 """URL filters by a temporal list join: dated list entries become validity intervals, and an as-of join evaluates every
 capture against the entries that were active when it was fetched.
 
-Intervals are dealt to the months they touch, so the join is an equality on entry and month with a check of the dates
-behind it: no range join, and a host with many captures is an ordinary skewed key that Spark splits.
+Intervals are dealt to the months they share with the captures' span of dates, so the join is an equality on entry and month
+with a check of the dates behind it: no range join, and a host with many captures is an ordinary skewed key that Spark splits.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Until when an entry without an end counts as active.
-HORIZON = "2100-01-01"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -49,7 +47,7 @@ def candidates(url: Column, host: Column) -> Column:
     return F.when(host == "", F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.concat(domains, F.when(F.size(parts) > 1, prefixes).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))))
 
 
-def filter_urls(captures: DataFrame, events: DataFrame, horizon: str = HORIZON) -> DataFrame:
+def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
     """Per row of captures (page_id, url, fetched): page_id, url, host, fetched, blocked, n_entries (active entries that
     match), list and entry (of the longest entry, ties by list), since.
 
@@ -59,9 +57,10 @@ def filter_urls(captures: DataFrame, events: DataFrame, horizon: str = HORIZON)
     rows = captures.groupBy(F.col("page_id").cast("long").alias("page_id"), "url", "fetched").agg(F.count("*").alias("rows"))
     rows = rows.withColumn("host", host_of(F.col("url")))
     asked = rows.select("page_id", "url", "fetched", F.inline(candidates(F.col("url"), F.col("host"))), month(F.col("fetched")).alias("month"))
-    active = intervals(events)
-    last = F.least(F.coalesce("until", F.lit(horizon).cast("date")), F.lit(horizon).cast("date"))
-    active = active.where(F.col("since") < F.lit(horizon).cast("date")).withColumn("month", F.explode(F.sequence(month(F.col("since")), month(last))))
+    seen = captures.agg(F.min("fetched"), F.max("fetched")).first()
+    low, high = (F.lit(x).cast("date") for x in seen)  # null without captures: no interval then
+    active = intervals(events).where((F.col("since") <= high) & (F.col("until").isNull() | (F.col("until") > low)))
+    active = active.withColumn("month", F.explode(F.sequence(month(F.greatest("since", low)), month(F.least("until", high)))))
     hit = asked.join(active, ["kind", "value", "month"]).where((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = F.min(F.struct((-F.char_length("value")).alias("l"), "list", "value", "since"))
     hit = hit.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n"), best.alias("best"))

@@ -62,6 +62,15 @@ def test_op2_labels_of_changed_notices(spark):
     assert found[2]["labels"] == "all-rights-reserved" and found[3]["labels"] == "" and found[3]["score"] == 0
 
 
+def test_op2_spans_are_verified(spark):
+    """Three-word grams of a notice in another order, or torn apart, are no notice."""
+    words = next(t for t, x in license_scan.TEMPLATES.items() if x == "bsd-3").split()
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    backwards, torn, slip = " . ".join(reversed(grams)), " filler words between here and there ".join(grams), " ".join(words[:9] + ["indeed"] + words[9:])
+    out = license_scan.license_scan(spark.createDataFrame([(1, backwards), (2, torn), (3, slip), (4, " ".join(words))], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in out} == {1: "", 2: "", 3: "bsd-3", 4: "bsd-3"} and next(r["score"] for r in out if r["doc_id"] == 4) == 1
+
+
 def test_op3_fingerprints_and_components(docs, rows):
     same(simhash.near_duplicates(docs), brute.simhash(rows), ["doc_id", "fingerprint", "component_id"])
 

@@ -24,6 +24,13 @@ def test_op8_articles(spark):
     assert extracted(spark, page) == ["Head & line\nOne bold — text\nTwo lines\na\nb"]
 
 
+def test_op8_names_never_empty_an_article(spark):
+    got = extracted(spark, '<div class="widget"><article><p>a</p></article></div>', '<article class="post has-comments share"><p>b</p></article>',
+                    '<article><p>costs <span class="share-price">12</span></p><section class="related-work"><p>work</p></section><label>l</label><div class="related-posts">x</div><div class="share-buttons">y</div><div id="comments">z</div><div class="ad-slot">w</div></article>',
+                    '<article><p>m</p><article class="comment"><p>c</p></article></article><div class="related-posts"><article>other</article></div>', f"<article>{'<p>long ' * 20000}</article>")
+    assert got[:4] == ["a", "b", "costs 12\nwork\nl", "m"] and got[4] == "\n".join(["long"] * 20000)
+
+
 def test_op8_broken_and_empty(spark):
     got = extracted(spark, None, "", "plain text only, not repeated", "<article><p>open <b>never closed", "<!-- only --><script>x", "<p>a < b & c</p>")
     assert got[0] == got[1] == got[4] == "" and got[3] == "open never closed" and got[2] == "plain text only, not repeated" and got[5] == "a < b & c"
@@ -74,6 +81,31 @@ def test_op9_temporal_join(spark):
     assert url_filter.filter_urls(captures, spark.createDataFrame([], "list string, kind string, value string, action string, at date")).where("blocked").count() == 0
 
 
+def test_op9_far_dates_and_no_captures(spark):
+    events = spark.createDataFrame([("l", "domain", "bad.com", "add", day("2024-02-01")), ("l", "domain", "late.com", "add", day("2105-01-01"))], "list string, kind string, value string, action string, at date")
+    kinds = "page_id long, url string, fetched date, list string, month int"
+    rows = [(1, "http://bad.com", day("2101-05-05"), "own", 1), (2, "http://late.com/" + "x/" * 500, day("2105-01-01"), "own", 1), (3, "http://late.com", day("2104-12-31"), "own", 1), (4, "http://bad.com", None, "own", 1)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, kinds), events).collect()
+    assert sorted((r["page_id"], r["blocked"]) for r in out) == [(1, True), (2, True), (3, False), (4, False)]
+    assert url_filter.filter_urls(spark.createDataFrame([], kinds), events).count() == 0
+    assert not url_filter.filter_urls(spark.createDataFrame([(1, "http://bad.com", None, "", 1)], kinds), events).first()["blocked"]
+
+
+def test_op9_and_op10_sql(spark, sf):
+    import duckdb
+
+    from kilngraph.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        rel = con.sql(sql)
+        assert sorted(rel.columns) == sorted(df.columns)
+        order = lambda row: tuple((v is not None, v) for v in row)
+        assert sorted(map(tuple, df.select(rel.columns).collect()), key=order) == sorted(rel.fetchall(), key=order)
+
+
 def test_op9_against_every_entry(spark, sf):
     """Every capture against every interval."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
