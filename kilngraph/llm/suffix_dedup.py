@@ -35,7 +35,7 @@ HOT_CONTEXTS = 50_000
 SORT_BYTES = 2 << 20
 POSITION_BITS = np.uint64(24)
 #: Runs of a block of runs, on average.
-BLOCK = 16
+BLOCK = 8
 
 RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("head", pa.int64()), ("offset", pa.int32())])
 RANGES = "array<struct<start:int,end:int>>"
@@ -263,22 +263,22 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
     runs = held(runs.join(twice, "anchor", "left_semi"))
 
     contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start")).alias("copy"), F.max("n").alias("n"), F.max("id").alias("last"))
-    contexts = held(contexts)
+    contexts = held(contexts.withColumn("whole", F.col("copy.id") < F.col("last") if across else F.col("times") > 1))  # every window repeats
     several = held(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     asked = contexts.join(several, "anchor").groupBy("copy.id", "copy.key")
-    asked = asked.agg(F.collect_list(F.struct("anchor", "context", "n", "kinds", F.col("copy.id").alias("first"), "last", "copy.start")).alias("asked"))  # a text's own runs
+    asked = asked.agg(F.collect_list(F.struct("anchor", "context", "n", "kinds", F.col("copy.id").alias("first"), "last", "whole", "copy.start")).alias("asked"))  # a text's own runs
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int32()), ("kinds", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.binary())])
+        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int32()), ("kinds", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("whole", pa.bool_()), ("bytes", pa.binary())])
         for batch in batches:
             for raw, wants in zip(as_bytes(batch.column("text")), batch.column("asked"), strict=True):
                 wants = wants.as_py()
-                columns = [[w[f] for w in wants] for f in ("anchor", "context", "n", "kinds", "first", "last")]
+                columns = [[w[f] for w in wants] for f in ("anchor", "context", "n", "kinds", "first", "last", "whole")]
                 columns.append([raw[w["start"] : w["start"] + w["n"] + length - 1] for w in wants])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     strings = texts.join(asked, ["id", "key"]).select("text", "asked")
-    strings = strings.mapInArrow(cut, "anchor long, context long, n int, kinds long, first long, last long, bytes binary")
+    strings = strings.mapInArrow(cut, "anchor long, context long, n int, kinds long, first long, last long, whole boolean, bytes binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("ranges", RANGES_ARROW)])
@@ -288,11 +288,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
         def flush() -> pa.RecordBatch:
             owners = [(r[4], r[5]) for r in rows] if across else None
             masks = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length, owners)
-            found = [(r[0], r[1], mask_ranges(m)) for r, m in zip(rows, masks, strict=True) if m.any()]
+            found = [(r[0], r[1], mask_ranges(m)) for r, m in zip(rows, masks, strict=True) if m.any() and not r[6]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 3, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes", "first", "last")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes", "first", "last", "whole")), strict=True):
                 if size > SORT_BYTES and row[0] != rows[-1][0]:  # anchors are in order: all of an anchor's contexts are held
                     yield flush()
                     rows, size = [], 0
@@ -304,18 +304,18 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, context, n, raw, first, last in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes", "first", "last")), strict=True):
+            for anchor, context, n, raw, first, last, whole in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "bytes", "first", "last", "whole")), strict=True):
                 prints = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(prints, pa.binary()), pa.array([first] * n, pa.int64()), pa.array([last] * n, pa.int64())], ["anchor", "context", "at", "print", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(prints, pa.binary()), pa.array([first] * n, pa.int64()), pa.array([last] * n, pa.int64()), pa.array([whole] * n, pa.bool_())], ["anchor", "context", "at", "print", "first", "last", "whole"])
 
     strings = held(strings)
     shards = strings.where(F.col("kinds") <= hot_contexts).repartition("anchor").sortWithinPartitions("anchor", "context")
     sorted_ = shards.mapInArrow(sort, f"anchor long, context long, ranges {RANGES}")
-    hot = strings.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary, first long, last long")
+    hot = strings.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary, first long, last long, whole boolean")
     again = hot.groupBy("anchor", "print").agg(F.count("*").alias("times"), F.min("first").alias("first"), F.max("last").alias("last"))
     again = again.where("first < last" if across else "times > 1").select("anchor", "print")
-    hot = hot.join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
-    whole = contexts.where("copy.id < last" if across else "times > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
+    hot = hot.where(~F.col("whole")).join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
+    whole = contexts.where("whole").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
     marks = whole.unionByName(sorted_).unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
     # marks go to the different blocks first and from there to the texts: a passage that is everywhere is joined once
     members = runs.select("block", "head", "offset", "anchor", "context").distinct().join(marks, ["anchor", "context"])
