@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges an ordered computation is cut into.
-RANGES = 64
+#: Ranges a running total is cut into, and rows of a range where there are more.
+RANGES, RANGE_ROWS = 64, 4_000_000
 #: Rows that are sampled for the borders of the ranges.
 BORDER_SAMPLE = 10_000
 
@@ -17,6 +18,7 @@ def borders(df: DataFrame, key: str, ranges: int = RANGES) -> list:
     total = rows.count()
     if not total:
         return []
+    ranges = max(ranges, min(total // RANGE_ROWS, BORDER_SAMPLE // 10))
     if total > BORDER_SAMPLE:
         rows = rows.sample(fraction=min(1.0, BORDER_SAMPLE / total), seed=7)
     values = [r[0] for r in rows.orderBy(key).limit(2 * BORDER_SAMPLE).collect()]
@@ -30,17 +32,18 @@ def range_of(key: str, cuts: list) -> Column:
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))))
 
 
-def surrogate_keys(df: DataFrame, keys: list[str], name: str = "id", ranges: int = RANGES) -> DataFrame:
+def surrogate_keys(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     """df with a whole number from 0 without gaps, in the order of the keys (a total order, nulls first).
 
-    The rows are numbered within ranges of the first key; a range starts where the ranges before it end, so no task
-    orders the whole table."""
-    part = df.withColumn("_range", range_of(keys[0], borders(df, keys[0], ranges)))
-    sizes = part.groupBy("_range").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # ranges + 1 rows at most
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(k).asc_nulls_first() for k in keys]))
-    out = part.withColumn("_at", number).join(F.broadcast(starts), "_range")
-    return out.select((F.col("_start") + F.col("_at") - 1).cast("long").alias(name), *[c for c in df.columns if c != name])
+    Spark deals the rows to ranges of all keys together (as many as spark.sql.shuffle.partitions), sorts each range, and a range
+    starts where the ranges before it end: no task orders the whole table, and a frequent first key is cut as well.  The sorted
+    ranges are kept on disk, as they are read twice."""
+    laid = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    laid = laid.withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_place", 33)).persist(StorageLevel.DISK_ONLY)
+    sizes = laid.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # a row a range
+    number = F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return laid.join(F.broadcast(starts), "_range").select(number.cast("long").alias(name), *[F.col(f"`{c}`") for c in df.columns if c != name])
 
 
 def vocabulary(df: DataFrame, column: str, name: str = "id") -> DataFrame:

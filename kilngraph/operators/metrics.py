@@ -70,10 +70,14 @@ def histogram(scored: DataFrame, bins: int = 50, low: float = 0.0, high: float =
     return scored.groupBy("y", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def ranks(positives: DataFrame, negatives: DataFrame, key: str) -> DataFrame:
-    """(key, rank): 1 + the number of a positive's own negatives with a higher score; ties favour the positive."""
-    both = positives.select(key, F.col("score").alias("own")).join(negatives.select(key, F.col("score").alias("other")), key, "left")
-    return both.groupBy(key).agg((1 + F.count_if(F.col("other") > F.col("own"))).alias("rank"))
+def ranks(scored: DataFrame, group: str, key: str) -> DataFrame:
+    """(key, rank) of the positives: 1 + the number of its group's negatives with a higher score; ties favour the positive.
+
+    Negatives are counted by score first, and a positive meets its group's counts, never its negatives."""
+    counts = scored.groupBy(group, "score").agg(F.count_if(F.col("y") == 0).alias("neg"))
+    down = Window.partitionBy(group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # a group's distinct scores
+    above = counts.withColumn("rank", 1 + F.sum("neg").over(down) - F.col("neg")).drop("neg")
+    return scored.where("y = 1").select(key, group, "score").join(above, [group, "score"]).select(key, "rank")
 
 
 def rank_summary(ranked: DataFrame, hits: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
@@ -107,3 +111,29 @@ def worst_errors(scored: DataFrame, keys: list[str], threshold: float, k: int =
     fn = scored.where((F.col("y") == 1) & (F.col("score") < threshold)).orderBy("score", *keys).limit(k).withColumn("kind", F.lit("fn"))
     fp = scored.where((F.col("y") == 0) & (F.col("score") >= threshold)).orderBy(F.desc("score"), *keys).limit(k).withColumn("kind", F.lit("fp"))
     return fn.unionByName(fp).select("kind", *keys, "score")
+
+
+def densities(scored: DataFrame, bins: int = 50, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """histogram() with density: a bin's share of its class by the bins' width."""
+    counts = histogram(scored, bins, low, high)
+    total = F.sum("n").over(Window.partitionBy("y"))  # bins rows a class
+    return counts.withColumn("density", F.round(F.col("n") / total * bins / (high - low), 6))
+
+
+def box_statistics(scored: DataFrame) -> DataFrame:
+    """(y, n, least, q1, median, q3, most, low_whisker, high_whisker) of each class' scores; a whisker ends at the last score within
+    1.5 times the distance of the quartiles."""
+    q = scored.groupBy("y").agg(F.count("*").alias("n"), F.min("score").alias("least"), *[F.percentile("score", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.max("score").alias("most"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    ends = scored.join(F.broadcast(q.select("y", (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high"))), "y")  # a row a class
+    ends = ends.where(F.col("score").between(F.col("_low"), F.col("_high"))).groupBy("y").agg(F.min("score").alias("low_whisker"), F.max("score").alias("high_whisker"))
+    return q.join(F.broadcast(ends), "y").select("y", "n", *[F.round(c, 6).alias(c) for c in ("least", "q1", "median", "q3", "most", "low_whisker", "high_whisker")])
+
+
+def compared(metrics: dict[str, DataFrame], by: str) -> DataFrame:
+    """The one-row metrics of several models as a table (model, ...), the best first; models without the metric last."""
+    out = None
+    for model, df in metrics.items():
+        row = df.select(F.lit(model).alias("model"), "*")
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
+    return out.orderBy(F.desc_nulls_last(by), "model")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilngraph.functions import expressions as X
+from kilngraph.operators.ids import surrogate_keys
 
 #: Queries that are sent to every task together, about.
 QUERIES = 4096
@@ -51,14 +52,14 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, known: Data
 def popular_links(edges: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, item, score, rank): the items of highest log1p(degree) + log1p(degree) that a query is not linked to.
 
-    edges: (src item, dst query); queries: (query).  A query's own degree shifts all its scores alike, so of the items
-    only the k + (its own links) most linked can matter: no item is compared with every query."""
+    edges: (src item, dst query); queries: (query).  A query's own degree shifts all its scores alike, so of the items only
+    the k + (its own links) most linked can matter: a query is joined with so many, by their place in the items' order."""
     items = edges.groupBy(F.col("src").alias("item")).agg(F.count("*").alias("d_item"))
     own = edges.join(queries.select(F.col("query").alias("dst")).distinct(), "dst", "left_semi")
     asked = queries.distinct().join(own.groupBy(F.col("dst").alias("query")).agg(F.count("*").alias("d_query")), "query", "left").fillna(0, ["d_query"])
-    most = asked.agg(F.coalesce(F.max("d_query"), F.lit(0))).first()[0]
-    best = items.orderBy(F.desc("d_item"), "item").limit(k + most)
-    pairs = asked.join(best).join(own.select(F.col("dst").alias("query"), F.col("src").alias("item")), ["query", "item"], "left_anti")
+    best = surrogate_keys(items.withColumn("_less", -F.col("d_item")), ["_less", "item"], "_place").drop("_less")
+    asked = asked.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d_query") + k - 1)))
+    pairs = asked.join(best, "_place").drop("_place").join(own.select(F.col("dst").alias("query"), F.col("src").alias("item")), ["query", "item"], "left_anti")
     scored = pairs.withColumn("score", F.round(X.popularity(F.col("d_item"), F.col("d_query")), 6))
     return ranked(scored, "query", "d_item", "item", k).select("query", "item", "score", "rank")
 
@@ -69,3 +70,30 @@ def vector_stats(vectors: DataFrame) -> DataFrame:
     norms = vectors.agg(F.count("*").alias("n"), F.max(F.size("z")).cast("long").alias("width"), F.round(F.avg(F.sqrt(X.dot(F.col("z"), F.col("z")))), 6).alias("mean_norm"))
     values = each.agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"))
     return norms.join(values)  # one row each
+
+
+def filtered(scored: DataFrame, which: str = "all") -> DataFrame:
+    """Rows of scored (with known): all, the known or the novel ones."""
+    if which not in ("all", "known", "novel"):
+        raise ValueError(f"all, known or novel, not {which}")
+    return scored if which == "all" else scored.where(F.col("known") if which == "known" else ~F.col("known"))
+
+
+def queries_with_hits(top: DataFrame, known: DataFrame, low: int = 2, high: int = 3) -> DataFrame:
+    """(query, hits): queries of whose best items low to high are known.  top: (query, item); known: (query, item)."""
+    hits = top.join(known.select("query", "item").distinct(), ["query", "item"], "left_semi").groupBy("query").agg(F.count("*").alias("hits"))
+    return hits.where(F.col("hits").between(low, high))
+
+
+def labelled(df: DataFrame, key: str, names: DataFrame, name_key: str, name: str, kind: str, out: str) -> DataFrame:
+    """df with the name that names has for a key, else kind:key.  Of several names the smallest counts."""
+    one = names.groupBy(F.col(name_key).alias("_key")).agg(F.min(name).alias("_name"))
+    return df.join(one, F.col(key) == F.col("_key"), "left").withColumn(out, X.display_name(kind, F.col(key), F.col("_name"))).drop("_key", "_name")
+
+
+def by_priority(value: str, order: list[str], last: int = 9999) -> Column:
+    """A value's place in a list of priorities; others come last."""
+    out = F.lit(last)
+    for i, v in reversed(list(enumerate(order))):
+        out = F.when(F.col(value) == v, F.lit(i)).otherwise(out)
+    return out

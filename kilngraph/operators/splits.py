@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +87,7 @@ def covering(split: DataFrame, seed: int = 42) -> DataFrame:
 
     Every node's train edge of least draw is its own; an edge that is no node's own can go, whatever else goes.  Where too
     few can go, as many edges change places as can."""
-    drawn = split.withColumn("_draw", draw_order(seed)[0])
+    drawn = split.withColumn("_draw", draw_order(seed)[0]).persist(StorageLevel.DISK_ONLY)  # read many times
     train, rest = drawn.where("split = 'train'"), drawn.where("split <> 'train'")
 
     def firsts(df: DataFrame, end: str) -> DataFrame:
@@ -94,6 +97,7 @@ def covering(split: DataFrame, seed: int = 42) -> DataFrame:
     wanted = lacking[0].union(lacking[1]).distinct().join(rest.select("src", "dst", "split", "_draw"), ["src", "dst"])
     own = firsts(train, "src").union(firsts(train, "dst")).distinct()
     spare = train.select("src", "dst", "_draw").join(own, ["src", "dst"], "left_anti")
+    # a place each: the first of the ones goes where the first of the others was
     wanted, spare = surrogate_keys(wanted, ["_draw", "src", "dst"], "_at"), surrogate_keys(spare, ["_draw", "src", "dst"], "_at")
     swaps = wanted.select("_at", F.col("src").alias("in_src"), F.col("dst").alias("in_dst"), F.col("split").alias("part")).join(spare.select("_at", "src", "dst"), "_at")
     moves = swaps.select("src", "dst", F.col("part").alias("_to")).union(swaps.select("in_src", "in_dst", F.lit("train")))
@@ -183,3 +187,37 @@ def fanout(edges: DataFrame, seeds: DataFrame, most: int, seed: int = 42) -> Dat
     drawn = edges.join(seeds.select("src").distinct(), "src", "left_semi").withColumn("_draw", X.draw(seed, F.col("src"), F.col("dst"), below=2**40))
     at = F.row_number().over(Window.partitionBy("src").orderBy("_draw", "dst"))
     return drawn.withColumn("_at", at).where(F.col("_at") <= most).select("src", "dst")
+
+
+def fanout_hops(relations: dict[tuple[str, str, str], DataFrame], seeds: DataFrame, fanouts: list[int], seed: int = 42) -> DataFrame:
+    """(hop, relation, src_type, src, dst_type, dst): edges into the seeds, then into what was reached, and so on; of a node's
+    edges of a relation at most the hop's fanout, by a draw seeded anew at each hop.
+
+    relations: {(source type, name, target type): (src, dst)}; seeds: (type, id).  A node is expanded at each hop that reaches it."""
+    rows = [df.select(F.lit(f"{a}__{name}__{b}").alias("relation"), F.lit(a).alias("src_type"), F.col("src").cast("long").alias("src"), F.lit(b).alias("dst_type"), F.col("dst").cast("long").alias("dst")) for (a, name, b), df in relations.items()]
+    edges = reduce(DataFrame.unionByName, rows).distinct()
+    frontier, out = seeds.select("type", F.col("id").cast("long").alias("id")).distinct(), None
+    for hop, most in enumerate(fanouts):
+        found = edges.join(frontier.select(F.col("type").alias("dst_type"), F.col("id").alias("dst")), ["dst_type", "dst"], "left_semi")
+        found = found.withColumn("_draw", X.draw(seed + hop, F.col("relation"), F.col("src"), F.col("dst"), below=2**40))
+        at = F.row_number().over(Window.partitionBy("relation", "dst").orderBy("_draw", "src"))
+        found = found.withColumn("_at", at).where(F.col("_at") <= most).select(F.lit(hop + 1).alias("hop"), "relation", "src_type", "src", "dst_type", "dst")
+        found = found.persist(StorageLevel.DISK_ONLY)  # the next hop's frontier too
+        frontier = found.select(F.col("src_type").alias("type"), F.col("src").alias("id")).distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def hard_negatives(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int = 5, ratio: float = 0.5, power: float = 1.0, seed: int = 42) -> DataFrame:
+    """(src, dst, k, neg_src, neg_dst): as negatives(), with the target replaced; of a positive's k pairs the first k * ratio (rounded)
+    take targets by weight (links + 1) ** power, the others take any target alike.  What is known is searched anew."""
+    hard = int(k * ratio + 0.5)
+    each = positives.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
+    key = [F.lit("hard"), F.col("src"), F.col("dst"), F.col("k")]
+    easy = each.where(F.col("k") >= hard).withColumn("neg_dst", X.draw(seed, *key, below=n_dst))
+    links = known.groupBy(F.col("dst").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    weights = positives.sparkSession.range(n_dst).join(links, "id", "left").select(F.col("id").alias("neg_dst"), F.pow(F.coalesce("n", F.lit(0)) + 1.0, F.lit(power)).alias("w"))
+    drawn = weighted_draws(weights, "neg_dst", "w", each.where(F.col("k") < hard).withColumn("u", X.draw(seed, *key, below=2**40) / F.lit(float(2**40))))
+    got = easy.select("src", "dst", "k", "neg_dst").unionByName(drawn.select("src", "dst", "k", "neg_dst"))
+    fresh = got.join(known.select("src", F.col("dst").alias("neg_dst")).distinct(), ["src", "neg_dst"], "left_anti")
+    return repaired(positives, fresh.select("src", "dst", "k", F.col("src").alias("neg_src"), "neg_dst"), known, n_src, n_dst, k, seed)

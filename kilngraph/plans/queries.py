@@ -431,10 +431,7 @@ RANKS = ", r AS (SELECT p.event_id, 1 + count(n.score) FILTER (n.score > p.score
 
 @query(RANKS + "SELECT round(avg(1 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank, CAST(median(rank) AS DOUBLE) AS median_rank, round(avg(CAST(rank <= 5 AS INT)), 6) AS hits_5, round(avg(CAST(rank <= 10 AS INT)), 6) AS hits_10, round(avg(CAST(rank <= 20 AS INT)), 6) AS hits_20, round(avg(CAST(rank <= 50 AS INT)), 6) AS hits_50 FROM r")
 def rank_metrics(spark, d):
-    e = A.scored_events(spark, d)
-    pos = e.where("y = 1").select("event_id", "user_id", "score")
-    neg = e.where("y = 0").select("user_id", F.col("score").alias("s")).join(pos.select("event_id", "user_id"), "user_id").select("event_id", F.col("s").alias("score"))
-    return metrics.rank_summary(metrics.ranks(pos, neg, "event_id"))
+    return metrics.rank_summary(metrics.ranks(A.scored_events(spark, d), "user_id", "event_id"))
 
 
 @query(""", g AS (SELECT user_id, score, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM scored GROUP BY 1, 2), c AS (SELECT *, sum(neg) OVER (PARTITION BY user_id ORDER BY score) - neg AS below, sum(pos) OVER (PARTITION BY user_id ORDER BY score DESC) AS hits, sum(pos + neg) OVER (PARTITION BY user_id ORDER BY score DESC) AS seen FROM g)
@@ -556,6 +553,97 @@ def attention_layer(spark, d):
     return flat(propagate.attention(part_vectors(spark, d), q, plain_edges(spark, d)))
 
 
+# ---- explanations, multi-hop samples, hard negatives, layers of several heads and relations -----------------------------
+
+
+def node_vectors(spark, d, table, key):
+    """A vector for each node but those whose number ends in 9."""
+    return A.load(spark, d, table).where(F.col(key) % 10 != 9).select(F.col(key).alias("id"), (F.col(key) % 50).alias("v")).join(vectors(spark, d).withColumnRenamed("id", "v"), "v").select("id", "z")
+
+
+COS = "CASE WHEN sqrt(list_dot_product({0}.z, {0}.z)) * sqrt(list_dot_product({1}.z, {1}.z)) < 1e-12 THEN 0 ELSE list_dot_product({0}.z, {1}.z) / (sqrt(list_dot_product({0}.z, {0}.z)) * sqrt(list_dot_product({1}.z, {1}.z))) END"
+MID = "coalesce(greatest(0.0, (" + COS.format("{0}", "s") + " + " + COS.format("{0}", "t") + ") / 2), 0.0)"
+EXPLAIN = PATHS.replace(" WHERE su.src < 20", "").replace("walks AS", "asked AS (SELECT src AS start, dst AS \"end\" FROM bought WHERE dst % 50 = 0), allwalks AS") + VECTORS + f""", nv AS (SELECT n.id, v.z FROM (SELECT range AS id FROM range(100000)) n JOIN v ON v.id = n.id % 50 WHERE n.id % 10 <> 9),
+al AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY dst) AS alpha FROM su), w AS (SELECT a.* FROM allwalks a JOIN asked USING (start, "end")),
+sc AS (SELECT template, start, "end", nodes, round(CASE len(nodes) WHEN 3 THEN sqrt(al.alpha) ELSE pow(al.alpha, 1.0 / 3) END, 6) AS attention,
+round(CASE len(nodes) WHEN 3 THEN {MID.format("m")} ELSE ({MID.format("m")} + {MID.format("m2")}) / 2 END, 6) AS similarity
+FROM w JOIN al ON al.src = nodes[1] AND al.dst = nodes[2] LEFT JOIN nv s ON s.id = start LEFT JOIN nv t ON t.id = "end" LEFT JOIN nv m ON m.id = nodes[2] LEFT JOIN nv m2 ON len(nodes) = 4 AND m2.id = nodes[3]),
+ex AS (SELECT template, start, "end", array_to_string(nodes, '-') AS nodes, attention, similarity, round(0.5 * attention + 0.5 * similarity, 8) AS score, row_number() OVER (PARTITION BY start, "end" ORDER BY round(0.5 * attention + 0.5 * similarity, 8) DESC, template, nodes) AS rank FROM sc)
+"""
+
+
+def explained(spark, d):
+    """The pairs that the customers whose number divides by 50 bought; a part's attention is shared alike by a supplier's parts."""
+    pairs = A.bought(spark, d).where("dst % 50 = 0").select(F.col("src").alias("start"), F.col("dst").alias("end"))
+    own = {"part": node_vectors(spark, d, "part", "p_partkey"), "supplier": node_vectors(spark, d, "supplier", "s_suppkey"), "customer": node_vectors(spark, d, "customer", "c_custkey")}
+    su = A.supplied(spark, d).select("src", "dst").distinct()
+    shared = su.join(su.groupBy("dst").agg(F.count("*").alias("n")), "dst").select("src", "dst", (1.0 / F.col("n")).alias("alpha"))
+    kinds = {TEMPLATES[0]: ("part", "supplier", "customer"), TEMPLATES[1]: ("part", "supplier", "supplier", "customer")}
+    return pairs, paths.explain(pairs, relations(spark, d), kinds, own, {"supplied": shared}, "balanced", 3)
+
+
+@query(EXPLAIN + "SELECT * FROM ex WHERE rank <= 3")
+def explain_pairs(spark, d):
+    return dashed(explained(spark, d)[1], "attention", "similarity", "score", "rank")
+
+
+@query(EXPLAIN + """SELECT a.start, a."end", count(ex.rank) AS paths, max(score) AS best, min(CASE WHEN rank = 1 THEN template || ' ' || nodes END) AS text FROM asked a LEFT JOIN ex ON ex.start = a.start AND ex."end" = a."end" AND rank <= 3 GROUP BY 1, 2""")
+def explanation_summary(spark, d):
+    return paths.explanation_summary(*explained(spark, d))
+
+
+def hop_draw(k: int, name: str) -> str:
+    return draw_sql(42 + k, f"'{name}'", "src", "dst", below=2**40)
+
+
+def hop_sql(hop: int, frontier: str, most: int) -> str:
+    return f"""h{hop} AS (SELECT {hop} AS hop, relation, src_type, src, dst_type, dst FROM (SELECT *, row_number() OVER (PARTITION BY relation, dst ORDER BY {draw_sql(41 + hop, 'relation', 'src', 'dst', below=2**40)}, src) AS r
+FROM ed WHERE EXISTS (SELECT 1 FROM {frontier} f WHERE f.type = dst_type AND f.id = dst)) WHERE r <= {most}), f{hop} AS (SELECT DISTINCT src_type AS type, src AS id FROM h{hop})"""
+
+
+@query(f""", ed AS (SELECT 'part__bought_by__customer' AS relation, 'part' AS src_type, src, 'customer' AS dst_type, dst FROM bought UNION ALL SELECT DISTINCT 'supplier__supplies__part', 'supplier', dst, 'part', src FROM supplied),
+f0 AS (SELECT 'customer' AS type, c_custkey AS id FROM customer WHERE c_custkey % 50 = 0), {hop_sql(1, 'f0', 10)}, {hop_sql(2, 'f1', 5)} SELECT * FROM h1 UNION ALL SELECT * FROM h2""")
+def fanout_two_hops(spark, d):
+    rel = {("part", "bought_by", "customer"): A.bought(spark, d), ("supplier", "supplies", "part"): A.supplied(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
+    seeds = A.load(spark, d, "customer").where("c_custkey % 50 = 0").select(F.lit("customer").alias("type"), F.col("c_custkey").alias("id"))
+    return splits.fanout_hops(rel, seeds, [10, 5])
+
+
+@query(""", c AS (SELECT count(*) AS pos, CAST(3 * count(*) AS BIGINT) AS pairs FROM bought) SELECT pos, pairs, CAST(0 AS BIGINT) AS known, pairs AS replaced FROM c""")
+def negatives_hard(spark, d):
+    """How many pairs the half hard, half uniform sampler gives, how many of them are known, and how many differ in one end."""
+    n = [A.load(spark, d, t).count() for t in ("part", "customer")]
+    bought = A.bought(spark, d)
+    got = splits.hard_negatives(bought, bought, *n, k=3)
+    known = bought.select(F.col("src").alias("neg_src"), F.col("dst").alias("neg_dst"), F.lit(1).alias("hit"))
+    one = got.join(known, ["neg_src", "neg_dst"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("known"), F.count_if((F.col("src") == F.col("neg_src")) != (F.col("dst") == F.col("neg_dst"))).alias("replaced"))
+    return bought.agg(F.count("*").alias("pos")).join(F.broadcast(one))  # one row
+
+
+@query(H + ", s AS (SELECT DISTINCT dst AS supplier, src FROM supplied UNION ALL SELECT DISTINCT u.dst, u.src + 1000000000 FROM urgent u), m AS (SELECT supplier, src >= 1000000000 AS r, avg(coalesce(h.x, (src % 4) / 4.0)) AS x, avg(coalesce(h.y, (src % 6) / 6.0)) AS y FROM (SELECT supplier, src FROM s) s LEFT JOIN h ON h.id = src GROUP BY 1, 2) SELECT supplier AS id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM m GROUP BY 1")
+def relation_mean_layer(spark, d):
+    """Suppliers by the mean of their parts' mean and their urgent customers' mean."""
+    customers = A.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(((F.col("c_custkey") + 1000000000) % 4) / 4.0, ((F.col("c_custkey") + 1000000000) % 6) / 6.0).alias("z"))
+    rel = {("part", "supplied_by", "supplier"): plain_edges(spark, d), ("customer", "urges", "supplier"): A.urgent(spark, d)}
+    return flat(propagate.relation_means({"part": part_vectors(spark, d), "customer": customers}, rel)["supplier"])
+
+
+@query(H + ", q AS (SELECT s_suppkey AS id, (s_suppkey % 5) / 5.0 AS qx, (s_suppkey % 3) / 3.0 AS qy FROM supplier), l AS (SELECT src, dst, x, y, exp(x * qx) AS wx, exp(y * qy) AS wy FROM e JOIN h ON h.id = src JOIN q ON q.id = dst) SELECT dst AS id, round(sum(wx * x) / sum(wx), 6) AS x, round(sum(wy * y) / sum(wy), 6) AS y FROM l GROUP BY 1")
+def two_head_attention(spark, d):
+    q = A.load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array((F.col("s_suppkey") % 5) / 5.0, (F.col("s_suppkey") % 3) / 3.0).alias("z"))
+    return flat(propagate.multi_head(part_vectors(spark, d), q, plain_edges(spark, d), 2))
+
+
+@query("SELECT y, bin, n, round(n / sum(n) OVER (PARTITION BY y) * 50, 6) AS density FROM (SELECT y, CAST(least(greatest(floor(score / 1.0 * 50), 0), 49) AS INT) AS bin, count(*) AS n FROM scored GROUP BY 1, 2)")
+def score_densities(spark, d):
+    return metrics.densities(A.scored_events(spark, d))
+
+
+@query(", q AS (SELECT y, count(*) AS n, min(score) AS least, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q3, max(score) AS most FROM scored GROUP BY 1) SELECT q.y, n, round(least, 6) AS least, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(most, 6) AS most, round(min(score), 6) AS low_whisker, round(max(score), 6) AS high_whisker FROM q JOIN scored s ON s.y = q.y AND score BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL")
+def score_boxes(spark, d):
+    return metrics.box_statistics(A.scored_events(spark, d))
+
+
 # ---- the same over all ids ----------------------------------------------------------------------------------------------
 
 

@@ -60,7 +60,7 @@ def test_enrichment_traps(spark):
 
 def test_keys_are_contiguous_and_validated(spark):
     df = spark.createDataFrame([(x,) for x in "dbca"] + [(None,)], "k string")
-    assert [(r["id"], r["k"]) for r in ids.surrogate_keys(df, ["k"], ranges=3).orderBy("id").collect()] == [(0, None), (1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    assert [(r["id"], r["k"]) for r in ids.surrogate_keys(df, ["k"]).orderBy("id").collect()] == [(0, None), (1, "a"), (2, "b"), (3, "c"), (4, "d")]
     assert ids.assert_ids(spark.range(5), "id") == 5
     for bad in (spark.range(1, 5), spark.range(3).union(spark.range(1)), spark.range(3).select(F.col("id").cast("string"))):
         with pytest.raises(ValueError):
@@ -259,3 +259,69 @@ def test_sources_round_trip(spark, tmp_path):
     S.save_split(split, {"seed": 42}, f"file://{tmp_path}/split")
     edges, about = S.load_split(spark, f"file://{tmp_path}/split")
     assert edges.count() == 1 and about["seed"] == 42
+
+
+def test_protocol_and_artifacts(spark):
+    from kilngraph.operators import protocol as P
+
+    p = P.Protocol.of({"protocol": {"seed": 7, "val": 0.2, "strategies": ["random"]}})
+    assert (p.seed, p.val, p.test, p.strategies) == (7, 0.2, 0.1, ("random",))
+    with pytest.raises(ValueError, match="unknown field x.*seed must.*val must.*negatives must be 1"):
+        P.Protocol.of({"x": 1, "seed": "7", "val": 2.0, "negatives": 0})
+    about = {"seed": 7, "val": 0.2, "test": 0.1, "strategy": "random"}
+    assert p.checked(about, 7, 0.2, 0.1, 20)["comparable"] and len(p.violations(None, 8, 0.2, 0.1, 5)) == 3
+    assert len(p.violations({"seed": 8, "val": 0.3, "strategy": "stratified"}, 7, 0.2, 0.1, 20)) == 4
+    with pytest.raises(ValueError, match="not comparable"):
+        p.checked({}, 7, 0.2, 0.1, 20)
+    assert not p.checked({}, 7, 0.2, 0.1, 20, allow=True)["comparable"]
+
+    relation, nodes = ("a", "to", "b"), {"a": spark.range(4), "b": spark.range(3)}
+    split = spark.createDataFrame([(0, 1, "train"), (1, 2, "train"), (2, 0, "val"), (3, 1, "test")], "src long, dst long, split string")
+    meta = P.split_metadata(split, nodes, relation, 7, 0.2, 0.1, "random")
+    edges = split.select("src", "dst")
+    P.assert_compatible(split, meta, nodes, edges.orderBy("dst"), relation)
+    other = edges.where("src < 3").union(spark.createDataFrame([(3, 2)], "src long, dst long"))
+    with pytest.raises(ValueError) as e:
+        P.assert_compatible(split, meta | {"val_edges": 2}, {"a": spark.range(5), "b": spark.range(3)}, other, ("a", "from", "b"))
+    assert str(e.value).count("\n- ") == 4 and "lacks" in str(e.value)
+
+
+def test_explained_paths(spark):
+    e = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    z = lambda rows: spark.createDataFrame(rows, "id long, z array<double>")
+    rel = {"has": e([(0, 5), (0, 6)]), "of": e([(9, 5), (9, 6)])}
+    t = paths.Template("two", ("has", "~of"))
+    own = {"x": z([(0, [1.0, 0.0])]), "m": z([(5, [1.0, 0.0]), (6, [-1.0, 0.0])]), "y": z([(9, [1.0, 0.0])])}
+    weights = {"has": spark.createDataFrame([(0, 5, 0.25)], "src long, dst long, alpha double")}
+    pairs = spark.createDataFrame([(0, 9), (1, 9)], "start long, end long")
+    out = paths.explain(pairs, rel, {t: ("x", "m", "y")}, own, weights, "balanced")
+    assert [(r["nodes"], r["attention"], r["similarity"], r["score"], r["rank"]) for r in out.orderBy("rank").collect()] == [([0, 5, 9], 0.5, 1.0, 0.75, 1), ([0, 6, 9], 1.0, 0.0, 0.5, 2)]
+    assert {(r["start"], r["paths"], r["best"], r["text"]) for r in paths.explanation_summary(pairs, out).collect()} == {(0, 2, 0.75, "two 0-5-9"), (1, 0, None, None)}
+
+
+def test_labels_filters_and_priorities(spark):
+    df = spark.createDataFrame([(1, True), (2, False)], "id long, known boolean")
+    assert [r["id"] for r in ranking.filtered(df, "novel").collect()] == [2] and ranking.filtered(df).count() == 2
+    with pytest.raises(ValueError):
+        ranking.filtered(df, "some")
+    names = spark.createDataFrame([(1, "one"), (1, "eins"), (3, "three")], "k long, n string")
+    assert {(r["id"], r["label"]) for r in ranking.labelled(df, "id", names, "k", "n", "thing", "label").collect()} == {(1, "eins"), (2, "thing:2")}
+    got = spark.createDataFrame([("low",), ("high",), (None,)], "p string").select("p", ranking.by_priority("p", ["high", "low"]).alias("at"))
+    assert {r["p"]: r["at"] for r in got.collect()} == {"high": 0, "low": 1, None: 9999}
+    top = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "query long, item long")
+    assert [tuple(r) for r in ranking.queries_with_hits(top, top.where("item < 3")).collect()] == [(1, 2)]
+    table = metrics.compared({"a": spark.range(1).selectExpr("0.5D auc"), "b": spark.range(1).selectExpr("0.7D auc"), "c": spark.range(1).selectExpr("1D other")}, "auc")
+    assert [r["model"] for r in table.collect()] == ["b", "a", "c"]
+
+
+def test_layers_against_numbers(spark):
+    h = spark.createDataFrame([(0, [1.0, 3.0]), (1, [2.0, 2.0])], "id long, z array<double>")
+    out = {r["id"]: r["z"] for r in propagate.residual_layer(h, spark.createDataFrame([(0, [1.0, 1.0])], "id long, z array<double>")).collect()}
+    x = [-1 / math.sqrt(1 + 1e-5), 1 / math.sqrt(1 + 1e-5)]
+    assert out[0] == pytest.approx([0.5 * v * (1 + math.tanh(math.sqrt(2 / math.pi) * (v + 0.044715 * v**3))) for v in x]) and out[1] == [2.0, 2.0]
+    assert [r["z"] for r in propagate.projected(h, [[1, 0, 1], [0, 2, 1]]).orderBy("id").collect()] == [[1, 6, 4], [2, 4, 4]]
+    edges = spark.createDataFrame([(0, 7, 0.5), (1, 7, 1.0)], "src long, dst long, g double")
+    q = spark.createDataFrame([(7, [0.0, 1.0])], "id long, z array<double>")
+    soft = [1 / 2, math.exp(3) / (math.exp(3) + math.exp(2))]
+    z = propagate.multi_head(h, q, edges, 2, F.col("g")).first()["z"]
+    assert z == pytest.approx([soft[0] * 1 * 0.5 + soft[0] * 2, soft[1] * 3 * 0.5 + (1 - soft[1]) * 2])
