@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +152,17 @@ def longest(matches: list[tuple[int, int, int, int]]) -> int:
     return best
 
 
+def benchmark_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's windows, block by block, for the tasks."""
+    bench = benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("words")).where(F.col("words").isNotNull())
+    size = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = max(1, -(-2 * size // block_bytes))
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
+    for k in range(blocks):
+        rows = [tuple(r) for r in bench.where(block == k).collect()]  # one block, of about block_bytes at most
+        yield docs.sparkSession.sparkContext.broadcast(TestSuffixes(sorted(rows, key=str), window))
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, row (a struct of the columns in carry), n_words, hits (merged word spans), items (sorted ids as strings), longest_match, per row of docs.
 
@@ -158,19 +170,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
     window; an item with a null id marks words but is not listed; items that share an id count once.
     longest_match is in words, 0 without a match; a match that only spans several blocks' items counts by item.
     """
-    bench = benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("words")).where(F.col("words").isNotNull())
-    size = bench.agg(F.sum(F.octet_length("words")), F.max(F.octet_length("words"))).first()
-    blocks = max(1, -(-2 * (size[0] or 0) // block_bytes))
-    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
     row = F.struct(*[F.col(f"`{n}`") for n in carry or ["doc_id"]])
     out = bounded(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row.alias("row"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast(SPANS).alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest_match"),
     )
     schema = out.schema
-    for k in range(blocks):
-        rows = [tuple(r) for r in bench.where(block == k).collect()]  # one block, of about block_bytes at most
-        held = docs.sparkSession.sparkContext.broadcast(TestSuffixes(sorted(rows, key=str), window))
+    for held in benchmark_blocks(docs, benchmark, window, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             tests = held.value
@@ -193,6 +199,37 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
     return out
 
 
+def runs_of_windows(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(item, first word, first word in the item, words) of the verbatim matches that no longer one holds."""
+    open_at: dict[tuple[int, int, int], tuple[int, int]] = {}  # the run whose last window is at (item, its place, the document's)
+    ends: dict[tuple[int, int, int], int] = {}
+    for a, b, item, j in sorted(matches):
+        begun = open_at.pop((item, j - 1, a - 1), (a, j))
+        open_at[item, j, a] = begun
+        ends[item, *begun] = b
+    return [(item, a, j, b - a) for (item, a, j), b in ends.items()]
+
+
+def match_locations(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item, word, item_word, words): where the longest verbatim matches of items of window words or more (shorter: whole
+    items) lie in documents and in items, words from 0.  Rows of docs that repeat give their matches again; an item with a
+    null id gives rows with a null item."""
+    out = None
+    for held in benchmark_blocks(docs, benchmark, window, block_bytes):
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+                for a, b in chunked(texts):
+                    rows = [(ids[a + i], held.value.items[item], *rest) for i, matches in held.value.search(texts[a:b])[1].items() for item, *rest in runs_of_windows(matches)]
+                    columns = list(zip(*rows, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item", "word", "item_word", "words"])
+
+        found = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item string, word long, item_word long, words long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document the words that occur inside any benchmark window: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
     found = find_matches(docs, benchmark, window, block_bytes)

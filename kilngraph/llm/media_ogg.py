@@ -22,8 +22,8 @@ from kilngraph.llm._util import as_bytes, bounded
 PACKET = 576
 RATE = 8000
 STREAMS = 2
-#: Lacing values a page holds at most (the format allows 255).
-SEGMENTS = 255
+#: Lacing values a page holds at most (the format allows 255; here packets of three values do go on over pages).
+SEGMENTS = 250
 HEAD = struct.Struct("<4sBBqIIIB")
 IDENT = struct.Struct("<8sBBHIQ")
 MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))

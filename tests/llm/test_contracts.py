@@ -104,6 +104,41 @@ def test_op4_windows(spark, sf, docs, rows):
     assert kept == {w[0] for w in wanted if not w[5]} | ({None} & kept)
 
 
+def test_op4_locations(spark):
+    item = [f"b{k}" for k in range(30)]
+    docs = [(1, " ".join(["x", "y", *item[3:20], "z", *item[3:13]])), (2, "nothing"), (None, " ".join(item)), (3, None)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "z b3"), (9, None)], "item_id long, text string")
+    out = decontam.match_locations(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, "7", 2, 3, 17), (1, "7", 20, 3, 10), (1, "8", 19, 0, 2), (None, "7", 0, 0, 30)], key=str)
+
+
+def test_op6_packets_over_several_pages_and_damage(spark):
+    payload = bytes(range(256)) * 45
+    for segments in (1, 2, 4, 5, 255):
+        media = media_ogg.write_ogg(payload, segments=segments)
+        flags, at = [], 0
+        while at < len(media):
+            head = media_ogg.HEAD.unpack_from(media, at)
+            flags.append(head[2])
+            at += media_ogg.HEAD.size + head[7] + sum(media[at + media_ogg.HEAD.size : at + media_ogg.HEAD.size + head[7]])
+        assert any(f & media_ogg.CONTINUED for f in flags) == (segments != 255)  # three values a packet
+        got, about = media_ogg.read_ogg(media)
+        assert got == payload and about["pages"] == len(flags) and about["packets"] == 20 and about["last_ms"] == 720
+        with pytest.raises(ValueError, match="damaged"):
+            media_ogg.read_ogg(media[: len(media) // 2] + bytes([media[len(media) // 2] ^ 1]) + media[len(media) // 2 + 1 :])
+    pages, at = [], 0
+    while at < len(media := media_ogg.write_ogg(payload, segments=4)):
+        n = media[at + 26]
+        size = 27 + n + sum(media[at + 27 : at + 27 + n])
+        pages.append(media[at : at + size])
+        at += size
+    for lost in (1, 4, len(pages) - 1):
+        with pytest.raises(ValueError):
+            media_ogg.read_ogg(b"".join(p for k, p in enumerate(pages) if k != lost))
+    df = spark.createDataFrame([(1, "t" * 10_000)], "doc_id long, text string")
+    assert media_ogg.ogg_features(df, segments=4).first()["payload_sha256"] == media_ogg.ogg_features(df).first()["payload_sha256"]
+
+
 def test_op6_round_trip(docs, rows):
     import hashlib
     import zlib
