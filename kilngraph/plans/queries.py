@@ -12,6 +12,7 @@ from kilngraph.operators import encoders as E
 from kilngraph.operators import graph as G
 from kilngraph.operators import ids, metrics, paths, propagate, ranking, splits, subgraph
 from kilngraph.operators import tables as T
+from kilngraph.operators.build import build_graph
 from kilngraph.plans import analog as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,6 +200,22 @@ def adjacency_positions(spark, d):
     return G.adjacency(rows, F.col("l_orderkey"))
 
 
+@query(""", e AS (SELECT 'chemical__associated_with__disease' AS name, 'disease__rev_associated_with__chemical' AS back, count(*) AS n, 0 AS attributes FROM bought UNION ALL SELECT 'chemical__affects__gene', 'gene__rev_affects__chemical', count(*), 2 FROM supplied
+UNION ALL SELECT 'disease__targets__gene', 'gene__rev_targets__disease', count(*), 2 FROM urgent UNION ALL SELECT 'gene__interacts_with__gene', NULL, 2 * count(*), 0 FROM partners),
+x AS (SELECT 'edge' AS kind, name, n, attributes FROM e UNION ALL SELECT 'edge', back, n, attributes FROM e WHERE back IS NOT NULL UNION ALL SELECT 'node', 'chemical', count(*), 0 FROM part UNION ALL SELECT 'node', 'disease', count(*), 0 FROM customer UNION ALL SELECT 'node', 'gene', count(*), 0 FROM supplier)
+SELECT kind, name, CAST(n AS BIGINT) AS n, CAST(attributes AS BIGINT) AS attributes FROM x UNION ALL SELECT kind, 'total', CAST(sum(n) AS BIGINT), CAST(sum(attributes) AS BIGINT) FROM x GROUP BY kind""")
+def graph_from_tables(spark, d):
+    """Parts, customers and suppliers as the data model's chemicals, diseases and genes."""
+    ends = lambda df, a, b, *more: df.select(F.col("src").alias(a), F.col("dst").alias(b), *more)
+    ids_ = {"chemicals": ("part", "p_partkey", "CHEM_ID"), "diseases": ("customer", "c_custkey", "DS_ID"), "genes": ("supplier", "s_suppkey", "GENE_ID")}
+    tables = {k: A.load(spark, d, t).select(F.col(c).alias(i)) for k, (t, c, i) in ids_.items()}
+    tables["chem_disease"] = ends(A.bought(spark, d), "CHEM_ID", "DS_ID")
+    tables["chem_gene"] = ends(A.supplied(spark, d), "CHEM_ID", "GENE_ID", F.col("action").alias("ACTION_TYPE"), F.col("subject").alias("ACTION_SUBJECT"))
+    tables["disease_gene"] = ends(A.urgent(spark, d), "DS_ID", "GENE_ID", F.lit(2).alias("DIRECT_EVIDENCE_TYPE"), F.lit(0.0).alias("LOG_PUBMED_COUNT"))
+    tables["ppi_directed"] = ends(T.mirrored(A.partners(spark, d), "src", "dst"), "GENE_ID_1", "GENE_ID_2")
+    return build_graph(tables)[0].summary()
+
+
 # ---- metapaths --------------------------------------------------------------------------------------------------------
 
 TEMPLATES = [paths.Template("part-supplier-customer", ("supplied", "~urgent")), paths.Template("part-supplier-supplier-customer", ("supplied", "partners", "~urgent")), paths.Template("needs what is missing", ("absent", "supplied"))]

@@ -325,3 +325,28 @@ def test_layers_against_numbers(spark):
     soft = [1 / 2, math.exp(3) / (math.exp(3) + math.exp(2))]
     z = propagate.multi_head(h, q, edges, 2, F.col("g")).first()["z"]
     assert z == pytest.approx([soft[0] * 1 * 0.5 + soft[0] * 2, soft[1] * 3 * 0.5 + (1 - soft[1]) * 2])
+
+
+def test_graph_from_processed_tables(spark):
+    from kilngraph.operators.build import build_graph
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "chemicals": spark.range(2).withColumnRenamed("id", "CHEM_ID"), "diseases": spark.range(3).withColumnRenamed("id", "DS_ID"), "genes": spark.range(2).withColumnRenamed("id", "GENE_ID"),
+        "chem_disease": table([(0, 2)], "CHEM_ID long, DS_ID long"), "disease_gene": table([(1, 0, 1, 0.5)], "DS_ID long, GENE_ID long, DIRECT_EVIDENCE_TYPE int, LOG_PUBMED_COUNT double"),
+        "chem_gene": table([(0, 1, "cuts", "flow"), (1, 1, "adds", None)], "CHEM_ID long, GENE_ID long, ACTION_TYPE string, ACTION_SUBJECT string"), "ppi": table([(0, 1)], "GENE_ID_1 long, GENE_ID_2 long"),
+        "pathways": table([(0,)], "PATHWAY_ID long"), "disease_pathway": table([(2, 0, None), (1, 0, 4)], "DS_ID long, PATHWAY_ID long, INFERENCE_GENE_COUNT int"), "gene_pathway": table([], "GENE_ID long, PATHWAY_ID long"),
+        "go_terms": table([(0, "Molecular Function"), (1, None)], "GO_TERM_ID long, GO_ONTOLOGY string"),
+    }
+    graph, vocabularies = build_graph(tables)
+    assert ("gene", "participates_in", "pathway") not in graph.relations and ("pathway", "rev_disrupts", "disease") in graph.relations and ("gene", "rev_interacts_with", "gene") in graph.relations
+    assert sorted(map(tuple, graph.relations["gene", "rev_affects", "chemical"].collect())) == [(1, 0, 1, 1), (1, 1, 0, 0)]  # null is the first subject
+    assert set(vocabularies) == {"action_type", "action_subject"} and vocabularies["action_subject"].count() == 2
+    assert {r["src"]: round(r["INFERENCE_GENE_COUNT"], 9) for r in graph.relations["disease", "disrupts", "pathway"].collect()} == {2: round(math.log(2), 9), 1: round(math.log(5), 9)}
+    assert {r["id"]: r["ontology_type"] for r in graph.nodes["go_term"].collect()} == {0: 1, 1: 0}
+    plain, _ = build_graph(tables | {"ppi_directed": table([(0, 1), (1, 0)], "GENE_ID_1 long, GENE_ID_2 long")}, extended=False)
+    assert set(plain.nodes) == {"chemical", "disease", "gene"} and plain.relations["gene", "interacts_with", "gene"].count() == 2 and ("gene", "rev_interacts_with", "gene") not in plain.relations
+    with pytest.raises(ValueError, match="missing: diseases, ppi"):
+        build_graph({k: v for k, v in tables.items() if k not in ("diseases", "ppi")})
+    with pytest.raises(ValueError, match="0 to n - 1"):
+        build_graph(tables | {"genes": spark.range(1, 3).withColumnRenamed("id", "GENE_ID")})
