@@ -37,7 +37,8 @@ POSITION_BITS = np.uint64(24)
 #: Runs of a block of runs, on average.
 BLOCK = 8
 
-RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("head", pa.int64()), ("offset", pa.int32())])
+RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int16()), ("times", pa.int32()), ("block", pa.int64()), ("head", pa.int64()), ("pos", pa.int32()), ("offset", pa.int32())])
+RUNS_SQL = "id long, key long, anchor long, context long, n short, times int, block long, head long, pos int, offset int"
 RANGES = "array<struct<start:int,end:int>>"
 RANGES_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -74,10 +75,11 @@ def pieces(texts: list[bytes], length: int, limit: int = CHUNK_BYTES) -> Iterato
 
 
 def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, context, start, n, block, head, offset) of every run in a group of pieces.
+    """(text, anchor, context, n, times, block, head, pos, offset) of every run in a group of pieces.
 
-    Consecutive runs of a piece are cut into blocks where a context's hash says so; block is the hash of the contexts in
-    it, head the first of them (128 bits together) and offset the run's start within it, so equal passages have equal blocks."""
+    Equal runs that follow each other, as in text of a short period, are one run with their number as times.  Consecutive
+    runs of a piece are cut into blocks where a context's hash says so; block is the hash of the contexts in it, head the
+    first of them (128 bits together), pos the block's start and offset the run's within it, so equal passages have equal blocks."""
     joined = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in group), np.uint8)
     sizes = np.array([b - a for _, a, b in group])
     ends = np.cumsum(sizes)
@@ -96,7 +98,11 @@ def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int,
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(starts)))
     begin, of = starts[first], piece[first]
-    context = span_hash(prefix, begin, begin + n + length - 1)
+    context, gram_at = span_hash(prefix, begin, begin + n + length - 1), grams[anchor[first]]
+    again = (context[1:] == context[:-1]) & (gram_at[1:] == gram_at[:-1]) & (n[1:] == n[:-1]) & (of[1:] == of[:-1])
+    once = np.flatnonzero(np.append(True, ~again)) if len(first) else first
+    times = np.diff(np.append(once, len(first)))
+    first, n, begin, of, context, gram_at = (x[once] for x in (first, n, begin, of, context, gram_at))
     text = np.array([i for i, _, _ in group])[of]
     offset = np.array([a for _, a, _ in group])[of] - (ends - sizes)[of]
     cut = np.ones(len(first), np.bool_)
@@ -104,8 +110,9 @@ def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int,
     heads = np.flatnonzero(cut)
     block = np.cumsum(cut) - 1
     place = np.arange(len(first)) - heads[block]
-    total = np.add.reduceat(mix(context + place.astype(np.uint64)), heads) if len(heads) else context
-    return text, grams[anchor[first]].view(np.int64), context.view(np.int64), begin + offset, n.astype(np.int32), mix(total)[block].view(np.int64), context[heads][block].view(np.int64), (begin - begin[heads][block]).astype(np.int32)
+    total = np.add.reduceat(mix(context + (place + (times << 32)).astype(np.uint64)), heads) if len(heads) else context
+    pos = begin[heads][block]
+    return text, gram_at.view(np.int64), context.view(np.int64), n.astype(np.int16), times.astype(np.int32), mix(total)[block].view(np.int64), context[heads][block].view(np.int64), (pos + offset).astype(np.int32), (begin - pos).astype(np.int32)
 
 
 def suffix_array(symbols: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -253,16 +260,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
             raw = as_bytes(batch.column("text"))
             ids, keys, within = (batch.column(c).to_numpy() for c in ("id", "key", "within"))
             for group in pieces(raw, length):
-                text, anchor, context, start, n, block, head, offset = runs_of(raw, group, length, gram)
+                text, anchor, context, n, times, block, head, pos, offset = runs_of(raw, group, length, gram)
                 # blocks of different scopes are told apart, as their marks may differ
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, start, n, block ^ within[text], head, offset)], schema=RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], keys[text], anchor ^ within[text], context, n, times, block ^ within[text], head, pos, offset)], schema=RUNS)
 
-    runs = held(texts.mapInArrow(digest, "id long, key long, anchor long, context long, start long, n int, block long, head long, offset int"))
+    every = held(texts.mapInArrow(digest, RUNS_SQL))
     # tables of their own on both sides of the join, so that Spark can split the partition of an anchor that is everywhere
-    twice = held(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
-    runs = held(runs.join(twice, "anchor", "left_semi"))
+    twice = held(every.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"))
+    runs = held(every.join(twice, "anchor", "left_semi").select(every.columns))
+    runs.count()
+    every.unpersist()  # from here on runs stands for it; if a part of runs is lost, it is made anew from the texts
 
-    contexts = runs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start")).alias("copy"), F.max("n").alias("n"), F.max("id").alias("last"))
+    copy = F.min(F.struct("id", "key", (F.col("pos") + F.col("offset")).alias("start"))).alias("copy")
+    contexts = runs.groupBy("anchor", "context").agg(F.sum("times").alias("times"), copy, F.max("n").cast("int").alias("n"), F.max("id").alias("last"))
     contexts = held(contexts.withColumn("whole", F.col("copy.id") < F.col("last") if across else F.col("times") > 1))  # every window repeats
     several = held(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     asked = contexts.join(several, "anchor").groupBy("copy.id", "copy.key")
@@ -315,13 +325,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
     again = hot.groupBy("anchor", "print").agg(F.count("*").alias("times"), F.min("first").alias("first"), F.max("last").alias("last"))
     again = again.where("first < last" if across else "times > 1").select("anchor", "print")
     hot = hot.where(~F.col("whole")).join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
-    whole = contexts.where("whole").select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
+    whole = contexts.where("whole").select("anchor", "context", F.lit(None).cast(RANGES).alias("ranges"))
     marks = whole.unionByName(sorted_).unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
     # marks go to the different blocks first and from there to the texts: a passage that is everywhere is joined once
-    members = runs.select("block", "head", "offset", "anchor", "context").distinct().join(marks, ["anchor", "context"])
-    moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("offset")).alias("start"), (r["end"] + F.col("offset")).alias("end")))
+    members = runs.select("block", "head", "offset", "n", "times", "anchor", "context").distinct().join(marks, ["anchor", "context"])
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    turn = lambda k: F.transform("ranges", lambda r: span(r["start"] + F.col("offset") + k * F.col("n"), r["end"] + F.col("offset") + k * F.col("n")))
+    moved = F.when(F.col("ranges").isNull(), F.array(span(F.col("offset"), F.col("offset") + F.col("n").cast("int") * F.col("times")))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.col("times") - 1), turn)))
     marked = held(members.groupBy("block", "head").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a block's own runs
-    places = runs.select("id", "key", "block", "head", (F.col("start") - F.col("offset")).alias("start")).distinct()
+    places = runs.select("id", "key", "block", "head", F.col("pos").alias("start")).distinct()
     spans = places.join(marked, ["block", "head"]).groupBy("id", "key")
     return spans.agg(F.collect_list(F.struct("start", "ranges")).alias("starts"))  # a text's own blocks
 

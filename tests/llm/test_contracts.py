@@ -293,3 +293,12 @@ def test_empty_tables_and_clashing_names(spark, empty, clashing, name):
         assert all(r[f] == f"own {f}" for r in out.limit(3).collect() for f in CLASHING if f != "media")
     else:
         assert out.count() == len(EDGE)
+
+
+def test_op1_text_of_a_short_period(spark):
+    unit, other = "Is onhe. ", "Was it so? It was not. "
+    rows = [(1, unit * 90), (2, "before " + unit * 60 + "after"), (3, unit * 21), (4, unit * 22 + "x"), (5, other * 9), (6, other * 8 + unit * 23), (7, "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(suffix_dedup.dedup_report(df), brute.repeats(rows), SPANS)
+    same(suffix_dedup.dedup_report(df, hot_contexts=1), brute.repeats(rows), SPANS)
+    same(suffix_dedup.dedup_report(df, length=60, gram=16), brute.repeats(rows, 60), SPANS)
