@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once with numpy; a longer text is one chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Files of an intermediate table for each core.
+FILES = 4
 #: Bytes of rows that Python gets in one batch; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -39,10 +41,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    In at most FILES files a core, however many partitions it comes in."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.coalesce(FILES * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

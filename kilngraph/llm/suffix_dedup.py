@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilngraph.llm._util import CHUNK_BYTES, as_bytes, bounded, held, mix, prefix_hash, span_hash, text_key
+from kilngraph.llm._util import CHUNK_BYTES, as_bytes, bounded, held, materialize, mix, prefix_hash, span_hash, text_key
 
 LENGTH = 200
 GRAM = 48
@@ -37,8 +37,8 @@ POSITION_BITS = np.uint64(24)
 #: Runs of a block of runs, on average.
 BLOCK = 8
 
-RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int16()), ("times", pa.int32()), ("block", pa.int64()), ("head", pa.int64()), ("pos", pa.int32()), ("offset", pa.int32())])
-RUNS_SQL = "id long, key long, anchor long, context long, n short, times int, block long, head long, pos int, offset int"
+RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int16()), ("times", pa.int32()), ("block", pa.int64()), ("head", pa.int32()), ("pos", pa.int32()), ("offset", pa.int32())])
+RUNS_SQL = "id long, key long, anchor long, context long, n short, times int, block long, head int, pos int, offset int"
 RANGES = "array<struct<start:int,end:int>>"
 RANGES_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -78,8 +78,8 @@ def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int,
     """(text, anchor, context, n, times, block, head, pos, offset) of every run in a group of pieces.
 
     Equal runs that follow each other, as in text of a short period, are one run with their number as times.  Consecutive
-    runs of a piece are cut into blocks where a context's hash says so; block is the hash of the contexts in it, head the
-    first of them (128 bits together), pos the block's start and offset the run's within it, so equal passages have equal blocks."""
+    runs of a piece are cut into blocks where a context's hash says so; block is the hash of the contexts in it, head a
+    part of the first's (96 bits together), pos the block's start and offset the run's within it, so equal passages have equal blocks."""
     joined = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in group), np.uint8)
     sizes = np.array([b - a for _, a, b in group])
     ends = np.cumsum(sizes)
@@ -112,7 +112,7 @@ def runs_of(texts: list[bytes], group: list[tuple[int, int, int]], length: int,
     place = np.arange(len(first)) - heads[block]
     total = np.add.reduceat(mix(context + (place + (times << 32)).astype(np.uint64)), heads) if len(heads) else context
     pos = begin[heads][block]
-    return text, gram_at.view(np.int64), context.view(np.int64), n.astype(np.int16), times.astype(np.int32), mix(total)[block].view(np.int64), context[heads][block].view(np.int64), (pos + offset).astype(np.int32), (begin - pos).astype(np.int32)
+    return text, gram_at.view(np.int64), context.view(np.int64), n.astype(np.int16), times.astype(np.int32), mix(total)[block].view(np.int64), context[heads][block].view(np.int64).astype(np.int32), (pos + offset).astype(np.int32), (begin - pos).astype(np.int32)
 
 
 def suffix_array(symbols: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -267,13 +267,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
     every = held(texts.mapInArrow(digest, RUNS_SQL))
     # tables of their own on both sides of the join, so that Spark can split the partition of an anchor that is everywhere
     twice = held(every.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"))
-    runs = held(every.join(twice, "anchor", "left_semi").select(every.columns))
-    runs.count()
-    every.unpersist()  # from here on runs stands for it; if a part of runs is lost, it is made anew from the texts
+    runs = materialize(every.join(twice, "anchor", "left_semi").select(every.columns))  # what comes before it can go then
+    every.unpersist()
+    twice.unpersist()
 
     copy = F.min(F.struct("id", "key", (F.col("pos") + F.col("offset")).alias("start"))).alias("copy")
     contexts = runs.groupBy("anchor", "context").agg(F.sum("times").alias("times"), copy, F.max("n").cast("int").alias("n"), F.max("id").alias("last"))
-    contexts = held(contexts.withColumn("whole", F.col("copy.id") < F.col("last") if across else F.col("times") > 1))  # every window repeats
+    contexts = materialize(contexts.withColumn("whole", F.col("copy.id") < F.col("last") if across else F.col("times") > 1))  # every window repeats
     several = held(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     asked = contexts.join(several, "anchor").groupBy("copy.id", "copy.key")
     asked = asked.agg(F.collect_list(F.struct("anchor", "context", "n", "kinds", F.col("copy.id").alias("first"), "last", "whole", "copy.start")).alias("asked"))  # a text's own runs
@@ -318,7 +318,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
                 prints = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(prints, pa.binary()), pa.array([first] * n, pa.int64()), pa.array([last] * n, pa.int64()), pa.array([whole] * n, pa.bool_())], ["anchor", "context", "at", "print", "first", "last", "whole"])
 
-    strings = held(strings)
+    crowded = bool(several.where(F.col("kinds") > hot_contexts).take(1))
+    strings = materialize(strings) if crowded else strings
     shards = strings.where(F.col("kinds") <= hot_contexts).repartition("anchor").sortWithinPartitions("anchor", "context")
     sorted_ = shards.mapInArrow(sort, f"anchor long, context long, ranges {RANGES}")
     hot = strings.where(F.col("kinds") > hot_contexts).dropDuplicates(["anchor", "context"]).mapInArrow(windows, "anchor long, context long, at int, print binary, first long, last long, whole boolean")
@@ -326,13 +327,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_co
     again = again.where("first < last" if across else "times > 1").select("anchor", "print")
     hot = hot.where(~F.col("whole")).join(again, ["anchor", "print"], "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("end"))).alias("ranges"))
     whole = contexts.where("whole").select("anchor", "context", F.lit(None).cast(RANGES).alias("ranges"))
-    marks = whole.unionByName(sorted_).unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
+    marks = whole.unionByName(sorted_)
+    if crowded:
+        marks = marks.unionByName(hot.select("anchor", "context", F.col("ranges").cast(RANGES)))
     # marks go to the different blocks first and from there to the texts: a passage that is everywhere is joined once
     members = runs.select("block", "head", "offset", "n", "times", "anchor", "context").distinct().join(marks, ["anchor", "context"])
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     turn = lambda k: F.transform("ranges", lambda r: span(r["start"] + F.col("offset") + k * F.col("n"), r["end"] + F.col("offset") + k * F.col("n")))
     moved = F.when(F.col("ranges").isNull(), F.array(span(F.col("offset"), F.col("offset") + F.col("n").cast("int") * F.col("times")))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.col("times") - 1), turn)))
-    marked = held(members.groupBy("block", "head").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a block's own runs
+    marked = materialize(members.groupBy("block", "head").agg(F.flatten(F.collect_list(moved)).alias("ranges")))  # a block's own runs
     places = runs.select("id", "key", "block", "head", F.col("pos").alias("start")).distinct()
     spans = places.join(marked, ["block", "head"]).groupBy("id", "key")
     return spans.agg(F.collect_list(F.struct("start", "ranges")).alias("starts"))  # a text's own blocks
