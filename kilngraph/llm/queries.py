@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilngraph.llm import decontam, html_extract, license_scan, media_ogg, mixing, quality, simhash, suffix_dedup, url_filter, warc
+from kilngraph.llm import alignment, decontam, html_extract, license_scan, media_ogg, mixing, quality, simhash, suffix_dedup, token_files, url_filter, vector_codes, warc
 from kilngraph.llm._util import table
 
 
@@ -52,12 +52,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.store_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_simhash, op4_decontaminate, op5_quality_classifier, op6_media_ogg, op7_mixing, op8_html_extract, op9_url_filter, op10_warc)}
+    first = (op1_suffix_dedup, op2_license_scan, op3_simhash, op4_decontaminate, op5_quality_classifier, op6_media_ogg, op7_mixing, op8_html_extract, op9_url_filter, op10_warc)
+    return {f.__name__: f for f in (*first, op11_token_files, op12_align_tokenizers, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9, "op10_warc": OP10}
+    return {"op9_url_filter": OP9, "op10_warc": OP10, "op13_vector_codes": OP13}
 
 
 def drawn(key: str, n: int) -> str:
@@ -93,3 +106,27 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN f.first <> page_id THEN f.first END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
+
+
+def assigned(k: int) -> str:
+    """n{k}: each part's nearest entry of c{k}."""
+    distance = "list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2])))"
+    near = f"SELECT vec_id, label, p.part, x, e, d, row_number() OVER (PARTITION BY vec_id, p.part ORDER BY d, e) AS r FROM (SELECT vec_id, label, p.part, x, e, {distance} AS d FROM p JOIN c{k} ON p.part = c{k}.part) p"
+    return f"n{k} AS (SELECT vec_id, label, part, x, e, d FROM ({near}) WHERE r = 1)"
+
+
+def moved(k: int) -> str:
+    """c{k}: the entries after a round."""
+    means = f"SELECT part, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM n{k - 1} CROSS JOIN (SELECT unnest(range(1, w + 1)) AS i FROM width) GROUP BY 1, 2, 3"
+    return f"c{k} AS (SELECT part, e, coalesce(m, c) AS c FROM c{k - 1} LEFT JOIN (SELECT part, e, list(m ORDER BY i) AS m FROM ({means}) GROUP BY 1, 2) USING (part, e))"
+
+
+OP13 = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(v)) // 16 AS w FROM k), p AS (SELECT vec_id, label, part, v[part * w + 1:(part + 1) * w] AS x FROM k CROSS JOIN width CROSS JOIN (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+{assigned(0)}, {moved(1)}, {assigned(1)}, {moved(2)}, {assigned(2)},
+o AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 GROUP BY 1, 2),
+s AS (SELECT sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY part, e, i)) AS digest FROM (SELECT part, e, unnest(c) AS m, generate_subscripts(c, 1) AS i FROM c2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM o CROSS JOIN s
+"""
