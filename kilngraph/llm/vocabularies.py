@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 #: Bytes of a vocabulary file that may be broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Bytes of chunks and results that a worker remembers, about.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 64 << 20
 
 #: White space is dropped and ends a word: every space cuts.
 AT_SPACES = re.compile(" ")
@@ -55,7 +55,7 @@ class Memo(dict):
         if self.size > self.limit:
             self.clear()
             self.size = 0
-        if new := list(set(chunks).difference(self.keys())):
+        if new := [c for c in set(chunks) if c not in self]:
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 for chunk, result in zip(part, self.encode(part), strict=True):
