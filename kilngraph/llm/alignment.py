@@ -14,6 +14,7 @@ between two B tokens that no A token spans is where tokens of both end: a group'
 from __future__ import annotations
 
 import hashlib
+import struct
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.llm._util import bounded, materialize
-from kilngraph.llm.vocabularies import BEFORE_SPACES, Memo, byte_alphabet, loaded, shared_file, word_tokenizer
+from kilngraph.llm.vocabularies import BEFORE_SPACES, Memo, byte_alphabet, loaded, shared_file, word_tokenizer, words_of
 
 A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
@@ -33,6 +34,8 @@ B_VOCABULARY = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
 #: A pair is A's id by this, and B's id.
 SHIFT = 1 << 20
+HEAD = "<4I"
+HEAD_BYTES = struct.calcsize(HEAD)
 
 
 def overlaps(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> list[tuple[int, int]]:
@@ -45,20 +48,15 @@ def overlaps(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> list[tuple[int,
     return out
 
 
-def groups(spans: list[tuple[int, int]], n_b: int) -> list[tuple[int, int, int, int]]:
-    """(first A, end A, first B, end B) of every group: cut at gaps between B tokens that no A token spans."""
-    spanned = [False] * n_b
-    for lo, hi in spans:
-        for gap in range(lo, hi):
-            spanned[gap] = True
+def groups(spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first A, end A, first B, end B) of every group: cut at gaps between B tokens that no A token spans.
+
+    Spans ascend, so the gap behind a span's last token is spanned only if the next span begins with that token."""
     out, a, b = [], 0, 0
-    for gap in range(n_b):
-        if not spanned[gap]:
-            end = a
-            while end < len(spans) and spans[end][1] <= gap:
-                end += 1
-            out.append((a, end, b, gap + 1))
-            a, b = end, gap + 1
+    for k, (_, hi) in enumerate(spans, 1):
+        if k == len(spans) or spans[k][0] > hi:
+            out.append((a, k, b, hi + 1))
+            a, b = k, hi + 1
     return out
 
 
@@ -70,6 +68,7 @@ class Pair:
 
         self.a = word_tokenizer(a)
         self.a.encode_special_tokens = True
+        self.words = words_of(a, self.a)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         alphabet = byte_alphabet()
         self.a_bytes: dict[int, bytes | None] = {}
@@ -82,29 +81,30 @@ class Pair:
     def ids(self, chunks: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
         """chunks: texts with a space before them."""
         b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, x, y in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False), b, strict=True):
-            yield chunk, x.ids, y
+        for chunk, y in zip(chunks, b, strict=True):
+            yield chunk, self.words.ids(chunk), y
 
-    def aligned(self, chunks: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, n_links, groups' text, pairs) of each chunk; None where a tokenizer's bytes aren't the chunk's."""
-        out: list[tuple | None] = []
+    def aligned(self, chunks: list[str]) -> list[bytes | None]:
+        """Of each chunk n_a, n_b, n_groups, n_links (HEAD), the pairs (8 bytes each) and the groups' text; None where a tokenizer's bytes
+        aren't the chunk's."""
+        out: list[bytes | None] = []
         for chunk, a, b in self.ids(chunks):
             raw = chunk.encode()
             parts, pieces = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
             if b"".join(parts) != raw or b"".join(pieces) != raw:
                 out.append(None)
                 continue
-            spans = overlaps([len(x) for x in parts], [len(x) for x in pieces])
-            found = groups(spans, len(b))
-            text = ";".join(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in found)
+            spans = overlaps([*map(len, parts)], [*map(len, pieces)])
+            found = groups(spans)
+            text = ";".join([f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in found])
             pairs = [x * SHIFT + y for x, (lo, hi) in zip(a, spans, strict=True) for y in b[lo : hi + 1]]
-            out.append((len(a), len(b), len(found), len(pairs), text.encode(), np.array(pairs, np.int64)))
+            out.append(struct.pack(HEAD, len(a), len(b), len(found), len(pairs)) + struct.pack(f"<{len(pairs)}q", *pairs) + text.encode())
         return out
 
 
 def alignments(a: bytes, b: bytes) -> Memo:
     """chunk -> what Pair.aligned gives"""
-    return Memo(Pair(a, b).aligned, lambda x: 300 + len(x[4]) + 8 * len(x[5]) if x else 0)
+    return Memo(Pair(a, b).aligned)
 
 
 FIELDS = [
@@ -170,15 +170,18 @@ def align_blocks(docs: DataFrame, a_vocabulary: str = A_VOCABULARY, b_vocabulary
         chunks = [" " + text] if split is None else split.split(" " + text)
         memo.learn(chunks)
         each = Counter(chunks)
-        got = [memo[c] for c in each]
+        got = [memo.now[c] for c in each]
         if any(g is None for g in got):
             return None
+        heads = np.frombuffer(b"".join([g[:HEAD_BYTES] for g in got]), "<u4").reshape(-1, 4).astype(np.int64)
+        ends = (HEAD_BYTES + 8 * heads[:, 3]).tolist()
+        texts = {c: g[e:] for c, g, e in zip(each, got, ends, strict=True)}
         digest = hashlib.sha256()
         for at in range(0, len(chunks), 4096):
-            digest.update((b";" if at else b"") + b";".join([memo[c][4] for c in chunks[at : at + 4096]]))
-        counts = list(each.values())
-        numbers = [sum(g[k] * c for g, c in zip(got, counts, strict=True)) for k in range(4)]
-        return (*numbers, digest.hexdigest(), np.concatenate([g[5] for g in got]), np.repeat(counts, [len(g[5]) for g in got]))
+            digest.update((b";" if at else b"") + b";".join([texts[c] for c in chunks[at : at + 4096]]))
+        counts = np.array([*each.values()])
+        pairs = np.frombuffer(b"".join([g[HEAD_BYTES:e] for g, e in zip(got, ends, strict=True)]), "<i8")
+        return (*(counts @ heads).tolist(), digest.hexdigest(), pairs, np.repeat(counts, heads[:, 3]))
 
     return materialize(rows.mapInArrow(align, FIELDS_SQL))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilngraph.llm._util import bounded, materialize
-from kilngraph.llm.vocabularies import AT_SPACES, Memo, loaded, shared_file, word_tokenizer
+from kilngraph.llm.vocabularies import AT_SPACES, Memo, loaded, shared_file, word_tokenizer, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Behind each document.
@@ -217,19 +217,29 @@ class TokenFile:
 
 
 def packed_ids(vocabulary: bytes) -> Memo:
-    """chunk -> its ids' bytes"""
+    """chunk -> its ids' bytes, two an id where the vocabulary has no id beyond."""
     tokenizer = word_tokenizer(vocabulary)
-    pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    return Memo(lambda chunks: [pack(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], len)
+    words, letter = words_of(vocabulary, tokenizer), "H" if id_kind(tokenizer) == "<u2" else "I"
 
+    def encode(chunks: list[str]) -> list[bytes]:
+        found = map(words.ids, chunks)
+        return [struct.pack(f"<{len(ids)}{letter}", *ids) for ids in found]
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, split=AT_SPACES) -> DataFrame:
-    """(doc_id, ids) of every row of docs: its text's ids without special tokens and the end id, as unsigned 32-bit integers, little
-    endian.  A null text is empty.
+    return Memo(encode)
+
+
+def id_kind(tokenizer) -> str:
+    return "<u2" if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, split=AT_SPACES) -> tuple[DataFrame, str]:
+    """(doc_id, ids) of every row of docs: its text's ids without special tokens and the end id, as little-endian integers of the kind that is
+    given back too.  A null text is empty.
 
     split: where a text can be cut without a change to its tokens; None for tokenizers that allow it nowhere."""
     data = shared_file(docs.sparkSession, vocabulary)
-    last = struct.pack("<I", end)
+    kind = id_kind(word_tokenizer(data.value))
+    last = np.array([end], kind).tobytes()
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,21 +248,20 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = E
             out = []
             for text in batch.column("text").to_pylist():
                 chunks = [text] if split is None else split.split(text)
-                memo.learn(chunks)
-                out.append(b"".join([*map(memo.__getitem__, chunks), last]))
+                out.append(b"".join([*map(memo.learn(chunks).__getitem__, chunks), last]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return rows.mapInArrow(encode, "doc_id long, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, ids binary"), kind
 
 
-def count_ids(encoded: DataFrame) -> np.ndarray:
+def count_ids(encoded: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all of encoded; a row an id comes to the driver, as many as the vocabulary has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
-                new = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+                new = np.bincount(np.frombuffer(raw.as_buffer(), kind))
                 if len(new) > len(total):
                     total = np.append(total, np.zeros(len(new) - len(total), np.int64))
                 total[: len(new)] += new
@@ -266,7 +275,7 @@ def count_ids(encoded: DataFrame) -> np.ndarray:
     return out
 
 
-def write_files(encoded: DataFrame, table: Frequencies, file_ids: int = FILE, block: int = BLOCK, checkpoint: int = CHECKPOINT) -> DataFrame:
+def write_files(encoded: DataFrame, kind: str, table: Frequencies, file_ids: int = FILE, block: int = BLOCK, checkpoint: int = CHECKPOINT) -> DataFrame:
     """A materialized table (part, before, n_ids, data) of encoded's documents in ascending order of doc_id, null first; rows of one doc_id by their
     ids.  Files hold whole documents: one is full when it has file_ids ids.  before: the part's ids in earlier files."""
     freq = encoded.sparkSession.sparkContext.broadcast(table.freq)
@@ -274,19 +283,19 @@ def write_files(encoded: DataFrame, table: Frequencies, file_ids: int = FILE, bl
     laid = laid.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Frequencies(freq.value)
+        own, width = Frequencies(freq.value), np.dtype(kind).itemsize
         keys, parts, size, before, part = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([np.frombuffer(p, "<u4") for p in parts])
-            data = write_file(ids, [len(p) // 4 for p in parts], keys, own, block, checkpoint)
+            ids = np.frombuffer(b"".join(parts), kind)
+            data = write_file(ids, [len(p) // width for p in parts], keys, own, block, checkpoint)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "before", "n_ids", "data"])
 
         for batch in batches:
             for part, key, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):  # noqa: B007
                 keys.append(key)
                 parts.append(raw)
-                size += len(raw) // 4
+                size += len(raw) // width
                 if size >= file_ids:
                     yield flush()
                     keys, parts, size, before = [], [], 0, before + size
@@ -325,6 +334,7 @@ def store_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
 
     Rows that repeat are documents of their own; rows of one doc_id stand in the order of their ids' hash.  A null text has the end id
     alone.  Empty docs give no row."""
-    encoded = materialize(encode_documents(docs, vocabulary, end, split))
-    table = Frequencies.scaled(count_ids(encoded))
-    return read_files(write_files(encoded, table, file_ids, block, checkpoint), table)
+    encoded, kind = encode_documents(docs, vocabulary, end, split)
+    encoded = materialize(encoded)
+    table = Frequencies.scaled(count_ids(encoded, kind))
+    return read_files(write_files(encoded, kind, table, file_ids, block, checkpoint), table)

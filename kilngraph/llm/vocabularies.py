@@ -6,6 +6,7 @@ after the other.  A worker remembers its chunks' results up to MEMO_BYTES and st
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -17,7 +18,7 @@ from pyspark.sql import SparkSession
 #: Bytes of a vocabulary file that may be broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Bytes of chunks and results that a worker remembers, about.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 160 << 20
 
 #: White space is dropped and ends a word: every space cuts.
 AT_SPACES = re.compile(" ")
@@ -43,24 +44,94 @@ def shared_file(spark: SparkSession, name: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-class Memo(dict):
-    """chunk -> result; what is missing in a list of chunks is worked out by `encode` (list of chunks -> list of results)."""
+class Memo:
+    """chunk -> result, as bytes; what is missing in a list of chunks is worked out by `encode` (list of chunks -> list of results).
 
-    def __init__(self, encode: Callable[[list[str]], list[Any]], size_of: Callable[[Any], int], limit: int = MEMO_BYTES):
-        super().__init__()
-        self.encode, self.size_of, self.limit, self.size = encode, size_of, limit, 0
+    Two generations: when one is full the other goes, so chunks that keep coming stay."""
 
-    def learn(self, chunks: list[str]) -> None:
-        """From now on, and until the next call, all chunks are known."""
+    def __init__(self, encode: Callable[[list[str]], list[bytes | None]], limit: int = MEMO_BYTES // 2):
+        self.encode, self.limit, self.size = encode, limit, 0
+        self.now: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes | None]:
+        """Results of all chunks (and maybe more), until the next call."""
         if self.size > self.limit:
-            self.clear()
-            self.size = 0
-        if new := [c for c in set(chunks) if c not in self]:
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, result in zip(part, self.encode(part), strict=True):
-                    self[chunk] = result
-                    self.size += 100 + 2 * len(chunk) + self.size_of(result)
+            self.before, self.now, self.size = self.now, {}, 0
+        now, before, missing = self.now, self.before, []
+        for c in set(chunks):
+            if c not in now:
+                if c in before:
+                    self.keep(c, before[c])
+                else:
+                    missing.append(c)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            for c, result in zip(part, self.encode(part), strict=True):
+                self.keep(c, result)
+        return now
+
+    def keep(self, chunk: str, result: bytes | None) -> None:
+        self.now[chunk] = result
+        self.size += 180 + len(chunk) + len(result or b"")
+
+
+class Words:
+    """Ids of chunks through a tokenizer's parts, its model asked once for each different word of MOST.
+
+    plain_words finds the words of ASCII and the letters of Latin-1 (PLAIN) as the tokenizer's pre-tokenizer does (tests hold it); other
+    chunks go through the normalizer and the pre-tokenizer, and chunks with special tokens, or all where plain_words is None, through the
+    whole tokenizer."""
+
+    MOST = 300_000
+
+    def __init__(self, tokenizer, plain_words: re.Pattern | None, lower: bool):
+        self.tokenizer, self.plain_words, self.lower = tokenizer, plain_words, lower
+        self.model, self.normalizer, self.splitter = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.written = {b: c for c, b in byte_alphabet().items()}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.other: dict[str, tuple[int, ...]] = {}  # by the byte alphabet's characters
+
+    def ids(self, chunk: str) -> list[int]:
+        if self.plain_words is None or "<|" in chunk:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if PLAIN.fullmatch(chunk):
+            words = self.plain_words.findall(chunk.lower() if self.lower else chunk)
+            written = False
+        else:
+            written = True
+            words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk) if self.normalizer else chunk)]
+        known = self.known if not written else self.other
+        if len(known) > self.MOST:
+            known.clear()
+        out: list[int] = []
+        for w in words:
+            if (ids := known.get(w)) is None:
+                raw = w if written else w.encode().decode("latin-1").translate(self.written)
+                ids = known[w] = tuple([t.id for t in self.model.tokenize(raw)])
+            out += ids
+        return out
+
+
+#: ASCII and the letters of Latin-1: each is lower-cased by itself, and NFC changes none of them.
+PLAIN = re.compile(r"[\0-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
+#: Fixed: how the two public word tokenizers cut, and the same over PLAIN.
+CUTS = {
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xC0-\xFF]+|[0-9]|[^\t-\r a-z0-9\xC0-\xFF]+"),
+    "byte level": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xC0-\xFF]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9\xC0-\xFF]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"),
+}
+
+
+def words_of(data: bytes, tokenizer) -> Words:
+    """Words for a tokenizer's file; with plain_words only where the file says that it cuts as one of the CUTS."""
+    spec = json.loads(data)
+    cut, steps = spec.get("pre_tokenizer") or {}, [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and spec.get("normalizer") is None:
+        return Words(tokenizer, CUTS["byte level"], False)
+    first, *rest = cut.get("pretokenizers", [{}])
+    if steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and [r["type"] for r in rest] == ["ByteLevel"]:
+        return Words(tokenizer, CUTS.get(first["pattern"].get("Regex")), True)
+    return Words(tokenizer, None, False)
 
 
 def loaded(name: str, make: Callable[..., Any], *files: bytes, kept: dict = {}) -> Any:  # noqa: B006

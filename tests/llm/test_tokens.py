@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 from kilngraph.llm import alignment, queries, token_files, vector_codes
-from kilngraph.llm.vocabularies import AT_SPACES, BEFORE_SPACES, byte_alphabet, word_tokenizer
+from kilngraph.llm.vocabularies import AT_SPACES, BEFORE_SPACES, byte_alphabet, word_tokenizer, words_of
 from tests.llm.conftest import EDGE, SCHEMA
 
 ODD = ["", " ", "  two  blanks ", "tab\tand\nline \n end", "don't we'll I'VE", "a <|endoftext|> b<|startoftext|>c", "x▁y", "<0x0A> bytes", "é ́combining ́", "İstanbul ǅ ﬁ", "漢字 かな 🙂🙂", "　wide space\x1cx", "nul\x00 in", "   lead", "trail   ", "12 345,6", "᠎ a ᠎b", "a  b", "﻿bom", "ΑΣ σς", " '", "' s", "▁ ▁▁"]
@@ -48,13 +48,15 @@ def both():
 
 
 def test_cuts_change_no_token(rows, words, both):
+    quick = words_of(read(token_files.VOCABULARY), words)
+    assert quick.plain_words is not None is not both.words.plain_words
     rng = random.Random(5)
-    mixed = ["".join(rng.choice(" 　\n\tab.'1é▁漢́") for _ in range(rng.randrange(40))) for _ in range(800)]
+    mixed = ["".join(rng.choice(" 　\n\taBst.'1éÉßÿ×Àẞ▁漢́<|\x1c\x7f\x85\xa0") for _ in range(rng.randrange(40))) for _ in range(3000)]
     for text in [*ODD, *mixed, *(t for _, t in rows if t and len(t) < 3000)]:
-        assert [i for c in AT_SPACES.split(text) for i in words.encode(c, add_special_tokens=False).ids] == words.encode(text, add_special_tokens=False).ids
-        whole, cut = list(both.ids([" " + text]))[0], list(both.ids(BEFORE_SPACES.split(" " + text)))
-        assert [i for _, a, _ in cut for i in a] == whole[1]
-        assert [i for _, _, b in cut for i in b] == whole[2] or "▁" in text
+        assert [i for c in AT_SPACES.split(text) for i in quick.ids(c)] == words.encode(text, add_special_tokens=False).ids
+        cut = list(both.ids(BEFORE_SPACES.split(" " + text)))
+        assert [i for _, a, _ in cut for i in a] == both.a.encode(" " + text, add_special_tokens=False).ids
+        assert [i for _, _, b in cut for i in b] == both.b.encode(text) or "▁" in text or not text
 
 
 @pytest.mark.parametrize("files", [{}, {"file_ids": 500, "block": 64, "checkpoint": 1}, {"file_ids": 1, "block": 96, "checkpoint": 2}])
@@ -165,8 +167,8 @@ def test_op12_empty(empty):
 
 def test_op12_spans_by_hand():
     assert alignment.overlaps([2, 3, 1], [1, 1, 4]) == [(0, 1), (2, 2), (2, 2)]
-    assert alignment.groups([(0, 1), (2, 2), (2, 2)], 3) == [(0, 1, 0, 2), (1, 3, 2, 3)]
-    assert alignment.overlaps([], []) == [] == alignment.groups([], 0)
+    assert alignment.groups([(0, 1), (2, 2), (2, 2)]) == [(0, 1, 0, 2), (1, 3, 2, 3)]
+    assert alignment.overlaps([], []) == [] == alignment.groups([])
 
 
 # ---- 13 ---------------------------------------------------------------------------------------------------------------
