@@ -167,19 +167,27 @@ def repaired(positives: DataFrame, found: DataFrame, known: DataFrame, n_src: in
     return found.unionByName(got)
 
 
-def weighted_draws(weights: DataFrame, id_col: str, weight: str, draws: DataFrame) -> DataFrame:
-    """draws (with u in [0, 1)) with id_col drawn by weight: the id whose interval of running weights holds u x total.
+def weighted_draws(weights: DataFrame, id_col: str, weight: str, draws: DataFrame, unit: int = 2**31) -> DataFrame:
+    """draws (with u in [0, 1)) with id_col drawn by weight: exactly one row a draw.
 
-    Equal pieces of [0, 1) are the join key, so it is an equality with a check behind it, and no range join."""
+    Weights count in whole parts of the largest, which has `unit` of them (smaller ones are rounded), so running weights are exact: draw u takes the
+    id whose interval of [0, total) holds floor(u * total).  [0, total) is cut into about as many equal pieces as there are ids, and a piece
+    lists the ids that reach into it: two rows an id at most in all, and a draw meets two ids on average, however unequal the weights
+    are (one that has a third of all has a third of the pieces, so its draws are no hot key).  ValueError without a positive weight."""
     from kilngraph.operators.ids import running_totals
 
-    laid = running_totals(weights.select(id_col, F.col(weight).cast("double").alias("_w")), id_col, ["_w"])
+    seen = weights.agg(F.max(F.col(weight).cast("double")).alias("most"), F.count("*").alias("n")).first()
+    if not seen["most"] or seen["most"] <= 0:
+        raise ValueError("no weight is positive")
+    whole = F.round(F.col(weight).cast("double") * float(unit) / seen["most"]).cast("long")
+    laid = running_totals(weights.select(id_col, whole.alias("_w")).where("_w > 0"), id_col, ["_w"]).persist(StorageLevel.DISK_ONLY)
     total = laid.agg(F.sum("_w")).first()[0]
-    pieces = 1024
-    laid = laid.where("_w > 0").select(id_col, (F.col("before__w") / total).alias("_low"), ((F.col("before__w") + F.col("_w")) / total).alias("_high"))
-    laid = laid.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_low") * pieces).cast("int"), F.floor(F.col("_high") * pieces).cast("int"))))
-    asked = draws.withColumn("_piece", F.floor(F.col("u") * pieces).cast("int"))
-    return asked.join(laid, "_piece").where((F.col("u") >= F.col("_low")) & (F.col("u") < F.col("_high"))).drop("_piece", "_low", "_high")
+    step = -(-total // max(1024, seen["n"]))
+    at = lambda c: F.expr(f"cast({c} as bigint) div {step}L")
+    laid = laid.select(id_col, F.col("before__w").alias("_low"), (F.col("before__w") + F.col("_w")).alias("_high"))
+    laid = laid.withColumn("_piece", F.explode(F.sequence(at("_low"), at("_high - 1"))))
+    asked = draws.withColumn("_x", F.least(F.floor(F.col("u") * F.lit(float(total))).cast("long"), F.lit(total - 1).cast("long"))).withColumn("_piece", at("_x"))
+    return asked.join(laid, "_piece").where((F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_high"))).drop("_piece", "_low", "_high", "_x")
 
 
 def fanout(edges: DataFrame, seeds: DataFrame, most: int, seed: int = 42) -> DataFrame:

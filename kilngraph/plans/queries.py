@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilngraph.functions import expressions as X
 from kilngraph.operators import encoders as E
 from kilngraph.operators import graph as G
-from kilngraph.operators import ids, metrics, paths, propagate, ranking, splits, subgraph
+from kilngraph.operators import batches, ids, layers, metrics, paths, propagate, ranking, splits, subgraph
 from kilngraph.operators import tables as T
 from kilngraph.operators.build import build_graph
 from kilngraph.plans import analog as A
@@ -385,9 +386,15 @@ def negatives_uniform(spark, d):
 QUERIES["negatives_repaired"], ORACLES["negatives_repaired"] = QUERIES["negatives_uniform"], ORACLES["negatives_uniform"]
 
 
-@query(f""", w AS (SELECT src AS id, CAST((count(*) + 1) AS DOUBLE) AS w FROM bought GROUP BY 1), c AS (SELECT id, coalesce(sum(w) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, w FROM w), t AS (SELECT sum(w) AS total FROM w),
-u AS (SELECT o_orderkey AS k, {draw_sql(7, 'o_orderkey', below=2**40)} / 1099511627776.0 AS u FROM orders)
-SELECT k, id FROM u CROSS JOIN t JOIN c ON u.u >= c.low / total AND u.u < (c.low + c.w) / total""")
+def cumulated(weights: str) -> str:
+    """c: (id, low, w, total) in whole parts of the largest weight; weights: SQL for (id, w)."""
+    return f"""w AS (SELECT id, CAST(round(CAST(w AS DOUBLE) * 2147483648.0 / max(CAST(w AS DOUBLE)) OVER ()) AS BIGINT) AS w FROM ({weights})),
+c AS (SELECT id, CAST(sum(w) OVER (ORDER BY id) AS BIGINT) - w AS low, w, CAST(sum(w) OVER () AS BIGINT) AS total FROM w WHERE w > 0)"""
+
+
+@query(f""", {cumulated("SELECT src AS id, count(*) + 1 AS w FROM bought GROUP BY 1")},
+u AS (SELECT o_orderkey AS k, {draw_sql(7, 'o_orderkey', below=2**40)} / 1099511627776.0 AS u FROM orders), x AS (SELECT k, least(CAST(floor(u * CAST(total AS DOUBLE)) AS BIGINT), total - 1) AS x FROM u CROSS JOIN (SELECT max(total) AS total FROM c))
+SELECT k, id FROM x JOIN c ON x >= low AND x < low + w""")
 def weighted_draws(spark, d):
     weights = A.bought(spark, d).groupBy(F.col("src").alias("id")).agg((F.count("*") + 1).alias("w"))
     draws = A.load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (X.draw(7, F.col("o_orderkey"), below=2**40) / F.lit(float(2**40))).alias("u"))
@@ -609,10 +616,6 @@ def explanation_summary(spark, d):
     return paths.explanation_summary(*explained(spark, d))
 
 
-def hop_draw(k: int, name: str) -> str:
-    return draw_sql(42 + k, f"'{name}'", "src", "dst", below=2**40)
-
-
 def hop_sql(hop: int, frontier: str, most: int) -> str:
     return f"""h{hop} AS (SELECT {hop} AS hop, relation, src_type, src, dst_type, dst FROM (SELECT *, row_number() OVER (PARTITION BY relation, dst ORDER BY {draw_sql(41 + hop, 'relation', 'src', 'dst', below=2**40)}, src) AS r
 FROM ed WHERE EXISTS (SELECT 1 FROM {frontier} f WHERE f.type = dst_type AND f.id = dst)) WHERE r <= {most}), f{hop} AS (SELECT DISTINCT src_type AS type, src AS id FROM h{hop})"""
@@ -626,15 +629,19 @@ def fanout_two_hops(spark, d):
     return splits.fanout_hops(rel, seeds, [10, 5])
 
 
-@query(""", c AS (SELECT count(*) AS pos, CAST(3 * count(*) AS BIGINT) AS pairs FROM bought) SELECT pos, pairs, CAST(0 AS BIGINT) AS known, pairs AS replaced FROM c""")
+REPAIRED = ORACLES["negatives_uniform"].split("UNION ALL SELECT src, dst, k, CASE WHEN keeps")[0].rsplit("u AS (SELECT x.*", 1)[1]
+
+
+@query(f""", np AS (SELECT count(*) AS n FROM part), nc AS (SELECT count(*) AS n FROM customer), e AS (SELECT src, dst, CAST(k AS INT) AS k, {draw_sql(42, "'side'", 'src', 'dst', 'k', below=2)} = 0 AS turn FROM bought CROSS JOIN range(3) a(k)),
+{cumulated("SELECT r.i AS id, pow(coalesce(l.n, 0) + 1.0, 1.0) AS w FROM (SELECT unnest(range(n)) AS i FROM nc) r LEFT JOIN (SELECT dst, count(*) AS n FROM bought GROUP BY 1) l ON l.dst = r.i")},
+d AS (SELECT src, dst, k, {draw_sql(42, "'hard'", 'src', 'dst', 'k', below='(SELECT n FROM nc)')} AS easy, least(CAST(floor({draw_sql(42, "'hard'", 'src', 'dst', 'k', below=2**40)} / 1099511627776.0 * CAST(total AS DOUBLE)) AS BIGINT), total - 1) AS x FROM e CROSS JOIN (SELECT max(total) AS total FROM c)),
+f AS (SELECT src, dst, k, src AS neg_src, neg_dst FROM (SELECT src, dst, k, easy AS neg_dst FROM d WHERE k >= 2 UNION ALL SELECT src, dst, k, id FROM d JOIN c ON x >= low AND x < low + w WHERE k < 2) g
+WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.src = g.src AND b.dst = g.neg_dst)),
+u AS (SELECT x.*{REPAIRED}UNION ALL SELECT src, dst, k, CASE WHEN keeps THEN src ELSE a END, CASE WHEN keeps THEN b ELSE dst END FROM r""")
 def negatives_hard(spark, d):
-    """How many pairs the half hard, half uniform sampler gives, how many of them are known, and how many differ in one end."""
+    """Of each positive's three negatives two by targets' links and one of any target, and what is known searched anew."""
     n = [A.load(spark, d, t).count() for t in ("part", "customer")]
-    bought = A.bought(spark, d)
-    got = splits.hard_negatives(bought, bought, *n, k=3)
-    known = bought.select(F.col("src").alias("neg_src"), F.col("dst").alias("neg_dst"), F.lit(1).alias("hit"))
-    one = got.join(known, ["neg_src", "neg_dst"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("known"), F.count_if((F.col("src") == F.col("neg_src")) != (F.col("dst") == F.col("neg_dst"))).alias("replaced"))
-    return bought.agg(F.count("*").alias("pos")).join(F.broadcast(one))  # one row
+    return splits.hard_negatives(A.bought(spark, d), A.bought(spark, d), *n, k=3)
 
 
 @query(H + ", s AS (SELECT DISTINCT dst AS supplier, src FROM supplied UNION ALL SELECT DISTINCT u.dst, u.src + 1000000000 FROM urgent u), m AS (SELECT supplier, src >= 1000000000 AS r, avg(coalesce(h.x, (src % 4) / 4.0)) AS x, avg(coalesce(h.y, (src % 6) / 6.0)) AS y FROM (SELECT supplier, src FROM s) s LEFT JOIN h ON h.id = src GROUP BY 1, 2) SELECT supplier AS id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM m GROUP BY 1")
@@ -723,3 +730,102 @@ def bridge_top_sources_all(spark, d):
 @over_all("bridge_actions", " AND b.dst % 10 = 0")
 def bridge_actions_all(spark, d):
     return subgraph.labelled_actions(bridge_edges(spark, d, "true"), ["focus", "src", "mid"], "action")
+
+
+# ---- batches of links ---------------------------------------------------------------------------------------------------
+
+BATCH, FANOUTS = 64, (2, 1)
+
+
+def picked_sql(hop: int, frontier: str, most: int) -> str:
+    place = draw_sql(42 + hop, "'pick'", "batch", "relation", "dst", "j", below="((j + 1) * degree // k - j * degree // k)")
+    return f"""x{hop} AS (SELECT q.batch, {hop} AS hop, ad.* FROM (SELECT batch, lo + j * degree // k + {place} AS loc FROM (SELECT f.batch, hd.*, least(degree, {most}) AS k, j FROM {frontier} f JOIN hd ON f.type = dst_type AND f.id = dst CROSS JOIN range({most}) r(j) WHERE j < least(degree, {most}))) q JOIN ad USING (loc)),
+s{hop} AS (SELECT DISTINCT batch, src_type AS type, src AS id FROM x{hop} EXCEPT SELECT * FROM n{hop - 1}), n{hop} AS (SELECT * FROM n{hop - 1} UNION ALL SELECT * FROM s{hop})"""
+
+
+BATCHES = f""", ed AS (SELECT 'part__bought_by__customer' AS relation, 'part' AS src_type, src, 'customer' AS dst_type, dst FROM bought UNION ALL SELECT DISTINCT 'supplier__supplies__part', 'supplier', dst, 'part', src FROM supplied),
+ad AS (SELECT *, row_number() OVER (ORDER BY relation, dst, {draw_sql(42, "'order'", 'relation', 'src', 'dst', below=2**40)}, src) - 1 AS loc FROM ed), hd AS (SELECT relation, dst_type, dst, min(loc) AS lo, count(*) AS degree FROM ad GROUP BY ALL),
+lb AS (SELECT src, dst, (row_number() OVER (ORDER BY {draw_sql(42, "'batch'", 'src', 'dst', below=2**40)}, src, dst) - 1) // {BATCH} AS batch FROM bought),
+n0 AS (SELECT batch, 'part' AS type, src AS id FROM lb UNION SELECT batch, 'customer', dst FROM lb), s0 AS (SELECT * FROM n0), {picked_sql(1, "s0", FANOUTS[0])}, {picked_sql(2, "s1", FANOUTS[1])},
+nodes AS (SELECT *, row_number() OVER (PARTITION BY batch, type ORDER BY id) - 1 AS local FROM n2)
+"""
+
+
+def batched(spark, d) -> batches.Batches:
+    rel = {("part", "bought_by", "customer"): A.bought(spark, d), ("supplier", "supplies", "part"): A.supplied(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
+    return batches.link_batches(A.bought(spark, d), ("part", "bought_by", "customer"), batches.adjacency(rel), BATCH, FANOUTS)
+
+
+@query(BATCHES + """SELECT x.batch, x.hop, x.relation, x.src_type, x.src, a.local AS src_local, x.dst_type, x.dst, b.local AS dst_local FROM (SELECT * FROM x1 UNION ALL SELECT * FROM x2) x
+JOIN nodes a ON a.batch = x.batch AND a.type = x.src_type AND a.id = x.src JOIN nodes b ON b.batch = x.batch AND b.type = x.dst_type AND b.id = x.dst""")
+def batch_edges(spark, d):
+    """All links in shuffled batches, with what is sampled around them."""
+    return batched(spark, d).edges
+
+
+@query(BATCHES + """SELECT l.batch, l.src, l.dst, a.local AS src_local, b.local AS dst_local FROM lb l JOIN nodes a ON a.batch = l.batch AND a.type = 'part' AND a.id = l.src JOIN nodes b ON b.batch = l.batch AND b.type = 'customer' AND b.id = l.dst""")
+def batch_links(spark, d):
+    return batched(spark, d).links
+
+
+# ---- a layer from stored weights ------------------------------------------------------------------------------------------
+
+
+def seeded(k: int, *shape: int):
+    """Weights that SQL can write too: tenths from -0.5 to 0.5."""
+    return (np.arange(int(np.prod(shape))).reshape(shape) * 7 + k) % 11 / 10 - 0.5
+
+
+def conv_state() -> dict:
+    out = {}
+    for k, r in enumerate(("part__supplied_by__supplier", "customer__urges__supplier")):
+        out |= {f"convs.0.lin_src.{r}.weight": seeded(k, 4, 4), f"convs.0.lin_src.{r}.bias": seeded(k + 1, 4), f"convs.0.lin_dst.{r}.weight": seeded(k + 2, 4, 4), f"convs.0.lin_dst.{r}.bias": seeded(k + 3, 4), f"convs.0.attn_{r}": seeded(k + 4, 1, 2, 2)}
+    gated = "part__supplied_by__supplier"
+    out |= {f"convs.0.edge_cat_embs.{gated}.0.weight": seeded(5, 3, 2), f"convs.0.edge_cat_embs.{gated}.1.weight": seeded(6, 2, 2)}
+    out |= {f"convs.0.edge_gate_proj.{gated}.0.weight": seeded(7, 4, 4), f"convs.0.edge_gate_proj.{gated}.0.bias": seeded(8, 4), f"convs.0.edge_gate_proj.{gated}.2.weight": seeded(9, 4, 4), f"convs.0.edge_gate_proj.{gated}.2.bias": seeded(10, 4)}
+    for k, kind in enumerate(("part", "customer", "supplier")):
+        out |= {f"convs.0.lin_out.{kind}.weight": seeded(k + 11, 4, 4), f"convs.0.lin_out.{kind}.bias": seeded(k + 12, 4), f"norms.0.{kind}.weight": seeded(k, 4), f"norms.0.{kind}.bias": seeded(k, 4)}
+    return out
+
+
+def affine_sql(z: str, weight, bias) -> str:
+    """A list of four: weight z + bias."""
+    return "[" + ", ".join(f"{float(b)} + " + " + ".join(f"({float(w)}) * {z}[{j + 1}]" for j, w in enumerate(row)) for row, b in zip(weight, bias, strict=True)) + "]"
+
+
+def conv_sql() -> str:
+    s = conv_state()
+    gate = layers.model_of(s).layers[0].relations["part__supplied_by__supplier"].gate
+    codes = [(a, b) for a in range(3) for b in range(2)]
+    gates = gate.of(np.array(codes, float))  # six rows: what a gate gives for each pair of codes
+    gated = "(VALUES " + ", ".join(f"({a}, {b}, {[float(x) for x in g]})" for (a, b), g in zip(codes, gates, strict=True)) + ") g(a, b, gate)"
+    out = [H.split(", e AS")[0].replace(", h AS", ", h0 AS")]
+    out.append("hp AS (SELECT p_partkey AS id, [p_size / 50.0, (p_partkey % 7) / 7.0, (p_partkey % 3) / 3.0, 1.0::DOUBLE] AS z FROM part), hc AS (SELECT c_custkey AS id, [(c_custkey % 4) / 4.0, (c_custkey % 6) / 6.0, (c_custkey % 5) / 5.0, 0.25::DOUBLE] AS z FROM customer), hs AS (SELECT s_suppkey AS id, [(s_suppkey % 5) / 5.0, (s_suppkey % 3) / 3.0, (s_suppkey % 4) / 4.0, 0.5::DOUBLE] AS z FROM supplier)")
+    edges = {"part__supplied_by__supplier": ("hp", f"SELECT src, dst, gate FROM (SELECT src, dst, CASE action WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS a, CASE subject WHEN 'F' THEN 0 ELSE 1 END AS b FROM supplied) JOIN {gated} USING (a, b)"), "customer__urges__supplier": ("hc", "SELECT src, dst, [1.0, 1.0, 1.0, 1.0]::DOUBLE[] AS gate FROM urgent")}
+    for k, (r, (source, rows)) in enumerate(edges.items()):
+        w = lambda n, r=r: s[f"convs.0.{n}.{r}.weight"]
+        bias = lambda n, r=r: s[f"convs.0.{n}.{r}.bias"]
+        attn = s[f"convs.0.attn_{r}"][0]
+        out.append(f"a{k} AS (SELECT id, {affine_sql('z', w('lin_src'), bias('lin_src'))} AS zs FROM {source}), b{k} AS (SELECT id, {affine_sql('z', w('lin_dst'), bias('lin_dst'))} AS zt FROM hs)")
+        message = "[" + ", ".join(f"(zs[{i}] + zt[{i}]) * gate[{i}]" for i in range(1, 5)) + "]"
+        out.append(f"m{k} AS (SELECT dst, zs, zt, {message} AS m FROM ({rows}) e JOIN a{k} ON a{k}.id = e.src JOIN b{k} ON b{k}.id = e.dst)")
+        logit = [f"(zs[{2 * h + 1}] * zt[{2 * h + 1}] + zs[{2 * h + 2}] * zt[{2 * h + 2}]) / sqrt(2) + ({float(attn[h][0])}) * m[{2 * h + 1}] + ({float(attn[h][1])}) * m[{2 * h + 2}]" for h in range(2)]
+        out.append(f"o{k} AS (SELECT dst, [" + ", ".join(f"sum(exp({logit[i // 2]}) * m[{i + 1}]) / sum(exp({logit[i // 2]}))" for i in range(4)) + f"] AS z FROM m{k} GROUP BY 1)")
+    mean = "[" + ", ".join(f"(coalesce(o0.z[{i}], 0) + coalesce(o1.z[{i}], 0)) / 2" for i in range(1, 5)) + "]"
+    out.append(f"x AS (SELECT hs.id, {mean} AS z FROM hs LEFT JOIN o0 ON o0.dst = hs.id LEFT JOIN o1 ON o1.dst = hs.id), y AS (SELECT id, {affine_sql('z', s['convs.0.lin_out.supplier.weight'], s['convs.0.lin_out.supplier.bias'])} AS z FROM x)")
+    return ", ".join(out) + " SELECT id, round(z[1], 6) AS v0, round(z[2], 6) AS v1, round(z[3], 6) AS v2, round(z[4], 6) AS v3 FROM y"
+
+
+@query(conv_sql())
+def gated_attention_conv(spark, d):
+    """Suppliers after one layer of stored weights: two relations reach them, one of them gated by an action and a subject."""
+    part, customer, supplier = F.col("p_partkey"), F.col("c_custkey"), F.col("s_suppkey")
+    z = {
+        "part": A.load(spark, d, "part").select(part.alias("id"), F.array(F.col("p_size") / 50.0, (part % 7) / 7.0, (part % 3) / 3.0, F.lit(1.0)).alias("z")), "customer": A.load(spark, d, "customer").select(customer.alias("id"), F.array((customer % 4) / 4.0, (customer % 6) / 6.0, (customer % 5) / 5.0, F.lit(0.25)).alias("z")),
+        "supplier": A.load(spark, d, "supplier").select(supplier.alias("id"), F.array((supplier % 5) / 5.0, (supplier % 3) / 3.0, (supplier % 4) / 4.0, F.lit(0.5)).alias("z")),
+    }
+    by, urges = ("part", "supplied_by", "supplier"), ("customer", "urges", "supplier")
+    supplied = A.supplied(spark, d).withColumns({"a": X.code(F.col("action"), {"A": 0, "N": 1}, 2), "b": X.code(F.col("subject"), {"F": 0}, 1)})
+    model = layers.model_of(conv_state())
+    out = layers.attention_conv(z, {by: supplied, urges: A.urgent(spark, d)}, model.layers[0], model.n_heads, {by: ["a", "b"]})["supplier"]
+    return out.select("id", *[rnd(F.get("z", F.lit(k)), f"v{k}") for k in range(4)])
