@@ -44,6 +44,10 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("head nav footer aside form button menu dialog".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+#: What a head can hold: any other tag ends a head whose end tag is left out.
+IN_HEAD = frozenset("head html title base link meta".split())
+#: What no main element is within: a main element ends those that are open still.
+NOT_AROUND_MAIN = frozenset("head nav header footer aside".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: A class or id token that names something beside the text: a noise word, with words of place before and of kind behind it.
 NOISE = re.compile(
@@ -105,6 +109,13 @@ def zoned(page: str, around: bool) -> list[tuple[int, str]]:
         if (tag := m["tag"]) is None:
             continue
         tag = tag.lower()
+        if not m["close"] and zone == OUT:
+            at = next((k for k, z in enumerate(zones) if z[1] == OUT), 0)
+            left = zones[-1][0] == "head" and tag not in IN_HEAD
+            if left or (tag == "main" and all(z[0] in NOT_AROUND_MAIN for z in zones[at:])):
+                flush()
+                del zones[at:]
+                zone = zones[-1][1] if zones else OPEN
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:

@@ -8,10 +8,10 @@ checks the total length and decodes chunked transfer framing.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +57,7 @@ def records_of(name: str, page_id: int | None, url: str | None, payload: bytes,
     """The page's records: a response and its continuations, or a revisit without the payload."""
     uri = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "") or "urn:none"
     fields = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:x-record:{name}>", "WARC-Date": DATE, "WARC-Target-URI": uri,
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": DATE, "WARC-Target-URI": uri,
         "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-Id": page_id, "X-Refers-To-Page-Id": refers_to,
     }
     if revisit:
@@ -69,7 +69,7 @@ def records_of(name: str, page_id: int | None, url: str | None, payload: bytes,
     out = [record(fields | {"WARC-Segment-Number": 1}, block[:segment])]
     pieces = range(segment, len(block), segment)
     for k, i in enumerate(pieces):
-        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:x-record:{name}.{k + 2}>", "WARC-Date": DATE, "WARC-Target-URI": uri, "WARC-Segment-Origin-ID": fields["WARC-Record-ID"], "WARC-Segment-Number": k + 2}
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.UUID(name), str(k + 2))}>", "WARC-Date": DATE, "WARC-Target-URI": uri, "WARC-Segment-Origin-ID": fields["WARC-Record-ID"], "WARC-Segment-Number": k + 2}
         out.append(record(more | ({"WARC-Segment-Total-Length": len(block)} if k == len(pieces) - 1 else {}), block[i : i + segment]))
     return out
 
@@ -115,20 +115,23 @@ def write_archives(pages: DataFrame, least: int = LEAST, segment: int = SEGMENT,
     """A materialized table (archive binary) with a record for each row of pages.
 
     Of rows with equal payloads of least bytes or more, those with the largest page_id are responses and the others
-    revisit it; a null page_id comes before all others.  A null html is an empty payload.
+    revisit it; a null page_id comes before all others.  A null html is an empty payload.  Records' identifiers are of this
+    writing alone, so archives of several writings can be read together.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     copies = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(copies, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.select(F.spark_partition_id().alias("part"), "page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+
+    writing = uuid.uuid4()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        n, held, size = 0, [], 0
         for batch in batches:
-            for page_id, url, text, digest, refers_to, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = records_of(f"{part}-{n}", page_id, url, text.encode(), digest, refers_to, again, segment)
+            for part, page_id, url, text, digest, refers_to, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = records_of(str(uuid.uuid5(writing, f"{part}-{n}")), page_id, url, text.encode(), digest, refers_to, again, segment)
                 n += 1
                 held += new
                 size += sum(map(len, new))
