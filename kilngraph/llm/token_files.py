@@ -35,7 +35,7 @@ LANES = 32
 #: Ids of a block, steps between checkpoints, ids of a file before the document that ends it.
 BLOCK = 1 << 16
 CHECKPOINT = 512
-FILE = 1 << 20
+FILE = 1 << 21
 #: A lane's state is at least this and below it times 2 ** 32.
 LOW = np.uint64(1 << 31)
 MAGIC = b"KRAN"
@@ -220,10 +220,11 @@ def packed_ids(vocabulary: bytes) -> Memo:
     """chunk -> its ids' bytes, two an id where the vocabulary has no id beyond."""
     tokenizer = word_tokenizer(vocabulary)
     words, letter = words_of(vocabulary, tokenizer), "H" if id_kind(tokenizer) == "<u2" else "I"
+    packs = [struct.Struct(f"<{n}{letter}").pack for n in range(64)]
 
     def encode(chunks: list[str]) -> list[bytes]:
         found = map(words.ids, chunks)
-        return [struct.pack(f"<{len(ids)}{letter}", *ids) for ids in found]
+        return [packs[n](*ids) if (n := len(ids)) < 64 else struct.pack(f"<{n}{letter}", *ids) for ids in found]
 
     return Memo(encode)
 

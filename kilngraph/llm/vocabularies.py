@@ -67,8 +67,11 @@ class Memo:
                     missing.append(c)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
+            size = 0
             for c, result in zip(part, self.encode(part), strict=True):
-                self.keep(c, result)
+                now[c] = result
+                size += 180 + len(c) + (len(result) if result else 0)
+            self.size += size
         return now
 
     def keep(self, chunk: str, result: bytes | None) -> None:
@@ -95,7 +98,7 @@ class Words:
     def ids(self, chunk: str) -> list[int]:
         if self.plain_words is None or "<|" in chunk:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if PLAIN.fullmatch(chunk):
+        if chunk.isascii() or PLAIN.fullmatch(chunk):
             words = self.plain_words.findall(chunk.lower() if self.lower else chunk)
             written = False
         else:
