@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.llm._util import bounded, materialize
-from kilngraph.llm.vocabularies import BEFORE_SPACES, Memo, byte_alphabet, loaded, shared_file, word_tokenizer, words_of
+from kilngraph.llm.vocabularies import BEFORE_SPACES, Memo, byte_alphabet, loaded, shared_file, spaced_chunks, word_tokenizer, words_of
 
 A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
@@ -167,9 +167,10 @@ def align_blocks(docs: DataFrame, a_vocabulary: str = A_VOCABULARY, b_vocabulary
     def document(memo: Memo, text: str) -> tuple | None:
         if not text:
             return None
-        chunks = [" " + text] if split is None else split.split(" " + text)
-        memo.learn(chunks)
+        full = " " + text
+        chunks = [full] if split is None else spaced_chunks(full) if split is BEFORE_SPACES or split.pattern == BEFORE_SPACES.pattern else split.split(full)
         each = Counter(chunks)
+        memo.learn(list(each))
         got = [memo.now[c] for c in each]
         if any(g is None for g in got):
             return None

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 from kilngraph.llm import alignment, queries, token_files, vector_codes
-from kilngraph.llm.vocabularies import AT_SPACES, BEFORE_SPACES, byte_alphabet, word_tokenizer, words_of
+from kilngraph.llm.vocabularies import AT_SPACES, BEFORE_SPACES, byte_alphabet, spaced_chunks, word_tokenizer, words_of
 from tests.llm.conftest import EDGE, SCHEMA
 
 ODD = ["", " ", "  two  blanks ", "tab\tand\nline \n end", "don't we'll I'VE", "a <|endoftext|> b<|startoftext|>c", "x▁y", "<0x0A> bytes", "é ́combining ́", "İstanbul ǅ ﬁ", "漢字 かな 🙂🙂", "　wide space\x1cx", "nul\x00 in", "   lead", "trail   ", "12 345,6", "᠎ a ᠎b", "a  b", "﻿bom", "ΑΣ σς", " '", "' s", "▁ ▁▁"]
@@ -55,6 +55,7 @@ def test_cuts_change_no_token(rows, words, both):
     for text in [*ODD, *mixed, *(t for _, t in rows if t and len(t) < 3000)]:
         assert [i for c in AT_SPACES.split(text) for i in quick.ids(c)] == words.encode(text, add_special_tokens=False).ids
         cut = list(both.ids(BEFORE_SPACES.split(" " + text)))
+        assert spaced_chunks(" " + text) == [c for c, _, _ in cut]
         assert [i for _, a, _ in cut for i in a] == both.a.encode(" " + text, add_special_tokens=False).ids
         assert [i for _, _, b in cut for i in b] == both.b.encode(text) or "▁" in text or not text
 
