@@ -236,12 +236,12 @@ def twenty_parts(spark, d):
 
 @query(", su AS (SELECT DISTINCT src, dst FROM supplied) SELECT su.src AS start, u.src AS \"end\", count(*) AS n FROM su JOIN urgent u ON su.dst = u.dst GROUP BY 1, 2")
 def metapath_counts(spark, d):
-    return paths.enumerate_paths(relations(spark, d), TEMPLATES[0]).groupBy("start", "end").agg(F.count("*").alias("n"))
+    return paths.count_paths(relations(spark, d), TEMPLATES[0]).drop("template")
 
 
 @query(PATHS + "SELECT template, count(*) AS paths, count(DISTINCT (start, \"end\")) AS pairs FROM walks GROUP BY 1")
 def metapath_summary(spark, d):
-    return paths.summary(paths.all_templates(relations(spark, d), TEMPLATES, twenty_parts(spark, d)))
+    return paths.summary(paths.all_counts(relations(spark, d), TEMPLATES, twenty_parts(spark, d)))
 
 
 @query(PATHS + "SELECT template, start, \"end\", array_to_string(nodes, '-') AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY template, start, \"end\" ORDER BY nodes) AS r FROM walks) WHERE r <= 2")
@@ -688,7 +688,7 @@ def dashed(df: DataFrame, *more: str) -> DataFrame:
 
 @over_all("metapath_summary", " WHERE su.src < 20")
 def metapath_summary_all(spark, d):
-    return paths.summary(paths.all_templates(relations(spark, d), TEMPLATES))
+    return paths.summary(paths.all_counts(relations(spark, d), TEMPLATES))
 
 
 @over_all("metapath_capped", " WHERE su.src < 20")

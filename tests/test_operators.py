@@ -286,6 +286,33 @@ def test_protocol_and_artifacts(spark):
     assert str(e.value).count("\n- ") == 4 and "lacks" in str(e.value)
 
 
+def test_counts_equal_the_paths_and_hold_none(spark):
+    e = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    rel = {"a": e([(i, (i * k) % 7) for i in range(6) for k in range(5)] + [(None, 3), (2, None)]), "b": e([(i % 7, (i * 3) % 5) for i in range(20)]), "c": e([(i % 5, i % 4) for i in range(20)])}
+    templates = [paths.Template("two", ("a", "b")), paths.Template("three", ("a", "b", "~c")), paths.Template("none", ("a", "missing"))]
+    rel["c"] = rel["c"].select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ends = spark.createDataFrame([(1,), (3,)], "id long")
+    for starts, stop in ((None, None), (spark.createDataFrame([(2,), (4,)], "id long"), None), (None, ends)):
+        want = paths.all_templates(rel, templates, starts, stop).groupBy("template", "start", "end").agg(F.count("*").alias("n"))
+        got = paths.all_counts(rel, templates, starts, stop)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+        assert "nodes" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_registry_checks_chains_hop_by_hop():
+    known = paths.registry()
+    assert len(known) == 7 and {len(k) for k in known.values()} == {3, 4} and all(k[0] == "chemical" and k[-1] == "disease" for k in known.values())
+    assert "gene__rev_targets__disease" in paths.required_relations(known)
+    hop = lambda *ends: tuple((a, "r", b) for a, b in zip(ends, ends[1:]))
+    wrong = [
+        {}, {" ": hop("chemical", "gene", "disease")}, {"one": hop("chemical", "disease")}, {"four": hop("chemical", "gene", "gene", "gene", "disease")}, {"ends": hop("gene", "gene", "disease")},
+        {"last": hop("chemical", "gene", "gene")}, {"gap": (("chemical", "r", "gene"), ("pathway", "r", "disease"))}, {"pair": (("chemical", "r"), ("gene", "r", "disease"))}, {"empty": ()},
+    ]
+    for chains in wrong:
+        with pytest.raises(ValueError):
+            paths.registry(chains)
+
+
 def test_explained_paths(spark):
     e = lambda rows: spark.createDataFrame(rows, "src long, dst long")
     z = lambda rows: spark.createDataFrame(rows, "id long, z array<double>")
