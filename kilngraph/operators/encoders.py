@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.functions import expressions as X
+from kilngraph.operators import ids
+
+#: The most places of a dense one-hot or multi-hot vector; sparse() has no bound.
+MOST_PLACES = 65_536
 
 
 class Encoder:
@@ -90,15 +95,32 @@ class OneHot(Encoder):
         t = F.trim(F.col(self.column).cast("string"))
         return F.lower(t) if self.lower else t
 
+    counts: ClassVar[bool] = False
+
+    def tokens(self) -> Column:
+        """The record's tokens as an array: none where it is missing."""
+        return F.filter(F.array(self.token()), lambda t: t != "")
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """(token) of the values that get a place."""
+        counts = df.select(F.explode(self.tokens()).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        return counts.where(F.col("n") >= self.least).select("token")
+
     def fit(self, df: DataFrame) -> OneHot:
-        rows = df.select(self.token().alias("t")).where("t <> ''").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= self.least).collect()  # the places of the vector
-        self.vocab = sorted(r["t"] for r in rows)
+        """ValueError if a dense vector would have more than MOST_PLACES places."""
+        rows = self.kept(df).limit(MOST_PLACES + 1).collect()
+        if len(rows) > MOST_PLACES:
+            raise ValueError(f"{self.column} has more than {MOST_PLACES} values: use vocabulary() and sparse()")
+        self.vocab = sorted(r["token"] for r in rows)
         return self
 
+    def known(self) -> Column:
+        return F.array(*[F.lit(v) for v in self.vocab]).cast("array<string>")
+
     def vector(self) -> Column:
         t, there = self.token(), ~X.missing(F.col(self.column))
-        known = t.isin(self.vocab) if self.vocab else F.lit(False)
-        return F.array(*[F.when(there & (t == v), 1.0).otherwise(0.0) for v in self.vocab], F.when(there & ~known, 1.0).otherwise(0.0))
+        hits = F.transform(self.known(), lambda v: F.when(there & (t == v), 1.0).otherwise(0.0))
+        return F.concat(hits, F.array(F.when(there & ~F.array_contains(self.known(), t), 1.0).otherwise(0.0)))
 
     def names(self) -> list[str]:
         return [*(f"{self.column}={v}" for v in self.vocab), f"{self.column}=?"]
@@ -116,20 +138,42 @@ class MultiHot(OneHot):
         clean = F.transform(parts, lambda x: F.lower(F.trim(x)) if self.lower else F.trim(x))
         return F.filter(clean, lambda x: x != "")
 
-    def fit(self, df: DataFrame) -> MultiHot:
-        rows = df.select(F.explode(self.items()).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= self.least).collect()  # the places of the vector
-        self.vocab = sorted(r["t"] for r in rows)
-        return self
+    def tokens(self) -> Column:
+        return self.items()
 
     def vector(self) -> Column:
-        known = F.array(*[F.lit(v) for v in self.vocab]).cast("array<string>")
-        items = self.items()
+        known, items = self.known(), self.items()
         hits = F.transform(known, lambda v: F.size(F.filter(items, lambda x: x == v)).cast("double"))
         other = F.size(F.filter(items, lambda x: ~F.array_contains(known, x))).cast("double")
         out = F.concat(hits, F.array(other))
         return out if self.counts else F.transform(out, lambda x: F.least(x, F.lit(1.0)))
 
 
+def vocabulary(df: DataFrame, encoder: OneHot) -> DataFrame:
+    """(token, place): the values that get a place, in order from 0.  A table of any size; nothing comes to the driver."""
+    return ids.surrogate_keys(encoder.kept(df), ["token"], "place").select("token", "place")
+
+
+def sparse(df: DataFrame, key: str, encoder: OneHot, vocab: DataFrame) -> DataFrame:
+    """(key, place, value): the places of the encoder's vector that are not 0; what has no place counts at the one after the last.
+
+    Tokens meet the vocabulary in a join, which Spark splits where a token is frequent.  A record without tokens has no row."""
+    tokens = df.select(F.col(key), F.explode(encoder.tokens()).alias("_token"))
+    size = vocab.agg(F.count("*").alias("_size"))
+    placed = tokens.join(vocab.select(F.col("token").alias("_token"), F.col("place").alias("_place")), "_token", "left").join(F.broadcast(size))  # one row
+    out = placed.groupBy(key, F.coalesce("_place", "_size").alias("place")).agg(F.count("*").cast("double").alias("value"))
+    return out if encoder.counts else out.withColumn("value", F.lit(1.0))
+
+
+def dense(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, features) of sparse rows: arrays of the stated width, at most MOST_PLACES."""
+    if width > MOST_PLACES:
+        raise ValueError(f"at most {MOST_PLACES} places")
+    held = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("_at"))  # width entries at most
+    places = F.sequence(F.lit(0), F.lit(width - 1)).cast("array<bigint>")
+    return held.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("_at", i), F.lit(0.0))).alias("features"))
+
+
 def hashed_counts(tokens: Column, width: int, binary: bool, unit: bool) -> Column:
     """Counts (or 0/1) of the tokens by their 8-byte BLAKE2b, little-endian, modulo the width; unit: of length 1."""
 
@@ -244,3 +288,59 @@ class Pipeline(Encoder):
 
 def encode(df: DataFrame, encoder: Encoder, name: str = "features") -> DataFrame:
     return df.withColumn(name, encoder.vector())
+
+
+# ---- encoders by kind of record ------------------------------------------------------------------------------------------
+
+# The fields of a metadata record, and those of each kind of node with how they are encoded, of which of the
+# widths (text, id, tree, misc), and what part of it.
+METADATA = ("synonyms", "xrefs", "parentIDs", "parentTreeNumbers", "treeNumbers", "ctd", "ctd_url")
+METADATA_TEXTS = METADATA[:5]
+NODE_FIELDS = {
+    "disease": ("DS_OMIM_MESH_ID", "DS_NAME", "DS_DEFINITION", "DS_PARENT_IDS", "DS_TREE_NUMBERS", "DS_PARENT_TREE_NUMBERS", "DS_SYNONYMS", "DS_SLIM_MAPPINGS"),
+    "chemical": ("CHEM_MESH_ID", "CHEM_NAME", "CHEM_DEFINITION", "CHEM_PARENT_IDS", "CHEM_TREE_NUMBERS", "CHEM_PARENT_TREE_NUMBERS", "CHEM_SYNONYMS"),
+    "gene": ("GENE_NCBI_ID", "GENE_SYMBOL", "GENE_NAME", "GENE_BIOGRID_IDS", "GENE_ALT_IDS", "GENE_SYNONYMS", "GENE_PHARMGKB_IDS", "GENE_UNIPROT_IDS"),
+}
+NODE_TEXTS = {
+    "disease": (("DS_NAME", "text", 4), ("DS_DEFINITION", "text", 1)),
+    "chemical": (("CHEM_NAME", "text", 4), ("CHEM_DEFINITION", "text", 1)),
+    "gene": (("GENE_SYMBOL", "text", 4), ("GENE_NAME", "text", 2)),
+}
+NODE_LISTS = {
+    "disease": (("DS_OMIM_MESH_ID", "id", 2), ("DS_PARENT_IDS", "id", 1), ("DS_TREE_NUMBERS", "tree", 1), ("DS_PARENT_TREE_NUMBERS", "tree", 1), ("DS_SYNONYMS", "text", 2), ("DS_SLIM_MAPPINGS", "misc", 1)),
+    "chemical": (("CHEM_MESH_ID", "id", 2), ("CHEM_PARENT_IDS", "id", 1), ("CHEM_TREE_NUMBERS", "tree", 1), ("CHEM_PARENT_TREE_NUMBERS", "tree", 1), ("CHEM_SYNONYMS", "text", 2)),
+    "gene": (("GENE_NCBI_ID", "id", 2), ("GENE_BIOGRID_IDS", "misc", 1), ("GENE_ALT_IDS", "misc", 1), ("GENE_SYNONYMS", "text", 2), ("GENE_PHARMGKB_IDS", "misc", 1), ("GENE_UNIPROT_IDS", "misc", 1)),
+}
+LEAST_WIDTH = 32
+
+
+def metadata_encoder(texts: int = 256, id_width: int = 256, tree: int = 256, domains: int = 16) -> Pipeline:
+    """Presence of each field of a metadata record, hashed words of its five text or list fields, the flag, and its URL.
+
+    The texts are columns that metadata_records() lays beside the fields."""
+    widths = (texts, max(LEAST_WIDTH, id_width // 2), id_width, tree, tree)
+    hashed = [TextHash(f"{f}_text", w, g) for f, w, g in zip(METADATA_TEXTS, widths, (2, 1, 1, 2, 2), strict=True)]
+    return Pipeline([*map(Presence, METADATA), *hashed, Boolean("ctd"), UrlStats("ctd_url", domains)])
+
+
+def metadata_records(df: DataFrame) -> DataFrame:
+    """df with every field of a metadata record (null where df has none) and the text of the five: items of a list joined by
+    spaces, missing ones left out.  An empty list is there, but has no words."""
+    df = df.withColumns({f: F.lit(None).cast("string") for f in METADATA if f not in df.columns})
+    kinds = dict(df.dtypes)
+    for f in METADATA_TEXTS:
+        items = F.filter(F.col(f).cast("array<string>"), lambda x: F.trim(x) != "") if kinds[f].startswith("array") else None
+        df = df.withColumn(f"{f}_text", F.col(f).cast("string") if items is None else F.array_join(items, " "))
+    return df
+
+
+def node_encoder(kind: str, text: int = 256, id: int = 128, tree: int = 128, misc: int = 64) -> Pipeline:
+    """Presence of each field of a node table, then its hashed texts and lists; ValueError for other kinds than disease, chemical
+    and gene (in any case, or the plural)."""
+    name = kind.strip().lower().removesuffix("s")
+    if name not in NODE_FIELDS:
+        raise ValueError(f"{kind!r} is none of {', '.join(NODE_FIELDS)}")
+    whole = {"text": text, "id": id, "tree": tree, "misc": misc}
+    width = lambda of, part: whole[of] if part == 1 and of != "misc" else max(LEAST_WIDTH, whole[of] // part)
+    texts = [TextHash(f, width(of, part)) for f, of, part in NODE_TEXTS[name]]
+    return Pipeline([*map(Presence, NODE_FIELDS[name]), *texts, *[ListHash(f, width(of, part)) for f, of, part in NODE_LISTS[name]]])

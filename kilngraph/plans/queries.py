@@ -15,6 +15,7 @@ from kilngraph.operators import batches, ids, layers, metrics, paths, propagate,
 from kilngraph.operators import tables as T
 from kilngraph.operators.build import build_graph
 from kilngraph.plans import analog as A
+from kilngraph.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -518,6 +519,27 @@ def encode_hashed_text(spark, d):
     return E.encode(df, E.Pipeline([E.TextHash("p_name", 64), E.ListHash("p_type", 32, " ")]), "v").select("p_partkey", "v")
 
 
+@query(""", words AS (SELECT p_partkey, token FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) WHERE token <> ''), kept AS (SELECT token FROM words GROUP BY 1 HAVING count(*) >= 30)
+SELECT p_partkey, place, CAST(count(*) AS DOUBLE) AS value FROM (SELECT p_partkey, coalesce(v.place, (SELECT count(*) FROM kept)) AS place FROM words w LEFT JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS place FROM kept) v ON v.token = w.token) GROUP BY 1, 2""")
+def encode_sparse_items(spark, d):
+    part, words = A.load(spark, d, "part"), E.MultiHot("p_name", sep=" ", counts=True, least=30)
+    return E.sparse(part, "p_partkey", words, E.vocabulary(part, words))
+
+
+@query()
+def encode_node_record(spark, d):
+    fields = {"CHEM_MESH_ID": "p_partkey", "CHEM_NAME": "p_name", "CHEM_DEFINITION": "p_type", "CHEM_PARENT_IDS": "p_brand", "CHEM_TREE_NUMBERS": "p_size", "CHEM_PARENT_TREE_NUMBERS": "p_retailprice", "CHEM_SYNONYMS": "p_name"}
+    part = A.load(spark, d, "part").select("p_partkey", *[F.col(c).cast("string").alias(f) for f, c in fields.items()])
+    return E.encode(part, E.node_encoder("chemical"), "v").select("p_partkey", "v")
+
+
+@query()
+def encode_metadata(spark, d):
+    """The only registered query with all 23 places of a URL."""
+    pages = A.load(spark, d, "pages").select("page_id", F.split("url", "/").alias("synonyms"), F.col("url").alias("ctd_url"), (F.col("page_id") % 2 == 0).alias("ctd"))
+    return E.encode(E.metadata_records(pages), E.metadata_encoder(64, 64, 32), "v").select("page_id", "v")
+
+
 # ---- subgraphs and propagation ----------------------------------------------------------------------------------------
 
 BRIDGES = ", br AS (SELECT b.dst AS focus, s.src, s.dst AS mid, s.action FROM supplied s JOIN bought b ON b.src = s.src AND b.dst % 10 = 0 WHERE EXISTS (SELECT 1 FROM urgent u WHERE u.src = b.dst AND u.dst = s.dst))"
@@ -672,11 +694,11 @@ def score_boxes(spark, d):
 
 
 def over_all(base: str, cut: str):
-    """Registers a query over all ids beside the SQL of a query over some, less the condition that picks those."""
+    """Registers a query over all ids in place of one over some, and its SQL less the condition that picks those."""
 
     def add(f):
         assert cut in ORACLES[base]
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, ORACLES[base].replace(cut, "")
+        QUERIES[base], ORACLES[base] = f, ORACLES[base].replace(cut, "")
         return f
 
     return add
@@ -700,15 +722,25 @@ def metapath_capped_all(spark, d):
 s AS (SELECT walks.*, round(0.5 * 1.0 + 0.5 * greatest(0.0, (list_cosine_similarity(m.z, a.z) + list_cosine_similarity(m.z, b.z)) / 2), 6) AS score FROM walks LEFT JOIN v m ON m.id = nodes[2] LEFT JOIN v a ON a.id = start LEFT JOIN v b ON b.id = "end")
 SELECT template, start, "end", array_to_string(nodes, '-') AS nodes, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY start, "end" ORDER BY score DESC, template, nodes) AS rank FROM s) WHERE rank <= 3""")
 def path_scores_all(spark, d):
-    """All parts, with the middle node's similarity from the vectors (a node without one: 0); attention is 1, as no model is fitted."""
+    """The middle node's similarity is from the vectors (a node without one: 0), once for each pair of nodes, not for each path; attention is
+    1, as no model is fitted."""
     found = paths.all_templates(relations(spark, d), TEMPLATES).withColumn("mid", F.get("nodes", F.lit(1)))
-    for end in ("mid", "start", "end"):
-        found = found.join(vectors(spark, d).select(F.col("id").alias(end), F.col("z").alias(f"z_{end}")), end, "left")
-    similarity = F.coalesce(paths.mid_similarity(F.col("z_mid"), F.col("z_start"), F.col("z_end")), F.lit(0.0))
+    alike = {}
+    for end in ("start", "end"):
+        pairs = found.select("mid", end).distinct()
+        for node in ("mid", end):
+            pairs = pairs.join(vectors(spark, d).select(F.col("id").alias(node), F.col("z").alias(f"z_{node}")), node, "left")
+        alike[end] = pairs.select("mid", end, X.cosine(F.col("z_mid"), F.col(f"z_{end}")).alias(f"to_{end}"))
+    for end, pairs in alike.items():
+        found = found.join(pairs, ["mid", end], "left")
+    similarity = F.greatest(F.lit(0.0), F.coalesce((F.col("to_start") + F.col("to_end")) / 2, F.lit(0.0)))
     scored = found.withColumn("score", F.round(paths.combined_score(F.lit(1.0), similarity, "balanced"), 6))
     return dashed(paths.top_paths(scored, 3), "score", "rank")
 
 
+QUERIES["path_scores_top"], ORACLES["path_scores_top"] = QUERIES.pop("path_scores_all"), ORACLES.pop("path_scores_all")
+
+
 @over_all("bilinear_top", " AND b.id % 2 = 1")
 def bilinear_top_all(spark, d):
     v = vectors(spark, d)
@@ -732,6 +764,42 @@ def bridge_actions_all(spark, d):
     return subgraph.labelled_actions(bridge_edges(spark, d, "true"), ["focus", "src", "mid"], "action")
 
 
+FOCUS = """, pr AS (SELECT src, dst AS mid, count(*) AS n, array_to_string(list_sort(list(DISTINCT action))[1:2], ', ') AS label FROM supplied GROUP BY 1, 2),
+br AS (SELECT b.dst AS focus, pr.* FROM pr JOIN bought b ON b.src = pr.src WHERE EXISTS (SELECT 1 FROM urgent u WHERE u.src = b.dst AND u.dst = pr.mid)),
+tp AS (SELECT focus, src FROM br GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY focus ORDER BY count(*) DESC, sum(n) DESC, src) <= 5),
+hd AS (SELECT br.* FROM br JOIN tp USING (focus, src)),
+mi AS (SELECT focus, mid FROM hd GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY focus ORDER BY count(*) DESC, sum(n) DESC, mid) <= 4),
+bt AS (SELECT hd.* FROM hd JOIN mi USING (focus, mid) QUALIFY row_number() OVER (PARTITION BY focus ORDER BY n DESC, src, mid) <= 6)
+"""
+
+
+def focus_parts(spark, d) -> subgraph.FocusGraph:
+    """The surroundings of every customer: parts bought, suppliers of urgent orders, and who supplies what."""
+    focus = A.load(spark, d, "customer").select(F.col("c_custkey").alias("focus"))
+    sources, mids = A.bought(spark, d).select(F.col("dst").alias("focus"), "src"), A.urgent(spark, d).select(F.col("src").alias("focus"), F.col("dst").alias("mid"))
+    return subgraph.focus_graph(focus, sources, mids, A.supplied(spark, d).withColumnRenamed("dst", "mid"), ("customer", "part", "supplier"), ("bought_by", "urgent_from", "supplied_by"), (5, 4, 6))
+
+
+@query(FOCUS + "SELECT type, id, count(*) AS focuses, min(focus) AS first_focus FROM (SELECT c_custkey AS focus, 'customer' AS type, c_custkey AS id FROM customer UNION ALL SELECT focus, 'part', src FROM tp UNION ALL SELECT focus, 'supplier', mid FROM mi) GROUP BY 1, 2")
+def focus_nodes(spark, d):
+    return focus_parts(spark, d).nodes
+
+
+@query(FOCUS + "SELECT focus, 'bought_by' AS relation, 'part' AS src_type, src, 'customer' AS dst_type, focus AS dst, CAST(1 AS BIGINT) AS weight, '' AS label FROM tp UNION ALL SELECT focus, 'urgent_from', 'customer', focus, 'supplier', mid, 1, '' FROM mi UNION ALL SELECT focus, 'supplied_by', 'part', src, 'supplier', mid, n, label FROM bt")
+def focus_edges(spark, d):
+    return focus_parts(spark, d).edges
+
+
+# ---- scans by position --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT chunk, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders, min(l_partkey) AS least FROM (SELECT (row_number() OVER () - 1) // 1000 AS chunk, l_orderkey, l_partkey FROM lineitem) GROUP BY 1")
+def chunk_totals(spark, d):
+    """Chunks of a thousand rows in the order they are stored."""
+    placed = S.positions(A.load(spark, d, "lineitem").select("l_orderkey", "l_partkey"))
+    return placed.groupBy(F.floor(F.col("position") / 1000).alias("chunk")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"), F.min("l_partkey").alias("least"))
+
+
 # ---- batches of links ---------------------------------------------------------------------------------------------------
 
 BATCH, FANOUTS = 64, (2, 1)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,6 +72,42 @@ def chunk(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def file_starts(df: DataFrame) -> DataFrame:
+    """(file, start, rows) of the Parquet files that df was read from, in the order of their paths: how many rows come before each.
+
+    Only how many rows each file has is read, no column.  The window holds a row a file."""
+    sizes = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
+    return sizes.select("file", (F.sum("rows").over(Window.orderBy("file")) - F.col("rows")).alias("start"), "rows")
+
+
+def chunk_by_position(df: DataFrame, starts: DataFrame, offset: int, limit: int, position: str | None = None) -> DataFrame:
+    """Rows offset to offset + limit of Parquet files, by file and place within the file: chunks are a partition of the table.
+
+    df: as spark.read.parquet gives it (columns may be left out later); starts: its file_starts, kept by the caller where it cuts many
+    chunks.  Nothing is sorted and nothing is shuffled: the driver gets the files that the chunk touches, the others are not
+    opened.  position: a name under which each row's place in the table comes along."""
+    if offset < 0 or limit < 0:
+        raise ValueError("offset and limit must not be negative")
+    end = offset + limit
+    touched = starts.where((F.col("start") < end) & (F.col("start") + F.col("rows") > offset)).collect()  # a row a file of the chunk
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    inside = F.lit(False)
+    for r in touched:
+        inside |= (path == r["file"]) & row.between(max(offset - r["start"], 0), min(end - r["start"], r["rows"]) - 1)
+    out = df.where(path.isin([r["file"] for r in touched])).where(inside)
+    if position is None:
+        return out.select(*df.columns)
+    place = F.coalesce(*[F.when(path == r["file"], row + r["start"]) for r in touched]) if touched else F.lit(None).cast("long")
+    return out.select(*df.columns, place.alias(position))
+
+
+def positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """df, as spark.read.parquet gives it, with each row's place in the table by file and place within the file."""
+    starts = file_starts(df).select(F.col("file").alias("_file"), F.col("start").alias("_start"))
+    placed = df.select(*df.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(starts, "_file").select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one delimited file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
