@@ -33,15 +33,6 @@ def neighbour_mean(h: DataFrame, edges: DataFrame) -> DataFrame:
     return total.select(F.col("dst").alias("id"), scaled(F.col("z"), 1.0 / F.col("n")).alias("z"))
 
 
-def light_layers(h: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
-    """The mean of h and of `layers` rounds of normalised sums; nodes that get nothing count with zeros."""
-    total, now = h, h
-    for _ in range(layers):
-        now = normalised_sum(now, edges)
-        total = total.join(now.withColumnRenamed("z", "_z"), "id", "left").select("id", F.when(F.col("_z").isNull(), F.col("z")).otherwise(F.zip_with("z", "_z", lambda a, b: a + b)).alias("z"))
-    return total.select("id", scaled(F.col("z"), F.lit(1.0 / (layers + 1))).alias("z"))
-
-
 def edge_softmax(edges: DataFrame, logit: str, name: str = "alpha") -> DataFrame:
     """edges with the softmax of a logit over each target's edges; the maximum is taken off first.  Two aggregations with
     partial results and joins back, so a target with very many edges is never in one group."""

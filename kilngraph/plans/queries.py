@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kilngraph.functions import expressions as X
 from kilngraph.operators import encoders as E
 from kilngraph.operators import graph as G
-from kilngraph.operators import batches, ids, layers, metrics, paths, propagate, ranking, splits, subgraph
+from kilngraph.operators import batches, ids, layers, metrics, paths, propagate, ranking, rounds, splits, subgraph
 from kilngraph.operators import tables as T
 from kilngraph.operators.build import build_graph
 from kilngraph.plans import analog as A
@@ -764,6 +764,22 @@ def bridge_actions_all(spark, d):
     return subgraph.labelled_actions(bridge_edges(spark, d, "true"), ["focus", "src", "mid"], "action")
 
 
+def round_sql(i: int) -> str:
+    return f"g{i} AS (SELECT id, coalesce(s.x, 0) AS x, coalesce(s.y, 0) AS y FROM g0 LEFT JOIN (SELECT dst, sum(x * w) AS x, sum(y * w) AS y FROM ew JOIN g{i - 1} ON id = src GROUP BY 1) s ON dst = id)"
+
+
+@query(H + f""", tw AS (SELECT src * 2 AS src, dst * 2 + 1 AS dst FROM e UNION ALL SELECT dst * 2 + 1, src * 2 FROM e), dg AS (SELECT src AS id, count(*) AS n FROM tw GROUP BY 1),
+ew AS (SELECT src, dst, 1 / sqrt(a.n * b.n) AS w FROM tw JOIN dg a ON a.id = src JOIN dg b ON b.id = dst), g0 AS (SELECT id * 2 AS id, x, y FROM h UNION ALL SELECT s_suppkey * 2 + 1, (s_suppkey % 5) / 5.0, (s_suppkey % 3) / 3.0 FROM supplier),
+{round_sql(1)}, {round_sql(2)}, {round_sql(3)} SELECT id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3) GROUP BY 1""")
+def light_three_rounds(spark, d):
+    """Parts are even and suppliers odd ids of one graph with edges both ways."""
+    e = plain_edges(spark, d).select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))
+    places = A.load(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"), F.array((F.col("s_suppkey") % 5) / 5.0, (F.col("s_suppkey") % 3) / 3.0).alias("z"))
+    h = part_vectors(spark, d).withColumn("id", F.col("id") * 2).unionByName(places)
+    adjacency = rounds.laid(rounds.symmetric_weights(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+    return flat(rounds.light_layers(h, adjacency, 3).z)
+
+
 FOCUS = """, pr AS (SELECT src, dst AS mid, count(*) AS n, array_to_string(list_sort(list(DISTINCT action))[1:2], ', ') AS label FROM supplied GROUP BY 1, 2),
 br AS (SELECT b.dst AS focus, pr.* FROM pr JOIN bought b ON b.src = pr.src WHERE EXISTS (SELECT 1 FROM urgent u WHERE u.src = b.dst AND u.dst = pr.mid)),
 tp AS (SELECT focus, src FROM br GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY focus ORDER BY count(*) DESC, sum(n) DESC, src) <= 5),
