@@ -4,6 +4,7 @@ Curves are running totals over distinct scores; ordered work is done range by ra
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +81,33 @@ def ranks(scored: DataFrame, group: str, key: str) -> DataFrame:
     return scored.where("y = 1").select(key, group, "score").join(above, [group, "score"]).select(key, "rank")
 
 
+def quantiles(counts: DataFrame, key: str, columns: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(of, share, value): exact quantiles of key, between two neighbours by their distance, for each column of how often each value occurs.
+
+    counts: a row a value, none of them null.  By running totals over ranges, so any number of different values may occur; a column of
+    zeros has no row."""
+    laid = running_totals(counts, key, columns)
+    totals = counts.agg(*[F.sum(c).alias(f"_all_{c}") for c in columns])
+    picks = []
+    for c in columns:
+        for share in shares:
+            place = (F.col(f"_all_{c}") - 1) * F.lit(share)
+            inside = lambda at, c=c: (F.col(f"before_{c}") <= at) & (at < F.col(f"before_{c}") + F.col(c))
+            low, high = inside(F.floor(place)), inside(F.ceil(place))
+            value = F.col(key).cast("double")
+            picks.append(F.when(low | high, F.struct(F.lit(c).alias("of"), F.lit(share).alias("share"), (place - F.floor(place)).alias("part"), F.when(low, value).alias("low"), F.when(high, value).alias("high"))))
+    found = laid.join(F.broadcast(totals)).select(F.explode(F.filter(F.array(*picks), lambda p: p.isNotNull())).alias("p")).select("p.*")  # one row
+    ends = found.groupBy("of", "share").agg(F.max("part").alias("part"), F.max("low").alias("low"), F.max("high").alias("high"))
+    return ends.select("of", "share", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value"))
+
+
 def rank_summary(ranked: DataFrame, hits: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
-    """(mrr, mean_rank, median_rank, hits_k ...)"""
-    return ranked.agg(
-        F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"),
-        *[F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"hits_{k}") for k in hits],
-    )
+    """(mrr, mean_rank, median_rank, hits_k ...); nulls without a rank."""
+    counts = ranked.where("rank is not null").groupBy("rank").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)  # read for borders, totals and sums
+    median = quantiles(counts, "rank", ["n"], (0.5,)).agg(F.max("value").alias("median_rank"))
+    mean = lambda c: F.round(F.sum(c * F.col("n")) / F.sum("n"), 6)
+    rest = counts.agg(mean(1.0 / F.col("rank")).alias("mrr"), mean(F.col("rank")).alias("mean_rank"), *[mean((F.col("rank") <= k).cast("int")).alias(f"hits_{k}") for k in hits])
+    return rest.join(F.broadcast(median)).select("mrr", "mean_rank", "median_rank", *[f"hits_{k}" for k in hits])  # one row each
 
 
 def per_entity(scored: DataFrame, entity: str, least_pos: int = 5, least_neg: int = 1) -> DataFrame:
@@ -123,7 +145,11 @@ def densities(scored: DataFrame, bins: int = 50, low: float = 0.0, high: float =
 def box_statistics(scored: DataFrame) -> DataFrame:
     """(y, n, least, q1, median, q3, most, low_whisker, high_whisker) of each class' scores; a whisker ends at the last score within
     1.5 times the distance of the quartiles."""
-    q = scored.groupBy("y").agg(F.count("*").alias("n"), F.min("score").alias("least"), *[F.percentile("score", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.max("score").alias("most"))
+    counts = by_score(scored.where("score is not null and y is not null")).persist(StorageLevel.DISK_ONLY)  # read for borders, totals and rows
+    named = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    found = quantiles(counts, "score", ["pos", "neg"], tuple(named)).withColumn("y", (F.col("of") == "pos").cast("int"))
+    found = found.groupBy("y").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(n) for p, n in named.items()])
+    q = scored.groupBy("y").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most")).join(F.broadcast(found), "y")  # a row a class
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = scored.join(F.broadcast(q.select("y", (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high"))), "y")  # a row a class
     ends = ends.where(F.col("score").between(F.col("_low"), F.col("_high"))).groupBy("y").agg(F.min("score").alias("low_whisker"), F.max("score").alias("high_whisker"))

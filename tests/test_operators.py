@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,20 @@ def test_metrics_on_ties_and_one_class(spark):
     assert metrics.at_thresholds(df([(0, 0.1)])).where("precision = 0 and recall = 0 and f1 = 0").count() == 3
 
 
+def test_quantiles_by_counts_equal_numpy(spark):
+    rows = [(0.5, 3, 0), (0.1, 1, 2), (0.9, 0, 5), (0.2, 4, 1), (0.75, 1, 0)]
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {(r["of"], r["share"]): r["value"] for r in metrics.quantiles(spark.createDataFrame(rows, "score double, pos long, neg long"), "score", ["pos", "neg"], shares).collect()}
+    for at, name in ((1, "pos"), (2, "neg")):
+        values = np.repeat([r[0] for r in rows], [r[at] for r in rows])
+        assert [got[name, s] for s in shares] == pytest.approx([np.quantile(values, s) for s in shares])
+    one = metrics.quantiles(spark.createDataFrame([(7, 1, 0)], "score long, pos long, neg long"), "score", ["pos", "neg"], (0.5,)).collect()
+    assert [tuple(r) for r in one] == [("pos", 0.5, 7.0)]
+    empty = spark.createDataFrame([], "key long, rank long")
+    assert set(metrics.rank_summary(empty).first().asDict().values()) == {None}
+    assert metrics.rank_summary(spark.createDataFrame([(1, 1), (2, 4), (3, 60), (4, 7)], "key long, rank long")).first()["median_rank"] == 5.5
+
+
 def test_encoders(spark):
     def run(encoder, rows, kind="string"):
         df = spark.createDataFrame([(r,) for r in rows], f"c {kind}")
