@@ -197,6 +197,8 @@ BANDS, ROWS = 16, 4
 SMALL = 64
 #: Shingles of a tile; a larger bucket is cut into several.
 TILE_SHINGLES = 500_000
+#: Text numbers, eight bytes each, that may be broadcast.
+MOST_CLASHES = 1_000_000
 SIMILARITY = 0.8
 #: A shingle's number: so many bits of its hash.
 ID_BITS = 52
@@ -331,8 +333,24 @@ def small_chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             yield c, min(b, c + 4096)
 
 
+def first_number(text: F.Column) -> F.Column:
+    return F.xxhash64(text)
+
+
+def numbered(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """rows (text, ...) with node, a 64-bit number of the text.  again: (node) of first numbers that several texts have; those
+    texts get a second number.  At 10^11 texts a few hundred are expected; they are broadcast up to MOST_CLASHES."""
+    rows = rows.withColumn("node", first_number(F.col("text")))
+    if again is None:
+        return rows
+    again = again.withColumn("_again", F.lit(True))
+    again = F.broadcast(again) if again.count() <= MOST_CLASHES else again
+    return rows.join(again, "node", "left").withColumn("node", F.when(F.col("_again"), F.xxhash64(F.lit("again"), "text")).otherwise(F.col("node"))).drop("_again")
+
+
 def fingerprint_texts(keyed: DataFrame, width: int) -> DataFrame:
-    """(node, n, keys) of each distinct text: its set's size and its buckets.  keyed: (node, text)."""
+    """(node, n, keys, clash) of each number of a text: its set's size, its buckets, and whether texts of different MD5 have
+    that number (n and keys are of no use then).  keyed: (node, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,10 +358,12 @@ def fingerprint_texts(keyed: DataFrame, width: int) -> DataFrame:
             for a, b in small_chunks(texts):
                 ids, at = distinct_shingles(texts[a:b], width)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(bucket_keys(ids, at).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(np.diff(at)), keys], ["node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("node", "digest")), pa.array(np.diff(at)), keys], ["node", "digest", "n", "keys"])
 
-    marked = keyed.mapInArrow(scan, "node long, n long, keys array<long>")
-    return held(marked.groupBy("node").agg(F.max("n").alias("n"), F.max("keys").alias("keys")))
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    marked = keyed.select("node", "text", digest.alias("digest")).mapInArrow(scan, "node long, digest binary, n long, keys array<long>")
+    clash = F.min("digest") != F.max("digest")
+    return held(marked.groupBy("node").agg(F.max("n").alias("n"), F.max("keys").alias("keys"), clash.alias("clash")))
 
 
 def shingle_sets(keyed: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -369,8 +389,24 @@ def pairs_similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def distinct_texts(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(docs as (text, node), fingerprint_texts of them, again for numbered): a number stands for one text only, as 128 more bits
+    tell.  RuntimeError where even second numbers meet (a chance of some 10^-6 at 10^11 texts)."""
+    texts = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text"))
+    keyed = numbered(texts, None)
+    found = fingerprint_texts(keyed, width)
+    if not found.where("clash").count():
+        return keyed, found, None
+    again = held(found.where("clash").select("node"))
+    keyed = numbered(texts, again)
+    found = fingerprint_texts(keyed, width)
+    if found.where("clash").count():
+        raise RuntimeError("different texts have the same two hashes")
+    return keyed, found, again
+
+
 def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, tile: int = TILE_SHINGLES) -> DataFrame:
-    """(node, root) for every distinct text: node = xxhash64 of the text, root = the group's smallest node.
+    """(node, root) for every distinct text: node = its number (see numbered), root = the group's smallest node.
 
     Texts are linked if they are equal or if the Jaccard similarity of their whole texts' sets of width-word shingles is at least
     `similarity`; a text of fewer words is one shingle, and texts without words are copies of each other.  Texts are compared
@@ -381,11 +417,16 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILA
     than `tile` shingles is first held against one of its texts; what is like that one is dealt over its tiles, and only the rest
     goes to every tile.
     """
-    keyed = bounded(docs).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = fingerprint_texts(keyed, width)
+    keyed, texts, _ = distinct_texts(docs, width)
+    return grouped(keyed, texts, width, similarity, tile)
+
+
+def grouped(keyed: DataFrame, texts: DataFrame, width: int, similarity: float, tile: int) -> DataFrame:
+    """near_copy_groups of distinct_texts."""
+    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(k), "node"), 20)).alias(f"sum{k}") for k in (1, 2)]
     rows = texts.select("node", (F.col("n") + 16).alias("n"), F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("total"), F.min("node").alias("hub"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sum")).where("texts > 1")
-    once = buckets.groupBy("texts", "total", "hub", "sum").agg(F.min("key").alias("key")).select("key", "hub", "total")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("total"), F.min("node").alias("hub"), F.max("node").alias("last"), *sums).where("texts > 1")
+    once = buckets.groupBy("texts", "total", "hub", "last", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "hub", "total")
     members = held(rows.join(once, "key"))
     sets = shingle_sets(keyed, members, width)
     stars = None
@@ -430,10 +471,12 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILA
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, tile: int = TILE_SHINGLES) -> DataFrame:
     """docs with one document of each group of near copies: that of the smallest doc_id (a null one only if there is no
-    other, then that of the smallest text hash).  Columns stay; rows that repeat are copies."""
-    node, id_ = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    groups = near_copy_groups(docs, width, similarity, tile)
-    ids = docs.select(node.alias("_node"), id_.alias("_id")).groupBy("_node").agg(F.min("_id").alias("_id"))
-    best = ids.join(groups, ids["_node"] == groups["node"]).groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("best")).select("best.*")
-    rows = docs.select(node.alias("_node"), id_.alias("_id"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")).join(best, ["_id", "_node"])
-    return rows.dropDuplicates(["_id", "_node"]).select(*[F.col(f"row.`{n}`").alias(n) for n in docs.columns])
+    other, then that of the smallest text number).  Columns stay; rows that repeat are copies."""
+    id_ = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
+    keyed, texts, again = distinct_texts(docs, width)
+    groups = grouped(keyed, texts, width, similarity, tile)
+    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    rows = numbered(whole.select("row", id_, F.coalesce("row.text", F.lit("")).alias("text")), again).drop("text")
+    ids = rows.groupBy("node").agg(F.min("_id").alias("_id"))
+    best = ids.join(groups, "node").groupBy("root").agg(F.min(F.struct("_id", "node")).alias("best")).select("best.*")
+    return rows.join(best, ["_id", "node"]).dropDuplicates(["_id", "node"]).select(*[F.col(f"row.`{n}`").alias(n) for n in docs.columns])

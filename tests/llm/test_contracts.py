@@ -1,6 +1,7 @@
 """Each registered operator against brute force, over a real table with the edge cases added to it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kilngraph.llm import decontam, license_scan, media_ogg, mixing, quality, simhash, suffix_dedup
 from tests.llm import brute
@@ -239,6 +240,19 @@ def test_near_copies_by_similarity(spark):
     assert kept == sorted(min(k for k, r in enumerate(roots) if r == g) for g in set(roots))
 
 
+@pytest.mark.parametrize("most", [simhash.MOST_CLASHES, 0])
+def test_near_copies_where_hashes_of_texts_meet(spark, monkeypatch, most):
+    """Four different numbers for fifteen texts: each text is still a node of its own, and none goes for another's hash."""
+    monkeypatch.setattr(simhash, "first_number", lambda text: F.pmod(F.xxhash64(text), F.lit(4)))
+    monkeypatch.setattr(simhash, "MOST_CLASHES", most)
+    words = [[f"w{i}x{j}" for j in range(60)] for i in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "end"]) for w in words] + [" ".join(words[0]), "", None]
+    df = spark.createDataFrame([(k, t, f"own {k}") for k, t in enumerate(texts)], "doc_id long, text string, node string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["node"]) for r in kept.collect()) == [*((k, f"own {k}") for k in range(6)), (13, "own 13")]
+
+
 @pytest.mark.parametrize("tile", [simhash.TILE_SHINGLES, 20_000])
 def test_near_copies_between_large_groups(spark, tile):
     """Groups of a hundred and twenty variants each, in pairs of groups that only one pair of texts links; also in many tiles."""
