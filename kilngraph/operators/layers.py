@@ -282,17 +282,18 @@ def partials(messages: DataFrame, number: int, weights: RelationWeights, heads:
 
 def attention_conv(
     h: Mapping[str, DataFrame], relations: Mapping[Relation, DataFrame], layer: LayerWeights, heads: int, attributes: Mapping[Relation, list[str]] | None = None,
-    finish: bool = False, slice_rows: int = SLICE_ROWS,
+    finish: bool = False, slice_rows: int = SLICE_ROWS, counted: frozenset[str] | None = None,
 ) -> dict[str, DataFrame]:
     """h after one layer: of every node the mean over the relations that reach its kind (0 from those that don't reach the node itself), through the
     kind's output map.  Kinds that no relation reaches stay as they are.  finish: gelu(norm(result + h)), of all kinds.
 
-    Relations without weights or without edges don't count."""
+    Relations without weights or without edges don't count.  counted: the names of the relations that have edges, where relations are a part of
+    the graph."""
     attributes = attributes or {}
     width = next(iter(layer.out.values()))[0].shape[0]
     if width % heads:
         raise ValueError(f"a width of {width} can't be cut into {heads} heads")
-    used = [r for r, edges in relations.items() if "__".join(r) in layer.relations and edges.take(1)]
+    used = [r for r, edges in relations.items() if "__".join(r) in layer.relations and ("__".join(r) in counted if counted is not None else edges.take(1))]
     out: dict[str, DataFrame] = {}
     for kind, own in h.items():
         into = [r for r in used if r[2] == kind]

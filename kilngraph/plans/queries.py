@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from kilngraph.functions import expressions as X
 from kilngraph.operators import encoders as E
 from kilngraph.operators import graph as G
-from kilngraph.operators import batches, ids, layers, metrics, paths, propagate, ranking, rounds, splits, subgraph
+from kilngraph.operators import batches, following, ids, layers, metrics, paths, propagate, ranking, rounds, splits, subgraph
 from kilngraph.operators import tables as T
 from kilngraph.operators.build import build_graph
 from kilngraph.plans import analog as A
@@ -806,6 +807,52 @@ def focus_edges(spark, d):
     return focus_parts(spark, d).edges
 
 
+# ---- vectors that follow the graph ------------------------------------------------------------------------------------------
+
+FOLLOWED = """, new_b AS (SELECT dst FROM bought b WHERE NOT EXISTS (SELECT 1 FROM lo WHERE l_returnflag = 'R' AND o_orderdate < TIMESTAMP '1998-06-01' AND l_partkey = b.src AND o_custkey = b.dst)),
+new_u AS (SELECT dst FROM urgent u WHERE NOT EXISTS (SELECT 1 FROM lo WHERE o_orderpriority = '1-URGENT' AND l_discount >= 0.08 AND o_orderdate < TIMESTAMP '1998-06-01' AND o_custkey = u.src AND l_suppkey = u.dst)),
+p0 AS (SELECT p_partkey AS id, p_size / 50.0 AS x, CAST(p_partkey % 7 AS DOUBLE) AS y FROM part),
+c0 AS (SELECT c_custkey AS id, (c_custkey % 5) / 5.0 AS x, (c_custkey % 3) / 3.0 AS y FROM customer), s0 AS (SELECT s_suppkey AS id, (s_suppkey % 5) / 5.0 AS x, (s_suppkey % 3) / 3.0 AS y FROM supplier),
+sp AS (SELECT p_partkey AS id FROM part WHERE p_size = 50), sc1 AS (SELECT dst AS id FROM new_b UNION SELECT dst FROM bought JOIN sp ON src = id)
+"""
+
+
+def layer_sql(name: str, own: str, edges: str, neighbours: str) -> str:
+    return f"{name} AS (SELECT o.id, (o.x + coalesce(m.x, o.x)) / 2 AS x, (o.y + coalesce(m.y, o.y)) / 2 AS y FROM {own} o LEFT JOIN (SELECT dst, avg(x) AS x, avg(y) AS y FROM {edges} JOIN {neighbours} n ON n.id = src GROUP BY 1) m ON m.dst = o.id)"
+
+
+def followed(spark, d, earlier: bool):
+    """(encoding, relations) of parts bought by customers who urgently order from suppliers; earlier: as it was before June 1998, when the largest
+    parts had no size yet."""
+    lines = A.lines_with_orders(spark, d)
+    lines = lines.where("o_orderdate < timestamp'1998-06-01'") if earlier else lines
+    bought = lines.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), F.col("o_custkey").alias("dst")).distinct()
+    urgent = lines.where("o_orderpriority = '1-URGENT' and l_discount >= 0.08").select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    size = F.when(F.col("p_size") == 50, 0).otherwise(F.col("p_size")) if earlier else F.col("p_size")
+    inputs = {"part": A.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(size / 50.0, (F.col("p_partkey") % 7).cast("double")).alias("z"))}
+    for kind, id_ in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        inputs[kind] = A.load(spark, d, kind).select(F.col(id_).alias("id"), F.array((F.col(id_) % 5) / 5.0, (F.col(id_) % 3) / 3.0).alias("z"))
+    return following.mean_encoding(inputs, 2), {("part", "bought_by", "customer"): bought, ("customer", "urgent_from", "supplier"): urgent}
+
+
+@query(FOLLOWED + f""", {layer_sql('c1', 'c0', 'bought', 'p0')}, {layer_sql('s1', 's0', 'urgent', 'c0')}, {layer_sql('c2', 'c1', 'bought', 'p0')}, {layer_sql('s2', 's1', 'urgent', 'c1')}
+SELECT kind, id, round(x, 9) AS x, round(y, 9) AS y FROM (SELECT 'part' AS kind, * FROM p0 UNION ALL SELECT 'customer', * FROM c2 UNION ALL SELECT 'supplier', * FROM s2)""")
+def followed_vectors(spark, d):
+    """The vectors of the earlier graph brought up to date; the SQL computes all of them from the start."""
+    cache = following.refresh(following.build(*followed(spark, d, True)), *followed(spark, d, False))
+    rounded = [F.round(F.get("z", F.lit(i)), 9).alias(n) for i, n in enumerate("xy")]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "id", *rounded) for k, df in cache.z.items()])
+
+
+@query(FOLLOWED + """SELECT 'part' AS kind, layer, id FROM sp, (VALUES (0), (1), (2)) t(layer) UNION ALL SELECT 'customer', layer, id FROM sc1, (VALUES (1), (2)) t(layer)
+UNION ALL SELECT DISTINCT 'supplier', 1, dst FROM new_u UNION ALL SELECT 'supplier', 2, dst FROM (SELECT dst FROM new_u UNION SELECT dst FROM urgent JOIN sc1 ON src = id)""")
+def stale_nodes(spark, d):
+    """Which vectors of which layer the change between the two graphs reaches."""
+    old, (encoding, relations) = followed(spark, d, True), followed(spark, d, False)
+    found = following.stale(following.all_prints(*old), following.all_prints(encoding, relations), relations, encoding.layers)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), F.lit(i).alias("layer"), "id") for k, frames in found.items() for i, df in enumerate(frames)])
+
+
 # ---- scans by position --------------------------------------------------------------------------------------------------
 
 
