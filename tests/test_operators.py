@@ -92,6 +92,12 @@ def test_split_sizes_and_disjointness(spark):
         X.split_counts(10, 0.5, 0.5)
 
 
+def test_split_sizes_are_those_of_the_sql():
+    for n in [*range(10, 60), 1_199_694, 11_996_946]:  # a rest of 4 and of 6 used to give val one more, and test one fewer
+        test, val = n // 10 + (n % 10 > 5), n // 10 + (n % 10 >= 5)
+        assert X.split_counts(n, 0.1, 0.1) == (n - val - test, val, test)
+
+
 def test_negatives_are_new_and_repaired(spark):
     known = spark.createDataFrame([(0, 0), (1, 1), (0, 1), (0, 2)], "src long, dst long")
     out = splits.negatives(known, known, 4, 4, k=2).collect()
