@@ -102,10 +102,12 @@ def chunk_by_position(df: DataFrame, starts: DataFrame, offset: int, limit: int,
 
 
 def positions(df: DataFrame, name: str = "position") -> DataFrame:
-    """df, as spark.read.parquet gives it, with each row's place in the table by file and place within the file."""
+    """df, as spark.read.parquet gives it, with each row's place in the table by file and place within the file.
+
+    A file's start is sent to all tasks (a row a file): a join by file would gather a file's rows in one task."""
     starts = file_starts(df).select(F.col("file").alias("_file"), F.col("start").alias("_start"))
     placed = df.select(*df.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return placed.join(starts, "_file").select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
+    return placed.join(F.broadcast(starts), "_file").select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -147,3 +147,15 @@ def test_a_chunk_opens_the_files_it_touches(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan()
     plan.executeCollect()
     assert plan.collectLeaves().apply(0).metrics().apply("numFiles").value() == 2
+
+
+def test_positions_gather_no_file(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where Spark takes the counted files for large
+    try:
+        placed = S.positions(spark.read.parquet(str(tmp_path / "t")))
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert sorted(r["position"] for r in placed.collect()) == list(range(100))
