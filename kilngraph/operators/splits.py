@@ -121,21 +121,37 @@ def negatives(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k:
 
     Which end follows from a draw; the first of `tries` candidates that is not known counts, and where all are known all ids are
     searched, of the other end too (see repaired).  RuntimeError where no pair is left."""
-    return repaired(positives, tried(positives, known, n_src, n_dst, k, tries, seed), known, n_src, n_dst, k, seed)
+    found, lacking = tried_in_turn(positives, known, n_src, n_dst, k, tries, seed)
+    return searched(found, lacking, known, n_src, n_dst, seed)
 
 
 def tried(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int, tries: int, seed: int) -> DataFrame:
     """negatives() without the search: positives all of whose candidates are known are missing."""
-    each = positives.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
-    each = each.withColumn("_turn", X.draw(seed, F.lit("side"), F.col("src"), F.col("dst"), F.col("k"), below=2) == 0)
-    each = each.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    key = [F.lit("pick"), F.col("src"), F.col("dst"), F.col("k"), F.col("_try")]
-    drawn = each.withColumns({
-        "neg_src": F.when(F.col("_turn"), F.col("src")).otherwise(X.draw(seed, *key, below=n_src)), "neg_dst": F.when(F.col("_turn"), X.draw(seed, *key, below=n_dst)).otherwise(F.col("dst")),
-    })
-    pairs = known.select(F.col("src").alias("neg_src"), F.col("dst").alias("neg_dst")).distinct()
-    fresh = drawn.join(pairs, ["neg_src", "neg_dst"], "left_anti")
-    return fresh.groupBy("src", "dst", "k").agg(F.min_by(F.struct("neg_src", "neg_dst"), "_try").alias("pair")).select("src", "dst", "k", "pair.*")
+    return tried_in_turn(positives, known, n_src, n_dst, k, tries, seed)[0]
+
+
+def tried_in_turn(positives: DataFrame, known: DataFrame, n_src: int, n_dst: int, k: int, tries: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, k, neg_src, neg_dst) of what the tries find, and (src, dst, k) of what they leave.
+
+    A try is held against the known pairs only where those before it were known."""
+    lacking = positives.select("src", "dst").distinct().select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
+    found = []
+    for t in range(tries):
+        turn = X.draw(seed, F.lit("side"), F.col("src"), F.col("dst"), F.col("k"), below=2) == 0
+        key = [F.lit("pick"), F.col("src"), F.col("dst"), F.col("k"), F.lit(t)]
+        drawn = lacking.withColumns({
+            "neg_src": F.when(turn, F.col("src")).otherwise(X.draw(seed, *key, below=n_src)), "neg_dst": F.when(turn, X.draw(seed, *key, below=n_dst)).otherwise(F.col("dst")),
+        })
+        fresh, lacking = told_apart(drawn, known)
+        found.append(fresh)
+    return reduce(DataFrame.unionByName, found), lacking
+
+
+def told_apart(drawn: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """drawn (src, dst, k, neg_src, neg_dst) whose pair is not known, and (src, dst, k) of the rest: one join, whose rows are kept on disk."""
+    pairs = known.select(F.col("src").alias("neg_src"), F.col("dst").alias("neg_dst"), F.lit(True).alias("_known")).distinct()
+    marked = drawn.select("src", "dst", "k", "neg_src", "neg_dst").join(pairs, ["neg_src", "neg_dst"], "left").persist(StorageLevel.DISK_ONLY)
+    return marked.where("_known is null").select("src", "dst", "k", "neg_src", "neg_dst"), marked.where("_known").select("src", "dst", "k")
 
 
 def free_partner(lacking: DataFrame, known: DataFrame, end: str, other: str, n: int, seed: int) -> DataFrame:
@@ -156,9 +172,13 @@ def repaired(positives: DataFrame, found: DataFrame, known: DataFrame, n_src: in
 
     Only nodes that lack pairs are searched, each against the ids it is not linked to."""
     each = positives.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
-    lacking = each.join(found, ["src", "dst", "k"], "left_anti")
+    return searched(found, each.join(found, ["src", "dst", "k"], "left_anti"), known, n_src, n_dst, seed)
+
+
+def searched(found: DataFrame, lacking: DataFrame, known: DataFrame, n_src: int, n_dst: int, seed: int) -> DataFrame:
+    """repaired() of what is known to be missing: lacking (src, dst, k)."""
     lacking = free_partner(lacking, known, "src", "dst", n_dst, seed).withColumnRenamed("free", "_dst")
-    lacking = free_partner(lacking, known, "dst", "src", n_src, seed).withColumnRenamed("free", "_src")
+    lacking = free_partner(lacking, known, "dst", "src", n_src, seed).withColumnRenamed("free", "_src").persist(StorageLevel.DISK_ONLY)  # asked twice
     turn = X.draw(seed, F.lit("side"), F.col("src"), F.col("dst"), F.col("k"), below=2) == 0
     keeps_src = F.col("_dst").isNotNull() & (turn | F.col("_src").isNull())
     got = lacking.select("src", "dst", "k", F.when(keeps_src, F.col("src")).otherwise(F.col("_src")).alias("neg_src"), F.when(keeps_src, F.col("_dst")).otherwise(F.col("dst")).alias("neg_dst"))
@@ -227,5 +247,5 @@ def hard_negatives(positives: DataFrame, known: DataFrame, n_src: int, n_dst: in
     weights = positives.sparkSession.range(n_dst).join(links, "id", "left").select(F.col("id").alias("neg_dst"), F.pow(F.coalesce("n", F.lit(0)) + 1.0, F.lit(power)).alias("w"))
     drawn = weighted_draws(weights, "neg_dst", "w", each.where(F.col("k") < hard).withColumn("u", X.draw(seed, *key, below=2**40) / F.lit(float(2**40))))
     got = easy.select("src", "dst", "k", "neg_dst").unionByName(drawn.select("src", "dst", "k", "neg_dst"))
-    fresh = got.join(known.select("src", F.col("dst").alias("neg_dst")).distinct(), ["src", "neg_dst"], "left_anti")
-    return repaired(positives, fresh.select("src", "dst", "k", F.col("src").alias("neg_src"), "neg_dst"), known, n_src, n_dst, k, seed)
+    fresh, lacking = told_apart(got.withColumn("neg_src", F.col("src")), known)
+    return searched(fresh, lacking, known, n_src, n_dst, seed)

@@ -98,6 +98,17 @@ def test_split_sizes_are_those_of_the_sql():
         assert X.split_counts(n, 0.1, 0.1) == (n - val - test, val, test)
 
 
+def test_later_tries_are_for_what_the_earlier_left(spark):
+    known = spark.range(100).select((F.col("id") % 10).alias("src"), F.expr("id div 10").alias("dst")).where("(src + dst) % 3 > 0")
+    found, lacking = splits.tried_in_turn(known, known, 10, 10, 3, 2, 42)
+    rows, left, links = found.collect(), lacking.collect(), {tuple(r) for r in known.collect()}
+    assert left and len({r[:3] for r in map(tuple, rows)} | set(map(tuple, left))) == len(rows) + len(left) == 3 * len(links)
+    assert not {(r["neg_src"], r["neg_dst"]) for r in rows} & links
+    first = splits.tried_in_turn(known, known, 10, 10, 3, 1, 42)
+    assert set(map(tuple, first[0].collect())) < set(map(tuple, rows)) and first[1].count() > len(left)
+    assert "min_by" not in found._jdf.queryExecution().executedPlan().toString()  # tries are not shuffled again to pick one
+
+
 def test_negatives_are_new_and_repaired(spark):
     known = spark.createDataFrame([(0, 0), (1, 1), (0, 1), (0, 2)], "src long, dst long")
     out = splits.negatives(known, known, 4, 4, k=2).collect()
