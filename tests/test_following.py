@@ -121,3 +121,10 @@ def test_what_is_no_cache(spark, tmp_path):
     spark.createDataFrame([('{"type": "edge_split", "version": 1}',)], "value string").write.text(f"{tmp_path}/x/about")
     with pytest.raises(ValueError, match="not a cache"):
         N.load(spark, f"{tmp_path}/x")
+
+
+def test_relations_are_kept(spark, sf):
+    """Each layer's prints and vectors read them, so they are not computed anew from the tables."""
+    from kilngraph.plans import queries
+
+    assert all(df.storageLevel.useDisk for earlier in (True, False) for df in queries.followed(spark, sf, earlier)[1].values())
