@@ -6,10 +6,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import ClassVar
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from kilngraph.operators import ids
 
 #: The most places of a dense one-hot or multi-hot vector; sparse() has no bound.
 MOST_PLACES = 65_536
+#: Rows that a task encodes, about.
+TASK_ROWS = 16_384
 
 
 class Encoder:
@@ -174,18 +178,26 @@ def dense(rows: DataFrame, key: str, width: int) -> DataFrame:
     return held.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("_at", i), F.lit(0.0))).alias("features"))
 
 
+@lru_cache(1 << 17)
+def token_hash(token: str) -> int:
+    """The token's 8-byte BLAKE2b, little-endian."""
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+
+
 def hashed_counts(tokens: Column, width: int, binary: bool, unit: bool) -> Column:
-    """Counts (or 0/1) of the tokens by their 8-byte BLAKE2b, little-endian, modulo the width; unit: of length 1."""
-
-    @F.pandas_udf("array<double>")
-    def count(tokens: pd.Series) -> pd.Series:
-        out = []
-        for row in tokens:
-            places = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") % width for t in row]
-            v = np.bincount(places, minlength=width).astype(np.float64) if places else np.zeros(width)
-            v = np.minimum(v, 1.0) if binary else v
-            out.append(v / norm if unit and (norm := float(np.sqrt(v @ v))) > 0 else v)
-        return pd.Series(out)
+    """Counts (or 0/1) of the tokens by their token_hash modulo the width; unit: of length 1.  A batch's different tokens are hashed once."""
+
+    @F.arrow_udf("array<double>")
+    def count(tokens: pa.Array) -> pa.Array:
+        each = pc.list_flatten(tokens).dictionary_encode()
+        places = np.array([token_hash(t) % width for t in each.dictionary.to_pylist()], np.int64)[np.asarray(each.indices)]
+        v = np.bincount(np.asarray(pc.list_parent_indices(tokens)) * width + places, minlength=len(tokens) * width).astype(np.float64)
+        v = np.minimum(v, 1.0) if binary else v
+        if unit:
+            rows = v.reshape(-1, width)
+            norm = np.sqrt((rows * rows).sum(1, keepdims=True))
+            v = (rows / np.where(norm > 0, norm, 1.0)).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, width), pa.int32()), pa.array(v))
 
     return count(tokens)
 
@@ -290,6 +302,11 @@ def encode(df: DataFrame, encoder: Encoder, name: str = "features") -> DataFrame
     return df.withColumn(name, encoder.vector())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt to tasks of about TASK_ROWS: a file of few bytes a row is otherwise one task, whose vectors are many times as large."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)))
+
+
 # ---- encoders by kind of record ------------------------------------------------------------------------------------------
 
 # The fields of a metadata record, and those of each kind of node with how they are encoded, of which of the
