@@ -66,20 +66,16 @@ class Memo:
         """Results of all chunks (and maybe more), until the next call."""
         if self.size > self.limit:
             self.before, self.now, self.size = self.now, {}, 0
-        now, before, missing = self.now, self.before, []
-        for c in set(chunks):
-            if c not in now:
-                if c in before:
-                    self.keep(c, before[c])
-                else:
-                    missing.append(c)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            size = 0
-            for c, result in zip(part, self.encode(part), strict=True):
-                now[c] = result
-                size += 180 + len(c) + (len(result) if result else 0)
-            self.size += size
+        now, before = self.now, self.before
+        missing = set(chunks).difference(now)
+        for c in [c for c in missing if c in before]:
+            self.keep(c, before[c])
+        unknown = list(missing.difference(before))
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at : at + 4096]
+            results = self.encode(part)
+            now.update(zip(part, results, strict=True))
+            self.size += 180 * len(part) + sum(map(len, part)) + sum(map(len, filter(None, results)))
         return now
 
     def keep(self, chunk: str, result: bytes | None) -> None:
@@ -100,26 +96,25 @@ class Words:
         self.tokenizer, self.plain_words, self.lower = tokenizer, plain_words, lower
         self.model, self.normalizer, self.splitter = tokenizer.model, tokenizer.normalizer, tokenizer.pre_tokenizer
         self.written = {b: c for c, b in byte_alphabet().items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.other: dict[str, tuple[int, ...]] = {}  # by the byte alphabet's characters
+        self.known: dict[str, list[int]] = {}
+        self.other: dict[str, list[int]] = {}  # by the byte alphabet's characters
 
     def ids(self, chunk: str) -> list[int]:
         if self.plain_words is None or "<|" in chunk:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         if chunk.isascii() or PLAIN.fullmatch(chunk):
             words = self.plain_words.findall(chunk.lower() if self.lower else chunk)
-            written = False
+            known, written = self.known, False
         else:
-            written = True
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk) if self.normalizer else chunk)]
-        known = self.known if not written else self.other
+            known, written = self.other, True
         if len(known) > self.MOST:
             known.clear()
         out: list[int] = []
         for w in words:
             if (ids := known.get(w)) is None:
-                raw = w if written else w.encode().decode("latin-1").translate(self.written)
-                ids = known[w] = tuple([t.id for t in self.model.tokenize(raw)])
+                plain = written or (w.isascii() and w.isalpha())  # these letters are written as they are
+                ids = known[w] = [t.id for t in self.model.tokenize(w if plain else w.encode().decode("latin-1").translate(self.written))]
             out += ids
         return out
 
