@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilngraph.llm._util import bounded, materialize
-from kilngraph.llm.vocabularies import AT_SPACES, Memo, loaded, shared_file, word_tokenizer, words_of
+from kilngraph.llm.vocabularies import AT_SPACES, Memo, different, loaded, shared_file, word_tokenizer, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Behind each document.
@@ -233,6 +234,25 @@ def id_kind(tokenizer) -> str:
     return "<u2" if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
 
 
+def cut(texts: pa.Array, split) -> tuple[pa.Array, np.ndarray]:
+    """All texts' chunks, and how many there are up to the end of each text."""
+    if split is None:
+        return texts, np.arange(1, len(texts) + 1)
+    lists = pc.split_pattern(texts, " ") if split == AT_SPACES else pa.array([split.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)
+
+
+def encode_texts(texts: pa.Array, memo: Memo, last: bytes, split) -> pa.BinaryArray:
+    """Each text's ids and the end id; the memo is asked once for each different chunk."""
+    pieces, ends = cut(texts, split)
+    chunks, which = different(pieces)
+    which = np.insert(which, ends, len(chunks))  # the end id
+    ids = pa.array([*memo.results(chunks), last], pa.binary()).take(pa.array(which))
+    _, offsets, raw = ids.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * ids.offset)[np.append(0, ends + np.arange(1, len(ends) + 1))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), raw])
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, split=AT_SPACES) -> tuple[DataFrame, str]:
     """(doc_id, ids) of every row of docs: its text's ids without special tokens and the end id, as little-endian integers of the kind that is
     given back too.  A null text is empty.
@@ -246,11 +266,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = E
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = loaded("ids", packed_ids, data.value)
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                chunks = [text] if split is None else split.split(text)
-                out.append(b"".join([*map(memo.learn(chunks).__getitem__, chunks), last]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), encode_texts(batch.column("text"), memo, last, split)], ["doc_id", "ids"])
 
     return rows.mapInArrow(encode, "doc_id long, ids binary"), kind
 

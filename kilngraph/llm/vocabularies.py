@@ -1,7 +1,8 @@
 """Public tokenizers inside tasks: a vocabulary file goes to the tasks once, and each chunk of text is encoded once a worker.
 
 Texts are cut at white space that neither tokenizer lets a token cross, so a text's tokens are its chunks' tokens, one
-after the other.  A worker remembers its chunks' results up to MEMO_BYTES and starts anew beyond that.
+after the other.  A batch's chunks are told apart by Arrow, so a worker looks up each different one once a batch; it remembers
+their results up to MEMO_BYTES and starts anew beyond that.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import zlib
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of a vocabulary file that may be broadcast.
@@ -29,9 +32,14 @@ BEFORE_SPACES = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
 BESIDE_SPACES = re.compile(r" [\s\u180e]|[\s\u180e] ")
 
 
+def simply_spaced(text: str) -> bool:
+    """Of a text that begins with a space: every space cuts, as none has white space beside it or ends the text."""
+    return text[-1] != " " and not BESIDE_SPACES.search(text)
+
+
 def spaced_chunks(text: str) -> list[str]:
     """BEFORE_SPACES.split(text) of a text that begins with a space; simpler where no space has white space beside it."""
-    return BEFORE_SPACES.split(text) if BESIDE_SPACES.search(text) or text[-1] == " " else [f" {p}" for p in text[1:].split(" ")]
+    return [f" {p}" for p in text[1:].split(" ")] if simply_spaced(text) else BEFORE_SPACES.split(text)
 
 
 def vocabulary_path(name: str) -> str:
@@ -57,10 +65,30 @@ class Memo:
 
     Two generations: when one is full the other goes, so chunks that keep coming stay."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes | None]], limit: int = MEMO_BYTES // 2):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = MEMO_BYTES // 2):
         self.encode, self.limit, self.size = encode, limit, 0
-        self.now: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def results(self, chunks: list[str]) -> list[bytes]:
+        """A result for each of the chunks, which differ."""
+        if self.size > self.limit:
+            self.before, self.now, self.size = self.now, {}, 0
+        now, before = self.now, self.before
+        out: list = [*map(now.get, chunks)]
+        missing = [i for i, r in enumerate(out) if r is None]
+        unknown = []
+        for i in missing:
+            if (r := before.get(chunks[i])) is None:
+                unknown.append(i)
+            else:
+                out[i] = now[chunks[i]] = r
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at : at + 4096]
+            for i, r in zip(part, self.encode([chunks[i] for i in part]), strict=True):
+                out[i] = now[chunks[i]] = r
+        self.size += sum([180 + len(chunks[i]) + len(out[i]) for i in missing])
+        return out
 
     def learn(self, chunks: list[str]) -> dict[str, bytes | None]:
         """Results of all chunks (and maybe more), until the next call."""
@@ -83,6 +111,12 @@ class Memo:
         self.size += 180 + len(chunk) + len(result or b"")
 
 
+def different(pieces: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The different strings among pieces, and which of them each piece is."""
+    found = pieces.dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+
+
 class Words:
     """Ids of chunks through a tokenizer's parts, its model asked once for each different word of MOST.
 
@@ -103,7 +137,8 @@ class Words:
         if self.plain_words is None or "<|" in chunk:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         if chunk.isascii() or PLAIN.fullmatch(chunk):
-            words = self.plain_words.findall(chunk.lower() if self.lower else chunk)
+            text = chunk.lower() if self.lower else chunk
+            words = [text] if text.isalpha() or (not self.lower and text[:1] == " " and text[1:].isalpha()) else self.plain_words.findall(text)
             known, written = self.known, False
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk) if self.normalizer else chunk)]

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from kilngraph.llm import alignment, queries, token_files, vector_codes
@@ -72,6 +73,21 @@ def test_op11_gives_back_every_document(docs, rows, words, files):
         at, last = at + r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else last
 
 
+def test_op11_asks_once_for_each_chunk_of_a_batch(words):
+    memo = token_files.packed_ids(read(token_files.VOCABULARY))
+    asked, results = [], memo.results
+    memo.results = lambda chunks: asked.extend(chunks) or results(chunks)
+    texts = [*ODD, "A word, a word", "", "word a", "é word" * 3] * 3
+    got = token_files.encode_texts(pa.array(texts), memo, b"\2\0", AT_SPACES).to_pylist()
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*words.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert Counter(asked) == Counter({c for t in texts for c in t.split(" ")})
+    memo.limit = 0  # both generations are used up and begun anew
+    for _ in range(4):
+        assert token_files.encode_texts(pa.array(texts[:9]), memo, b"\2\0", AT_SPACES).to_pylist() == got[:9]
+    assert token_files.encode_texts(pa.array(texts), memo, b"\2\0", None).to_pylist() == got
+    assert token_files.encode_texts(pa.array([], pa.string()), memo, b"\2\0", AT_SPACES).to_pylist() == []
+
+
 def test_op11_empty(empty):
     assert token_files.store_tokens(empty).collect() == []
 
