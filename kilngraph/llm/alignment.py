@@ -4,8 +4,9 @@ B's tokens are a static interval index (their ends, ascending).  Each A token is
 the first B token that ends behind its first byte and the one that holds its last byte; it is linked to all between.  A gap
 between two B tokens that no A token spans is where tokens of both end: a group's boundary.
 
-1.  Blocks of documents are tokenized and aligned, chunk by chunk (see vocabularies).  A block keeps its different id pairs
-    with their numbers of links; a document keeps its own by their places in its block's list.  This is a written table.
+1.  Blocks of documents are tokenized chunk by chunk (see vocabularies), a block's different chunks are aligned side by side.  A block
+    keeps its different id pairs with their numbers of links; a document keeps its own by their places in its block's list.  This is a
+    written table.
 2.  Pairs are summed over all blocks, and each B id's highest count is found.
 3.  Each block gets the counts of its own pairs back, and its documents are evaluated beside them.  So a pair is joined once a block,
     not once a document, and a task holds one block.
@@ -15,18 +16,17 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.llm._util import bounded, materialize
-from kilngraph.llm.vocabularies import BEFORE_SPACES, Memo, byte_alphabet, loaded, shared_file, spaced_chunks, word_tokenizer, words_of
+from kilngraph.llm.vocabularies import BEFORE_SPACES, Memo, byte_alphabet, different, loaded, shared_file, simply_spaced, word_tokenizer, words_of
 
 A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
@@ -34,30 +34,68 @@ B_VOCABULARY = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
 #: A pair is A's id by this, and B's id.
 SHIFT = 1 << 20
-HEAD = "<4I"
-HEAD_BYTES = struct.calcsize(HEAD)
+#: What stands behind an id in a group's text.
+SIGNS = ",|;"
+
+
+def stabbed(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each A token the first and last B token that it overlaps; sizes in bytes, with equal sums, none 0.
+
+    Texts may stand one after the other: both have a token's end where a text ends, so no span leaves its text."""
+    ends, a_ends = np.cumsum(b_sizes), np.cumsum(a_sizes)
+    return np.searchsorted(ends, a_ends - a_sizes, "right"), np.searchsorted(ends, a_ends, "left")
+
+
+def last_of_groups(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The last A token of every group: groups are cut at gaps between B tokens that no A token spans.
+
+    Spans ascend, so the gap behind a span's last token is spanned only if the next span begins with that token."""
+    return np.flatnonzero(np.append(lo[1:] > hi[:-1], True)[: len(lo)])
 
 
 def overlaps(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> list[tuple[int, int]]:
-    """For each A token the first and last B token that it overlaps; sizes in bytes, with equal sums, none 0."""
-    ends, start, out = list(accumulate(b_sizes)), 0, []
-    for size in a_sizes:
-        end = start + size
-        out.append((bisect_right(ends, start), bisect_left(ends, end)))
-        start = end
-    return out
+    """stabbed() as pairs."""
+    lo, hi = stabbed(np.array(a_sizes, np.int64), np.array(b_sizes, np.int64))
+    return [*zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
 def groups(spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(first A, end A, first B, end B) of every group: cut at gaps between B tokens that no A token spans.
+    """(first A, end A, first B, end B) of every group of spans."""
+    lo, hi = np.array(spans, np.int64).reshape(-1, 2).T
+    last = last_of_groups(lo, hi)
+    a, b = last + 1, hi[last] + 1
+    return [*zip([0, *a.tolist()], a.tolist(), [0, *b.tolist()], b.tolist(), strict=False)]
 
-    Spans ascend, so the gap behind a span's last token is spanned only if the next span begins with that token."""
-    out, a, b = [], 0, 0
-    for k, (_, hi) in enumerate(spans, 1):
-        if k == len(spans) or spans[k][0] > hi:
-            out.append((a, k, b, hi + 1))
-            a, b = k, hi + 1
-    return out
+
+def running(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each row, as many as its size, one row after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+
+
+def ended(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sum of sizes."""
+    return np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def flat_bytes(strings: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all strings, one after the other, and where each begins (and the end)."""
+    if not len(strings):
+        return memoryview(b""), np.zeros(1, np.int64)
+    _, offsets, raw = strings.buffers()
+    at = np.frombuffer(offsets, np.int32, len(strings) + 1, 4 * strings.offset).astype(np.int64)
+    return memoryview(raw or b"")[: at[-1]], at
+
+
+class Aligned(NamedTuple):
+    """Of a list of chunks: whether both tokenizers give back its bytes, n_a, n_b, n_groups and n_links (0 if not), where its pairs begin (and the
+    end), the pairs, where its groups' text begins (and the end), and the texts, a ; behind each group."""
+
+    good: np.ndarray
+    numbers: np.ndarray
+    pairs_at: np.ndarray
+    pairs: np.ndarray
+    text_at: np.ndarray
+    text: memoryview
 
 
 class Pair:
@@ -77,6 +115,12 @@ class Pair:
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
         pieces = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in pieces]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_sizes[[*self.a_bytes]] = [*map(len, self.a_bytes.values())]
+        self.b_sizes = np.array([*map(len, self.b_bytes)], np.int64)
+        self.a_names, self.b_names = pa.array([self.a_bytes.get(i) for i in range(len(self.a_sizes))], pa.binary()), pa.array(self.b_bytes, pa.binary())
+        #: An id in decimal and what stands behind it: SIGNS[k] at 3 * id + k.
+        self.written = pa.array([f"{i}{c}" for i in range(max(len(self.a_sizes), len(self.b_sizes))) for c in SIGNS], pa.string())
 
     def ids(self, chunks: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
         """chunks: texts with a space before them."""
@@ -84,27 +128,62 @@ class Pair:
         for chunk, y in zip(chunks, b, strict=True):
             yield chunk, self.words.ids(chunk), y
 
-    def aligned(self, chunks: list[str]) -> list[bytes | None]:
-        """Of each chunk n_a, n_b, n_groups, n_links (HEAD), the pairs (8 bytes each) and the groups' text; None where a tokenizer's bytes
-        aren't the chunk's."""
-        out: list[bytes | None] = []
-        for chunk, a, b in self.ids(chunks):
-            raw = chunk.encode()
-            parts, pieces = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(parts) != raw or b"".join(pieces) != raw:
-                out.append(None)
-                continue
-            spans = overlaps([*map(len, parts)], [*map(len, pieces)])
-            found = groups(spans)
-            text = ";".join([f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in found])
-            pairs = [x * SHIFT + y for x, (lo, hi) in zip(a, spans, strict=True) for y in b[lo : hi + 1]]
-            out.append(struct.pack(HEAD, len(a), len(b), len(found), len(pairs)) + struct.pack(f"<{len(pairs)}q", *pairs) + text.encode())
-        return out
-
-
-def alignments(a: bytes, b: bytes) -> Memo:
-    """chunk -> what Pair.aligned gives"""
-    return Memo(Pair(a, b).aligned)
+    def packed(self, chunks: list[str]) -> list[bytes]:
+        """Of each chunk, without the space before it, how many ids A has, A's ids and B's (4 bytes each)."""
+        return [struct.pack(f"<{1 + len(a) + len(b)}I", len(a), *a, *b) for _, a, b in self.ids([f" {c}" for c in chunks])]
+
+    def aligned(self, chunks: list[str], packed: list[bytes]) -> Aligned:
+        """chunks, without the space before them, beside what packed() gives for them; all are aligned side by side."""
+        flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        at = ended([len(p) // 4 for p in packed])
+        n_a = flat[at[:-1]]
+        n_b = np.diff(at) - 1 - n_a
+        a, b = flat[running(at[:-1] + 1, n_a)], flat[running(at[:-1] + 1 + n_a, n_b)]
+        good = self.given_back(chunks, a, n_a, b, n_b)
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        lo, hi = stabbed(self.a_sizes[a], self.b_sizes[b])
+        last = last_of_groups(lo, hi)
+        a_ends, b_ends = last + 1, hi[last] + 1
+        links = hi - lo + 1
+        pairs = np.repeat(a, links) * SHIFT + b[running(lo, links)]
+        # a group's A ids and then its B ids, each before a sign
+        in_a, in_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+        behind = np.zeros(len(a) + len(b), np.int64)
+        ends = np.cumsum(in_a + in_b)
+        behind[ends - in_b - 1], behind[ends - 1] = SIGNS.index("|"), SIGNS.index(";")
+        ids = np.empty(len(behind), np.int64)
+        ids[running(ends - in_b - in_a, in_a)], ids[running(ends - in_b, in_b)] = a, b
+        text, text_at = flat_bytes(self.written.take(pa.array(3 * ids + behind)))
+        of_a, of_links = ended(n_a), ended(links)[ended(n_a)]
+        n_groups = np.diff(np.searchsorted(a_ends, of_a, "right"))
+        numbers = np.stack([n_a, n_b, n_groups, np.diff(of_links)], axis=1)
+        return Aligned(good, numbers, of_links, pairs, text_at[ended(n_a + n_b)], text)
+
+    def given_back(self, chunks: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether both tokenizers' bytes are the chunks'."""
+        raw, whole = flat_bytes(pa.array([f" {c}" for c in chunks], pa.string()).cast(pa.binary()))
+        good = np.ones(len(chunks), np.bool_)
+        for ids, n, names in ((a, n_a, self.a_names), (b, n_b, self.b_names)):
+            found, at = flat_bytes(names.take(pa.array(ids)))
+            at = at[ended(n)]
+            if found != raw or (at != whole).any():
+                x, y = at.tolist(), whole.tolist()
+                good &= [found[x[k] : x[k + 1]] == raw[y[k] : y[k + 1]] for k in range(len(chunks))]
+        return good
+
+
+class Known(NamedTuple):
+    """Both tokenizers, and the ids of chunks that a worker has met."""
+
+    pair: Pair
+    memo: Memo
+
+
+def alignments(a: bytes, b: bytes) -> Known:
+    pair = Pair(a, b)
+    return Known(pair, Memo(pair.packed))
 
 
 FIELDS = [
@@ -120,24 +199,58 @@ def list_array(flat: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def block_rows(block: int, ids: list, found: list[tuple | None]) -> pa.RecordBatch:
-    """The documents' rows of a block and one row more with its pairs.  found: (n_a, n_b, n_groups, n_links, sha256, pairs, times) a document."""
-    empty = np.zeros(0, np.int64)
-    codes = [f[5] if f else empty for f in found]
-    sizes = [len(c) for c in codes]
-    pairs, inverse = np.unique(np.concatenate([*codes, empty]), return_inverse=True)
-    times = np.concatenate([*(f[6] for f in found if f), empty])
-    key = np.repeat(np.arange(len(found)), sizes) * max(1, len(pairs)) + inverse
+def cut(texts: list[str], split) -> tuple[list[int], pa.Array, np.ndarray]:
+    """(order, pieces, n): the texts' chunks without the spaces before them, n a text; the texts in an order that is given back."""
+    simple, plain, other, chunks = [], [], [], []
+    usual = split is not None and split.pattern == BEFORE_SPACES.pattern
+    for k, text in enumerate(texts):
+        full = f" {text}"
+        if usual and simply_spaced(full):
+            plain.append(k)
+            simple.append(text)
+        else:
+            other.append(k)
+            chunks.append([c[1:] for c in ([full] if split is None else split.split(full))])
+    kind = pa.list_(pa.string())
+    lists = [pc.split_pattern(pa.array(simple, pa.string()), " "), pa.array(chunks, kind)]
+    return plain + other, pa.concat_arrays([x.flatten() for x in lists]), np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.int64)
+
+
+def block_rows(block: int, ids: list, texts: list[str], known: Known, split) -> pa.RecordBatch:
+    """The documents' rows of a block and one row more with its pairs."""
+    order, pieces, n_pieces = cut(texts, split)
+    chunks, which = different(pieces)
+    found = known.pair.aligned(chunks, known.memo.results(chunks))
+    ends = ended(n_pieces)
+    owner = np.repeat(np.arange(len(order)), n_pieces)
+    bad = np.bincount(owner[~found.good[which]], minlength=len(order)) > 0
+    bad |= np.array([not texts[k] for k in order], np.bool_)
+    # groups' texts of all pieces, one after the other
+    written = pa.BinaryArray.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(found.text_at.astype(np.int32)), pa.py_buffer(found.text)])
+    text, at = flat_bytes(written.take(pa.array(which)))
+    at = at[ends].tolist()
+    digests = ["" if no else hashlib.sha256(text[i : j - 1]).hexdigest() for no, i, j in zip(bad.tolist(), at, at[1:], strict=False)]
+    # a document's different pieces, then its different pairs
+    keep = ~bad[owner]
+    key, times = np.unique(owner[keep] * max(1, len(chunks)) + which[keep], return_counts=True)
+    document, piece = key // max(1, len(chunks)), key % max(1, len(chunks))
+    numbers = np.stack([np.bincount(document, times * column[piece], len(order)) for column in found.numbers.T]).astype(np.int64)
+    used = np.zeros(len(chunks), np.bool_)
+    used[piece] = True
+    n_pairs = np.diff(found.pairs_at)
+    pairs = np.unique(found.pairs[np.repeat(used, n_pairs)])
+    place = np.searchsorted(pairs, found.pairs)
+    n = n_pairs[piece]
+    key = np.repeat(document * max(1, len(pairs)), n) + place[running(found.pairs_at[piece], n)]
     key, where = np.unique(key, return_inverse=True)  # a document has a pair by several chunks
-    total = np.bincount(where, times, len(key)).astype(np.int64)
+    total = np.bincount(where, np.repeat(times, n), len(key)).astype(np.int64)
     document, at = key // max(1, len(pairs)), key % max(1, len(pairs))
     links = np.bincount(at, total, len(pairs)).astype(np.int64)
-    own = np.bincount(document, minlength=len(found)).tolist()
-    n = len(found)
-    numbers = [[f[k] if f else 0 for f in found] for k in range(4)]
+    own = np.bincount(document, minlength=len(order)).tolist()
+    size = len(order)
     columns = [
-        pa.array([block] * (n + 1), pa.int64()), pa.array([*ids, None], pa.int64()), *(pa.array([*x, None], pa.int64()) for x in numbers), pa.array([*(f[4] if f else "" for f in found), None], pa.string()),
-        list_array(at, [*own, 0], pa.int32()), list_array(total, [*own, 0], pa.int32()), list_array(pairs, [0] * n + [len(pairs)], pa.int64()), list_array(links, [0] * n + [len(pairs)], pa.int64()),
+        pa.array([block] * (size + 1), pa.int64()), pa.array([*(ids[k] for k in order), None], pa.int64()), *(pa.array([*x.tolist(), None], pa.int64()) for x in numbers), pa.array([*digests, None], pa.string()),
+        list_array(at, [*own, 0], pa.int32()), list_array(total, [*own, 0], pa.int32()), list_array(pairs, [0] * size + [len(pairs)], pa.int64()), list_array(links, [0] * size + [len(pairs)], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema(FIELDS))
 
@@ -149,40 +262,20 @@ def align_blocks(docs: DataFrame, a_vocabulary: str = A_VOCABULARY, b_vocabulary
     rows = bounded(docs).select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = loaded("alignments", alignments, a.value, b.value)
+        known = loaded("alignments", alignments, a.value, b.value)
         part = n = size = 0
         ids: list = []
-        found: list[tuple | None] = []
+        texts: list[str] = []
         for batch in batches:
             for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text")), strict=True):  # noqa: B007
                 ids.append(doc_id)
-                found.append(document(memo, text))
+                texts.append(text)
                 size += len(text)
                 if size >= block_bytes:
-                    yield block_rows(part << 32 | n, ids, found)
-                    ids, found, size, n = [], [], 0, n + 1
+                    yield block_rows(part << 32 | n, ids, texts, known, split)
+                    ids, texts, size, n = [], [], 0, n + 1
         if ids:
-            yield block_rows(part << 32 | n, ids, found)
-
-    def document(memo: Memo, text: str) -> tuple | None:
-        if not text:
-            return None
-        full = " " + text
-        chunks = [full] if split is None else spaced_chunks(full) if split is BEFORE_SPACES or split.pattern == BEFORE_SPACES.pattern else split.split(full)
-        each = Counter(chunks)
-        memo.learn(list(each))
-        got = [memo.now[c] for c in each]
-        if any(g is None for g in got):
-            return None
-        heads = np.frombuffer(b"".join([g[:HEAD_BYTES] for g in got]), "<u4").reshape(-1, 4).astype(np.int64)
-        ends = (HEAD_BYTES + 8 * heads[:, 3]).tolist()
-        texts = {c: g[e:] for c, g, e in zip(each, got, ends, strict=True)}
-        digest = hashlib.sha256()
-        for at in range(0, len(chunks), 4096):
-            digest.update((b";" if at else b"") + b";".join([texts[c] for c in chunks[at : at + 4096]]))
-        counts = np.array([*each.values()])
-        pairs = np.frombuffer(b"".join([g[HEAD_BYTES:e] for g, e in zip(got, ends, strict=True)]), "<i8")
-        return (*(counts @ heads).tolist(), digest.hexdigest(), pairs, np.repeat(counts, heads[:, 3]))
+            yield block_rows(part << 32 | n, ids, texts, known, split)
 
     return materialize(rows.mapInArrow(align, FIELDS_SQL))
 

@@ -90,26 +90,6 @@ class Memo:
         self.size += sum([180 + len(chunks[i]) + len(out[i]) for i in missing])
         return out
 
-    def learn(self, chunks: list[str]) -> dict[str, bytes | None]:
-        """Results of all chunks (and maybe more), until the next call."""
-        if self.size > self.limit:
-            self.before, self.now, self.size = self.now, {}, 0
-        now, before = self.now, self.before
-        missing = set(chunks).difference(now)
-        for c in [c for c in missing if c in before]:
-            self.keep(c, before[c])
-        unknown = list(missing.difference(before))
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            results = self.encode(part)
-            now.update(zip(part, results, strict=True))
-            self.size += 180 * len(part) + sum(map(len, part)) + sum(map(len, filter(None, results)))
-        return now
-
-    def keep(self, chunk: str, result: bytes | None) -> None:
-        self.now[chunk] = result
-        self.size += 180 + len(chunk) + len(result or b"")
-
 
 def different(pieces: pa.Array) -> tuple[list[str], np.ndarray]:
     """The different strings among pieces, and which of them each piece is."""

@@ -178,6 +178,21 @@ def test_op12_without_cuts(spark, both):
     assert Counter(tuple(r[c] for c in COLUMNS) for r in alignment.align_tokens(df, split=None).collect()) == brute_alignment(few, both)
 
 
+def test_op12_asks_once_for_each_chunk_of_a_block(rows, both):
+    known = alignment.alignments(read(alignment.A_VOCABULARY), read(alignment.B_VOCABULARY))
+    asked, results = [], known.memo.results
+    known.memo.results = lambda chunks: asked.extend(chunks) or results(chunks)
+    few = [(i, t) for i, t in rows if t is None or len(t) < 2000][:300]
+    out = alignment.block_rows(7, [i for i, _ in few], [t or "" for _, t in few], known, BEFORE_SPACES).to_pylist()
+    assert len(asked) == len(set(asked)) == len({c for _, t in few for c in spaced_chunks(" " + (t or ""))})
+    whole = brute_alignment(few, both)
+    assert Counter((r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) for r in out[:-1]) == Counter((*k[:5], k[7]) for k in whole.elements())
+    pairs = Counter()
+    for r in out[:-1]:
+        pairs.update(dict(zip(r["at"], r["times"], strict=True)))
+    assert [pairs[k] for k in range(len(out[-1]["pairs"]))] == out[-1]["links"] and out[-1]["n_a"] is None
+
+
 def test_op12_empty(empty):
     assert alignment.align_tokens(empty).collect() == []
 
