@@ -7,12 +7,14 @@ joined.  A hub's edges are never gathered, however many batches ask for it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilngraph.functions import expressions as X
@@ -21,11 +23,15 @@ from kilngraph.operators.graph import KnowledgeGraph, Relation
 from kilngraph.operators.ids import surrogate_keys
 from kilngraph.sources import tables as S
 
+#: Links whose batches a task numbers, about.
+TASK_LINKS = 250_000
+
 
 @dataclass(frozen=True)
 class Adjacency:
-    """rows: (at, relation, src_type, src, dst_type, dst), numbered; heads: (relation, dst_type, dst, first, degree) of each target."""
+    """relations, named in rows and heads by their place; rows: (at, rel, src, dst), numbered; heads: (rel, dst, first, degree) of each target."""
 
+    relations: tuple[Relation, ...]
     rows: DataFrame
     heads: DataFrame
 
@@ -46,20 +52,90 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def adjacency(relations: Mapping[Relation, DataFrame], seed: int = 42) -> Adjacency:
-    rows = [df.select(F.lit("__".join(r)).alias("relation"), F.lit(r[0]).alias("src_type"), F.col("src").cast("long").alias("src"), F.lit(r[2]).alias("dst_type"), F.col("dst").cast("long").alias("dst")) for r, df in relations.items()]
-    drawn = reduce(DataFrame.unionByName, rows).distinct().withColumn("_draw", X.draw(seed, F.lit("order"), F.col("relation"), F.col("src"), F.col("dst"), below=2**40))
-    laid = surrogate_keys(drawn, ["relation", "dst", "_draw", "src"], "at").drop("_draw")
-    laid = settled(laid)  # every hop reads it
-    return Adjacency(laid, laid.groupBy("relation", "dst_type", "dst").agg(F.min("at").alias("first"), F.count("*").alias("degree")))
+    names = tuple(relations)
+    rows = [df.select(F.lit(i).cast("byte").alias("rel"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")) for i, df in enumerate(relations.values())]
+    drawn = reduce(DataFrame.unionByName, rows).distinct().withColumn("_draw", X.draw(seed, F.lit("order"), looked_up("rel", ["__".join(r) for r in names]), F.col("src"), F.col("dst"), below=2**40))
+    laid = surrogate_keys(drawn, ["rel", "dst", "_draw", "src"], "at").drop("_draw")  # kept on disk there: every hop reads it
+    return Adjacency(names, laid, laid.groupBy("rel", "dst").agg(F.min("at").alias("first"), F.count("*").alias("degree")))
 
 
-def sampled(edges: Adjacency, frontier: DataFrame, most: int, seed: int) -> DataFrame:
-    """(batch, relation, src_type, src, dst_type, dst): of each relation's edges into a node (batch, type, id) at most `most`."""
-    asked = frontier.select("batch", F.col("type").alias("dst_type"), F.col("id").alias("dst")).join(edges.heads, ["dst_type", "dst"])
+def looked_up(column: str, values: Sequence) -> Column:
+    """The value at the place that a column has."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col(column).cast("int"))
+
+
+def kinds_of(edges: Adjacency, *more: str) -> list[str]:
+    """Kinds of nodes; their places stand for them until the end."""
+    return sorted({k for r in edges.relations for k in (r[0], r[2])} | set(more))
+
+
+def spread(df: DataFrame, tasks: int, key: str) -> DataFrame:
+    """df dealt to tasks by a key where Spark's own number of them would be too few."""
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 1) else df
+
+
+def picked(edges: Adjacency, frontier: DataFrame, kinds: Sequence[str], most: int, seed: int, tasks: int = 1) -> DataFrame:
+    """(batch, rel, src, dst): of each relation's edges into a node (batch, kind, id) at most `most`."""
+    heads = edges.heads.withColumn("kind", looked_up("rel", [kinds.index(r[2]) for r in edges.relations]).cast("byte"))
+    asked = frontier.select("batch", "kind", F.col("id").alias("dst")).join(heads, ["kind", "dst"])
     asked = asked.withColumn("k", F.least(F.col("degree"), F.lit(most).cast("long"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     asked = asked.withColumns({"low": F.expr("(j * degree) div k"), "high": F.expr("((j + 1) * degree) div k")})
-    place = F.col("low") + X.draw(seed, F.lit("pick"), F.col("batch"), F.col("relation"), F.col("dst"), F.col("j"), below=F.col("high") - F.col("low"))
-    return asked.select("batch", (F.col("first") + place).alias("at")).join(edges.rows, "at").drop("at")
+    name = looked_up("rel", ["__".join(r) for r in edges.relations])
+    place = F.col("low") + X.draw(seed, F.lit("pick"), F.col("batch"), name, F.col("dst"), F.col("j"), below=F.col("high") - F.col("low"))
+    places = asked.select("batch", (F.col("first") + place).alias("at"))
+    return spread(places, tasks, "at").join(spread(edges.rows, tasks, "at"), "at").select("batch", "rel", "src", "dst")
+
+
+def sampled(edges: Adjacency, frontier: DataFrame, most: int, seed: int) -> DataFrame:
+    """(batch, relation, src_type, src, dst_type, dst): of each relation's edges into a node (batch, type, id) at most `most`."""
+    kinds = kinds_of(edges)
+    coded = frontier.select("batch", (F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("type")) - 1).cast("byte").alias("kind"), "id")
+    return spelled(picked(edges, coded, kinds, most, seed), edges.relations).select("batch", "relation", "src_type", "src", "dst_type", "dst")
+
+
+def spelled(rows: DataFrame, relations: Sequence[Relation]) -> DataFrame:
+    """rows with the names that rel stands for."""
+    return rows.withColumns({"relation": looked_up("rel", ["__".join(r) for r in relations]), "src_type": looked_up("rel", [r[0] for r in relations]), "dst_type": looked_up("rel", [r[2] for r in relations])})
+
+
+def located(rows: Iterator[pa.RecordBatch], ends: np.ndarray, nodes: bool) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows (batch, hop, rel, src, dst), in the order of batches: they and the numbers of both ends among the batch's nodes of their
+    kind, in the order of ids; or the nodes.  ends: the kinds of each rel's ends.  A batch is held at once, no more."""
+    held: list[pa.RecordBatch] = []
+    for part in rows:
+        if not part.num_rows:
+            continue
+        batch = np.asarray(part.column(0))
+        if held and batch[-1] == held[0].column(0)[0].as_py():
+            held.append(part)
+            continue
+        cut = int(np.searchsorted(batch, batch[-1]))
+        if held or cut:
+            yield numbered(pa.Table.from_batches([*held, part.slice(0, cut)]), ends, nodes)
+        held = [part.slice(cut)]
+    if held:
+        yield numbered(pa.Table.from_batches(held), ends, nodes)
+
+
+def numbered(rows: pa.Table, ends: np.ndarray, nodes: bool) -> pa.RecordBatch:
+    """located's result for whole batches; a null end is a node, but a row with one is left out."""
+    batch, hop, rel = (np.asarray(rows.column(i).combine_chunks()) for i in range(3))
+    both = [rows.column(i).combine_chunks() for i in (3, 4)]
+    ids, none = np.concatenate([np.asarray(c.fill_null(0)) for c in both]), np.concatenate([np.asarray(c.is_null()) for c in both])
+    kind, of = np.concatenate([ends[rel, 0], ends[rel, 1]]), np.concatenate([batch, batch])
+    order = np.lexsort((ids, ~none, kind, of))
+    ids_, none_, kind_, of_ = ids[order], none[order], kind[order], of[order]
+    group = np.append(True, (of_[1:] != of_[:-1]) | (kind_[1:] != kind_[:-1]))
+    new = group | np.append(True, (ids_[1:] != ids_[:-1]) | (none_[1:] != none_[:-1]))
+    node = np.cumsum(new) - 1
+    place = node - np.maximum.accumulate(np.where(group, node, 0))
+    if nodes:
+        return pa.RecordBatch.from_arrays([pa.array(of_[new]), pa.array(kind_[new]), pa.array(place[new]), pa.array(ids_[new], mask=none_[new])], ["batch", "kind", "local", "id"])
+    local = np.empty(len(order), np.int64)
+    local[order] = place
+    n, keep = len(batch), ~(none[: len(batch)] | none[len(batch) :])
+    columns = [batch, hop, rel, ids[:n], local[:n], ids[n:], local[n:]]
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["batch", "hop", "rel", "src", "src_local", "dst", "dst_local"])
 
 
 def link_batches(links: DataFrame, relation: Relation, edges: Adjacency, size: int = 1024, fanouts: Sequence[int] = (10, 5), seed: int = 42, shuffle: bool = True) -> Batches:
@@ -73,31 +149,31 @@ def link_batches(links: DataFrame, relation: Relation, edges: Adjacency, size: i
     keys = ["src", "dst"]
     if shuffle:
         drawn, keys = drawn.withColumn("_draw", X.draw(seed, F.lit("batch"), F.col("src"), F.col("dst"), below=2**40)), ["_draw", *keys]
-    own = settled(surrogate_keys(drawn, keys, "_at").select(F.floor(F.col("_at") / size).alias("batch"), "src", "dst"))
-    ends = [own.select("batch", F.lit(relation[k]).alias("type"), F.col(c).alias("id")) for k, c in ((0, "src"), (2, "dst"))]
-    frontier = seen = ends[0].unionByName(ends[1]).distinct()
-    found = []
+    kinds, known = kinds_of(edges, relation[0], relation[2]), (*edges.relations, relation)  # a link's rel is the last
+    ends = np.array([[kinds.index(r[0]), kinds.index(r[2])] for r in known], np.int8)
+
+    def rows(df: DataFrame, hop: int) -> DataFrame:
+        return df.select(F.col("batch"), F.lit(hop).alias("hop"), F.col("rel").cast("byte").alias("rel"), "src", "dst")
+
+    def reached(df: DataFrame, end: int) -> DataFrame:
+        return df.select("batch", "hop", looked_up("rel", ends[:, end].tolist()).cast("byte").alias("kind"), F.col(("src", "dst")[end]).alias("id"))
+
+    numbers = surrogate_keys(drawn, keys, "_at")  # kept on disk there
+    tasks = -(-numbers.count() // TASK_LINKS)
+    found = [rows(numbers.select(F.floor(F.col("_at") / size).alias("batch"), F.lit(len(known) - 1).alias("rel"), "src", "dst"), 0)]
+    seen = reached(found[0], 0).unionByName(reached(found[0], 1))
     for hop, most in enumerate(fanouts, 1):
-        got = settled(sampled(edges, frontier, most, seed + hop).withColumn("hop", F.lit(hop)))  # the next frontier too
-        found.append(got)
-        reached = got.select("batch", F.col("src_type").alias("type"), F.col("src").alias("id")).distinct()
-        frontier = settled(reached.join(seen, ["batch", "type", "id"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    local = (F.row_number().over(Window.partitionBy("batch", "type").orderBy("id")) - 1).cast("long")  # a batch's nodes are bounded by size and fanouts
-    nodes = seen.withColumn("local", local).select("batch", "type", "local", "id")
-    nodes = settled(nodes)
-
-    def numbered(df: DataFrame, end: str, kind: str | None = None) -> DataFrame:
-        ids = nodes.where(F.col("type") == kind) if kind else nodes
-        ids = ids.select("batch", *([] if kind else [F.col("type").alias(f"{end}_type")]), F.col("id").alias(end), F.col("local").alias(f"{end}_local"))
-        return df.join(ids, ["batch", end] if kind else ["batch", f"{end}_type", end])
-
-    around = reduce(DataFrame.unionByName, found) if found else None
-    if around is None:
-        around = sampled(edges, seen.limit(0), 1, seed).withColumn("hop", F.lit(0))
-    around = numbered(numbered(around, "src"), "dst").select("batch", "hop", "relation", "src_type", "src", "src_local", "dst_type", "dst", "dst_local")
-    asked = numbered(numbered(own, "src", relation[0]), "dst", relation[2]).select("batch", "src", "dst", "src_local", "dst_local")
-    return Batches(asked, nodes, around)
+        first = spread(seen, tasks, "batch").groupBy("batch", "kind", "id").agg(F.min("hop").alias("hop"))
+        got = rows(picked(edges, first.where(F.col("hop") == hop - 1), kinds, most, seed + hop, tasks), hop)
+        found.append(got.persist(StorageLevel.DISK_ONLY))  # the next hop, links, nodes and edges read it
+        seen = seen.unionByName(reached(found[-1], 0))
+    # all that a batch has meets once; its nodes are bounded by size and fanouts
+    whole = reduce(DataFrame.unionByName, found)
+    laid = spread(whole.repartition("batch"), tasks, "batch").sortWithinPartitions("batch")
+    full = laid.mapInArrow(lambda part: located(part, ends, False), "batch long, hop int, rel byte, src long, src_local long, dst long, dst_local long")
+    nodes = laid.mapInArrow(lambda part: located(part, ends, True), "batch long, kind byte, local long, id long")
+    around = spelled(full.where("hop > 0"), known).select("batch", "hop", "relation", "src_type", "src", "src_local", "dst_type", "dst", "dst_local")
+    return Batches(full.where("hop = 0").select("batch", "src", "dst", "src_local", "dst_local"), nodes.select("batch", looked_up("kind", kinds).alias("type"), "local", "id"), around)
 
 
 @dataclass(frozen=True)

@@ -148,3 +148,36 @@ def test_hard_and_uniform_counts(spark, graph):
     found = rows(got, "src", "dst", "k", "neg_src", "neg_dst")
     assert Counter((s, t, k) for s, t, k, _, _ in found) == {(s, t, k): 1 for s, t in rows(links, "src", "dst") for k in range(5)}
     assert not {(a, b) for *_, a, b in found} & set(rows(graph.relations[CD], "src", "dst"))
+
+
+def test_batches_move_codes_and_write_no_checkpoint(spark, graph, monkeypatch, tmp_path):
+    """Rows that are shuffled name relations and kinds by numbers, and the rows of many tasks are those of few."""
+    links = graph.relations[CD]
+    few = B.link_batches(links, CD, B.adjacency(graph.relations), 16, [4, 3])
+    monkeypatch.setattr(B, "TASK_LINKS", 20)
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    many = B.link_batches(links, CD, B.adjacency(graph.relations), 16, [4, 3])
+    for name in ("links", "nodes", "edges"):
+        df = getattr(many, name)
+        assert df.rdd.getNumPartitions() == -(-links.count() // 20) > 4
+        assert Counter(df.collect()) == Counter(getattr(few, name).collect())
+        assert all("type" not in line and "relation" not in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    spark.sparkContext.setCheckpointDir(before)
+
+
+def test_missing_ends_and_batches_over_many_rows(spark):
+    """A null end is a node, first among its kind, but its link is left out; a batch may go on over Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    links = spark.createDataFrame([(None, 5), (7, 5), (3, 6), (9, None), (2, 4), (1, 4), (8, 4)], "src long, dst long")
+    found = B.link_batches(links, CD, B.adjacency({GENE: spark.createDataFrame([(70, 5), (60, 5), (None, 4)], "src long, dst long")}), 5, [2], shuffle=False)
+    nodes = Counter(rows(found.nodes, "batch", "type", "local", "id"))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = [(None, 5), (1, 4), (2, 4), (3, 6), (7, 5), (8, 4), (9, None)]
+    own = {(b, k): sorted({p[e] for p in order[5 * b : 5 * b + 5]}, key=lambda i: (i is not None, i)) for b in (0, 1) for e, k in ((0, "chemical"), (1, "disease"))}
+    own |= {(0, "gene"): [None, 60, 70], (1, "gene"): [None]}
+    assert nodes == Counter((b, k, at, i) for (b, k), ids in own.items() for at, i in enumerate(ids))
+    want = [(k // 5, a, z, own[k // 5, "chemical"].index(a), own[k // 5, "disease"].index(z)) for k, (a, z) in enumerate(order) if a and z]
+    assert sorted(rows(found.links, "batch", "src", "dst", "src_local", "dst_local")) == sorted(want)
+    assert sorted(rows(found.edges, "batch", "src", "src_local", "dst", "dst_local")) == [(0, 60, 1, 5, 1), (0, 70, 2, 5, 1)]
